@@ -16,10 +16,15 @@ BATCH_ROWS = 1000
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of a data folder; any path Spark reads will do."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Python workers get BATCH_ROWS rows at a time, so that long texts don't fill them."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -81,4 +86,4 @@ def broadcast_value(spark: SparkSession, value):
     return spark.sparkContext.broadcast(value)
 
 
-__all__ = ["BATCH_ROWS", "F", "T", "broadcast_value", "doc_columns", "drop_table", "empty_like", "materialize", "same", "shared_dir", "table"]
+__all__ = ["BATCH_ROWS", "F", "T", "broadcast_value", "doc_columns", "drop_table", "empty_like", "materialize", "same", "shared_dir", "small_batches", "table"]

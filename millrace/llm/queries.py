@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality, secrets, simhash
+from . import decontaminate, hilbert, hmm, packing, quality, rangecoder, secrets, simhash, toolcalls, urlfilter
 from .common import table
 
 
@@ -15,15 +15,44 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, said = toolcalls.exchanges(table(spark, sf_dir, "conversations"))
+    return toolcalls.link(asked, said, toolcalls.REPLY)
+
+
+def op2_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.summarise(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+#: The rules, tier 0, and listed sites, tier 1, which decide where no rule fits.
+URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+LISTED_SITES = (("spam-farm.example.org/", "block"), ("cheap-pills.example.com/", "block"))
+
+
+def op4_bloom_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = [(e, v, 0) for e, v in URL_RULES] + [(e, v, 1) for e, v in LISTED_SITES]
+    judged = urlfilter.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(entries, "entry string, verdict string, tier int"))
+    return judged.select("page_id", "host", "path", F.when(F.col("tier") == 0, F.col("entry")).alias("rule"), "verdict")
+
+
 def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("n_removed").cast("long").alias("n_removed"))
 
 
+def op6_range_coded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rangecoder.read_ids(rangecoder.write_ids(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json")))
+
+
+def op7_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned = hilbert.assign(table(spark, sf_dir, "documents"))
+    return assigned.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.summarise(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -37,9 +66,44 @@ def op10_large_item_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_benchmark_decontamination, op5_line_frequency, op8_secret_scan, op9_simhash_pivots, op10_large_item_matching)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_tool_call_linking,
+        op2_hidden_markov,
+        op3_benchmark_decontamination,
+        op4_bloom_url_filter,
+        op5_line_frequency,
+        op6_range_coded_ids,
+        op7_hilbert_sharding,
+        op8_secret_scan,
+        op9_simhash_pivots,
+        op10_large_item_matching,
+    )
+}
 
 ORACLES = {
+    "op1_tool_call_linking": r"""
+        WITH RECURSIVE u AS (SELECT conv_id, turn, conv_id || ':' || turn AS call_id, CASE WHEN turn >= 2 THEN conv_id || ':' || (turn - 2) END AS after, text FROM conversations WHERE role = 'user'),
+        ids AS (SELECT DISTINCT conv_id, call_id, after FROM u),
+        d AS (SELECT conv_id, call_id, 0::BIGINT AS depth FROM ids x WHERE NOT EXISTS (SELECT 1 FROM ids y WHERE y.conv_id = x.conv_id AND y.call_id = x.after)
+              UNION ALL SELECT x.conv_id, x.call_id, d.depth + 1 FROM ids x JOIN d ON d.conv_id = x.conv_id AND d.call_id = x.after),
+        a AS (SELECT conv_id, conv_id || ':' || (turn - 1) AS call_id, arg_min(text, (turn, text)) AS content, min(turn) AS result_turn, count(*) AS n_results FROM conversations WHERE role = 'assistant' GROUP BY ALL),
+        j AS (SELECT u.*, d.depth, coalesce(a.n_results, 0) AS n_results, a.result_turn, a.content, CASE WHEN length(u.text) = 0 THEN '$.text: minLength' ELSE '' END AS errors
+              FROM u JOIN d USING (conv_id, call_id) LEFT JOIN a USING (conv_id, call_id)),
+        s AS (SELECT *, CASE WHEN errors <> '' THEN 'invalid' WHEN n_results > 0 THEN 'linked' ELSE 'open' END AS status FROM j)
+        SELECT conv_id, turn, call_id, 'reply' AS name, depth, status, errors, n_results, result_turn,
+               CAST(json_object('after', after, 'arguments', json_object('text', text, 'turn', turn), 'call_id', call_id, 'conv_id', conv_id, 'depth', depth,
+                    'errors', CASE WHEN errors = '' THEN []::VARCHAR[] ELSE [errors] END, 'name', 'reply',
+                    'result', CASE WHEN n_results > 0 THEN json_object('content', content, 'turn', result_turn) END, 'status', status, 'turn', turn) AS VARCHAR) AS message
+        FROM s""",
+    "op4_bloom_url_filter": r"""
+        WITH l(e, v, tier) AS (VALUES ('net/', 'block', 0), ('example.net/en/', 'allow', 0), ('example.com/de/', 'block', 0), ('org/fr/', 'allow', 0), ('spam-farm.example.org/', 'block', 1), ('cheap-pills.example.com/', 'block', 1)),
+        p AS (SELECT page_id, row_number() OVER () AS r, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+        f AS (SELECT r, arg_min(e, (tier, -length(e))) AS e, arg_min(v, (tier, -length(e))) AS v, min(tier) AS tier
+              FROM p JOIN l ON (host = split_part(e, '/', 1) OR ends_with(host, '.' || split_part(e, '/', 1))) AND starts_with(path, substr(e, strpos(e, '/'))) GROUP BY r)
+        SELECT page_id, host, path, CASE WHEN tier = 0 THEN e END AS rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN f USING (r)""",
     "op3_benchmark_decontamination": r"""
         WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+'), []::VARCHAR[]) AS w FROM documents),
         b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
