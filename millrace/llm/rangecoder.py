@@ -7,14 +7,14 @@ any block can be read, or found damaged, without the others. Within a block thre
   and how often in a row that was right; the share of the range that a remembered id gets is the
   rate at which ids remembered with that confidence have come true in this block;
 * order 0 counts ids, from a fixed slant towards low ids (the tokenizer's earlier merges), in a tree
-  of three levels; it shares out what the other two leave.
+  of four levels; it shares out what the other two leave, and counts the ids that it had to code.
 
 So one id costs one step of the coder, whichever predictor is right. Blocks are independent, and a
 batch of blocks is coded in step, one NumPy lane each; everything is integers, so that reader and
 writer agree on any machine. The coder is carry-less with 64-bit state and 16-bit output units.
 
 A segment (the payload of one row of the written table) is: magic, then for each document its id and
-length, then each block's number of ids, bytes and CRC-32, then the blocks. Documents don't cross
+length, then each block's number of ids, bytes and CRC-32 of its bytes and of its ids, then the blocks. Documents don't cross
 segments. Rows hold (bucket, segment, n_ids, file); bucket and segment ascend with doc_id.
 
 Defined results: a null or empty text is its end id alone; rows without doc_id come first; repeated
@@ -36,224 +36,225 @@ from pyspark.sql import functions as F
 from .common import doc_columns, materialize
 from .tokens import WordTokens
 
-END, BLOCK, LANES = 2, 8192, 512
+END, BLOCK, LANES = 2, 4096, 1536
 MAGIC = b"MRIDS01\n"
-#: Ids below this; three levels of 49, 32 and 32.
-IDS = 49 * 32 * 32
-_SLOTS = 4096
-_STEP, _CAP = 32, 65_000
-_SURE = 15
-_TOP, _LOW = np.uint64(1 << 48), np.uint64(1 << 40)
-_U16, _S16, _S48 = np.uint64(16), np.uint64(0xFFFF), np.uint64(48)
+#: Ids lie below this: four levels of 13, 16, 16 and 16.
+IDS = 13 << 12
+_SLOTS, _STEP, _CAP, _SURE = 4096, 32, 65_000, 15
+_TOP, _LOW, _MASK = np.uint64(1 << 48), np.uint64(1 << 40), np.uint64((1 << 40) - 1)
+_U16, _U48, _ONE = np.uint64(16), np.uint64(48), np.uint64(1)
+#: What a count of child k adds to the 17 bounds of its node.
+_BUMP = np.array([[_STEP * (j > k) for j in range(17)] for k in range(16)])
+_BUMP16, _BUMP32 = _BUMP.astype(np.uint16), _BUMP.astype(np.uint32)
 
 
-class _Mixer:
-    """The predictors of a batch of blocks; ``n`` lanes may shrink, as lanes are sorted by length."""
+def _bounds(weights: np.ndarray, kind: type) -> np.ndarray:
+    """Rows of 17 bounds from rows of up to 16 weights."""
+    out = np.zeros((len(weights), 17), np.int64)
+    out[:, 1 : weights.shape[1] + 1] = np.cumsum(weights, axis=1)
+    out[:, weights.shape[1] + 1 :] = out[:, weights.shape[1], None]
+    return out.astype(kind)
+
 
-    _start = (1 + 20_000 // (np.arange(IDS) + 500)).astype(np.uint16)
+class _Mixer:
+    """The predictors of a batch of blocks. Lanes are sorted by length, so that the first n are active."""
 
     def __init__(self, lanes: int):
-        self.leaf = np.tile(self._start.reshape(-1, 32), (lanes, 1, 1))
-        self.mid = np.tile(self._start.reshape(49, 32, 32).sum(2, dtype=np.uint32), (lanes, 1, 1))
-        self.top = np.tile(self._start.reshape(49, -1).sum(1, dtype=np.uint32), (lanes, 1))
-        self.total = np.full(lanes, int(self._start.sum()), np.int64)
-        self.guess2 = np.zeros(lanes * _SLOTS, np.uint16)
-        self.sure2 = np.zeros(lanes * _SLOTS, np.uint8)
-        self.guess1 = np.zeros(lanes * _SLOTS, np.uint16)
-        self.sure1 = np.zeros(lanes * _SLOTS, np.uint8)
+        start = 1 + 20_000 // (np.arange(IDS) + 500)
+        self.levels = [np.tile(_bounds(start.reshape(-1, 16, 16**k).sum(2) if k < 3 else start.reshape(1, 13, 4096).sum(2), kind), (lanes, 1)) for k, kind in ((3, np.uint32), (2, np.uint32), (1, np.uint32), (0, np.uint16))]
+        self.nodes = [1, 13, 13 * 16, 13 * 256]
+        self.total = np.full(lanes, int(start.sum()), np.int64)
+        # remembered id and confidence: id * 16 + confidence, of both orders
+        self.memory2, self.memory1 = np.zeros(lanes * _SLOTS, np.int32), np.zeros(lanes * _SLOTS, np.int32)
         # rates of success by confidence, in 65536ths; confidence 0 is "nothing remembered"
-        start = np.minimum(60_000, np.arange(_SURE + 1) * 9000).astype(np.int64)
-        self.rate2 = np.tile(start, (lanes, 1)).ravel()
-        self.rate1 = np.tile(start // 2, (lanes, 1)).ravel()
-        self.last = np.zeros(lanes, np.int64)
-        self.before = np.zeros(lanes, np.int64)
+        rates = np.minimum(60_000, np.arange(_SURE + 1) * 9000)
+        self.rate2, self.rate1 = np.tile(rates, lanes), np.tile(rates // 2, lanes)
+        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.lane = np.arange(lanes)
-
-    def look(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The remembered ids of both orders and their shares in 65536ths."""
-        lane = self.lane[:n]
-        self.at2 = lane * _SLOTS + ((self.last[:n] * 40503 + self.before[:n] * 30011) >> 3) % _SLOTS
-        self.at1 = lane * _SLOTS + self.last[:n] * 2654 % 4093
-        g2, s2 = self.guess2[self.at2], self.sure2[self.at2]
-        g1, s1 = self.guess1[self.at1], self.sure1[self.at1]
-        self.r2, self.r1 = lane * (_SURE + 1) + s2, lane * (_SURE + 1) + s1
-        self.live2 = s2 > 0
-        self.live1 = (s1 > 0) & ~(self.live2 & (g1 == g2))
-        self.s2, self.s1, self.g2, self.g1 = s2, s1, g2, g1
-        w2 = self.rate2[self.r2] * self.live2
-        w1 = (65536 - w2) * self.rate1[self.r1] * self.live1 >> 16
-        return g2, g1, w2, w1
-
-    def learn(self, x: np.ndarray) -> None:
-        n = len(x)
-        lane = self.lane[:n]
-        hit2, hit1 = self.live2 & (self.g2 == x), self.g1 == x
-        p = self.rate2[self.r2]
-        self.rate2[self.r2] = np.where(self.live2, p + (np.where(hit2, 65000 - p, 200 - p) >> 4), p)
-        use = self.live1 & ~hit2
-        p = self.rate1[self.r1]
-        self.rate1[self.r1] = np.where(use, p + (np.where(hit1, 65000 - p, 200 - p) >> 4), p)
-        # a right guess grows surer; a wrong one loses half, and gives way at 1
-        for guess, sure, at, g, s in ((self.guess2, self.sure2, self.at2, self.g2, self.s2), (self.guess1, self.sure1, self.at1, self.g1, self.s1)):
-            right = (g == x) & (s > 0)
-            swap = ~right & (s <= 1)
-            sure[at] = np.where(right, np.minimum(s + 1, _SURE), np.where(swap, 1, s >> 1)).astype(np.uint8)
-            guess[at] = np.where(swap, x, g).astype(np.uint16)
-        hi, lo = x >> 5, x & 31
-        old = self.leaf[lane, hi, lo]
-        add = np.where(old < _CAP, _STEP, 0)
-        self.leaf[lane, hi, lo] = old + add.astype(np.uint16)
-        self.mid[lane, x >> 10, hi & 31] += add.astype(np.uint32)
-        self.top[lane, x >> 10] += add.astype(np.uint32)
-        self.total[:n] += add
+        self.slot, self.rung = self.lane * _SLOTS, self.lane * (_SURE + 1)
+
+    def look(self, n: int) -> None:
+        """The remembered ids (g2, g1), whether they count, and their shares in 65536ths."""
+        last = self.last[:n]
+        self.at2 = self.slot[:n] + ((last * 40503 + self.before[:n] * 30011 >> 3) & (_SLOTS - 1))
+        self.at1 = self.slot[:n] + (last * 2654 % 4093)
+        m2, m1 = self.memory2[self.at2], self.memory1[self.at1]
+        self.g2, self.s2, self.g1, self.s1 = m2 >> 4, m2 & 15, m1 >> 4, m1 & 15
+        self.live2 = self.s2 > 0
+        self.live1 = (self.s1 > 0) & ((self.g1 != self.g2) | ~self.live2)
+        self.r2, self.r1 = self.rung[:n] + self.s2, self.rung[:n] + self.s1
+        self.p2, self.p1 = self.rate2[self.r2], self.rate1[self.r1]
+        self.w2 = self.p2 * self.live2
+        self.w1 = (65536 - self.w2) * (self.p1 * self.live1) >> 16
+
+    def learn(self, x: np.ndarray, n: int) -> None:
+        """Orders 2 and 1 learn what came; order 0 learns in place() and find()."""
+        for memory, at, g, s, rate, r, p, live in ((self.memory2, self.at2, self.g2, self.s2, self.rate2, self.r2, self.p2, self.live2), (self.memory1, self.at1, self.g1, self.s1, self.rate1, self.r1, self.p1, self.live1)):
+            right = g == x
+            rate[r] = p + ((np.where(right, 65000, 200) - p >> 4) * live)
+            # a right guess grows surer; a wrong one loses half, and gives way at 1
+            memory[at] = np.where(right & (s > 0), g * 16 + np.minimum(s + 1, _SURE), np.where(s <= 1, x * 16 + 1, g * 16 + (s >> 1)))
         self.before[:n] = self.last[:n]
         self.last[:n] = x
 
+    def _count(self, own: np.ndarray, rows: list[np.ndarray], at: list[np.ndarray], x: np.ndarray) -> None:
+        room = rows[3][:, 16] < _CAP
+        if not room.all():
+            own, x, rows, at = own[room], x[room], [r[room] for r in rows], [a[room] for a in at]
+        for level, bump in ((0, _BUMP32), (1, _BUMP32), (2, _BUMP32), (3, _BUMP16)):
+            rows[level] += bump[x >> (12 - 4 * level) & 15]
+            self.levels[level][at[level]] = rows[level]
+        self.total[own] += _STEP
+
     def place(self, own: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Order 0: the start and width of ids x in the given lanes."""
-        t, hi, lo = x >> 10, x >> 5, x & 31
-        low = (self.top[own] * (np.arange(49) < t[:, None])).sum(1, dtype=np.int64)
-        low += (self.mid[own, t] * (np.arange(32) < (hi & 31)[:, None])).sum(1, dtype=np.int64)
-        row = self.leaf[own, hi]
-        low += (row * (np.arange(32) < lo[:, None])).sum(1, dtype=np.int64)
-        return low, row[np.arange(len(own)), lo].astype(np.int64)
+        """Order 0: the start and width of ids x in the given lanes; then x is counted."""
+        pick = np.arange(len(own))
+        rows, at, low = [], [], np.zeros(len(own), np.int64)
+        for level in range(4):
+            node = own * self.nodes[level] + (x >> (16 - 4 * level) if level else 0)
+            row = self.levels[level].take(node, axis=0)
+            k = x >> (12 - 4 * level) & 15
+            low += row[pick, k]
+            rows.append(row)
+            at.append(node)
+        width = row[pick, k + 1].astype(np.int64) - row[pick, k]
+        self._count(own, rows, at, x)
+        return low, width
 
     def find(self, own: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Order 0: the ids whose ranges hold f, with start and width."""
+        """Order 0: the ids whose ranges hold f, with start and width; then they are counted."""
         pick = np.arange(len(own))
-        low = np.zeros(len(own), np.int64)
-        x = np.zeros(len(own), np.int64)
-        for level in range(3):
-            row = self.top[own] if level == 0 else self.mid[own, x] if level == 1 else self.leaf[own, x]
-            ends = np.cumsum(row, axis=1, dtype=np.int64)
-            k = (ends <= (f - low)[:, None]).sum(1)
-            width = row[pick, k].astype(np.int64)
-            low += ends[pick, k] - width
-            x = x * 32 + k if level else k
+        rows, at, low, x = [], [], np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+        for level in range(4):
+            node = own * self.nodes[level] + x
+            row = self.levels[level].take(node, axis=0)
+            k = (row[:, 1:] > (f - low)[:, None]).argmax(1)
+            low += row[pick, k]
+            x = x << 4 | k
+            rows.append(row)
+            at.append(node)
+        width = row[pick, k + 1].astype(np.int64) - row[pick, k]
+        self._count(own, rows, at, x)
         return x, low, width
 
 
-def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Each block's bytes; blocks are coded in step, LANES at a time."""
-    out: list[bytes] = [b""] * len(blocks)
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
+def _in_step(items: list, sizes: list[int], work) -> list:
+    """Applies ``work`` to LANES items at a time, the longest first; results in the items' order."""
+    out: list = [None] * len(items)
+    order = sorted(range(len(items)), key=lambda i: -sizes[i])
     for lo in range(0, len(order), LANES):
-        for i, data in zip(order[lo : lo + LANES], _encode([blocks[i] for i in order[lo : lo + LANES]])):
-            out[i] = data
+        part = order[lo : lo + LANES]
+        for i, done in zip(part, work([items[i] for i in part], np.array([sizes[i] for i in part]))):
+            out[i] = done
     return out
 
 
-def _encode(blocks: list[np.ndarray]) -> list[bytes]:
-    lanes, sizes = len(blocks), np.array([len(b) for b in blocks])
-    longest = int(sizes[0]) if lanes else 0
-    ids = np.zeros((longest, lanes), np.int64)
+def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
+    return _in_step(blocks, [len(b) for b in blocks], _encode)
+
+
+def decode_blocks(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
+    return _in_step(payloads, sizes, _decode)
+
+
+def _active(sizes: np.ndarray) -> list[int]:
+    """Lanes longer than t, for each t."""
+    return (len(sizes) - np.searchsorted(sizes[::-1], np.arange(sizes[0]), side="right")).tolist()
+
+
+def _renew(low: np.ndarray, span: np.ndarray, n: int, give) -> None:
+    """Shifts out settled units; a range too short is cut so that no carry can reach what was given."""
+    l, s = low[:n], span[:n]
+    settled = (l ^ (l + s)) < _TOP
+    due = settled | (s < _LOW)
+    at = np.flatnonzero(due)
+    settled = settled[at]
+    while len(at):
+        l, s = low[at], span[at]
+        s = np.where(settled, s, (~l + _ONE) & _MASK)
+        give(at, l)
+        l, s = l << _U16, s << _U16
+        low[at], span[at] = l, s
+        settled = (l ^ (l + s)) < _TOP
+        again = settled | (s < _LOW)
+        at, settled = at[again], settled[again]
+
+
+def _encode(blocks: list[np.ndarray], sizes: np.ndarray) -> list[bytes]:
+    lanes, longest = len(blocks), int(sizes[0])
+    ids = np.zeros((longest, lanes), np.int32)
     for k, b in enumerate(blocks):
         ids[: len(b), k] = b
-    active = lanes - np.searchsorted(sizes[::-1], np.arange(longest), side="right")
-    mixer = _Mixer(lanes)
+    m = _Mixer(lanes)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
     words, used = np.zeros((lanes, 3 * longest + 16), np.uint16), np.zeros(lanes, np.int64)
-    for t in range(longest):
-        n = int(active[t])
-        x = ids[t, :n]
-        g2, g1, w2, w1 = mixer.look(n)
+
+    def give(at: np.ndarray, l: np.ndarray) -> None:
+        words[at, used[at]] = l >> _U48
+        used[at] += 1
+
+    for t, n in enumerate(_active(sizes)):
+        x = ids[t, :n].astype(np.int64)
+        m.look(n)
         unit = span[:n] >> _U16
-        first = mixer.live2 & (g2 == x)
-        second = mixer.live1 & (g1 == x) & ~first
-        both = w2 + w1
-        start = unit * np.where(first, 0, np.where(second, w2, both)).astype(np.uint64)
-        width = unit * np.where(first, w2, w1).astype(np.uint64)
+        first = m.live2 & (m.g2 == x)
+        second = m.live1 & (m.g1 == x)
+        start = unit * np.where(first, 0, np.where(second, m.w2, m.w2 + m.w1)).astype(np.uint64)
+        width = unit * np.where(first, m.w2, m.w1).astype(np.uint64)
         own = np.flatnonzero(~(first | second))
         if len(own):
-            at, size = mixer.place(own, x[own])
-            part = (span[own] - start[own]) // mixer.total[own].astype(np.uint64)
+            part = (span[own] - start[own]) // m.total[own].astype(np.uint64)
+            at, size = m.place(own, x[own])
             start[own] += part * at.astype(np.uint64)
             width[own] = part * size.astype(np.uint64)
         low[:n] += start
         span[:n] = width
-        mixer.learn(x)
-        _shift(low, span, n, words, used)
-    out = []
-    for k in range(lanes):
-        tail = [(int(low[k]) >> s) & 0xFFFF for s in (48, 32, 16, 0)] if len(blocks[k]) else []
-        out.append(np.concatenate([words[k, : used[k]], np.array(tail, np.uint16)]).astype("<u2").tobytes())
-    return out
-
-
-def _due(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lanes that give out a unit; of these, those whose range is cut short to avoid a carry."""
-    settled = (low ^ (low + span)) < _TOP
-    short = ~settled & (span < _LOW)
-    return np.flatnonzero(settled | short), short
-
-
-def _shift(low: np.ndarray, span: np.ndarray, n: int, words: np.ndarray, used: np.ndarray) -> None:
-    at, short = _due(low[:n], span[:n])
-    while len(at):
-        l, s = low[at], span[at]
-        s = np.where(short[at] if len(short) != len(at) else short, (~l + np.uint64(1)) & (_LOW - np.uint64(1)), s)
-        words[at, used[at]] = (l >> _S48).astype(np.uint16)
-        used[at] += 1
-        low[at], span[at] = l << _U16, s << _U16
-        again, cut = _due(low[at], span[at])
-        short = cut[again]
-        at = at[again]
-
-
-def decode_blocks(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(payloads)
-    order = sorted(range(len(payloads)), key=lambda i: -sizes[i])
-    for lo in range(0, len(order), LANES):
-        part = order[lo : lo + LANES]
-        for i, ids in zip(part, _decode([payloads[i] for i in part], np.array([sizes[i] for i in part]))):
-            out[i] = ids
-    return out
+        m.learn(x, n)
+        _renew(low, span, n, give)
+    for shift in (48, 32, 16, 0):
+        give(np.arange(lanes), low >> np.uint64(shift) << _U48)
+    return [words[k, : used[k]].astype("<u2").tobytes() if sizes[k] else b"" for k in range(lanes)]
 
 
 def _decode(payloads: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
     lanes, longest = len(payloads), int(sizes[0])
-    words = np.zeros((lanes, max(len(p) for p in payloads) // 2 + 8), np.uint64)
+    words = np.zeros((lanes, max(len(p) for p in payloads) // 2 + 4), np.uint16)
     for k, p in enumerate(payloads):
         words[k, : len(p) // 2] = np.frombuffer(p, "<u2")
-    active = lanes - np.searchsorted(sizes[::-1], np.arange(longest), side="right")
-    ids = np.zeros((longest, lanes), np.int64)
-    mixer = _Mixer(lanes)
+    ids = np.zeros((longest, lanes), np.int32)
+    m = _Mixer(lanes)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    code = words[:, 0] << _S48 | words[:, 1] << np.uint64(32) | words[:, 2] << _U16 | words[:, 3]
-    used = np.full(lanes, 4)
-    for t in range(longest):
-        n = int(active[t])
-        g2, g1, w2, w1 = mixer.look(n)
+    code, used = np.zeros(lanes, np.uint64), np.full(lanes, 4)
+    for k in range(4):
+        code = code << _U16 | words[:, k]
+
+    def take(at: np.ndarray, l: np.ndarray) -> None:
+        code[at] = code[at] << _U16 | words[at, used[at]]
+        used[at] += 1
+
+    for t, n in enumerate(_active(sizes)):
+        m.look(n)
         unit = span[:n] >> _U16
         value = code[:n] - low[:n]
-        q = np.minimum(value // unit, _S16).astype(np.int64)
-        both = w2 + w1
-        first, second = q < w2, (q >= w2) & (q < both)
-        x = np.where(first, g2, g1).astype(np.int64)
-        start = unit * np.where(first, 0, np.where(second, w2, both)).astype(np.uint64)
-        width = unit * np.where(first, w2, w1).astype(np.uint64)
-        own = np.flatnonzero(q >= both)
+        q = np.minimum(value // unit, 65535).astype(np.int64)
+        both = m.w2 + m.w1
+        first, other = q < m.w2, q >= both
+        x = np.where(first, m.g2, m.g1).astype(np.int64)
+        start = unit * np.where(first, 0, np.where(other, both, m.w2)).astype(np.uint64)
+        width = unit * np.where(first, m.w2, m.w1).astype(np.uint64)
+        own = np.flatnonzero(other)
         if len(own):
-            total = mixer.total[own]
-            part = (span[own] - start[own]) // total.astype(np.uint64)
-            f = np.minimum((value[own] - start[own]) // part, (total - 1).astype(np.uint64)).astype(np.int64)
-            x[own], at, size = mixer.find(own, f)
+            total = m.total[own].astype(np.uint64)
+            part = (span[own] - start[own]) // total
+            f = np.minimum((value[own] - start[own]) // part, total - _ONE).astype(np.int64)
+            x[own], at, size = m.find(own, f)
             start[own] += part * at.astype(np.uint64)
             width[own] = part * size.astype(np.uint64)
         low[:n] += start
         span[:n] = width
         ids[t, :n] = x
-        mixer.learn(x)
-        at, short = _due(low[:n], span[:n])
-        while len(at):
-            l, s = low[at], span[at]
-            s = np.where(short[at] if len(short) != len(at) else short, (~l + np.uint64(1)) & (_LOW - np.uint64(1)), s)
-            code[at] = code[at] << _U16 | words[at, used[at]]
-            used[at] += 1
-            low[at], span[at] = l << _U16, s << _U16
-            again, cut = _due(low[at], span[at])
-            short = cut[again]
-            at = at[again]
+        m.learn(x, n)
+        _renew(low, span, n, take)
     return [ids[: sizes[k], k] for k in range(lanes)]
 
 
@@ -264,7 +265,7 @@ def write_segment(doc_ids: list[int | None], documents: list[np.ndarray]) -> byt
     known = np.array([d is not None for d in doc_ids], np.uint8)
     names = np.array([d or 0 for d in doc_ids], "<i8")
     index = zlib.compress(known.tobytes() + np.diff(names, prepend=0).astype("<i8").tobytes() + np.array([len(d) for d in documents], "<i8").tobytes())
-    table = b"".join(struct.pack("<III", len(b), len(p), zlib.crc32(b.astype("<u4").tobytes())) for b, p in zip(blocks, data))
+    table = b"".join(struct.pack("<IIII", len(b), len(p), zlib.crc32(p), zlib.crc32(b.astype("<u4").tobytes())) for b, p in zip(blocks, data))
     return MAGIC + struct.pack("<III", len(documents), len(blocks), len(index)) + index + table + b"".join(data)
 
 
@@ -278,16 +279,18 @@ def read_segment(data: bytes) -> tuple[list[int | None], list[np.ndarray]]:
     known = np.frombuffer(index, np.uint8, n)
     names = np.cumsum(np.frombuffer(index, "<i8", n, n))
     lengths = np.frombuffer(index, "<i8", n, n + 8 * n)
-    heads = [struct.unpack_from("<III", data, at + 12 * k) for k in range(n_blocks)]
-    at += 12 * n_blocks
+    heads = [struct.unpack_from("<IIII", data, at + 16 * k) for k in range(n_blocks)]
+    at += 16 * n_blocks
     payloads = []
-    for _, length, _ in heads:
+    for k, (_, length, checksum, _) in enumerate(heads):
         payloads.append(data[at : at + length])
         at += length
+        if zlib.crc32(payloads[-1]) != checksum:
+            raise ValueError(f"block {k} is damaged")
     blocks = decode_blocks(payloads, [h[0] for h in heads])
     for k, (block, head) in enumerate(zip(blocks, heads)):
-        if zlib.crc32(block.astype("<u4").tobytes()) != head[2]:
-            raise ValueError(f"block {k} is damaged")
+        if zlib.crc32(block.astype("<u4").tobytes()) != head[3]:
+            raise ValueError(f"block {k} doesn't hold the ids it was written from")
     ids = np.concatenate(blocks).astype("<u4") if blocks else np.zeros(0, "<u4")
     cuts = np.cumsum(lengths)
     return [int(x) if k else None for x, k in zip(names, known)], [ids[b - s : b] for b, s in zip(cuts, lengths)]
