@@ -1,0 +1,240 @@
+"""Versioned Parquet tables.
+
+A table is a folder: ``data/<id>`` holds the files of one write, ``_log/<version>.json`` names the
+data folders that make up a version, its schema, layout, operation and metrics. A version is committed
+by creating its log file, which fails if another writer has created it; so readers see whole versions,
+and a table may be read while it is overwritten. All file access goes through Hadoop's file system, so
+a store may lie wherever Spark can write.
+"""
+
+from __future__ import annotations
+
+import json
+import time
+import uuid
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..operators.merge import Clauses, merge_rows
+
+
+class Conflict(RuntimeError):
+    """Another writer committed the same version."""
+
+
+@dataclass(frozen=True)
+class Version:
+    number: int
+    paths: tuple[str, ...]
+    schema: T.StructType
+    operation: str
+    metrics: dict
+    layout: dict
+    at: float
+
+
+class TableStore:
+    """Named tables below a folder."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    # files
+    def _list(self, path: str) -> list:
+        p = self._path(path)
+        return list(self._fs.listStatus(p)) if self._fs.exists(p) else []
+
+    def _read(self, path: str) -> str:
+        stream = self._fs.open(self._path(path))
+        try:
+            return bytes(stream.readAllBytes()).decode("utf-8")
+        finally:
+            stream.close()
+
+    def _create(self, path: str, text: str) -> None:
+        """Fails if the file is there. The text is written apart and renamed, so no reader sees half."""
+        draft = self._path(f"{path}.{uuid.uuid4().hex}.draft")
+        stream = self._fs.create(draft, True)
+        stream.write(bytearray(text.encode("utf-8")))
+        stream.close()
+        target = self._path(path)
+        if self._fs.exists(target) or not self._fs.rename(draft, target):
+            self._fs.delete(draft, False)
+            raise Conflict(path)
+
+    def _log(self, name: str) -> str:
+        return f"{self.root}/{name}/_log"
+
+    def _numbers(self, name: str) -> list[int]:
+        return sorted(int(s.getPath().getName()[:-5]) for s in self._list(self._log(name)) if s.getPath().getName().endswith(".json"))
+
+    # reading
+    def exists(self, name: str) -> bool:
+        return bool(self._numbers(name))
+
+    def version(self, name: str, number: int | None = None) -> Version:
+        numbers = self._numbers(name)
+        if not numbers or (number is not None and number not in numbers):
+            raise KeyError(f"{name} has no version {number if number is not None else ''}".rstrip())
+        number = numbers[-1] if number is None else number
+        entry = json.loads(self._read(f"{self._log(name)}/{number:012d}.json"))
+        return Version(number, tuple(entry["paths"]), T.StructType.fromJson(entry["schema"]), entry["operation"], entry["metrics"], entry["layout"], entry["at"])
+
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        """A version of the table, the latest unless told; columns that older files lack are null."""
+        found = self.version(name, version)
+        if not found.paths:
+            return self.spark.createDataFrame([], found.schema)
+        return self.spark.read.schema(found.schema).option("basePath", f"{self.root}/{name}").parquet(*[f"{self.root}/{name}/{p}" for p in found.paths]) if not found.layout.get("partitioned_by") else self._partitioned(name, found)
+
+    def _partitioned(self, name: str, found: Version) -> DataFrame:
+        """Each data folder has its own partition folders, so each is read by itself."""
+        parts = [self.spark.read.schema(found.schema).parquet(f"{self.root}/{name}/{p}").select(*found.schema.names) for p in found.paths]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def history(self, name: str) -> DataFrame:
+        rows = [(v.number, v.operation, json.dumps(v.metrics, sort_keys=True), v.at) for v in (self.version(name, n) for n in reversed(self._numbers(name)))]
+        return self.spark.createDataFrame(rows, "version int, operation string, metrics string, at double")
+
+    def detail(self, name: str) -> dict:
+        """Files, bytes and layout of the latest version."""
+        found = self.version(name)
+        sizes = [s for p in found.paths for s in self._files(f"{self.root}/{name}/{p}")]
+        return {"name": name, "version": found.number, "files": len(sizes), "bytes": sum(sizes), "average_bytes": sum(sizes) / len(sizes) if sizes else 0.0, **found.layout}
+
+    def _files(self, path: str) -> list[int]:
+        sizes, todo = [], self._fs.listFiles(self._path(path), True)
+        while todo.hasNext():
+            s = todo.next()
+            if s.getPath().getName().endswith(".parquet"):
+                sizes.append(s.getLen())
+        return sizes
+
+    # writing
+    def _write(self, name: str, df: DataFrame, partition_by: Sequence[str]) -> str:
+        path = f"data/{uuid.uuid4().hex}"
+        df.write.partitionBy(*partition_by).parquet(f"{self.root}/{name}/{path}")
+        return path
+
+    def _commit(self, name: str, base: int, paths: Sequence[str], schema: T.StructType, operation: str, metrics: dict, layout: dict) -> int:
+        nullable = T.StructType([T.StructField(f.name, f.dataType, True, f.metadata) for f in schema])
+        entry = {"paths": list(paths), "schema": nullable.jsonValue(), "operation": operation, "metrics": metrics, "layout": layout, "at": time.time()}
+        self._create(f"{self._log(name)}/{base + 1:012d}.json", json.dumps(entry))
+        return base + 1
+
+    def _base(self, name: str) -> Version | None:
+        return self.version(name) if self.exists(name) else None
+
+    def ensure(self, name: str, schema: T.StructType | str) -> None:
+        """Creates an empty table unless it is there."""
+        if not self.exists(name):
+            schema = self.spark.createDataFrame([], schema).schema
+            self._commit(name, -1, [], schema, "CREATE", {}, {})
+
+    def overwrite(self, name: str, df: DataFrame, partition_by: Sequence[str] = (), operation: str = "OVERWRITE", metrics: dict | None = None, layout: dict | None = None) -> int:
+        base = self._base(name)
+        path = self._write(name, df, partition_by)
+        layout = {**({"partitioned_by": list(partition_by)} if partition_by else {}), **(layout or {})}
+        return self._commit(name, base.number if base else -1, [path], df.schema, operation, metrics or {}, layout)
+
+    def append(self, name: str, df: DataFrame, merge_schema: bool = False, metrics: dict | None = None) -> int:
+        """Adds rows. Other columns than the table's are refused unless ``merge_schema``, which adds
+        them; columns that the rows lack are null."""
+        base = self._base(name)
+        if base is None:
+            return self.overwrite(name, df, operation="APPEND", metrics=metrics)
+        known = {f.name: f for f in base.schema}
+        extra = [f for f in df.schema if f.name not in known]
+        if extra and not merge_schema:
+            raise ValueError(f"{name} has no column {', '.join(f.name for f in extra)}")
+        schema = T.StructType([*base.schema, *extra])
+        own = df.select(*((F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema))
+        path = self._write(name, own, base.layout.get("partitioned_by", ()))
+        return self._commit(name, base.number, [*base.paths, path], schema, "APPEND", metrics or {}, base.layout)
+
+    def _rewrite(self, name: str, change: Callable[[DataFrame], DataFrame], operation: str, metrics: dict | None = None) -> int:
+        base = self.version(name)
+        out = change(self.read(name))
+        path = self._write(name, out, base.layout.get("partitioned_by", ()))
+        return self._commit(name, base.number, [path], out.schema, operation, metrics or {}, base.layout)
+
+    def merge(self, name: str, source: DataFrame, on: Sequence[str], clauses: Clauses, metrics: dict | None = None) -> int:
+        """See operators.merge; a missing table is created from what would be inserted."""
+        if not self.exists(name):
+            empty = self.spark.createDataFrame([], T.StructType([f for f in source.schema if f.name not in clauses.helpers]))
+            return self.overwrite(name, merge_rows(empty, source, on, clauses), operation="MERGE", metrics=metrics)
+        return self._rewrite(name, lambda old: merge_rows(old, source, on, clauses), "MERGE", metrics)
+
+    def update(self, name: str, set_: dict[str, Column], where: Column) -> int:
+        return self._rewrite(name, lambda old: old.withColumns({c: F.when(where, v).otherwise(F.col(c)).cast(old.schema[c].dataType) for c, v in set_.items()}), "UPDATE")
+
+    def delete(self, name: str, where: Column) -> int:
+        return self._rewrite(name, lambda old: old.where(~F.coalesce(where, F.lit(False))), "DELETE")
+
+    def restore(self, name: str, number: int) -> int:
+        """Makes an old version the latest, as a new one."""
+        base, old = self.version(name), self.version(name, number)
+        return self._commit(name, base.number, old.paths, old.schema, "RESTORE", {"restored": number}, old.layout)
+
+    def drop(self, name: str) -> None:
+        self._fs.delete(self._path(f"{self.root}/{name}"), True)
+
+    # maintenance
+    def optimize(self, name: str, target_bytes: int = 128 << 20, cluster_by: Sequence[str] = (), zorder_by: Sequence[str] = ()) -> dict:
+        """Rewrites the table into files of about ``target_bytes``, clustered if asked."""
+        before = self.detail(name)
+        files = max(1, -(-before["bytes"] // target_bytes))
+        base = self.version(name)
+        df = self.read(name)
+        if zorder_by:
+            df = zordered(df, zorder_by, files)
+        elif cluster_by:
+            df = clustered(df, cluster_by, files)
+        else:
+            df = df.coalesce(files)
+        layout = {**base.layout, **({"clustered_by": list(cluster_by or zorder_by)} if cluster_by or zorder_by else {})}
+        path = self._write(name, df, base.layout.get("partitioned_by", ()))
+        self._commit(name, base.number, [path], base.schema, "OPTIMIZE", {"files_before": before["files"]}, layout)
+        after = self.detail(name)
+        return {"files_before": before["files"], "files_after": after["files"], "bytes_before": before["bytes"], "bytes_after": after["bytes"]}
+
+    def vacuum(self, name: str, hours: float = 168.0, dry_run: bool = True) -> list[str]:
+        """Data folders that the latest version doesn't name and that are older than ``hours``;
+        deleted unless ``dry_run``. Versions that lose files go from the log as well."""
+        kept = set(self.version(name).paths)
+        limit = (time.time() - hours * 3600) * 1000
+        gone = [f"data/{s.getPath().getName()}" for s in self._list(f"{self.root}/{name}/data") if f"data/{s.getPath().getName()}" not in kept and s.getModificationTime() <= limit]
+        if not dry_run:
+            for number in self._numbers(name)[:-1]:
+                if set(self.version(name, number).paths) & set(gone):
+                    self._fs.delete(self._path(f"{self._log(name)}/{number:012d}.json"), False)
+            for p in gone:
+                self._fs.delete(self._path(f"{self.root}/{name}/{p}"), True)
+        return gone
+
+
+def clustered(df: DataFrame, columns: Sequence[str], files: int) -> DataFrame:
+    """Rows in ranges of the columns, so that files can be skipped by their statistics."""
+    return df.repartitionByRange(files, *columns).sortWithinPartitions(*columns)
+
+
+def zordered(df: DataFrame, columns: Sequence[str], files: int, bits: int = 8) -> DataFrame:
+    """Rows along a Z-order curve over the columns' quantiles, one bit of each in turn."""
+    shares = [i / (1 << bits) for i in range(1, 1 << bits)]
+    numbers = [F.col(c).cast("double") if isinstance(df.schema[c].dataType, T.NumericType) else F.unix_timestamp(F.col(c)).cast("double") if isinstance(df.schema[c].dataType, (T.DateType, T.TimestampType)) else F.crc32(F.col(c).cast("binary")).cast("double") for c in columns]
+    edges = df.agg(*(F.percentile_approx(n, F.array(*map(F.lit, shares)), F.lit(1000)).alias(f"q{i}") for i, n in enumerate(numbers))).first()
+    cells = [F.size(F.filter(F.array(*[F.lit(float(e)) for e in sorted(set(edges[i] or [0.0]))]), lambda e, n=n: e < n)) for i, n in enumerate(numbers)]
+    z = F.lit(0).cast("long")
+    for b in range(bits):
+        for i, cell in enumerate(cells):
+            z = z.bitwiseOR(F.shiftleft(F.shiftright(cell, b).bitwiseAND(F.lit(1)).cast("long"), b * len(cells) + i))
+    return df.withColumn("__z", z).repartitionByRange(files, "__z").sortWithinPartitions("__z").drop("__z")
