@@ -1,23 +1,41 @@
 """Public tokenizers over whole texts, with the ids of recurring units kept.
 
 Both tokenizers first split a text by a pattern and then merge within each part, so a text's ids are
-the ids of its units in a row, wherever the cut between units is one that the pattern makes too. The
-library encodes each unit once and a bounded table keeps its ids; texts in which a cut is not plainly
-safe go to the library whole. Results are those of encoding the whole text.
+the ids of its units in a row, wherever the cut between units is one that the pattern makes too. Plain
+words go to the library's merges, other units to the library whole, and a bounded table keeps the ids
+of what recurs; texts in which a cut is not plainly safe go to the library whole. Results are those
+of encoding the whole text.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Units kept; a full table is emptied.
-UNITS = 400_000
+#: Units of each of the two generations kept.
+UNITS = 150_000
 
 _LOADED: dict[tuple[str, str], "_Tokens"] = {}
 
+#: A word of plain Latin letters, which no normalisation changes but for its case, with marks behind
+#: it. Both tokenizers' patterns cut between the letters and the marks, as no apostrophe is among them.
+_WORD = re.compile(rb"""( ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)""")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level tokenizers write for each byte: printable Latin-1 as it is, the
+    others from U+0100 on in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
+
+
+_LETTERS = _byte_letters()
+_BLANK = _LETTERS[32]
+
 
 class _Tokens:
     @classmethod
@@ -31,62 +49,63 @@ class _Tokens:
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # such strings in a text are ordinary text
+        self.model = self.library.model
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, units: set[bytes]) -> None:
-        raise NotImplementedError
-
     def split(self, raw: bytes) -> list[bytes] | None:
+        """The text's units, or None if it must be encoded whole."""
         raise NotImplementedError
 
+    def letters(self, word: bytes) -> str:
+        """A plain word as the library hands it to its merges."""
+        text = word.decode("latin-1")
+        return text.replace(" ", _BLANK) if text.isascii() else text.translate(_LETTERS)
+
+    def learn(self, unit: bytes) -> bytes:
+        """The ids of a unit not met before."""
+        if m := _WORD.fullmatch(unit):
+            word, marks = m.groups()
+            if marks:
+                return self.of(word) + self.of(marks)
+            return array("I", [t.id for t in self.model.tokenize(self.letters(word))]).tobytes()
+        return self.whole(unit.decode("utf-8"))
+
+    def of(self, unit: bytes) -> bytes:
+        ids = self.known.get(unit)
+        if ids is None:
+            ids = self.older.get(unit)
+            self.known[unit] = ids = self.learn(unit) if ids is None else ids
+        return ids
+
     def encode(self, raws: list[bytes | None]) -> list[bytes]:
         """The ids of each text, little-endian and 32 bits each."""
-        split = [self.split(raw) if raw else [] for raw in raws]
-        new = set()
-        for units in split:
-            if units:
-                new.update(units)
-        if len(self.known) + len(new) > UNITS:
-            self.known = {}
-        new.difference_update(self.known)
-        if new:
-            self.learn(new)
-        known = self.known
-        return [self.whole(raw.decode("utf-8")) if units is None else b"".join([known[u] for u in units]) for raw, units in zip(raws, split)]
-
-    def _learn_joined(self, units: list[bytes], separator: str, marker: int, lead: dict[bytes, bytes] | None = None) -> None:
-        """Encodes many units in one call; ``marker`` is the separator's id, which no unit contains."""
-        for at in range(0, len(units), 20_000):
-            part = units[at : at + 20_000]
-            ids = np.array(self.library.encode(separator.join(u.decode("utf-8") for u in part), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == marker)
-            assert len(cuts) == len(part) - 1, "a unit holds the separator"
-            blob, start = ids.tobytes(), 0
-            for unit, end in zip(part, [*cuts.tolist(), len(ids)]):
-                self.known[unit] = blob[4 * start : 4 * end]
-                start = end + 1
+        out = []
+        for raw in raws:
+            units = self.split(raw) if raw else []
+            if units is None:
+                out.append(self.whole(raw.decode("utf-8")))
+                continue
+            if len(self.known) > UNITS:
+                self.older, self.known = self.known, {}
+            known = self.known
+            for unit in set(units).difference(known):
+                self.of(unit)
+            out.append(b"".join([known[u] for u in units]))
+        return out
 
 
 class WordTokens(_Tokens):
     """Lower-casing word tokenizer: white space only separates, so a text is cut at ASCII white space."""
 
-    SEPARATOR = " \x01 "
-
-    def __init__(self, path: str):
-        super().__init__(path)
-        (self.marker,) = self.library.encode("\x01", add_special_tokens=False).ids
-
     def split(self, raw: bytes) -> list[bytes]:
-        return raw.split()
+        return raw.lower().split()
 
-    def learn(self, units: set[bytes]) -> None:
-        plain = [u for u in units if b"\x01" not in u]
-        self._learn_joined(plain, self.SEPARATOR, self.marker)
-        for u in units.difference(plain):
-            self.known[u] = self.whole(u.decode("utf-8"))
+    def letters(self, word: bytes) -> str:
+        return super().letters(word if word.isascii() else word.decode("utf-8").lower().encode("utf-8"))
 
 
 #: Bytes of white space beyond blank and line feed, ASCII or not: such texts are encoded whole.
@@ -99,10 +118,6 @@ class ByteTokens(_Tokens):
     """Byte-level tokenizer: a blank belongs to the word after it. A text is cut before a single blank
     or line feed that stands between two other characters; the pattern cuts there as well."""
 
-    def __init__(self, path: str):
-        super().__init__(path)
-        (self.feed,) = self.library.encode("\n", add_special_tokens=False).ids
-
     def split(self, raw: bytes) -> list[bytes] | None:
         if len(raw.translate(None, _ODD_ASCII)) < len(raw) or any(x in raw for x in _ODD):
             return None
@@ -111,20 +126,10 @@ class ByteTokens(_Tokens):
         units = raw.replace(b"\n", b" \n").split(b" ")
         return [units[0], *[u if u[0] == 10 else b" " + u for u in units[1:]]]
 
-    def learn(self, units: set[bytes]) -> None:
-        feed = np.array([self.feed], "<u4").tobytes()
-        bare = {u[1:] if u[0] == 10 and len(u) > 1 else u for u in units}
-        plain = [u for u in bare if b"\n" not in u and u[-1:] != b" " and u[:2] != b"  "]
-        self._learn_joined(plain, "\n", self.feed)
-        for u in bare.difference(plain):
-            self.known[u] = self.whole(u.decode("utf-8"))
-        for u in units:
-            if u not in self.known:  # a line feed and a unit
-                self.known[u] = feed + self.known[u[1:]] if not _irregular(u[1:]) else self.whole(u.decode("utf-8"))
-
-
-def _irregular(unit: bytes) -> bool:
-    return unit[:1] in b" \n" or b"\n" in unit
+    def learn(self, unit: bytes) -> bytes:
+        if len(unit) > 1 and unit[0] == 10 and unit[1] not in b" \n":  # a line feed before a word is a part of its own
+            return self.of(b"\n") + self.of(unit[1:])
+        return super().learn(unit)
 
 
 __all__ = ["ByteTokens", "WordTokens"]
