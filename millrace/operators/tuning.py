@@ -70,7 +70,9 @@ _STRATEGIES = (("BroadcastHashJoin", "broadcast_hash"), ("BroadcastNestedLoopJoi
 
 
 def join_strategy(plan: str) -> str:
-    return next((name for node, name in _STRATEGIES if re.search(rf"\b{node}\b", plan)), "none")
+    """The strategy of the outermost join, which the plan names first."""
+    found = re.search("|".join(node for node, _ in _STRATEGIES), plan)
+    return dict(_STRATEGIES)[found[0]] if found else "none"
 
 
 def has_shuffle(plan: str) -> bool:
