@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -12,17 +13,23 @@ from pyspark.sql import types as T
 
 #: Rows of one Arrow batch; texts run to many kilobytes, so batches stay small.
 BATCH_ROWS = 1000
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of a data folder; any path Spark reads will do."""
-    small_batches(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Python workers get BATCH_ROWS rows at a time, so that long texts don't fill them."""
+def prepare(spark: SparkSession) -> None:
+    """Python workers get BATCH_ROWS rows at a time, so that long texts don't fill them, and look for
+    this package where the driver has it, which matters where it isn't installed."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if _ROOT not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,6 +55,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to a table in the shared folder and reads that: it cuts the lineage, so a
     lost executor costs a read and not a second computation. Removed when the session ends."""
     spark = df.sparkSession
+    prepare(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -86,4 +94,4 @@ def broadcast_value(spark: SparkSession, value):
     return spark.sparkContext.broadcast(value)
 
 
-__all__ = ["BATCH_ROWS", "F", "T", "broadcast_value", "doc_columns", "drop_table", "empty_like", "materialize", "same", "shared_dir", "small_batches", "table"]
+__all__ = ["BATCH_ROWS", "F", "T", "broadcast_value", "doc_columns", "drop_table", "empty_like", "materialize", "prepare", "same", "shared_dir", "table"]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_value, doc_columns, materialize
+from .common import broadcast_value, doc_columns, materialize, prepare
 
 WIDTH = 10
 #: Words of an aligned piece: every window of WIDTH words holds at least one.
@@ -193,6 +193,7 @@ def summarise(scanned: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without any hit, with all their columns."""
     spark, groups = docs.sparkSession, list(_item_groups(benchmark, AUTOMATON_BYTES))
+    prepare(docs.sparkSession)
     at = docs.columns.index("text")
     for items in groups:  # each pass drops what its items hit
         handle = broadcast_value(spark, (hashlib.sha256(repr(items).encode()).hexdigest(), items))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns
+from .common import doc_columns, prepare
 
 KINDS = ("assign", "access", "hex", "github", "npm")
 BASE = 3
@@ -135,6 +135,7 @@ def masked(text: str | None) -> str | None:
 def redact(docs: DataFrame) -> DataFrame:
     """All rows and columns, with secrets masked in ``text`` and n_chars, if there, brought up to
     date where the text changed."""
+    prepare(docs.sparkSession)
     at = docs.columns.index("text")
     size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
