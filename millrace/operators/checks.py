@@ -205,3 +205,35 @@ def freshness(df: DataFrame, column: str, now: Column, warn_days: int = 7, error
     """Status of a source by the age of its newest row."""
     age = F.datediff(now, F.max(column))
     return df.agg(age.alias("age_days"), F.when(age > error_days, "error").when(age > warn_days, "warn").otherwise("pass").alias("status"))
+
+
+# logs in a store: results, dead letters, reconciliation levels and schema violations
+
+RESULTS = "run_id string, table_name string, rule string, kind string, column_name string, severity string, total long, failed long, failure_pct double, passed boolean"
+LEVELS = "run_id string, table_name string, level int, passed boolean, differences long"
+VIOLATIONS = "run_id string, table_name string, violation string, column_name string, expected string, actual string"
+
+
+def record(store, log: str, schema: str, rows: DataFrame, run_id: str, table: str) -> DataFrame:
+    """Appends a run's rows to a log and returns them as logged."""
+    store.ensure(log, schema)
+    names = T.StructType.fromDDL(schema).names
+    own = rows.withColumns({"run_id": F.lit(run_id), "table_name": F.lit(table)}).select(*names)
+    store.append(log, own)
+    return store.read(log).where(F.col("run_id") == run_id)
+
+
+def run_checks(store, df: DataFrame, rules: Sequence[Rule], table: str, run_id: str) -> str:
+    """Checks a table, logs the results and the dead letters, and returns PASSED or FAILED."""
+    logged = record(store, "data_quality_results", RESULTS, results(df, rules), run_id, table)
+    letters = dead_letters(failed_rows(df, rules), table, rules[0].column, F.col("failed_rules"))
+    store.ensure("dead_letter_queue", DEAD_LETTERS)
+    known = store.read("dead_letter_queue").select("dlq_id")
+    store.append("dead_letter_queue", letters.join(known, "dlq_id", "left_anti"))
+    return status(logged).first()["status"]
+
+
+def check_contract(store, df: DataFrame, contract: dict[str, str], table: str, run_id: str) -> int:
+    """Logs a table's violations of its contract and returns their number."""
+    rows = store.spark.createDataFrame(contract_violations(df, contract), "violation string, column_name string, expected string, actual string")
+    return record(store, "schema_violation_log", VIOLATIONS, rows, run_id, table).count()

@@ -144,3 +144,14 @@ def star_summary(fact: DataFrame, dates: DataFrame, products: DataFrame, custome
         F.round(F.sum("delivery_days") / F.count("delivery_days"), 2).alias("avg_delivery_days"),
         share(F.col("is_late"), 2, 100.0).alias("late_pct"),
     )
+
+
+def complete_dimension(store, name: str, items: DataFrame, natural: str, fill: dict[str, object]) -> int:
+    """Merges stubs for keys that the facts use into a stored dimension; returns how many were new."""
+    from .merge import insert_only
+
+    stubs = orphans(items, store.read(name), natural, fill)
+    n = stubs.count()
+    if n:
+        store.merge(name, stubs, [natural], insert_only())
+    return n

@@ -127,3 +127,35 @@ def partition_candidates(df: DataFrame, columns: Sequence[str], low: int = 2, hi
     counts = df.agg(F.count("*").alias("n"), *(F.count_distinct(c).alias(f"d{i}") for i, c in enumerate(columns)))
     rows = [F.struct(F.lit(c).alias("column_name"), F.col(f"d{i}").alias("distinct_values"), F.round(F.col("n") / F.col(f"d{i}"), 2).alias("rows_per_value"), F.col(f"d{i}").between(low, high).alias("suits")) for i, c in enumerate(columns)]
     return counts.select(F.inline(F.array(*rows)))
+
+
+def antipatterns(orders: DataFrame, items: DataFrame, customers: DataFrame, sellers: DataFrame, state: str, least: float) -> dict[str, tuple[Callable[[], DataFrame], Callable[[], DataFrame]]]:
+    """Three pairs of the same question asked the slow way and the quick way: a filter after the
+    aggregation or before the join, a forced sort-merge join or Spark's choice, a needless repartition
+    or none."""
+    count = lambda df, key: df.groupBy(key).agg(F.count("*").alias("n"))
+    return {
+        "late_filter": (
+            lambda: count(orders.join(customers, "customer_id"), "state").where(F.col("state") == state),
+            lambda: count(orders.join(customers.where(F.col("state") == state), "customer_id"), "state"),
+        ),
+        "forced_sort_merge": (
+            lambda: count(items.join(sellers.hint("merge"), "seller_id"), "state"),
+            lambda: count(items.join(sellers, "seller_id"), "state"),
+        ),
+        "needless_repartition": (
+            lambda: count(items.repartition(200).where(F.col("price") >= least).join(orders, "order_id"), "status"),
+            lambda: count(items.where(F.col("price") >= least).join(orders, "order_id"), "status"),
+        ),
+    }
+
+
+def speedup(slow: Callable[[], DataFrame], quick: Callable[[], DataFrame], rounds: int = 3) -> dict:
+    """Median times of a pair and how many times quicker the quick way is."""
+    found = {v["variant"]: v for v in compare({"slow": slow, "quick": quick}, rounds)}
+    return {"slow": found["slow"], "quick": found["quick"], "speedup": round(found["slow"]["seconds"] / max(found["quick"]["seconds"], 1e-9), 2)}
+
+
+def partition_filters(df: DataFrame) -> str:
+    """The partition filters that reach the scan, as the plan prints them."""
+    return "; ".join(re.findall(r"PartitionFilters: \[([^\]]*)\]", explain(df)))

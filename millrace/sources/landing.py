@@ -141,3 +141,32 @@ def load_daily(store: TableStore, path: str, table: str = "daily_transactions",
         before_commit()
     store.merge(table, df, ["order_id"], upsert())
     return df.count()
+
+
+def stage(store: TableStore, source: str, inbox: str) -> str:
+    """Copies a file into a stream's inbox, over an older copy; returns its path there."""
+    src = store._path(source)
+    target = store._path(f"{inbox.rstrip('/')}/{src.getName()}")
+    conf = store.spark._jsc.hadoopConfiguration()
+    store.spark._jvm.org.apache.hadoop.fs.FileUtil.copy(src.getFileSystem(conf), src, store._fs, target, False, True, conf)
+    return target.toString()
+
+
+def backfill(store: TableStore, inbox: str, first: dt.date, days: int, table: str = "daily_transactions") -> list[dict]:
+    """Loads each day's file that is there and sound; days without one are reported. Days may be
+    repeated and in any order, as every load is an upsert."""
+    out = []
+    for k in range(days):
+        day = first + dt.timedelta(days=k)
+        path = f"{inbox.rstrip('/')}/{daily_name(day)}"
+        text = store._read(path) if store._fs.exists(store._path(path)) else None
+        if branch(text) == "invalid":
+            out.append({"day": day.isoformat(), "status": "INVALID", "rows": 0})
+        else:
+            out.append({"day": day.isoformat(), "status": "LOADED", "rows": load_daily(store, path, table)})
+    return out
+
+
+def export_csv(df: DataFrame, path: str) -> None:
+    """One CSV file with header, for small results."""
+    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)

@@ -174,6 +174,11 @@ class TableStore:
             return self.overwrite(name, merge_rows(empty, source, on, clauses), operation="MERGE", metrics=metrics)
         return self._rewrite(name, lambda old: merge_rows(old, source, on, clauses), "MERGE", metrics)
 
+    def append_sample(self, name: str, share: float, salt: str = "") -> int:
+        """Adds a share of the table's own rows to it, chosen by their hash: the same ones every time."""
+        rows = self.read(name)
+        return self.append(name, rows.where(F.pmod(F.xxhash64(*rows.columns, F.lit(salt)), F.lit(1_000_000)) < int(share * 1_000_000)))
+
     def update(self, name: str, set_: dict[str, Column], where: Column) -> int:
         return self._rewrite(name, lambda old: old.withColumns({c: F.when(where, v).otherwise(F.col(c)).cast(old.schema[c].dataType) for c, v in set_.items()}), "UPDATE")
 

@@ -225,3 +225,48 @@ def test_entry_works_without_the_training_operators(tmp_path):
     for f in (root / "millrace").rglob("*.py"):
         if "llm" not in f.relative_to(root / "millrace").parts:
             assert "llm" not in f.read_text().replace("``llm``", ""), f
+
+
+def test_logs_and_completion(spark, store):
+    orders = spark.createDataFrame([("o1", None), ("o2", "c2")], "order_id string, customer_id string")
+    rules = [checks.Rule("customer_id_not_null", "not_null", "customer_id")]
+    for run in ("r1", "r2"):
+        assert checks.run_checks(store, orders, rules, "orders", run) == "FAILED"
+    assert store.read("data_quality_results").count() == 2 and store.read("dead_letter_queue").count() == 1
+    assert checks.check_contract(store, orders, {"order_id": "string"}, "orders", "r1") == 1
+    items = spark.createDataFrame([(1,), (2,), (None,)], "product_id long")
+    store.overwrite("dim", star.dimension(spark.createDataFrame([(1, "a")], "product_id long, name string"), "product_id", ("name",)))
+    fill = {"name": "UNKNOWN"}
+    assert (star.complete_dimension(store, "dim", items, "product_id", fill), star.complete_dimension(store, "dim", items, "product_id", fill)) == (1, 0)
+    assert store.read("dim").count() == 2
+
+
+def test_staging_backfill_and_export(spark, store, tmp_path):
+    days = landing.daily_files(days=3)
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    for name, text in list(days.items())[:2]:
+        (tmp_path / name).write_text(text)
+        assert landing.stage(store, f"file://{tmp_path}/{name}", f"file://{inbox}").endswith(name)
+    for _ in range(2):
+        report = landing.backfill(store, f"file://{inbox}", dt.date(2024, 1, 1), 3)
+        assert [r["status"] for r in report] == ["LOADED", "LOADED", "INVALID"]
+        assert store.read("daily_transactions").count() == sum(r["rows"] for r in report)
+    landing.export_csv(store.read("daily_transactions"), f"file://{tmp_path}/out")
+    assert len(list((tmp_path / "out").glob("*.csv"))) == 1
+    before = store.read("daily_transactions").count()
+    store.append_sample("daily_transactions", 0.5)
+    assert before < store.read("daily_transactions").count() < 2 * before
+
+
+def test_antipattern_pairs_agree(spark):
+    r = retail(spark, TINY)
+    for slow, quick in tuning.antipatterns(r.orders, r.items, r.customers, r.sellers, "BRAZIL", 50000.0).values():
+        assert sorted(map(tuple, slow().collect())) == sorted(map(tuple, quick().collect()))
+    pair = tuning.antipatterns(r.orders, r.items, r.customers, r.sellers, "BRAZIL", 50000.0)["late_filter"]
+    assert tuning.speedup(*pair, rounds=1)["speedup"] > 0
+
+
+def test_partition_filter_reaches_the_scan(spark, store):
+    store.overwrite("p", spark.range(100).selectExpr("id", "id % 5 AS part"), partition_by=["part"])
+    assert "part" in tuning.partition_filters(store.read("p").where("part = 3"))
