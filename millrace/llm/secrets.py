@@ -20,7 +20,6 @@ are ignored (``scan``) or kept (``redact``). Places are in code points, ends exc
 
 from __future__ import annotations
 
-import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -94,10 +93,6 @@ def find(raw: bytes | None) -> list[tuple[int, int, int]]:
     return spans
 
 
-def joined(spans: list[tuple[int, int, int]], kinds: int = len(KINDS)) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans if k < kinds)
-
-
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id and spans: array of (kind, start, end), ordered by start and kind."""
 
@@ -151,6 +146,3 @@ def redact(docs: DataFrame) -> DataFrame:
 
     return docs.mapInArrow(step, docs.schema)
 
-
-def sha(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns, drop_table, materialize
+from .common import doc_columns, drop_table, materialize, same
 
 SHINGLE, SEED, MAX_BITS, PIVOTS = 3, 42, 2, 24
 #: Bit ranges of the bands; each band's sub-bands cut the 42 or 43 other bits.
@@ -73,14 +73,18 @@ def signed(n: int) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of each row."""
+    """doc_id, text_hash and fp (the fingerprint as a signed long) of each row."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [signed(fingerprint(raw)) for raw in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.int64())], names=["doc_id", "text_hash", "fp"])
 
-    return doc_columns(docs).mapInArrow(step, "doc_id long, fp long")
+    return doc_columns(docs, _text_hash(docs).alias("text_hash")).mapInArrow(step, "doc_id long, text_hash long, fp long")
+
+
+def _text_hash(docs: DataFrame) -> Column:
+    return F.xxhash64(docs["text"].cast("string"))
 
 
 def _bits(x: Column, lo: int, hi: int) -> Column:
@@ -153,7 +157,6 @@ def _link(keys: np.ndarray, fps: np.ndarray, references: np.ndarray) -> tuple[np
         near = (keys[at] == keys[to]) & (first[to] - first[at] <= MAX_BITS)
         at = at[near]  # sorted: beyond a miss there is nothing nearer
         to = at + step
-        kept = np.ones(len(at), bool)
         x, y = at, to
         for p in range(1, table.shape[1]):  # the next coordinate looks at what is left
             ok = np.abs(table[x, p] - table[y, p]) <= MAX_BITS
@@ -162,7 +165,6 @@ def _link(keys: np.ndarray, fps: np.ndarray, references: np.ndarray) -> tuple[np
                 break
         ok = np.bitwise_count(fps[x] ^ fps[y]) <= MAX_BITS
         x, y = x[ok], y[ok]
-        del kept
         if len(x):
             left.append(fps[x])
             right.append(fps[y])
@@ -225,15 +227,15 @@ def classes(edges: DataFrame) -> DataFrame:
 
 
 def components(docs: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id of every row."""
+    """doc_id, text_hash, fp, root (the class, by one of its fingerprints) and component_id of every row."""
     prints = materialize(fingerprints(docs), "fingerprints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = classes(links(distinct.select("fp")))
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = materialize(named, "roots")
     best = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = named.join(best, "root").select("fp", "component_id")
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+    labels = named.join(best, "root").select("fp", "root", "component_id")
+    return prints.join(labels, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def hex16(fp: Column) -> Column:
@@ -241,15 +243,15 @@ def hex16(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Of each class the row with the smallest doc_id, one only if rows repeat it, with all columns.
-    A class without any doc_id keeps its rows."""
-    found = components(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept"))
-    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("__id"))
-    one = materialize(kept.groupBy("__kept").agg(F.count("*").alias("__n")), "kept")
-    rows = whole.join(one, F.col("__id").eqNullSafe(F.col("__kept")))
-    if one.where("__n > 1 and __kept is not null").isEmpty():
-        return rows.select("row.*")
-    single = rows.where("__n = 1 or __kept is null").select("row")
-    again = rows.where("__n > 1 and __kept is not null").groupBy("__id").agg(F.first("row").alias("row")).select("row")
+    """Of each class one row, with all columns: the smallest doc_id (none comes last), then the least
+    text hash; of rows that repeat it, one. Rows of another class stay even if they share a doc_id."""
+    rows = components(docs).groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n")).alias("one")
+    kept = materialize(rows.groupBy("root").agg(least).select(F.col("one.doc_id").alias("__doc"), F.col("one.text_hash").alias("__text"), F.col("one.n").alias("__n")), "kept")
+    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("__id"), _text_hash(docs).alias("__hash"))
+    found = whole.join(kept, same(F.col("__id"), F.col("__doc")) & (F.col("__hash") == F.col("__text")))
+    if kept.where("__n > 1").isEmpty():
+        return found.select("row.*")
+    single = found.where("__n = 1").select("row")
+    again = found.where("__n > 1").groupBy("__id", "__hash").agg(F.first("row").alias("row")).select("row")
     return single.unionByName(again).select("row.*")
