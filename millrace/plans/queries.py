@@ -5,8 +5,9 @@ VIEWS, which name the same columns as ``sources.retail``."""
 
 from __future__ import annotations
 
-import shutil
+import functools
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,18 +83,19 @@ def _revenue(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _store(spark: SparkSession) -> TableStore:
-    """A store of a query's own, in the folder that driver and executors share."""
+    """A store of a query's own, in the folder that driver and executors share; only a local session
+    may go without one, and then uses a temporary folder that goes with the process."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        shared = "file://" + _SCRATCH.name
-    import uuid
-
+        shared = "file://" + _scratch().name
     return TableStore(spark, f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}")
 
 
-_SCRATCH = tempfile.TemporaryDirectory(prefix="millrace-store-", ignore_cleanup_errors=True)
+@functools.cache
+def _scratch() -> tempfile.TemporaryDirectory:
+    return tempfile.TemporaryDirectory(prefix="millrace-store-", ignore_cleanup_errors=True)
 
 
 # ---- sales
@@ -913,6 +915,3 @@ def arrival_status_lines(spark, d):
     base = star.fact_base(r.orders, _items(r))
     return base.groupBy(arrival_status(F.col("shipped_at"), F.col("purchased_at")).alias("arrival")).agg(F.count("*").alias("lines"))
 
-
-def remove_scratch() -> None:
-    shutil.rmtree(_SCRATCH.name, ignore_errors=True)
