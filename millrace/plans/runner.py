@@ -155,8 +155,9 @@ class Pipeline:
 
 
 def deduped(items):
-    """Of repeated lines the dearest, dealt by order."""
-    return keep_first(items, ["order_id", "item_no"], [F.desc("price"), F.col("product_id"), F.col("seller_id"), F.xxhash64(*items.columns)], dealt_by=["order_id"])
+    """Of repeated lines the dearest, dealt by order. Ties are broken by three more columns and not by
+    a hash of all, so that a query reads and shuffles only the columns it needs."""
+    return keep_first(items, ["order_id", "item_no"], [F.desc("price"), "product_id", "seller_id", "shipped_at"], dealt_by=["order_id"])
 
 
 __all__ = ["ORDER", "Params", "Pipeline", "deduped", "run_task", "sequence", "silver_items"]

@@ -13,7 +13,7 @@ from millrace.functions.columns import arrival_status, month_key, month_label
 from millrace.operators import checks, gold, payments, star, tuning
 from millrace.operators.incremental import Load, run_load
 from millrace.operators.silver import clean_places, resolve, silver_items, silver_orders
-from millrace.plans.runner import ORDER, Params, Pipeline, run_task, sequence
+from millrace.plans.runner import ORDER, Params, Pipeline, deduped, run_task, sequence
 from millrace.sources import landing
 from millrace.sources.retail import retail
 from millrace.sources.store import TableStore
@@ -205,6 +205,10 @@ def test_pipeline_runs_twice_and_dry(spark, store, tmp_path):
 
 def test_plans(spark):
     r = retail(spark, TINY)
+    revenue = tuning.explain(gold.delivered_revenue(r.orders, deduped(r.items)), "simple")
+    lines = next(x for x in revenue.splitlines() if "FileScan" in x and "l_orderkey" in x)
+    assert "l_returnflag" not in lines.split("Batched")[0] and "l_quantity" not in lines.split("Batched")[0], "columns are pruned"
+    assert revenue.count("hashpartitioning(order_id") <= 2, "lines are dealt once"
     sellers = r.sellers.select("seller_id", "state")
     name = lambda hint: tuning.join_strategy(tuning.explain(tuning.with_strategy(r.items, sellers, "seller_id", hint)))
     assert [name(h) for h in ("merge", "broadcast", "shuffle_hash")] == ["sort_merge", "broadcast_hash", "shuffled_hash"]
