@@ -6,7 +6,6 @@ import os
 import tempfile
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,20 +77,31 @@ def doc_columns(docs: DataFrame, *more: str | Column) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").cast("binary").alias("raw"), *more)
 
 
-def empty_like(schema: T.StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(schema)
-
-
 def same(left: Column, right: Column) -> Column:
     """Equality that also holds for two nulls."""
     return left.eqNullSafe(right)
 
 
+#: Keys of rows that are broadcast at most (some 50 MB); more are joined by shuffling.
+BROADCAST_KEYS = 500_000
+
+
+def text_hash(docs: DataFrame) -> Column:
+    return F.xxhash64(docs["text"].cast("string"))
+
+
+def rows_by_key(docs: DataFrame, keys: DataFrame, matching: bool) -> DataFrame:
+    """The rows of ``docs``, as struct ``row`` with ``id`` and ``hash``, whose (doc_id, text_hash) is
+    among the keys, or is not. Nulls equal nulls. Texts aren't shuffled unless the keys are too many."""
+    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("id"), text_hash(docs).alias("hash"))
+    few = keys.count() <= BROADCAST_KEYS
+    own = keys.select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"))
+    return whole.join(F.broadcast(own) if few else own, same(F.col("id"), F.col("k_id")) & (F.col("hash") == F.col("k_hash")), "left_semi" if matching else "left_anti")
+
+
 def broadcast_value(spark: SparkSession, value):
     """A Python value sent once to each executor; callers state why its size is bounded."""
     return spark.sparkContext.broadcast(value)
 
 
-__all__ = ["BATCH_ROWS", "F", "T", "broadcast_value", "doc_columns", "drop_table", "empty_like", "materialize", "prepare", "same", "shared_dir", "table"]
+__all__ = ["BATCH_ROWS", "BROADCAST_KEYS", "broadcast_value", "doc_columns", "drop_table", "materialize", "prepare", "rows_by_key", "same", "shared_dir", "table", "text_hash"]

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns, drop_table, materialize, same
+from .common import doc_columns, drop_table, materialize, rows_by_key, same, text_hash
 
 SHINGLE, SEED, MAX_BITS, PIVOTS = 3, 42, 2, 24
 #: Bit ranges of the bands; each band's sub-bands cut the 42 or 43 other bits.
@@ -80,11 +80,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             found = [signed(fingerprint(raw)) for raw in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.int64())], names=["doc_id", "text_hash", "fp"])
 
-    return doc_columns(docs, _text_hash(docs).alias("text_hash")).mapInArrow(step, "doc_id long, text_hash long, fp long")
-
-
-def _text_hash(docs: DataFrame) -> Column:
-    return F.xxhash64(docs["text"].cast("string"))
+    return doc_columns(docs, text_hash(docs).alias("text_hash")).mapInArrow(step, "doc_id long, text_hash long, fp long")
 
 
 def _bits(x: Column, lo: int, hi: int) -> Column:
@@ -245,13 +241,13 @@ def hex16(fp: Column) -> Column:
 def keep_one(docs: DataFrame) -> DataFrame:
     """Of each class one row, with all columns: the smallest doc_id (none comes last), then the least
     text hash; of rows that repeat it, one. Rows of another class stay even if they share a doc_id."""
-    rows = components(docs).groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n")).alias("one")
-    kept = materialize(rows.groupBy("root").agg(least).select(F.col("one.doc_id").alias("__doc"), F.col("one.text_hash").alias("__text"), F.col("one.n").alias("__n")), "kept")
-    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("__id"), _text_hash(docs).alias("__hash"))
-    found = whole.join(kept, same(F.col("__id"), F.col("__doc")) & (F.col("__hash") == F.col("__text")))
-    if kept.where("__n > 1").isEmpty():
-        return found.select("row.*")
-    single = found.where("__n = 1").select("row")
-    again = found.where("__n > 1").groupBy("__id", "__hash").agg(F.first("row").alias("row")).select("row")
-    return single.unionByName(again).select("row.*")
+    keys = materialize(components(docs).groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n")), "keys")
+    least = keys.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("one"))
+    kept = same(F.col("doc_id"), F.col("one.doc_id")) & (F.col("text_hash") == F.col("one.text_hash"))
+    marked = materialize(keys.join(least, "root").select("doc_id", "text_hash", "n", kept.alias("kept")), "kept")
+    repeated = marked.where("kept and n > 1")
+    single = rows_by_key(docs, marked.where("not kept or n > 1"), matching=False).select("row.*")
+    if repeated.isEmpty():
+        return single
+    again = rows_by_key(docs, repeated, matching=True).groupBy("id", "hash").agg(F.first("row").alias("row"))
+    return single.unionByName(again.select("row.*"))

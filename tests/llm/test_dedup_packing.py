@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -72,6 +73,9 @@ def test_components_of_odd_rows(spark):
     assert sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in got) == [(-1, -1), (2, 2), (3, 3), (4, 2), (4, 2), (7, 3), (8, 8), (9, 3)]
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 2, 3, 8]
+    with pytest.MonkeyPatch.context() as patch:  # more keys than are broadcast
+        patch.setattr("millrace.llm.common.BROADCAST_KEYS", 0)
+        assert sorted(map(str, simhash.keep_one(docs).collect())) == sorted(map(str, kept.collect()))
     again = spark.createDataFrame([rows[0], rows[0], rows[7]], SCHEMA)
     assert sorted(r["doc_id"] for r in simhash.keep_one(again).collect()) == [4, 8]
     assert simhash.components(docs.limit(0)).count() == 0

@@ -119,6 +119,10 @@ def test_quality_rows(spark):
     assert out.columns == docs.columns
     texts = {r["doc_id"]: r["text"] for r in out.collect()}
     assert texts[304] == body(304) and texts[101] == body(777) and 3 not in texts
+    with pytest.MonkeyPatch.context() as patch:  # both tables too large to broadcast
+        patch.setattr(quality, "BROADCAST_LINES", 0)
+        patch.setattr("millrace.llm.common.BROADCAST_KEYS", 0)
+        assert sorted(map(str, quality.apply(docs).collect())) == sorted(map(str, out.collect()))
     spam = spark.createDataFrame([(k, "\n".join([f"{' '.join(f'z{j}' for j in range(60))}", f"only {k}"]), "h", None) for k in range(20)], SCHEMA)
     assert quality.judge(spam).where("kept").isEmpty()
     assert quality.apply(docs.limit(0)).count() == 0
