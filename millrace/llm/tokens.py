@@ -16,12 +16,13 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Units of each of the two generations kept.
-UNITS = 150_000
+UNITS = 400_000
 
 _LOADED: dict[tuple[str, str], "_Tokens"] = {}
 
 #: A word of plain Latin letters, which no normalisation changes but for its case, with marks behind
 #: it. Both tokenizers' patterns cut between the letters and the marks, as no apostrophe is among them.
+_ENDS = (b",", b".")
 _WORD = re.compile(rb"""( ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)""")
 
 
@@ -67,12 +68,18 @@ class _Tokens:
 
     def learn(self, unit: bytes) -> bytes:
         """The ids of a unit not met before."""
-        if m := _WORD.fullmatch(unit):
+        bare = unit[1:] if unit[0] == 32 else unit
+        if bare.isalpha():  # ASCII letters
+            word, marks = unit, b""
+        elif unit[-1:] in _ENDS and bare[:-1].isalpha():
+            word, marks = unit[:-1], unit[-1:]
+        elif m := _WORD.fullmatch(unit):
             word, marks = m.groups()
-            if marks:
-                return self.of(word) + self.of(marks)
-            return array("I", [t.id for t in self.model.tokenize(self.letters(word))]).tobytes()
-        return self.whole(unit.decode("utf-8"))
+        else:
+            return self.whole(unit.decode("utf-8"))
+        if marks:
+            return self.of(word) + self.of(marks)
+        return array("I", [t.id for t in self.model.tokenize(self.letters(word))]).tobytes()
 
     def of(self, unit: bytes) -> bytes:
         ids = self.known.get(unit)
