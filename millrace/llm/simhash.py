@@ -243,8 +243,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     text hash; of rows that repeat it, one. Rows of another class stay even if they share a doc_id."""
     keys = materialize(components(docs).groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n")), "keys")
     least = keys.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("one"))
-    kept = same(F.col("doc_id"), F.col("one.doc_id")) & (F.col("text_hash") == F.col("one.text_hash"))
-    marked = materialize(keys.join(least, "root").select("doc_id", "text_hash", "n", kept.alias("kept")), "kept")
+    best = least.select("root", F.col("one.doc_id").alias("b_id"), F.col("one.text_hash").alias("b_hash"), F.lit(True).alias("best"))
+    # joined by the whole key, so that a large class is no hot one
+    own = (keys["root"] == best["root"]) & same(F.col("doc_id"), F.col("b_id")) & (F.col("text_hash") == F.col("b_hash"))
+    marked = materialize(keys.join(best, own, "left").select("doc_id", "text_hash", "n", F.col("best").isNotNull().alias("kept")), "kept")
     repeated = marked.where("kept and n > 1")
     single = rows_by_key(docs, marked.where("not kept or n > 1"), matching=False).select("row.*")
     if repeated.isEmpty():
