@@ -6,16 +6,17 @@ any block can be read, or found damaged, without the others. Within a block thre
 * order 2 and order 1 each remember the id that followed the same two ids, or the same id, last time,
   and how often in a row that was right; the share of the range that a remembered id gets is the
   rate at which ids remembered with that confidence have come true in this block;
-* order 0 counts ids, from a fixed slant towards low ids (the tokenizer's earlier merges), in a tree
-  of four levels; it shares out what the other two leave, and counts the ids that it had to code.
+* order 0 shares out what the other two leave, and counts what it had to code: a tree of three levels
+  counts groups of 16 ids, from a fixed slant towards low ones (the tokenizer's earlier merges), and
+  rows picked by the group's hash count the ids within. That keeps a lane's state within 32 KB.
 
 So one id costs one step of the coder, whichever predictor is right. Blocks are independent, and a
 batch of blocks is coded in step, one NumPy lane each; everything is integers, so that reader and
 writer agree on any machine. The coder is carry-less with 64-bit state and 16-bit output units.
 
 A segment (the payload of one row of the written table) is: magic, then for each document its id and
-length, then each block's number of ids, bytes and CRC-32 of its bytes and of its ids, then the blocks. Documents don't cross
-segments. Rows hold (bucket, segment, n_ids, file); bucket and segment ascend with doc_id.
+length, then each block's number of ids, bytes and CRC-32 of its bytes and of its ids, then the blocks.
+Documents don't cross segments. Rows hold (bucket, segment, n_ids, file); bucket and segment ascend with doc_id.
 
 Defined results: a null or empty text is its end id alone; rows without doc_id come first; repeated
 rows are all written; ties of doc_id are ordered by their ids.
@@ -38,31 +39,37 @@ from .tokens import WordTokens
 
 END, BLOCK, LANES = 2, 4096, 1536
 MAGIC = b"MRIDS01\n"
-#: Ids lie below this: four levels of 13, 16, 16 and 16.
+#: Ids lie below this: a tree of 13, 16 and 16 children gives an id's group of 16, hashed rows its place there.
 IDS = 13 << 12
-_SLOTS, _STEP, _CAP, _SURE = 4096, 32, 65_000, 15
+_SLOTS, _ROWS, _STEP, _CAP, _SURE = 1024, 256, 8, 1000, 15
 _TOP, _LOW, _MASK = np.uint64(1 << 48), np.uint64(1 << 40), np.uint64((1 << 40) - 1)
 _U16, _U48, _ONE = np.uint64(16), np.uint64(48), np.uint64(1)
 #: What a count of child k adds to the 17 bounds of its node.
-_BUMP = np.array([[_STEP * (j > k) for j in range(17)] for k in range(16)])
-_BUMP16, _BUMP32 = _BUMP.astype(np.uint16), _BUMP.astype(np.uint32)
+_BUMP = np.array([[_STEP * (j > k) for j in range(17)] for k in range(16)], np.uint16)
+#: A node as one opaque element, which NumPy copies faster than 17 numbers.
+_NODE = np.dtype("V34")
 
 
-def _bounds(weights: np.ndarray, kind: type) -> np.ndarray:
-    """Rows of 17 bounds from rows of up to 16 weights."""
+def _bounds(weights: np.ndarray, lanes: int) -> np.ndarray:
+    """Nodes of 17 bounds from rows of up to 16 weights, for each lane."""
     out = np.zeros((len(weights), 17), np.int64)
     out[:, 1 : weights.shape[1] + 1] = np.cumsum(weights, axis=1)
     out[:, weights.shape[1] + 1 :] = out[:, weights.shape[1], None]
-    return out.astype(kind)
+    return np.tile(out.astype(np.uint16), (lanes, 1)).view(_NODE).ravel()
+
+
+def _numbers(nodes: np.ndarray) -> np.ndarray:
+    return nodes.view(np.uint16).reshape(-1, 17)
 
 
 class _Mixer:
     """The predictors of a batch of blocks. Lanes are sorted by length, so that the first n are active."""
 
     def __init__(self, lanes: int):
-        start = 1 + 20_000 // (np.arange(IDS) + 500)
-        self.levels = [np.tile(_bounds(start.reshape(-1, 16, 16**k).sum(2) if k < 3 else start.reshape(1, 13, 4096).sum(2), kind), (lanes, 1)) for k, kind in ((3, np.uint32), (2, np.uint32), (1, np.uint32), (0, np.uint16))]
-        self.nodes = [1, 13, 13 * 16, 13 * 256]
+        start = 1 + 1_200 // (np.arange(IDS >> 4) + 30)
+        self.levels = [_bounds(w, lanes) for w in (start.reshape(1, 13, 256).sum(2), start.reshape(13, 16, 16).sum(2), start.reshape(208, 16))]
+        self.leaf = _bounds(np.ones((_ROWS, 16), np.int64), lanes)
+        self.nodes = [1, 13, 208]
         self.total = np.full(lanes, int(start.sum()), np.int64)
         # remembered id and confidence: id * 16 + confidence, of both orders
         self.memory2, self.memory1 = np.zeros(lanes * _SLOTS, np.int32), np.zeros(lanes * _SLOTS, np.int32)
@@ -77,7 +84,7 @@ class _Mixer:
         """The remembered ids (g2, g1), whether they count, and their shares in 65536ths."""
         last = self.last[:n]
         self.at2 = self.slot[:n] + ((last * 40503 + self.before[:n] * 30011 >> 3) & (_SLOTS - 1))
-        self.at1 = self.slot[:n] + (last * 2654 % 4093)
+        self.at1 = self.slot[:n] + last * 2654 % 1021
         m2, m1 = self.memory2[self.at2], self.memory1[self.at1]
         self.g2, self.s2, self.g1, self.s1 = m2 >> 4, m2 & 15, m1 >> 4, m1 & 15
         self.live2 = self.s2 > 0
@@ -98,44 +105,66 @@ class _Mixer:
         self.last[:n] = x
 
     def _count(self, own: np.ndarray, rows: list[np.ndarray], at: list[np.ndarray], x: np.ndarray) -> None:
-        room = rows[3][:, 16] < _CAP
-        if not room.all():
-            own, x, rows, at = own[room], x[room], [r[room] for r in rows], [a[room] for a in at]
-        for level, bump in ((0, _BUMP32), (1, _BUMP32), (2, _BUMP32), (3, _BUMP16)):
-            rows[level] += bump[x >> (12 - 4 * level) & 15]
-            self.levels[level][at[level]] = rows[level]
+        for level in range(3):
+            rows[level] += _BUMP.take(x >> (12 - 4 * level) & 15, axis=0)
+            self.levels[level][at[level]] = rows[level].view(_NODE).ravel()
         self.total[own] += _STEP
+        rows[3] += _BUMP.take(x & 15, axis=0) * (rows[3][:, 16:] < _CAP)
+        self.leaf[at[3]] = rows[3].view(_NODE).ravel()
+
+    def _leaf(self, own: np.ndarray, group: np.ndarray) -> np.ndarray:
+        return own * _ROWS + (group * 40503 >> 4 & (_ROWS - 1))
 
-    def place(self, own: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Order 0: the start and width of ids x in the given lanes; then x is counted."""
-        pick = np.arange(len(own))
+    def place(self, own: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Order 0: start and width of the groups of ids x in the given lanes, then start, width and
+        total of the ids within; then x is counted."""
+        pick = np.arange(len(own)) * 17
         rows, at, low = [], [], np.zeros(len(own), np.int64)
-        for level in range(4):
+        for level in range(3):
             node = own * self.nodes[level] + (x >> (16 - 4 * level) if level else 0)
-            row = self.levels[level].take(node, axis=0)
-            k = x >> (12 - 4 * level) & 15
-            low += row[pick, k]
+            row = _numbers(self.levels[level].take(node))
+            k = pick + (x >> (12 - 4 * level) & 15)
+            first = row.ravel().take(k)
+            low += first
             rows.append(row)
             at.append(node)
-        width = row[pick, k + 1].astype(np.int64) - row[pick, k]
-        self._count(own, rows, at, x)
-        return low, width
-
-    def find(self, own: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Order 0: the ids whose ranges hold f, with start and width; then they are counted."""
-        pick = np.arange(len(own))
-        rows, at, low, x = [], [], np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
-        for level in range(4):
+        width = row.ravel().take(k + 1) - first
+        node = self._leaf(own, x >> 4)
+        row = _numbers(self.leaf.take(node))
+        k = pick + (x & 15)
+        first, total = row.ravel().take(k), row[:, 16].copy()
+        share = row.ravel().take(k + 1) - first
+        self._count(own, [*rows, row], [*at, node], x)
+        return low, width, first, share, total
+
+    def find_group(self, own: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Order 0: the groups whose ranges hold f, with start and width, and what find_id needs."""
+        pick = np.arange(len(own)) * 17
+        rows, at, low, x = [], [], np.zeros(len(own), np.uint16), np.zeros(len(own), np.int64)
+        f = f.astype(np.uint16)
+        for level in range(3):
             node = own * self.nodes[level] + x
-            row = self.levels[level].take(node, axis=0)
+            row = _numbers(self.levels[level].take(node))
             k = (row[:, 1:] > (f - low)[:, None]).argmax(1)
-            low += row[pick, k]
+            first = row.ravel().take(pick + k)
+            low += first
             x = x << 4 | k
             rows.append(row)
             at.append(node)
-        width = row[pick, k + 1].astype(np.int64) - row[pick, k]
+        width = row.ravel().take(pick + k + 1) - first
+        node = self._leaf(own, x)
+        row = _numbers(self.leaf.take(node))
+        return x, low, width, row, [*rows, row], [*at, node]
+
+    def find_id(self, own: np.ndarray, group: np.ndarray, f: np.ndarray, rows: list[np.ndarray], at: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        """The ids of those groups, with start and width within; then they are counted."""
+        pick, row = np.arange(len(own)) * 17, rows[3]
+        k = (row[:, 1:] > f.astype(np.uint16)[:, None]).argmax(1)
+        first = row.ravel().take(pick + k)
+        share = row.ravel().take(pick + k + 1) - first
+        x = group << 4 | k
         self._count(own, rows, at, x)
-        return x, low, width
+        return x, first, share
 
 
 def _in_step(items: list, sizes: list[int], work) -> list:
@@ -204,9 +233,10 @@ def _encode(blocks: list[np.ndarray], sizes: np.ndarray) -> list[bytes]:
         own = np.flatnonzero(~(first | second))
         if len(own):
             part = (span[own] - start[own]) // m.total[own].astype(np.uint64)
-            at, size = m.place(own, x[own])
-            start[own] += part * at.astype(np.uint64)
-            width[own] = part * size.astype(np.uint64)
+            at, size, first, share, total = m.place(own, x[own])
+            one = part * size.astype(np.uint64) // total
+            start[own] += part * at.astype(np.uint64) + one * first
+            width[own] = one * share
         low[:n] += start
         span[:n] = width
         m.learn(x, n)
@@ -246,10 +276,16 @@ def _decode(payloads: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
         if len(own):
             total = m.total[own].astype(np.uint64)
             part = (span[own] - start[own]) // total
-            f = np.minimum((value[own] - start[own]) // part, total - _ONE).astype(np.int64)
-            x[own], at, size = m.find(own, f)
-            start[own] += part * at.astype(np.uint64)
-            width[own] = part * size.astype(np.uint64)
+            rest = value[own] - start[own]
+            f = np.minimum(rest // part, total - _ONE).astype(np.int64)
+            group, at, size, row, rows, nodes = m.find_group(own, f)
+            here = part * at.astype(np.uint64)
+            total = row[:, 16].astype(np.uint64)
+            one = part * size.astype(np.uint64) // total
+            f = np.minimum((rest - here) // one, total - _ONE).astype(np.int64)
+            x[own], first, share = m.find_id(own, group, f, rows, nodes)
+            start[own] += here + one * first
+            width[own] = one * share
         low[:n] += start
         span[:n] = width
         ids[t, :n] = x
