@@ -238,10 +238,12 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """Of each class one row, with all columns: the smallest doc_id (none comes last), then the least
-    text hash; of rows that repeat it, one. Rows of another class stay even if they share a doc_id."""
-    keys = materialize(components(docs).groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n")), "keys")
+    text hash; of rows that repeat it, one. Rows of another class stay even if they share a doc_id.
+    Classes are those of ``components``, or ``found`` (doc_id, text_hash and root of every row)."""
+    found = components(docs) if found is None else found
+    keys = materialize(found.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n")), "keys")
     least = keys.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("one"))
     best = least.select("root", F.col("one.doc_id").alias("b_id"), F.col("one.text_hash").alias("b_hash"), F.lit(True).alias("best"))
     # joined by the whole key, so that a large class is no hot one
