@@ -105,21 +105,30 @@ def _spot(host: str, key: str) -> Column:
     return F.xxhash64(host, key)
 
 
-def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, copies: DataFrame | None = None) -> DataFrame:
     """spot and docs of the lines above their host's limit; a spot is a line's key and its host."""
-    own = rows.where(F.size("keys") > 0).withColumn("copy", F.array_min(F.transform("keys", _unsigned)))
+    own = rows.where(F.size("keys") > 0)
+    if copies is None:
+        own = own.withColumn("copy", F.array_min(F.transform("keys", _unsigned)))
+    else:  # equal texts are of one class
+        own = own.join(copies.groupBy("text_hash").agg(F.min("root").alias("copy")), "text_hash")
     limits = own.groupBy("host").agg(F.greatest(F.lit(float(min_docs)), share * F.count_distinct("copy")).alias("limit"))
     limits = materialize(limits, "limits")
-    # rows of equal least key are copies of one document: the one with the most lines votes
-    votes = own.groupBy("host", "copy").agg(F.min_by(F.array_distinct("keys"), F.struct(-F.size("keys"), "text_hash")).alias("keys"))
-    votes = votes.alias("v").join(limits.alias("h"), same(F.col("v.host"), F.col("h.host"))).select("v.host", "limit", F.explode("keys").alias("key"))
+    if copies is None:
+        # rows of equal least key are copies of one document: the one with the most lines votes
+        votes = own.groupBy("host", "copy").agg(F.min_by(F.array_distinct("keys"), F.struct(-F.size("keys"), "text_hash")).alias("keys"))
+        votes = votes.select("host", F.explode("keys").alias("key"))
+    else:
+        votes = own.select("host", "copy", F.explode("keys").alias("key")).distinct()
+    votes = votes.alias("v").join(limits.alias("h"), same(F.col("v.host"), F.col("h.host"))).select("v.host", "limit", "key")
     return votes.groupBy(_spot("host", "key").alias("spot")).agg(F.count("*").alias("docs"), F.max("limit").alias("limit")).where("docs > limit").select("spot", "docs")
 
 
-def judge(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, keep: float = KEEP) -> DataFrame:
-    """Every row's counts, the words and keys of its lines above the limit, and the verdict."""
+def judge(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, keep: float = KEEP, copies: DataFrame | None = None) -> DataFrame:
+    """Every row's counts, the words and keys of its lines above the limit, and the verdict.
+    ``copies``: text_hash and root (the near-copy class) of every row, by which documents vote."""
     rows = materialize(measured(docs, host), "lines")
-    frequent = materialize(frequent_lines(rows, min_docs, share), "frequent")
+    frequent = materialize(frequent_lines(rows, min_docs, share, copies), "frequent")
     lines = rows.select("row", "host", F.explode(F.arrays_zip("keys", "sizes")).alias("line")).select("row", _spot("host", "line.keys").alias("spot"), "line.keys", "line.sizes")
     hits = lines.join(frequent, "spot", "left_semi")
     removed = hits.groupBy("row").agg(F.sum("sizes").alias("n_removed"), F.collect_set("keys").alias("removed"))
