@@ -18,3 +18,21 @@ def test_different_documents_each_vote_for_a_line(spark):
     docs = spark.createDataFrame(rows, SCHEMA)
     out = {r["doc_id"]: r["text"] for r in corpus_pipeline.quality_rules(spark, docs, "").collect()}
     assert out == {k: t.split("\n")[0] for k, t, _ in rows}
+
+
+def test_large_group_of_near_copies_survives(spark):
+    import corpus_pipeline
+
+    rng = random.Random(2)
+    fresh = lambda: [[f"w{rng.randrange(10**6)}" for _ in range(20)] for _ in range(6)]
+    text = lambda lines: "\n".join(map(" ".join, lines))
+    base, rows = fresh(), []
+    for k in range(1000):
+        own = [list(x) for x in base]
+        own[rng.randrange(6)][rng.randrange(20)] = f"e{k}"
+        rows.append((k, text(own), "h"))
+    rows += [(2000 + k, text(fresh()), "h") for k in range(2000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    clean = corpus_pipeline.quality_rules(spark, docs, "")
+    assert sorted(map(tuple, clean.collect())) == sorted(rows), "no line of theirs is boilerplate"
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, clean, "").collect()) == [0, *range(2000, 4000)]
