@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of one Arrow batch; texts run to many kilobytes, so batches stay small.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch at most; texts run to many kilobytes, so batches stay small.
+BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -25,6 +25,7 @@ def prepare(spark: SparkSession) -> None:
     """Python workers get BATCH_ROWS rows at a time, so that long texts don't fill them, and look for
     this package where the driver has it, which matters where it isn't installed."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     environment = spark.sparkContext.environment
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in paths:

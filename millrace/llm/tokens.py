@@ -3,8 +3,11 @@
 Both tokenizers first split a text by a pattern and then merge within each part, so a text's ids are
 the ids of its units in a row, wherever the cut between units is one that the pattern makes too. Plain
 words go to the library's merges, other units to the library whole, and a bounded table keeps the ids
-of what recurs; texts in which a cut is not plainly safe go to the library whole. Results are those
-of encoding the whole text.
+of what recurs; texts in which a cut is not plainly safe, or that may hold the text of an added token, go
+to the library whole. Results are those of the library as it comes from the file, over the whole text.
+
+Defined results: a null or empty text has no ids. Texts may be of any length; the table is bounded in
+units and in bytes, and long units aren't kept.
 """
 
 from __future__ import annotations
@@ -15,8 +18,8 @@ from array import array
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Units of each of the two generations kept.
-UNITS = 400_000
+#: Units of each of the two generations kept, and the length in bytes beyond which a unit isn't.
+UNITS, LONGEST = 400_000, 64
 
 _LOADED: dict[tuple[str, str], "_Tokens"] = {}
 
@@ -49,8 +52,9 @@ class _Tokens:
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # such strings in a text are ordinary text
         self.model = self.library.model
+        # what a text needs to hold the text of an added token, in any case: its first two characters
+        self.marks = {t.content[:2].lower().encode("utf-8") for t in self.library.get_added_tokens_decoder().values()}
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -85,25 +89,33 @@ class _Tokens:
         ids = self.known.get(unit)
         if ids is None:
             ids = self.older.get(unit)
-            self.known[unit] = ids = self.learn(unit) if ids is None else ids
+            ids = self.learn(unit) if ids is None else ids
+            if len(unit) <= LONGEST:
+                self.known[unit] = ids
         return ids
 
     def encode(self, raws: list[bytes | None]) -> list[bytes]:
         """The ids of each text, little-endian and 32 bits each."""
         out = []
         for raw in raws:
-            units = self.split(raw) if raw else []
+            units = [] if not raw else None if self.added(raw) else self.split(raw)
             if units is None:
                 out.append(self.whole(raw.decode("utf-8")))
                 continue
             if len(self.known) > UNITS:
                 self.older, self.known = self.known, {}
-            known = self.known
+            known, long = self.known, {}
             for unit in set(units).difference(known):
-                self.of(unit)
-            out.append(b"".join([known[u] for u in units]))
+                ids = self.of(unit)
+                if unit not in known:
+                    long[unit] = ids
+            out.append(b"".join([known.get(u) or long[u] for u in units] if long else [known[u] for u in units]))
         return out
 
+    def added(self, raw: bytes) -> bool:
+        """Whether the text may hold that of an added token."""
+        return any(mark in raw for mark in self.marks)
+
 
 class WordTokens(_Tokens):
     """Lower-casing word tokenizer: white space only separates, so a text is cut at ASCII white space."""
