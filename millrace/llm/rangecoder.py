@@ -1,25 +1,35 @@
 """Token ids in a compressed file format: context mixing drives a range coder, block by block.
 
-Ids are cut into blocks of BLOCK. Every block starts from the same state and carries a checksum, so
-any block can be read, or found damaged, without the others. Within a block three predictors adapt:
-
-* order 2 and order 1 each remember the id that followed the same two ids, or the same id, last time,
-  and how often in a row that was right; the share of the range that a remembered id gets is the
-  rate at which ids remembered with that confidence have come true in this block;
-* order 0 shares out what the other two leave, and counts what it had to code: a tree of three levels
-  counts groups of 16 ids, from a fixed slant towards low ones (the tokenizer's earlier merges), and
-  rows picked by the group's hash count the ids within. That keeps a lane's state within 32 KB.
-
-So one id costs one step of the coder, whichever predictor is right. Blocks are independent, and a
-batch of blocks is coded in step, one NumPy lane each; everything is integers, so that reader and
-writer agree on any machine. The coder is carry-less with 64-bit state and 16-bit output units.
+Ids are cut into blocks of BLOCK to twice as many. Every block starts from the same state and carries
+checksums, so any block can be read, or found damaged, without the others. A block is dealt into lanes,
+contiguous stretches of equal length that are coded in step, one NumPy element each; all lanes share the
+block's model, which learns after every step what all of them have seen. Reader and writer do the same
+whole-number arithmetic, so they agree on any machine.
+
+The probability of an id is a sum over three orders, p(x) = w2 * p2(x) + w1 * p1(x) + w0 * p0(x):
+
+* order 2 remembers the id that followed the same two ids last time, and how often in a row that came
+  true; p2 is all on that id. Entries hold the two ids themselves, so a context is never mistaken;
+* order 1 does the same for the id before, and has an entry for each id;
+* order 0 counts all ids of the block, from a fixed slant towards low ones (the tokenizer's earlier
+  merges), and every id has a count;
+* the weights are learnt in the block, for each pair of confidences and for guesses that agree: an order's
+  weight is the share of the ids that it has accounted for so far. An id that two orders foresee is
+  credited to both by their part in the sum.
+
+The guessed ids take their whole sums at the start of the range, and order 0 without them, which nothing
+else foresees, takes the rest: no part of the range is spent on an id that is also found elsewhere.
+The coder has 64 bits of state and gives out 32 at a time; a carry runs back into units given before.
+Lanes' units are stored in the order in which the reader asks for them.
 
 A segment (the payload of one row of the written table) is: magic, then for each document its id and
 length, then each block's number of ids, bytes and CRC-32 of its bytes and of its ids, then the blocks.
 Documents don't cross segments. Rows hold (bucket, segment, n_ids, file); bucket and segment ascend with doc_id.
 
 Defined results: a null or empty text is its end id alone; rows without doc_id come first; repeated
-rows are all written; ties of doc_id are ordered by their ids.
+rows are all written, in any order among themselves, and a doc_id that many rows share is cut into
+buckets like any other stretch; a very long text has several blocks of its segment to itself; ids that
+don't lie below IDS are refused; other columns are ignored; an empty table has no files and no rows.
 """
 
 from __future__ import annotations
@@ -37,267 +47,230 @@ from pyspark.sql import functions as F
 from .common import doc_columns, materialize
 from .tokens import WordTokens
 
-END, BLOCK, LANES = 2, 4096, 1536
-MAGIC = b"MRIDS01\n"
-#: Ids lie below this: a tree of 13, 16 and 16 children gives an id's group of 16, hashed rows its place there.
-IDS = 13 << 12
-_SLOTS, _ROWS, _STEP, _CAP, _SURE = 1024, 256, 8, 1000, 15
-_TOP, _LOW, _MASK = np.uint64(1 << 48), np.uint64(1 << 40), np.uint64((1 << 40) - 1)
-_U16, _U48, _ONE = np.uint64(16), np.uint64(48), np.uint64(1)
-#: What a count of child k adds to the 17 bounds of its node.
-_BUMP = np.array([[_STEP * (j > k) for j in range(17)] for k in range(16)], np.uint16)
-#: A node as one opaque element, which NumPy copies faster than 17 numbers.
-_NODE = np.dtype("V34")
-
-
-def _bounds(weights: np.ndarray, lanes: int) -> np.ndarray:
-    """Nodes of 17 bounds from rows of up to 16 weights, for each lane."""
-    out = np.zeros((len(weights), 17), np.int64)
-    out[:, 1 : weights.shape[1] + 1] = np.cumsum(weights, axis=1)
-    out[:, weights.shape[1] + 1 :] = out[:, weights.shape[1], None]
-    return np.tile(out.astype(np.uint16), (lanes, 1)).view(_NODE).ravel()
-
-
-def _numbers(nodes: np.ndarray) -> np.ndarray:
-    return nodes.view(np.uint16).reshape(-1, 17)
+END, BLOCK, LANES = 2, 1 << 21, 8192
+MAGIC = b"MRIDS02\n"
+#: Ids lie below this.
+IDS = 1 << 16
+#: Entries of order 2, the highest confidence, what an id adds to its count, the sum at which counts are
+#: halved, and the steps after which a grown block sums up anew.
+_SLOTS, _SURE, _STEP, _LIMIT, _PACE = 1 << 18, 15, 64, 1 << 22, 16
+#: Weights are 65536ths: order 0 keeps _LEAST of them at least, and an order with a guess _LIVE.
+_LEAST, _LIVE = 512, 16
+_SIDE = _SURE + 1
+_NO_ID = np.int32(IDS)
+#: Confidence after a wrong and after a right guess: half of it, or one more.
+_NEXT = np.array([max(s >> 1, 1) for s in range(_SIDE)] + [min(s + 1, _SURE) for s in range(_SIDE)], np.int32)
+_U16, _U32, _SMALL = np.uint64(16), np.uint64(32), np.uint64(1 << 32)
 
 
 class _Mixer:
-    """The predictors of a batch of blocks. Lanes are sorted by length, so that the first n are active."""
+    """A block's model: ``look`` forecasts for the first n lanes, ``learn`` takes in what came there."""
 
     def __init__(self, lanes: int):
-        start = 1 + 1_200 // (np.arange(IDS >> 4) + 30)
-        self.levels = [_bounds(w, lanes) for w in (start.reshape(1, 13, 256).sum(2), start.reshape(13, 16, 16).sum(2), start.reshape(208, 16))]
-        self.leaf = _bounds(np.ones((_ROWS, 16), np.int64), lanes)
-        self.nodes = [1, 13, 208]
-        self.total = np.full(lanes, int(start.sum()), np.int64)
-        # remembered id and confidence: id * 16 + confidence, of both orders
-        self.memory2, self.memory1 = np.zeros(lanes * _SLOTS, np.int32), np.zeros(lanes * _SLOTS, np.int32)
-        # rates of success by confidence, in 65536ths; confidence 0 is "nothing remembered"
-        rates = np.minimum(60_000, np.arange(_SURE + 1) * 9000)
-        self.rate2, self.rate1 = np.tile(rates, lanes), np.tile(rates // 2, lanes)
+        self.counts = np.zeros(IDS + 1, np.int32)  # one more, always zero: the id of no guess
+        self.counts[:IDS] = 1 + 30_000 // (np.arange(IDS) + 60)
+        self.cum = np.zeros(IDS + 2, np.int32)
+        self.memory2 = np.zeros(_SLOTS, np.int64)  # both ids, guess and confidence: 32, 16 and 4 bits
+        self.memory1 = np.zeros(IDS, np.int32)  # guess and confidence
+        # what orders 2, 1 and 0 have accounted for, by class: confidence of 2 and of 1, agreement
+        grade = np.arange(_SIDE) * 64
+        credit = np.full((3, _SIDE, _SIDE, 2), 256)
+        credit[0], credit[1] = 2 * grade[:, None, None], grade[:, None]
+        self.credit = credit.reshape(3, -1)
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.lane = np.arange(lanes)
-        self.slot, self.rung = self.lane * _SLOTS, self.lane * (_SURE + 1)
+        self.steps, self.due, self.held, self.weighed = 0, 0, [], []
+        self.first_id = None
+        self._renew()
+
+    def _renew(self) -> None:
+        """Counts and weights take in the steps held back."""
+        if self.held:
+            self.counts += (_STEP * np.bincount(np.concatenate(self.held), minlength=IDS + 1)).astype(np.int32)
+            self.held = []
+        if self.weighed:
+            kind, r2, r1 = map(np.concatenate, zip(*self.weighed))
+            self.weighed = []
+            classes = self.credit.shape[1]
+            two, one = (np.bincount(kind, weights=r, minlength=classes).astype(np.int64) for r in (r2, r1))
+            self.credit += np.stack([two, one, 256 * np.bincount(kind, minlength=classes) - two - one])
+            self.credit[:, self.credit.sum(0) > 1 << 22] >>= 1
+        while self.counts.sum() > _LIMIT:
+            self.counts[:IDS] = (self.counts[:IDS] + 1) >> 1
+        np.cumsum(self.counts, out=self.cum[1:])
+        self.total, self.first_id = int(self.cum[IDS]), None
+        self.share = ((self.counts.astype(np.int64) << 15) // self.total).astype(np.int32)  # in 32768ths
+        w = self.credit[:2] * (65536 - _LEAST - 2 * _LIVE) // np.maximum(self.credit.sum(0), 1)
+        live = np.arange(_SIDE) > 0
+        w = w.reshape(2, _SIDE, _SIDE, 2) + _LIVE
+        w[0] *= live[:, None, None]
+        w[1] *= live[:, None]
+        self.weight2, self.weight1 = w.reshape(2, -1).astype(np.int32)
+        self.weight0 = 65536 - self.weight2 - self.weight1
 
     def look(self, n: int) -> None:
-        """The remembered ids (g2, g1), whether they count, and their shares in 65536ths."""
+        """Ids a and b that orders 2 and 1 foresee (IDS: none; if they agree, a alone), and their
+        probabilities as sums over the orders, in 65536ths."""
         last = self.last[:n]
-        self.at2 = self.slot[:n] + ((last * 40503 + self.before[:n] * 30011 >> 3) & (_SLOTS - 1))
-        self.at1 = self.slot[:n] + last * 2654 % 1021
-        m2, m1 = self.memory2[self.at2], self.memory1[self.at1]
-        self.g2, self.s2, self.g1, self.s1 = m2 >> 4, m2 & 15, m1 >> 4, m1 & 15
-        self.live2 = self.s2 > 0
-        self.live1 = (self.s1 > 0) & ((self.g1 != self.g2) | ~self.live2)
-        self.r2, self.r1 = self.rung[:n] + self.s2, self.rung[:n] + self.s1
-        self.p2, self.p1 = self.rate2[self.r2], self.rate1[self.r1]
-        self.w2 = self.p2 * self.live2
-        self.w1 = (65536 - self.w2) * (self.p1 * self.live1) >> 16
-
-    def learn(self, x: np.ndarray, n: int) -> None:
-        """Orders 2 and 1 learn what came; order 0 learns in place() and find()."""
-        for memory, at, g, s, rate, r, p, live in ((self.memory2, self.at2, self.g2, self.s2, self.rate2, self.r2, self.p2, self.live2), (self.memory1, self.at1, self.g1, self.s1, self.rate1, self.r1, self.p1, self.live1)):
-            right = g == x
-            rate[r] = p + ((np.where(right, 65000, 200) - p >> 4) * live)
-            # a right guess grows surer; a wrong one loses half, and gives way at 1
-            memory[at] = np.where(right & (s > 0), g * 16 + np.minimum(s + 1, _SURE), np.where(s <= 1, x * 16 + 1, g * 16 + (s >> 1)))
-        self.before[:n] = self.last[:n]
+        self.key = self.before[:n] << 16 | last
+        self.at2 = (self.key * 2654435761 >> 24) & (_SLOTS - 1)
+        e2, e1 = self.memory2.take(self.at2), self.memory1.take(last)
+        low = e2.astype(np.int32) & 0xFFFFF
+        self.s2, self.g2 = (low & 15) * (e2 >> 20 == self.key), low >> 4  # another context's entry counts as none
+        self.s1, self.g1 = e1 & 15, e1 >> 4
+        some2, some1 = self.s2 > 0, self.s1 > 0
+        self.agree = agree = (self.g2 == self.g1) & some2 & some1
+        self.kind = (self.s2 << 5) + (self.s1 << 1) + agree
+        self.w2, self.w1, w0 = self.weight2.take(self.kind), self.weight1.take(self.kind), self.weight0.take(self.kind)
+        self.a, self.b = np.where(some2, self.g2, _NO_ID), np.where(some1 & ~agree, self.g1, _NO_ID)
+        self.p_a = self.w2 + self.w1 * agree + (w0 * self.share.take(self.a) >> 15)
+        self.p_b = self.w1 * ~agree + (w0 * self.share.take(self.b) >> 15)
+
+    def learn(self, x: np.ndarray, first: np.ndarray, second: np.ndarray, n: int) -> None:
+        """Takes in ids x; ``first`` are those that were a, ``second`` those that were b. Weights are
+        learnt from every step of a young block, later from every fourth."""
+        self.held.append(x)
+        if self.steps < 32 or not self.steps & 3:
+            r2 = (self.w2 << 8) // np.maximum(self.p_a, 1) * first
+            r1 = (self.w1 << 8) // np.maximum(np.where(first, self.p_a, self.p_b), 1) * (second | first & self.agree)
+            self.weighed.append((self.kind, r2, r1))
+        last = self.last[:n]
+        self.memory2[self.at2] = self.key << 20 | _after(self.g2, self.s2, x)
+        self.memory1[last] = _after(self.g1, self.s1, x)
+        self.before[:n] = last
         self.last[:n] = x
-
-    def _count(self, own: np.ndarray, rows: list[np.ndarray], at: list[np.ndarray], x: np.ndarray) -> None:
-        for level in range(3):
-            rows[level] += _BUMP.take(x >> (12 - 4 * level) & 15, axis=0)
-            self.levels[level][at[level]] = rows[level].view(_NODE).ravel()
-        self.total[own] += _STEP
-        rows[3] += _BUMP.take(x & 15, axis=0) * (rows[3][:, 16:] < _CAP)
-        self.leaf[at[3]] = rows[3].view(_NODE).ravel()
-
-    def _leaf(self, own: np.ndarray, group: np.ndarray) -> np.ndarray:
-        return own * _ROWS + (group * 40503 >> 4 & (_ROWS - 1))
-
-    def place(self, own: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Order 0: start and width of the groups of ids x in the given lanes, then start, width and
-        total of the ids within; then x is counted."""
-        pick = np.arange(len(own)) * 17
-        rows, at, low = [], [], np.zeros(len(own), np.int64)
-        for level in range(3):
-            node = own * self.nodes[level] + (x >> (16 - 4 * level) if level else 0)
-            row = _numbers(self.levels[level].take(node))
-            k = pick + (x >> (12 - 4 * level) & 15)
-            first = row.ravel().take(k)
-            low += first
-            rows.append(row)
-            at.append(node)
-        width = row.ravel().take(k + 1) - first
-        node = self._leaf(own, x >> 4)
-        row = _numbers(self.leaf.take(node))
-        k = pick + (x & 15)
-        first, total = row.ravel().take(k), row[:, 16].copy()
-        share = row.ravel().take(k + 1) - first
-        self._count(own, [*rows, row], [*at, node], x)
-        return low, width, first, share, total
-
-    def find_group(self, own: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Order 0: the groups whose ranges hold f, with start and width, and what find_id needs."""
-        pick = np.arange(len(own)) * 17
-        rows, at, low, x = [], [], np.zeros(len(own), np.uint16), np.zeros(len(own), np.int64)
-        f = f.astype(np.uint16)
-        for level in range(3):
-            node = own * self.nodes[level] + x
-            row = _numbers(self.levels[level].take(node))
-            k = (row[:, 1:] > (f - low)[:, None]).argmax(1)
-            first = row.ravel().take(pick + k)
-            low += first
-            x = x << 4 | k
-            rows.append(row)
-            at.append(node)
-        width = row.ravel().take(pick + k + 1) - first
-        node = self._leaf(own, x)
-        row = _numbers(self.leaf.take(node))
-        return x, low, width, row, [*rows, row], [*at, node]
-
-    def find_id(self, own: np.ndarray, group: np.ndarray, f: np.ndarray, rows: list[np.ndarray], at: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-        """The ids of those groups, with start and width within; then they are counted."""
-        pick, row = np.arange(len(own)) * 17, rows[3]
-        k = (row[:, 1:] > f.astype(np.uint16)[:, None]).argmax(1)
-        first = row.ravel().take(pick + k)
-        share = row.ravel().take(pick + k + 1) - first
-        x = group << 4 | k
-        self._count(own, rows, at, x)
-        return x, first, share
-
-
-def _in_step(items: list, sizes: list[int], work) -> list:
-    """Applies ``work`` to LANES items at a time, the longest first; results in the items' order."""
-    out: list = [None] * len(items)
-    order = sorted(range(len(items)), key=lambda i: -sizes[i])
-    for lo in range(0, len(order), LANES):
-        part = order[lo : lo + LANES]
-        for i, done in zip(part, work([items[i] for i in part], np.array([sizes[i] for i in part]))):
-            out[i] = done
-    return out
-
-
-def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    return _in_step(blocks, [len(b) for b in blocks], _encode)
-
-
-def decode_blocks(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
-    return _in_step(payloads, sizes, _decode)
-
-
-def _active(sizes: np.ndarray) -> list[int]:
-    """Lanes longer than t, for each t."""
-    return (len(sizes) - np.searchsorted(sizes[::-1], np.arange(sizes[0]), side="right")).tolist()
-
-
-def _renew(low: np.ndarray, span: np.ndarray, n: int, give) -> None:
-    """Shifts out settled units; a range too short is cut so that no carry can reach what was given."""
-    l, s = low[:n], span[:n]
-    settled = (l ^ (l + s)) < _TOP
-    due = settled | (s < _LOW)
-    at = np.flatnonzero(due)
-    settled = settled[at]
-    while len(at):
-        l, s = low[at], span[at]
-        s = np.where(settled, s, (~l + _ONE) & _MASK)
-        give(at, l)
-        l, s = l << _U16, s << _U16
-        low[at], span[at] = l, s
-        settled = (l ^ (l + s)) < _TOP
-        again = settled | (s < _LOW)
-        at, settled = at[again], settled[again]
-
-
-def _encode(blocks: list[np.ndarray], sizes: np.ndarray) -> list[bytes]:
-    lanes, longest = len(blocks), int(sizes[0])
-    ids = np.zeros((longest, lanes), np.int32)
-    for k, b in enumerate(blocks):
-        ids[: len(b), k] = b
+        self.steps += 1
+        if self.steps > self.due:
+            self.due = self.steps + min(_PACE, self.steps // 3)
+            self._renew()
+
+    def without(self, x: np.ndarray, a: np.ndarray, b: np.ndarray, count_a: np.ndarray, count_b: np.ndarray) -> np.ndarray:
+        """Where ids x begin in order 0 if a and b are left out."""
+        return (self.cum.take(x) - count_a * (a < x) - count_b * (b < x)).astype(np.uint64)
+
+    def left(self, own: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For some lanes, the guesses, their counts, and the sum of all other counts."""
+        a, b = self.a.take(own), self.b.take(own)
+        count_a, count_b = self.counts.take(a), self.counts.take(b)
+        return a, b, count_a, count_b, (self.total - count_a - count_b).astype(np.uint64)
+
+    def holding(self, f: np.ndarray) -> np.ndarray:
+        """The ids whose ranges in order 0 hold f."""
+        if self.first_id is None:  # the id at every 64th place, which is mostly the id at the next 63 as well
+            self.first_id = np.cumsum(np.bincount((self.cum[1 : IDS + 1] + 63) >> 6), dtype=np.int32)
+        x = self.first_id.take(f >> 6)
+        at = np.flatnonzero(self.cum.take(x + 1) <= f)
+        x[at] = np.searchsorted(self.cum, f[at], "right") - 1
+        return x
+
+
+def _after(guess: np.ndarray, sure: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """A memory's entry once x has come: a wrong guess of confidence 1 gives way."""
+    return np.where(sure > 1, guess, x) << 4 | _NEXT.take((guess == x) * _SIDE + sure)
+
+
+def _shape(size: int) -> tuple[int, int, int]:
+    """Lanes and steps of a block, and the length of its last lane."""
+    steps = -(-size // min(LANES, -(-size // 64)))
+    lanes = -(-size // steps)
+    return lanes, steps, size - (lanes - 1) * steps
+
+
+def encode_block(block: np.ndarray) -> bytes:
+    if not len(block):
+        return b""
+    if block.max() >= IDS:
+        raise ValueError(f"ids must be below {IDS}")
+    lanes, steps, tail = _shape(len(block))
+    ids = np.zeros(lanes * steps, np.int32)
+    ids[: len(block)] = block
+    ids = np.ascontiguousarray(ids.reshape(lanes, steps).T)
     m = _Mixer(lanes)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    words, used = np.zeros((lanes, 3 * longest + 16), np.uint16), np.zeros(lanes, np.int64)
-
-    def give(at: np.ndarray, l: np.ndarray) -> None:
-        words[at, used[at]] = l >> _U48
-        used[at] += 1
-
-    for t, n in enumerate(_active(sizes)):
-        x = ids[t, :n].astype(np.int64)
+    units, used = np.zeros((steps + 3, lanes), np.uint64), np.zeros(lanes, np.int64)
+    flat, asked = units.ravel(), []
+    one = np.uint64(1)
+    for t in range(steps):
+        n = lanes - (t >= tail)
+        x = ids[t, :n]
         m.look(n)
+        first, second = x == m.a, x == m.b
         unit = span[:n] >> _U16
-        first = m.live2 & (m.g2 == x)
-        second = m.live1 & (m.g1 == x)
-        start = unit * np.where(first, 0, np.where(second, m.w2, m.w2 + m.w1)).astype(np.uint64)
-        width = unit * np.where(first, m.w2, m.w1).astype(np.uint64)
+        start = unit * np.where(first, 0, np.where(second, m.p_a, m.p_a + m.p_b)).astype(np.uint64)
+        width = unit * np.where(first, m.p_a, m.p_b).astype(np.uint64)
         own = np.flatnonzero(~(first | second))
-        if len(own):
-            part = (span[own] - start[own]) // m.total[own].astype(np.uint64)
-            at, size, first, share, total = m.place(own, x[own])
-            one = part * size.astype(np.uint64) // total
-            start[own] += part * at.astype(np.uint64) + one * first
-            width[own] = one * share
-        low[:n] += start
+        y, (a, b, count_a, count_b, total) = x[own], m.left(own)
+        part = (span[own] - start[own]) // total
+        start[own] += part * m.without(y, a, b, count_a, count_b)
+        width[own] = part * m.counts.take(y).astype(np.uint64)
+        l = low[:n]
+        l += start
+        carry = np.flatnonzero(l < start)
+        flat[(used[carry] - 1) * lanes + carry] += one
         span[:n] = width
-        m.learn(x, n)
-        _renew(low, span, n, give)
-    for shift in (48, 32, 16, 0):
-        give(np.arange(lanes), low >> np.uint64(shift) << _U48)
-    return [words[k, : used[k]].astype("<u2").tobytes() if sizes[k] else b"" for k in range(lanes)]
-
-
-def _decode(payloads: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
-    lanes, longest = len(payloads), int(sizes[0])
-    words = np.zeros((lanes, max(len(p) for p in payloads) // 2 + 4), np.uint16)
-    for k, p in enumerate(payloads):
-        words[k, : len(p) // 2] = np.frombuffer(p, "<u2")
-    ids = np.zeros((longest, lanes), np.int32)
+        at = np.flatnonzero(width < _SMALL)
+        if len(at):
+            k, l = used[at], low[at]
+            flat[k * lanes + at] = l >> _U32
+            low[at], span[at] = l << _U32, width[at] << _U32
+            asked.append((k + 2) * lanes + at)  # the reader is two units ahead
+            used[at] = k + 1
+        m.learn(x, first, second, n)
+    end = low + (_SMALL - one)
+    carry = np.flatnonzero(end < low)
+    flat[(used[carry] - 1) * lanes + carry] += one
+    flat[used * lanes + np.arange(lanes)] = end >> _U32
+    for k in range(steps + 2, 0, -1):
+        units[k - 1] += units[k] >> _U32
+    return np.concatenate([flat[: 2 * lanes], *(flat[k] for k in asked)]).astype("<u4").tobytes()
+
+
+def decode_block(data: bytes, size: int) -> np.ndarray:
+    if not size:
+        return np.zeros(0, np.int32)
+    lanes, steps, tail = _shape(size)
+    units = np.frombuffer(data, "<u4").astype(np.uint64)
+    ids = np.zeros((steps, lanes), np.int32)
     m = _Mixer(lanes)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    code, used = np.zeros(lanes, np.uint64), np.full(lanes, 4)
-    for k in range(4):
-        code = code << _U16 | words[:, k]
-
-    def take(at: np.ndarray, l: np.ndarray) -> None:
-        code[at] = code[at] << _U16 | words[at, used[at]]
-        used[at] += 1
-
-    for t, n in enumerate(_active(sizes)):
+    span = np.full(lanes, 2**64 - 1, np.uint64)
+    code, place = units[:lanes] << _U32 | units[lanes : 2 * lanes], 2 * lanes
+    one = np.uint64(1)
+    for t in range(steps):
+        n = lanes - (t >= tail)
         m.look(n)
-        unit = span[:n] >> _U16
-        value = code[:n] - low[:n]
-        q = np.minimum(value // unit, 65535).astype(np.int64)
-        both = m.w2 + m.w1
-        first, other = q < m.w2, q >= both
-        x = np.where(first, m.g2, m.g1).astype(np.int64)
-        start = unit * np.where(first, 0, np.where(other, both, m.w2)).astype(np.uint64)
-        width = unit * np.where(first, m.w2, m.w1).astype(np.uint64)
+        c, unit = code[:n], span[:n] >> _U16
+        top, both = unit * m.p_a.astype(np.uint64), unit * (m.p_a + m.p_b).astype(np.uint64)
+        first, other = c < top, c >= both
+        x = np.where(first, m.a, m.b)
+        start = np.where(first, 0, np.where(other, both, top))
+        width = np.where(first, top, both - top)
         own = np.flatnonzero(other)
-        if len(own):
-            total = m.total[own].astype(np.uint64)
-            part = (span[own] - start[own]) // total
-            rest = value[own] - start[own]
-            f = np.minimum(rest // part, total - _ONE).astype(np.int64)
-            group, at, size, row, rows, nodes = m.find_group(own, f)
-            here = part * at.astype(np.uint64)
-            total = row[:, 16].astype(np.uint64)
-            one = part * size.astype(np.uint64) // total
-            f = np.minimum((rest - here) // one, total - _ONE).astype(np.int64)
-            x[own], first, share = m.find_id(own, group, f, rows, nodes)
-            start[own] += here + one * first
-            width[own] = one * share
-        low[:n] += start
+        a, b, count_a, count_b, total = m.left(own)
+        from_here = start[own]
+        part = (span[own] - from_here) // total
+        f = np.minimum((c[own] - from_here) // part, total - one).astype(np.int32)
+        swap = b < a  # put the guesses back, the lower one first
+        f += np.where(swap, count_b, count_a) * (m.cum.take(np.minimum(a, b)) <= f)
+        f += np.where(swap, count_a, count_b) * (m.cum.take(np.maximum(a, b)) <= f)
+        y = m.holding(f)
+        start[own] = from_here + part * m.without(y, a, b, count_a, count_b)
+        width[own] = part * m.counts.take(y).astype(np.uint64)
+        x[own] = y
+        c -= start
         span[:n] = width
+        at = np.flatnonzero(width < _SMALL)
+        code[at] = code[at] << _U32 | units[place : place + len(at)]
+        span[at] = width[at] << _U32
+        place += len(at)
         ids[t, :n] = x
-        m.learn(x, n)
-        _renew(low, span, n, take)
-    return [ids[: sizes[k], k] for k in range(lanes)]
+        m.learn(x, first, ~(first | other), n)
+    return ids.T.ravel()[:size]
 
 
 def write_segment(doc_ids: list[int | None], documents: list[np.ndarray]) -> bytes:
     ids = np.concatenate(documents) if documents else np.zeros(0, np.uint16)
-    blocks = [ids[at : at + BLOCK] for at in range(0, len(ids), BLOCK)]
-    data = encode_blocks(blocks)
+    count = max(1, len(ids) // BLOCK) if len(ids) else 0
+    blocks = [ids[len(ids) * k // count : len(ids) * (k + 1) // count] for k in range(count)]
+    data = [encode_block(b) for b in blocks]
     known = np.array([d is not None for d in doc_ids], np.uint8)
     names = np.array([d or 0 for d in doc_ids], "<i8")
     index = zlib.compress(known.tobytes() + np.diff(names, prepend=0).astype("<i8").tobytes() + np.array([len(d) for d in documents], "<i8").tobytes())
@@ -317,32 +290,37 @@ def read_segment(data: bytes) -> tuple[list[int | None], list[np.ndarray]]:
     lengths = np.frombuffer(index, "<i8", n, n + 8 * n)
     heads = [struct.unpack_from("<IIII", data, at + 16 * k) for k in range(n_blocks)]
     at += 16 * n_blocks
-    payloads = []
-    for k, (_, length, checksum, _) in enumerate(heads):
-        payloads.append(data[at : at + length])
+    blocks = []
+    for k, (n_ids, length, of_bytes, of_ids) in enumerate(heads):
+        payload = data[at : at + length]
         at += length
-        if zlib.crc32(payloads[-1]) != checksum:
+        if zlib.crc32(payload) != of_bytes:
             raise ValueError(f"block {k} is damaged")
-    blocks = decode_blocks(payloads, [h[0] for h in heads])
-    for k, (block, head) in enumerate(zip(blocks, heads)):
-        if zlib.crc32(block.astype("<u4").tobytes()) != head[3]:
+        blocks.append(decode_block(payload, n_ids).astype("<u4"))
+        if zlib.crc32(blocks[-1].tobytes()) != of_ids:
             raise ValueError(f"block {k} doesn't hold the ids it was written from")
-    ids = np.concatenate(blocks).astype("<u4") if blocks else np.zeros(0, "<u4")
+    ids = np.concatenate(blocks) if blocks else np.zeros(0, "<u4")
     cuts = np.cumsum(lengths)
     return [int(x) if k else None for x, k in zip(names, known)], [ids[b - s : b] for b, s in zip(cuts, lengths)]
 
 
+_NONE = -(1 << 63)
+
+
 def encode_ids(docs: DataFrame, tokenizer: str, bounds: list[int]) -> DataFrame:
-    """bucket, doc_id and the ids (16 bits each) with the end id; buckets are ranges of doc_id."""
+    """bucket, doc_id and the ids (16 bits each) with the end id. Buckets are ranges of doc_id, cut at
+    ``bounds``; a doc_id that is there several times has as many buckets, and its rows are dealt in turn."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = WordTokens.load(tokenizer)
-        edges, end = np.array(bounds, np.int64), np.array([END], "<u2").tobytes()
+        edges, end, row = np.array(bounds, np.int64), np.array([END], "<u2").tobytes(), 0
         for batch in batches:
-            ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() + end for x in tokens.encode(batch.column(1).to_pylist())]
-            names = batch.column(0).fill_null(-(1 << 63)).to_numpy()
-            bucket = np.searchsorted(edges, names, side="left").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), batch.column(0), pa.array(ids, pa.binary())], names=["bucket", "doc_id", "ids"])
+            ids = [x + end for x in tokens.encode(batch.column(1).to_pylist())]
+            names = batch.column(0).fill_null(_NONE).to_numpy()
+            bucket, over = np.searchsorted(edges, names, side="left"), np.searchsorted(edges, names, side="right")
+            bucket += np.arange(row, row + len(ids)) % np.maximum(over - bucket, 1)
+            row += len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), batch.column(0), pa.array(ids, pa.binary())], names=["bucket", "doc_id", "ids"])
 
     return doc_columns(docs).mapInArrow(step, "bucket int, doc_id long, ids binary")
 
@@ -351,8 +329,9 @@ def write_ids(docs: DataFrame, tokenizer: str) -> DataFrame:
     """The table of segments, written to the shared folder in ascending order of doc_id."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shares = F.percentile_approx(docs["doc_id"].cast("long"), F.array(*[F.lit((i + 1) / parts) for i in range(parts - 1)]), F.lit(100 * parts)) if parts > 1 else F.array().cast("array<long>")
-    bounds = sorted(set(docs.select(shares).first()[0] or []))  # one number for each partition
+    name = F.coalesce(docs["doc_id"].cast("long"), F.lit(_NONE))
+    shares = F.percentile_approx(name, F.array(*[F.lit((i + 1) / parts) for i in range(parts - 1)]), F.lit(100 * parts)) if parts > 1 else F.array().cast("array<long>")
+    bounds = sorted(docs.select(shares).first()[0] or [])  # one number for each partition
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, documents, size, bucket, segment = [], [], 0, None, 0
@@ -363,7 +342,7 @@ def write_ids(docs: DataFrame, tokenizer: str) -> DataFrame:
 
         for batch in batches:
             for own, name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if names and (own != bucket or size >= BLOCK * LANES):
+                if names and (own != bucket or size >= BLOCK):
                     yield out()
                     segment = segment + 1 if own == bucket else 0
                     names, documents, size = [], [], 0
@@ -374,7 +353,7 @@ def write_ids(docs: DataFrame, tokenizer: str) -> DataFrame:
         if names:
             yield out()
 
-    dealt = encode_ids(docs, tokenizer, bounds).repartitionById(parts, "bucket").sortWithinPartitions("bucket", "doc_id", "ids")
+    dealt = encode_ids(docs, tokenizer, bounds).repartitionById(parts, "bucket").sortWithinPartitions("bucket", "doc_id")
     return materialize(dealt.mapInArrow(step, "bucket int, segment int, n_ids long, file binary"), "ids")
 
 

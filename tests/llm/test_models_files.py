@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from millrace.llm import hilbert, hmm, rangecoder, simhash, toolcalls, tokens, urlfilter
+from millrace.llm import hilbert, hmm, rangecoder, simhash, toolcalls, urlfilter
 
 SCHEMA = "doc_id long, text string, source string, lang string, n_chars int, shard int, slot string"
 ODD = [(1, "the cat sat", "s", "en", 11, 1, "x"), (2, None, None, None, None, None, None), (3, "", "s", "en", 0, 1, ""), (None, "no id", "s", "fr", 5, 1, "x"), (1, "the cat sat", "s", "en", 11, 1, "x"), (9, "é long " * 20000, "t", "de", 140000, 1, "x")]
@@ -83,34 +83,71 @@ def test_model_beats_word_counts_on_held_out_texts(spark):
     assert hmm.score(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-@settings(max_examples=25, deadline=None)
-@given(st.lists(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 49407)), max_size=120), max_size=6))
-def test_blocks_round_trip(blocks):
-    own = [np.array(b, np.int64) for b in blocks]
-    back = rangecoder.decode_blocks(rangecoder.encode_blocks(own), [len(b) for b in own]) if own else []
-    assert [b.tolist() for b in back] == blocks
+IDS = st.one_of(st.integers(0, 3), st.integers(0, rangecoder.IDS - 1))
 
 
-def test_segments_are_checked():
-    docs = [np.arange(5, dtype=np.uint16), np.tile(np.array([7, 8, 2], np.uint16), 6000)]
-    data = rangecoder.write_segment([None, 12], docs)
+@settings(max_examples=60, deadline=None)
+@given(st.lists(IDS, max_size=300), st.integers(1, 40))
+def test_blocks_round_trip(ids, times):
+    block = np.array(ids * times, np.int64)
+    assert (rangecoder.decode_block(rangecoder.encode_block(block), len(block)) == block).all()
+
+
+def test_blocks_learn():
+    rng = np.random.default_rng(2)
+    words = [rng.integers(0, 49000, rng.integers(1, 5)) for _ in range(3000)]
+    block = np.concatenate([words[k] for k in (rng.zipf(1.3, 60000) % 3000)])
+    share = np.bincount(block) / len(block)
+    entropy = -(share[share > 0] * np.log2(share[share > 0])).sum()
+    data = rangecoder.encode_block(block)
+    assert (rangecoder.decode_block(data, len(block)) == block).all()
+    assert 8 * len(data) < 0.8 * entropy * len(block), "the orders together beat the best fixed order 0"
+
+
+def test_the_orders_sum_to_one():
+    m = rangecoder._Mixer(1)
+    for x in [5, 9, 5, 9, 5, 9, 5, 9, 5, 7, 5]:
+        m.look(1)
+        rest = 65536 - int(m.p_a[0]) - int(m.p_b[0])
+        assert rest >= rangecoder._LEAST and int(m.w2[0] + m.w1[0]) <= 65536 - rangecoder._LEAST
+        m.learn(np.array([x]), np.array([x]) == m.a, np.array([x]) == m.b, 1)
+    m.look(1)
+    assert (int(m.a[0]), int(m.b[0])) in {(7, 9), (9, 7), (9, rangecoder.IDS), (rangecoder.IDS, 9), (rangecoder.IDS, 7)}
+
+
+def test_segments_are_checked(monkeypatch):
+    docs = [np.arange(5, dtype=np.uint16), np.tile(np.array([7, 8, 2], np.uint16), 6000), np.zeros(0, np.uint16)]
+    data = rangecoder.write_segment([None, 12, 13], docs)
     names, back = rangecoder.read_segment(data)
-    assert names == [None, 12] and all((a == b).all() for a, b in zip(docs, back)) and len(data) < 2000
+    assert names == [None, 12, 13] and all((a == b).all() for a, b in zip(docs, back)) and len(data) < 6000
+    for at in range(60, len(data), 97):
+        with pytest.raises(ValueError):
+            rangecoder.read_segment(data[:at] + bytes([data[at] ^ 1]) + data[at + 1 :])
     with pytest.raises(ValueError):
-        rangecoder.read_segment(data[:-40] + bytes(30) + data[-10:])
+        rangecoder.write_segment([1], [np.array([rangecoder.IDS])])
+    monkeypatch.setattr(rangecoder, "BLOCK", 1000)  # one document over many blocks
+    names, back = rangecoder.read_segment(rangecoder.write_segment([None, 12, 13], docs))
+    assert all((a == b).all() for a, b in zip(docs, back))
 
 
 def test_token_files(spark):
+    from tokenizers import Tokenizer
+
     rows = [(k, "Some words " * (k % 7) + "été", "s", "en", 1, 1, "x") for k in range(50, 0, -1)] + ODD
+    rows += [(77, f"the same id {k} <|endoftext|>" * 3, "s", "en", 1, 1, "x") for k in range(60)]  # a hot id
     path = public_tokenizers.path("word_bpe_49k.json")
-    got = rangecoder.read_ids(rangecoder.write_ids(spark.createDataFrame(rows, SCHEMA), path)).collect()
-    t = tokens.WordTokens.load(path).library
-    want, at = [], 0
-    ids = [(r[0], t.encode(r[1] or "", add_special_tokens=False).ids + [2]) for r in rows]
-    for name, own in sorted(ids, key=lambda x: (x[0] is not None, x[0] or 0, np.array(x[1], "<u2").tobytes())):
-        want.append((name, at, len(own), zlib.crc32(np.array(own, "<u4").tobytes())))
-        at += len(own)
-    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got)
+    t = Tokenizer.from_file(path)
+    plain = lambda r: t.encode(r[1] or "", add_special_tokens=False).ids + [2]
+    files = rangecoder.write_ids(spark.createDataFrame(rows, SCHEMA).repartition(3), path)
+    assert max(r["count"] for r in files.selectExpr("bucket").groupBy("bucket").count().collect()) == 1
+    got = rangecoder.read_ids(files, with_ids=True).orderBy("start").collect()
+    at = 0
+    for r in got:
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(r["ids"]) // 4, zlib.crc32(r["ids"]))
+        at += r["n_tokens"]
+    order = [(r["doc_id"] is not None, r["doc_id"] or 0) for r in got]
+    assert order == sorted(order)
+    assert sorted((str(r[0]), plain(r)) for r in rows) == sorted((str(r["doc_id"]), np.frombuffer(r["ids"], "<u4").tolist()) for r in got)
     assert rangecoder.read_ids(rangecoder.write_ids(spark.createDataFrame([], SCHEMA), path)).count() == 0
 
 
