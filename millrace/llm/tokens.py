@@ -18,8 +18,8 @@ from array import array
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Units of each of the two generations kept, and the length in bytes beyond which a unit isn't.
-UNITS, LONGEST = 400_000, 64
+#: Units of a table, some 200 bytes each, and the length in bytes beyond which a unit isn't kept.
+UNITS, LONGEST = 700_000, 32
 
 _LOADED: dict[tuple[str, str], "_Tokens"] = {}
 
@@ -41,7 +41,37 @@ _LETTERS = _byte_letters()
 _BLANK = _LETTERS[32]
 
 
+#: Second bytes of Latin letters with marks (the first is 0xC3): capitals to their small letters.
+_SMALL = bytes(c + 32 if 0x80 <= c <= 0x9E else c for c in range(256))
+
+
+class _Table(dict):
+    """The ids of units; a unit asked for first is learnt. A full table learns without keeping, which costs
+    less than to turn over what recurs, and begins anew once it has missed too often."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn, self.missed = learn, 0
+
+    def __missing__(self, unit: bytes) -> bytes:
+        ids = self.learn(unit)
+        if len(unit) <= LONGEST:
+            if len(self) < UNITS:
+                self[unit] = ids
+            else:
+                self.missed += 1
+        return ids
+
+    def renew(self) -> None:
+        if self.missed > 4 * UNITS:
+            self.clear()
+            self.missed = 0
+
+
 class _Tokens:
+    #: Of an id in the bytes that stand for ids.
+    type = "I"
+
     @classmethod
     def load(cls, path: str):
         """One table for a worker's whole life."""
@@ -53,22 +83,22 @@ class _Tokens:
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
-        # what a text needs to hold the text of an added token, in any case: its first two characters
-        self.marks = {t.content[:2].lower().encode("utf-8") for t in self.library.get_added_tokens_decoder().values()}
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        if self.library.get_vocab_size() > 1 << 8 * np.dtype(self.type).itemsize:
+            raise ValueError(f"ids of {path} don't fit {self.type}")
+        # what a text needs to hold the text of an added token: its first two characters
+        self.marks = {t.content[:2].encode("utf-8") for t in self.library.get_added_tokens_decoder().values()}
+        self.known = _Table(self.learn)
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def whole(self, raw: bytes) -> bytes:
+        return array(self.type, self.library.encode(raw.decode("utf-8"), add_special_tokens=False).ids).tobytes()
 
-    def split(self, raw: bytes) -> list[bytes] | None:
-        """The text's units, or None if it must be encoded whole."""
+    def parts(self, raw: bytes) -> list[bytes] | None:
+        """The ids of the text's units, or None if it must be encoded whole."""
         raise NotImplementedError
 
     def letters(self, word: bytes) -> str:
         """A plain word as the library hands it to its merges."""
-        text = word.decode("latin-1")
-        return text.replace(" ", _BLANK) if text.isascii() else text.translate(_LETTERS)
+        raise NotImplementedError
 
     def learn(self, unit: bytes) -> bytes:
         """The ids of a unit not met before."""
@@ -80,51 +110,42 @@ class _Tokens:
         elif m := _WORD.fullmatch(unit):
             word, marks = m.groups()
         else:
-            return self.whole(unit.decode("utf-8"))
+            return self.whole(unit)
         if marks:
             return self.of(word) + self.of(marks)
-        return array("I", [t.id for t in self.model.tokenize(self.letters(word))]).tobytes()
+        return array(self.type, [t.id for t in self.model.tokenize(self.letters(word))]).tobytes()
 
     def of(self, unit: bytes) -> bytes:
-        ids = self.known.get(unit)
-        if ids is None:
-            ids = self.older.get(unit)
-            ids = self.learn(unit) if ids is None else ids
-            if len(unit) <= LONGEST:
-                self.known[unit] = ids
-        return ids
+        return self.known[unit]
 
     def encode(self, raws: list[bytes | None]) -> list[bytes]:
-        """The ids of each text, little-endian and 32 bits each."""
+        """The ids of each text, as numbers of ``type``."""
         out = []
         for raw in raws:
-            units = [] if not raw else None if self.added(raw) else self.split(raw)
-            if units is None:
-                out.append(self.whole(raw.decode("utf-8")))
-                continue
-            if len(self.known) > UNITS:
-                self.older, self.known = self.known, {}
-            known, long = self.known, {}
-            for unit in set(units).difference(known):
-                ids = self.of(unit)
-                if unit not in known:
-                    long[unit] = ids
-            out.append(b"".join([known.get(u) or long[u] for u in units] if long else [known[u] for u in units]))
+            parts = [] if not raw else None if any(mark in raw for mark in self.marks) else self.parts(raw)
+            out.append(self.whole(raw) if parts is None else b"".join(parts))
+            self.known.renew()
         return out
 
-    def added(self, raw: bytes) -> bool:
-        """Whether the text may hold that of an added token."""
-        return any(mark in raw for mark in self.marks)
-
 
 class WordTokens(_Tokens):
     """Lower-casing word tokenizer: white space only separates, so a text is cut at ASCII white space."""
 
-    def split(self, raw: bytes) -> list[bytes]:
-        return raw.lower().split()
+    type = "H"
+
+    def parts(self, raw: bytes) -> list[bytes]:
+        return list(map(self.known.__getitem__, raw.lower().split()))
+
+    def learn(self, unit: bytes) -> bytes:
+        if unit.isalpha():  # ASCII letters
+            return array("H", [t.id for t in self.model.tokenize(unit.decode("latin-1"))]).tobytes()
+        return super().learn(unit)
 
     def letters(self, word: bytes) -> str:
-        return super().letters(word if word.isascii() else word.decode("utf-8").lower().encode("utf-8"))
+        if word.isascii():
+            return word.decode("latin-1")
+        # bytes beyond ASCII that print in Latin-1 stand for themselves
+        return word.translate(_SMALL).decode("latin-1").replace("\x9f", _LETTERS[0x9F]).replace("\xa0", _LETTERS[0xA0]).replace("\xad", _LETTERS[0xAD])
 
 
 #: Bytes of white space beyond blank and line feed, ASCII or not: such texts are encoded whole.
@@ -135,20 +156,42 @@ _CUT = re.compile(rb"(?<=[^ \n])(?=[ \n][^ \n])")
 
 class ByteTokens(_Tokens):
     """Byte-level tokenizer: a blank belongs to the word after it. A text is cut before a single blank
-    or line feed that stands between two other characters; the pattern cuts there as well."""
+    or line feed that stands between two other characters; the pattern cuts there as well. Units with
+    a blank before them are known without it; those with none, or several, have a table of their own."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.known = _Table(self.behind)
+        self.bare = _Table(self.learn)
+
+    def behind(self, unit: bytes) -> bytes:
+        """The ids of a unit with the blank, or the line feed that it begins with, before it."""
+        if unit[0] != 10:
+            return self.learn(b" " + unit)
+        return self.of(b"\n") + self.of(unit[1:]) if len(unit) > 1 else self.learn(unit)
 
-    def split(self, raw: bytes) -> list[bytes] | None:
+    def of(self, unit: bytes) -> bytes:
+        if len(unit) > 1 and unit[1] not in b" \n":
+            if unit[0] == 32:
+                return self.known[unit[1:]]
+            if unit[0] == 10:  # a line feed before a word is a part of its own
+                return self.known[unit]
+        return self.bare[unit]
+
+    def parts(self, raw: bytes) -> list[bytes] | None:
         if len(raw.translate(None, _ODD_ASCII)) < len(raw) or any(x in raw for x in _ODD):
             return None
+        self.bare.renew()
         if b"  " in raw or b" \n" in raw or b"\n " in raw or b"\n\n" in raw or raw[:1] in b" \n" or raw[-1:] in b" \n":
-            return _CUT.split(raw)
+            return list(map(self.of, _CUT.split(raw)))
         units = raw.replace(b"\n", b" \n").split(b" ")
-        return [units[0], *[u if u[0] == 10 else b" " + u for u in units[1:]]]
+        parts = list(map(self.known.__getitem__, units))
+        parts[0] = self.of(units[0])
+        return parts
 
-    def learn(self, unit: bytes) -> bytes:
-        if len(unit) > 1 and unit[0] == 10 and unit[1] not in b" \n":  # a line feed before a word is a part of its own
-            return self.of(b"\n") + self.of(unit[1:])
-        return super().learn(unit)
+    def letters(self, word: bytes) -> str:
+        text = word.decode("latin-1")
+        return text.replace(" ", _BLANK) if text.isascii() else text.translate(_LETTERS)
 
 
 __all__ = ["ByteTokens", "WordTokens"]
