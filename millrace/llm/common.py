@@ -91,10 +91,12 @@ def text_hash(docs: DataFrame) -> Column:
     return F.xxhash64(docs["text"].cast("string"))
 
 
-def rows_by_key(docs: DataFrame, keys: DataFrame, matching: bool) -> DataFrame:
+def rows_by_key(docs: DataFrame, keys: DataFrame, matching: bool, hashed: Column | None = None) -> DataFrame:
     """The rows of ``docs``, as struct ``row`` with ``id`` and ``hash``, whose (doc_id, text_hash) is
-    among the keys, or is not. Nulls equal nulls. Texts aren't shuffled unless the keys are too many."""
-    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("id"), text_hash(docs).alias("hash"))
+    among the keys, or is not; ``hashed``: another hash of the row that the keys go by. Nulls equal nulls.
+    Texts aren't shuffled unless the keys are too many."""
+    hashed = text_hash(docs) if hashed is None else hashed
+    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("id"), hashed.alias("hash"))
     few = keys.count() <= BROADCAST_KEYS
     own = keys.select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"))
     return whole.join(F.broadcast(own) if few else own, same(F.col("id"), F.col("k_id")) & (F.col("hash") == F.col("k_hash")), "left_semi" if matching else "left_anti")

@@ -1,18 +1,23 @@
 """Quality rules: base counts of each text, and lines that recur across a host's documents.
 
 Lines are normalised (ASCII letters lower-cased, white space runs made one blank) and hashed. For
-each host the documents that contain a line are counted, each once however often it repeats the
-line. Copies of a document would make all their own lines look like boilerplate, so documents of a
-host that share their *least line hash* vote once: exact copies always do and near copies mostly do.
-A line above the limit, max(MIN_DOCS, SHARE of the host's votes), is boilerplate and is removed. A
-document is *depleted* and rejected if less than KEEP of its words remain.
+each host the *distinct documents* that contain a line are counted, each once however often it repeats
+the line; documents of equal text are one. A line is boilerplate, and is removed, above the host's limit:
+SHARE of the host's distinct documents, but MIN_DOCS at least and MAX_DOCS at most, so that a large host
+keeps no line that thousands of documents share. A document is *depleted* and rejected if less than KEEP
+of its words remain.
+
+Near copies are distinct documents, so a group of them larger than the limit makes its own lines
+boilerplate. Callers who want to keep such groups for a later step give ``copies``, a class for each
+text; then documents of one class count once (and one document alone is a class).
 
 Hot hosts are no burden: counts are pre-aggregated per task and dealt by host and line. Lines above
 the limit are a small written table, which Spark broadcasts only if its size allows.
 
 Defined results: a null text has no words and no lines and fails the base rule, an empty one
-likewise; a null host is a host of its own; repeated rows are each judged (and vote once); other
-columns are ignored (``judge``) or kept (``apply``).
+likewise; a null host is a host of its own; repeated rows are each judged, and alike; texts of any length
+are taken whole, one at a time; a count equal to the limit keeps the line, and exactly KEEP keeps the
+document; an empty table gives no rows; other columns are ignored (``judge``) or kept (``apply``).
 """
 
 from __future__ import annotations
@@ -27,15 +32,14 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_value, doc_columns, materialize, rows_by_key, same, text_hash
 
-MIN_WORDS, MIN_DOCS, SHARE, KEEP = 50, 10, 0.01, 0.2
+MIN_WORDS, MIN_DOCS, MAX_DOCS, SHARE, KEEP = 50, 10, 1000, 0.01, 0.2
 _SYMBOLS = b"#*$%&|<>"
 _NOT_SYMBOLS = bytes(c for c in range(256) if c not in _SYMBOLS)
 _TAIL = bytes(range(128, 192))  # UTF-8 bytes that start no character
 
 
 def line_key(line: bytes) -> int:
-    """64 bits of the normalised line's MD5, as a signed long; its order as an unsigned number is
-    that of the hash's text."""
+    """64 bits of the normalised line's MD5, as a signed long."""
     return int.from_bytes(hashlib.md5(b" ".join(line.lower().split()), usedforsecurity=False).digest()[:8], "big", signed=True)
 
 
@@ -95,40 +99,32 @@ def measured(docs: DataFrame, host: str = "source") -> DataFrame:
     return own.mapInArrow(step, _MEASURED)
 
 
-def _unsigned(key: Column) -> Column:
-    """Signed order of the result is unsigned order of the key."""
-    return key.bitwiseXOR(F.lit(-(1 << 63)))
-
-
 def _spot(host: str, key: str) -> Column:
     """One number for a line on a host."""
     return F.xxhash64(host, key)
 
 
-def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, copies: DataFrame | None = None) -> DataFrame:
+def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS, max_docs: int = MAX_DOCS, share: float = SHARE, copies: DataFrame | None = None) -> DataFrame:
     """spot and docs of the lines above their host's limit; a spot is a line's key and its host."""
-    own = rows.where(F.size("keys") > 0)
-    if copies is None:
-        own = own.withColumn("copy", F.array_min(F.transform("keys", _unsigned)))
-    else:  # equal texts are of one class
-        own = own.join(copies.groupBy("text_hash").agg(F.min("root").alias("copy")), "text_hash")
-    limits = own.groupBy("host").agg(F.greatest(F.lit(float(min_docs)), share * F.count_distinct("copy")).alias("limit"))
-    limits = materialize(limits, "limits")
+    own = rows.where(F.size("keys") > 0).groupBy("host", "text_hash").agg(F.first("keys").alias("keys"))  # equal texts have equal lines
     if copies is None:
-        # rows of equal least key are copies of one document: the one with the most lines votes
-        votes = own.groupBy("host", "copy").agg(F.min_by(F.array_distinct("keys"), F.struct(-F.size("keys"), "text_hash")).alias("keys"))
-        votes = votes.select("host", F.explode("keys").alias("key"))
+        votes = own.withColumn("copy", F.col("text_hash"))
     else:
-        votes = own.select("host", "copy", F.explode("keys").alias("key")).distinct()
+        votes = own.join(copies.groupBy("text_hash").agg(F.min("root").alias("copy")), "text_hash")
+    limit = F.least(F.lit(float(max_docs)), F.greatest(F.lit(float(min_docs)), share * F.count_distinct("copy")))
+    limits = materialize(votes.groupBy("host").agg(limit.alias("limit")), "limits")
+    votes = votes.select("host", "copy", F.explode(F.array_distinct("keys")).alias("key"))
+    if copies is not None:
+        votes = votes.distinct()
     votes = votes.alias("v").join(limits.alias("h"), same(F.col("v.host"), F.col("h.host"))).select("v.host", "limit", "key")
     return votes.groupBy(_spot("host", "key").alias("spot")).agg(F.count("*").alias("docs"), F.max("limit").alias("limit")).where("docs > limit").select("spot", "docs")
 
 
-def judge(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, keep: float = KEEP, copies: DataFrame | None = None) -> DataFrame:
-    """Every row's counts, the words and keys of its lines above the limit, and the verdict.
-    ``copies``: text_hash and root (the near-copy class) of every row, by which documents vote."""
+def judge(docs: DataFrame, host: str = "source", keep: float = KEEP, **limits) -> DataFrame:
+    """Every row's counts, the words and keys of its lines above the limit, and the verdict. ``limits``
+    are those of frequent_lines; ``copies`` there: text_hash and root (the class) of every row."""
     rows = materialize(measured(docs, host), "lines")
-    frequent = materialize(frequent_lines(rows, min_docs, share, copies), "frequent")
+    frequent = materialize(frequent_lines(rows, **limits), "frequent")
     lines = rows.select("row", "host", F.explode(F.arrays_zip("keys", "sizes")).alias("line")).select("row", _spot("host", "line.keys").alias("spot"), "line.keys", "line.sizes")
     hits = lines.join(frequent, "spot", "left_semi")
     removed = hits.groupBy("row").agg(F.sum("sizes").alias("n_removed"), F.collect_set("keys").alias("removed"))
@@ -145,9 +141,11 @@ BROADCAST_LINES = 500_000
 
 def apply(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
     """The kept documents with all their columns, their boilerplate lines removed; n_chars, if there,
-    follows the text. Verdicts meet the texts by doc_id and text hash, so equal rows share theirs."""
-    verdicts = materialize(judge(docs, host, **limits).select("doc_id", "text_hash", "host", "kept", "removed"), "verdicts")
-    kept = rows_by_key(docs, verdicts.where("not kept").select("doc_id", "text_hash").distinct(), matching=False)
+    follows the text. Verdicts meet the texts by doc_id, text and host, on which alone they depend."""
+    place = F.xxhash64("text_hash", "host")
+    verdicts = materialize(judge(docs, host, **limits).select("doc_id", place.alias("text_hash"), "host", "kept", "removed"), "verdicts")
+    own_place = F.xxhash64(text_hash(docs), docs[host].cast("string"))
+    kept = rows_by_key(docs, verdicts.where("not kept").select("doc_id", "text_hash").distinct(), matching=False, hashed=own_place)
     touched = verdicts.where("kept and removed is not null")
     spots = materialize(touched.select("host", F.explode("removed").alias("key")).distinct(), "spots")
     names = docs.columns

@@ -122,14 +122,14 @@ ORACLES = {
         rep AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest(range(i, i + 3)) AS k FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM g) WHERE c > 1) GROUP BY r),
         raw_lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
         lines AS (SELECT r, line, i, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS size,
-                         substr(md5(translate(array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), 1, 16) AS key
+                         translate(array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
                   FROM raw_lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
         dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY r),
-        own AS (SELECT r, host, text, min(key) AS copy, count(*) AS n_lines FROM lines JOIN d USING (r) GROUP BY r, host, text),
-        votes AS (SELECT host, copy, arg_min(r, (-n_lines, r)) AS r FROM own GROUP BY host, copy),
-        lim AS (SELECT host, greatest(10, 0.01 * count(*)) AS lim FROM votes GROUP BY host),
-        freq AS (SELECT v.host, l.key FROM votes v JOIN (SELECT DISTINCT r, key FROM lines) l USING (r) JOIN lim ON lim.host IS NOT DISTINCT FROM v.host GROUP BY v.host, l.key, lim.lim HAVING count(*) > lim.lim),
-        rem AS (SELECT l.r, sum(l.size)::BIGINT AS n FROM lines l JOIN d USING (r) JOIN freq f ON f.key = l.key AND f.host IS NOT DISTINCT FROM d.host GROUP BY l.r),
+        texts AS (SELECT host, text, min(r) AS r FROM d WHERE r IN (SELECT r FROM lines) GROUP BY host, text),
+        lim AS (SELECT host, least(1000, greatest(10, 0.01 * count(*))) AS lim FROM texts GROUP BY host),
+        freq AS (SELECT t.host, l.norm FROM texts t JOIN (SELECT DISTINCT r, norm FROM lines) l USING (r) GROUP BY t.host, l.norm
+                 HAVING count(*) > (SELECT lim FROM lim WHERE lim.host IS NOT DISTINCT FROM t.host)),
+        rem AS (SELECT l.r, sum(l.size)::BIGINT AS n FROM lines l JOIN d USING (r) JOIN freq f ON f.norm = l.norm AND f.host IS NOT DISTINCT FROM d.host GROUP BY l.r),
         m AS (SELECT d.r, d.doc_id, len(w.w)::BIGINT AS n_words, len(array_to_string(w.w, ''))::BIGINT AS word_chars, len(regexp_extract_all(d.text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
                      coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(rem.n, 0)::BIGINT AS n_removed
               FROM d JOIN w USING (r) LEFT JOIN dup USING (r) LEFT JOIN rep USING (r) LEFT JOIN rem USING (r))
