@@ -28,15 +28,25 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.summarise(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-#: The rules, tier 0, and listed sites, tier 1, which decide where no rule fits.
 URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-LISTED_SITES = (("spam-farm.example.org/", "block"), ("cheap-pills.example.com/", "block"))
+#: Sites listed whole, under each of the top-level domains.
+LISTED_SITES = ("spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track", "adult-x")
+LISTED_DOMAINS = ("example.com", "example.net", "example.org")
+#: A series of listed pages, which makes the list as long as lists in use are: every tenth page of a site.
+LISTED_PAGES = 200_000
+
+
+def listed_urls(spark: SparkSession) -> DataFrame:
+    """The listed URLs, as people write them; the operator makes them canonical."""
+    sites = spark.createDataFrame([(f"HTTP://{s.title()}.{d}:80", "block") for s in LISTED_SITES for d in LISTED_DOMAINS], "entry string, verdict string")
+    pages = spark.range(LISTED_PAGES).select(F.concat(F.lit("https://blog.tionsh.example.com./en/./"), (F.col("id") * 10).cast("string")).alias("entry"), F.lit("block").alias("verdict"))
+    return sites.unionByName(pages)
 
 
 def op4_bloom_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = [(e, v, 0) for e, v in URL_RULES] + [(e, v, 1) for e, v in LISTED_SITES]
-    judged = urlfilter.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(entries, "entry string, verdict string, tier int"))
-    return judged.select("page_id", "host", "path", F.when(F.col("tier") == 0, F.col("entry")).alias("rule"), "verdict")
+    pages = table(spark, sf_dir, "pages")
+    rules = spark.createDataFrame(list(URL_RULES), "entry string, verdict string")
+    return urlfilter.judge(pages, rules, listed_urls(spark)).select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
 def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,12 +108,18 @@ ORACLES = {
                     'result', CASE WHEN n_results > 0 THEN json_object('content', content, 'turn', result_turn) END, 'status', status, 'turn', turn) AS VARCHAR) AS message
         FROM s""",
     "op4_bloom_url_filter": r"""
-        WITH l(e, v, tier) AS (VALUES ('net/', 'block', 0), ('example.net/en/', 'allow', 0), ('example.com/de/', 'block', 0), ('org/fr/', 'allow', 0), ('spam-farm.example.org/', 'block', 1), ('cheap-pills.example.com/', 'block', 1)),
+        WITH l(e, v) AS (VALUES ('net/', 'block'), ('example.net/en/', 'allow'), ('example.com/de/', 'block'), ('org/fr/', 'allow')),
+        sites(e) AS (SELECT s || '.' || d FROM (VALUES ('spam-farm'), ('cheap-pills'), ('casino-win'), ('free-bets'), ('ads-track'), ('adult-x')) a(s), (VALUES ('example.com'), ('example.net'), ('example.org')) b(d)),
+        listed(e) AS (SELECT 'blog.tionsh.example.com/en/' || (10 * i) FROM range(200000) t(i)),
         p AS (SELECT page_id, row_number() OVER () AS r, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                      coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-        f AS (SELECT r, arg_min(e, (tier, -length(e))) AS e, arg_min(v, (tier, -length(e))) AS v, min(tier) AS tier
-              FROM p JOIN l ON (host = split_part(e, '/', 1) OR ends_with(host, '.' || split_part(e, '/', 1))) AND starts_with(path, substr(e, strpos(e, '/'))) GROUP BY r)
-        SELECT page_id, host, path, CASE WHEN tier = 0 THEN e END AS rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN f USING (r)""",
+        c AS (SELECT r, rtrim(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS host, CASE WHEN path = '' THEN '/' ELSE path END AS path FROM p WHERE host <> ''),
+        f AS (SELECT r, arg_max(e, length(e)) AS e, arg_max(v, length(e)) AS v
+              FROM p JOIN l ON (host = split_part(e, '/', 1) OR ends_with(host, '.' || split_part(e, '/', 1))) AND starts_with(path, substr(e, strpos(e, '/'))) GROUP BY r),
+        b AS (SELECT r, max(e) AS e FROM (SELECT r, sites.e || '/' AS e, 1 FROM c JOIN sites ON c.host = sites.e OR ends_with(c.host, '.' || sites.e)
+                                          UNION ALL SELECT r, listed.e, 2 FROM c JOIN listed ON c.host || c.path = listed.e) GROUP BY r)
+        SELECT page_id, host, path, f.e AS rule, coalesce(f.v, CASE WHEN b.e IS NOT NULL THEN 'block' END, 'allow') AS verdict, CASE WHEN f.e IS NULL THEN b.e END AS listed
+        FROM p LEFT JOIN f USING (r) LEFT JOIN b USING (r)""",
     "op3_benchmark_decontamination": r"""
         WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+'), []::VARCHAR[]) AS w FROM documents),
         b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),

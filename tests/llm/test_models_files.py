@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from millrace.llm import hilbert, hmm, rangecoder, simhash, toolcalls, urlfilter
+from millrace.llm import hilbert, hmm, rangecoder, simhash, toolcalls
 
 SCHEMA = "doc_id long, text string, source string, lang string, n_chars int, shard int, slot string"
 ODD = [(1, "the cat sat", "s", "en", 11, 1, "x"), (2, None, None, None, None, None, None), (3, "", "s", "en", 0, 1, ""), (None, "no id", "s", "fr", 5, 1, "x"), (1, "the cat sat", "s", "en", 11, 1, "x"), (9, "é long " * 20000, "t", "de", 140000, 1, "x")]
@@ -178,41 +178,6 @@ def test_shards(spark):
     assert hilbert.assign(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_urls(spark):
-    listed = [("net/", "block", 0), ("example.net/en/", "allow", 0), ("example.com/de/", "block", 0), ("org/fr/", "allow", 0), ("b.org/x", "block", 1), ("b.org/x", "allow", 1), (None, "block", 0)]
-    hosts = ["example.net", "WWW.Example.NET", "net", "a.example.com", "example.com", "xexample.com", "b.org", "c.b.org", "", "x.net:80", "example.net."]
-    urls = [f"{s}://{h}{p}" for s in ("http", "a://b") for h in hosts for p in ("", "/", "/en/", "/en/x?y=/fr/", "/de/1#a", "/fr/", "/xyz", "?q", "/a//b/")] + ["none", "", None]
-    pages = spark.createDataFrame([(k, u, "h", "r") for k, u in enumerate(urls)], "page_id long, url string, host string, rule string")
-    rules = spark.createDataFrame(listed, "entry string, verdict string, tier int")
-    got = {r["page_id"]: r for r in urlfilter.judge(pages, rules).collect()}
-    for k, u in enumerate(urls):
-        host = path = ""
-        if u and "://" in u:
-            rest = u.split("://", 1)[1]
-            cut = min([i for i in (rest.find(c) for c in "/?#") if i >= 0], default=len(rest))
-            host, path = rest[:cut].lower(), rest[cut:].split("?")[0].split("#")[0]
-        fits = []
-        for e, v, tier in listed:
-            if e:
-                h, p = e.split("/", 1)
-                if (host == h or host.endswith("." + h)) and path.startswith("/" + p):
-                    fits.append((-tier, len(e), e, max(x[1] for x in listed if x[0] == e)))
-        best = max(fits, default=(0, 0, None, "allow"))
-        assert (got[k]["host"], got[k]["path"], got[k]["entry"], got[k]["verdict"]) == (host, path, best[2], best[3]), u
-    assert urlfilter.judge(pages, rules.limit(0)).where("entry is not null").isEmpty()
-    assert urlfilter.judge(pages.limit(0), rules).count() == 0
-
-
-def test_bloom_filter_misses_nothing(spark):
-    entries = spark.createDataFrame([(f"host{k}.net/",) for k in range(3000)], "entry string")
-    words = urlfilter.build(entries)
-    hashes = np.array([r[0] for r in entries.selectExpr("xxhash64(entry)").collect()])
-    other = np.array([r[0] for r in spark.range(20000).selectExpr("xxhash64(id)").collect()])
-    assert urlfilter.contains(words, hashes).all() and urlfilter.contains(words, other).mean() < 0.02
-    tight = urlfilter.build(entries, max_bytes=64)
-    assert len(tight) == 2 and urlfilter.contains(tight, hashes).all()
-
-
 def test_tool_calls(spark):
     schemas = {"f": {"type": "object", "required": ["n"], "properties": {"n": {"type": "integer", "minimum": 1}, "tags": {"type": "array", "items": {"type": "string"}}}, "additionalProperties": False}}
     chain = [(1, k, f"c{k}", "f", '{"n": 2.0, "tags": ["é"]}', f"c{k - 1}" if k else None) for k in range(20)]
