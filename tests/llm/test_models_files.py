@@ -3,6 +3,7 @@
 import itertools
 import json
 import math
+import shutil
 import zlib
 from collections import Counter, defaultdict
 
@@ -178,6 +179,39 @@ def test_shards(spark):
     assert hilbert.assign(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_cells_are_of_whole_values(spark):
+    long = "https://one-and-the-same-long-beginning.example/" * 3
+    rows = [(k, "t", f"{long}{k:03d}", "en", 0.1 + 0.8 * (k % 2)) for k in range(64)] + [(99, "t", None, None, None), (100, "t", "", "zz" * 1000, float("nan"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, score double")
+    got = {r["doc_id"]: r for r in hilbert.assign(docs, ("source", "score", "lang"), shards=4, bits=3).collect()}
+    cells = [got[k]["cell0"] for k in range(64)]
+    assert cells == sorted(cells) and max(Counter(cells).values()) <= 10 and len(set(cells)) == 8, "parts are equal whatever the values begin with"
+    assert {got[k]["cell1"] < got[k + 1]["cell1"] for k in range(0, 64, 2)} == {True}, "0.1 and 0.9 are apart"
+    assert (got[99]["cell0"], got[99]["cell1"], got[99]["cell2"]) == (0, 0, 0) and got[100]["cell1"] == max(r["cell1"] for r in got.values())
+
+
+def test_readers_skip_shards(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(k, f"text {k}", f"s{rng.integers(40):02d}", ["de", "en", "fr"][rng.integers(3)], int(rng.integers(1000)), k % 3, "x") for k in range(4000)]
+    docs = spark.createDataFrame(rows + ODD, SCHEMA)
+    statistics = hilbert.write_shards(docs, str(tmp_path / "out")).collect()
+    assert sum(r["rows"] for r in statistics) == len(rows + ODD) and len(statistics) == 16
+    for column, at, low, high in (("source", 2, "s03", "s05"), ("n_chars", 4, 100, 160), ("lang", 3, "de", "de")):
+        want = sorted(r[0] for r in rows + ODD if r[at] is not None and low <= r[at] <= high)
+        assert sorted(r["doc_id"] for r in hilbert.read_shards(spark, str(tmp_path / "out"), {column: (low, high)}).collect()) == want
+        kept = {r["shard"] for r in statistics if r["low"][column] <= high and r["high"][column] >= low}
+        assert len(kept) <= 9, (column, kept)
+        only = tmp_path / f"only-{column}"  # the other shards' rows aren't even there
+        shutil.copytree(tmp_path / "out" / "statistics", only / "statistics")
+        for k in kept:
+            shutil.copytree(tmp_path / "out" / "shards" / f"shard={k}", only / "shards" / f"shard={k}")
+        assert sorted(r["doc_id"] for r in hilbert.read_shards(spark, str(only), {column: (low, high)}).collect()) == want
+    every = hilbert.read_shards(spark, str(tmp_path / "out"), {})
+    assert sorted(map(str, every.collect())) == sorted(map(str, docs.collect()))
+    hilbert.write_shards(docs.limit(0), str(tmp_path / "none"))
+    assert hilbert.read_shards(spark, str(tmp_path / "none"), {"lang": ("a", "b")}).count() == 0
+
+
 def test_tool_calls(spark):
     schemas = {"f": {"type": "object", "required": ["n"], "properties": {"n": {"type": "integer", "minimum": 1}, "tags": {"type": "array", "items": {"type": "string"}}}, "additionalProperties": False}}
     chain = [(1, k, f"c{k}", "f", '{"n": 2.0, "tags": ["é"]}', f"c{k - 1}" if k else None) for k in range(20)]
