@@ -202,7 +202,8 @@ def test_readers_skip_shards(spark, tmp_path):
         kept = {r["shard"] for r in statistics if r["low"][column] <= high and r["high"][column] >= low}
         assert len(kept) <= 9, (column, kept)
         only = tmp_path / f"only-{column}"  # the other shards' rows aren't even there
-        shutil.copytree(tmp_path / "out" / "statistics", only / "statistics")
+        for part in ("statistics", "schema"):
+            shutil.copytree(tmp_path / "out" / part, only / part)
         for k in kept:
             shutil.copytree(tmp_path / "out" / "shards" / f"shard={k}", only / "shards" / f"shard={k}")
         assert sorted(r["doc_id"] for r in hilbert.read_shards(spark, str(only), {column: (low, high)}).collect()) == want
