@@ -9,8 +9,11 @@ Links between *distinct* fingerprints (copies share one, so they cost nothing) a
 1. Blocking. 64 bits are cut into 3 bands, and the rest of each into 3 again. Two fingerprints that
    differ in 2 bits or fewer agree on a band, and on one of its sub-bands, so each fingerprint
    goes under 9 keys of about 35 bits and no link is lost. A key's rows differ in 29 bits at most.
+   Keys of more than HOT fingerprints are cut again in the same way, by the 28 or 29 bits left, and dealt
+   by the longer keys, under which there are 2 ** 20 fingerprints at most. What a task gets for one key is
+   cut once more, by the bits that still vary, until PART or fewer are left.
 2. Pivot table. Each fingerprint's Hamming distances to PIVOTS fixed reference fingerprints are
-   computed once. Under a key, rows are sorted by the first distance; as |d(x,p) - d(y,p)| <= d(x,y),
+   computed once. In a part, rows are sorted by the first distance; as |d(x,p) - d(y,p)| <= d(x,y),
    only rows within 2 of each other there are paired, and a pair is discarded if any coordinate
    differs by more than 2.
 3. Survivors are verified by the exact distance. Each task joins what it has verified into trees,
@@ -19,9 +22,10 @@ Links between *distinct* fingerprints (copies share one, so they cost nothing) a
 Links are joined into classes by alternating large-star and small-star rounds, each cut by a
 written table. Nothing of this reaches the driver.
 
-Defined results: a null or empty text has the fingerprint zero and links as any other; a row without
+Defined results: a null or empty text has the fingerprint zero and links as any other; a text of any length
+is taken whole, its hashes a part at a time; a bit set in exactly half of the hashes is 0; a row without
 doc_id takes part, but a class is named by its smallest doc_id (null if it has none); repeated rows
-are all returned. Other columns are ignored.
+are all returned; an empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +43,10 @@ from .common import doc_columns, drop_table, materialize, rows_by_key, same, tex
 SHINGLE, SEED, MAX_BITS, PIVOTS = 3, 42, 2, 24
 #: Bit ranges of the bands; each band's sub-bands cut the 42 or 43 other bits.
 BANDS = ((0, 22), (22, 43), (43, 64))
+#: Fingerprints of a key from which on it is cut and dealt anew, and of a part that is compared.
+HOT, PART = 1 << 16, 512
+#: Hot keys that are broadcast at most; more meet their rows in a shuffle, dealt to SALTS parts.
+BROADCAST_HOT, SALTS = 200_000, 16
 
 
 def fingerprint(raw: bytes | None) -> int:
@@ -136,64 +144,146 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 HELD = 1 << 20
 
 
-def _link(keys: np.ndarray, fps: np.ndarray, references: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links among fingerprints under equal keys."""
+def _cut(values: np.ndarray, bits: list[int]) -> np.ndarray:
+    """Those bits of each value, packed."""
+    out = np.zeros(len(values), np.uint64)
+    for k, b in enumerate(bits):
+        out |= (values >> np.uint64(b) & np.uint64(1)) << np.uint64(k)
+    return out
+
+
+def _parts(fps: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """Parts of ``size`` or few fingerprints more, such that any two within MAX_BITS share one."""
+    todo = [fps]
+    while todo:
+        own = todo.pop()
+        varying = np.bitwise_or.reduce(own ^ own[0])
+        bits = [b for b in range(64) if int(varying) >> b & 1]
+        if len(own) <= size or len(bits) <= 3 * (MAX_BITS + 1):
+            yield own
+            continue
+        cuts = [len(bits) * i // (MAX_BITS + 1) for i in range(MAX_BITS + 2)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            value = _cut(own, bits[lo:hi])
+            order = np.argsort(value, kind="stable")
+            todo += [g for g in np.split(own[order], np.flatnonzero(np.diff(value[order])) + 1) if len(g) > 1]
+
+
+def _near(fps: np.ndarray, references: np.ndarray, seen: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs within MAX_BITS, found by the pivots' distances. ``seen`` counts pairs left by the first pivot,
+    by all pivots, and by the exact distance."""
     table = distance_table(fps, references)
-    order = np.lexsort((fps, table[:, 0], keys))
-    keys, fps, table = keys[order], fps[order], table[order]
+    order = np.argsort(table[:, 0], kind="stable")
+    fps, table = fps[order], table[order]
     first = table[:, 0]
-    left: list[np.ndarray] = []
-    right: list[np.ndarray] = []
-    held = 0
     at, step = np.arange(len(fps)), 0
     while len(at):
         step += 1
         at = at[at + step < len(fps)]
-        to = at + step
-        near = (keys[at] == keys[to]) & (first[to] - first[at] <= MAX_BITS)
-        at = at[near]  # sorted: beyond a miss there is nothing nearer
-        to = at + step
-        x, y = at, to
+        at = at[first[at + step] - first[at] <= MAX_BITS]  # sorted: beyond a miss there is nothing nearer
+        x, y = at, at + step
+        if seen is not None:
+            seen[0] += len(x)
         for p in range(1, table.shape[1]):  # the next coordinate looks at what is left
             ok = np.abs(table[x, p] - table[y, p]) <= MAX_BITS
             x, y = x[ok], y[ok]
             if not len(x):
                 break
+        if seen is not None:
+            seen[1] += len(x)
         ok = np.bitwise_count(fps[x] ^ fps[y]) <= MAX_BITS
-        x, y = x[ok], y[ok]
-        if len(x):
-            left.append(fps[x])
-            right.append(fps[y])
-            held += len(x)
-        if held > HELD:
-            a, b = forest(np.concatenate(left), np.concatenate(right))
-            left, right, held = [a], [b], 0
-    if not left:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        if seen is not None:
+            seen[2] += int(ok.sum())
+        if ok.any():
+            yield fps[x[ok]], fps[y[ok]]
+
+
+def _link(keys: np.ndarray, fps: np.ndarray, references: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links among fingerprints under equal keys."""
+    order = np.argsort(keys, kind="stable")
+    keys, fps = keys[order], fps[order]
+    left, right, held = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], 0
+    for group in np.split(fps, np.flatnonzero(np.diff(keys)) + 1):
+        if len(group) < 2:
+            continue
+        for part in _parts(group, PART):
+            for a, b in _near(part, references):
+                left.append(a)
+                right.append(b)
+                held += len(a)
+                if held > HELD:
+                    a, b = forest(np.concatenate(left), np.concatenate(right))
+                    left, right, held = [a], [b], 0
     return forest(np.concatenate(left), np.concatenate(right))
 
 
-def links(fps: DataFrame, references: int = PIVOTS) -> DataFrame:
+def _free_bits(tag: int) -> list[int]:
+    """The bits that a key of blocking_keys leaves open."""
+    (lo, hi), s = BANDS[tag // 3], tag % 3
+    rest = [*range(lo), *range(hi, 64)]
+    cuts = [len(rest) * i // 3 for i in range(4)]
+    return rest[: cuts[s]] + rest[cuts[s + 1] :]
+
+
+def _longer_keys(rows: DataFrame) -> DataFrame:
+    """key and fp for each of the three parts of the bits that the rows' keys leave open."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            for tag in np.unique(keys >> 40).tolist():
+                here = np.flatnonzero(keys >> 40 == tag)
+                bits = _free_bits(tag)
+                cuts = [len(bits) * i // 3 for i in range(4)]
+                for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+                    # a hash: keys that fall together cost comparisons and no link
+                    longer = [xxhash.xxh64_intdigest(b, SEED) - (1 << 63) for b in np.stack([keys[here].view(np.uint64), _cut(fps[here], bits[lo:hi]), np.full(len(here), k, np.uint64)], axis=1).astype("<u8").view("V24").ravel().tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(longer, pa.int64()), pa.array(fps[here].view(np.int64))], names=["key", "fp"])
+
+    return rows.select("key", "fp").mapInArrow(step, "key long, fp long")
+
+
+def _cut_hot(keyed: DataFrame, hot_size: int) -> DataFrame:
+    """The rows with those under hot keys dealt to longer ones."""
+    hot = materialize(keyed.groupBy("key").count().where(F.col("count") > hot_size).select("key"), "hot")
+    n = hot.count()
+    if not n:
+        return keyed
+    if n <= BROADCAST_HOT:
+        marked = keyed.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "key", "left")
+    else:
+        salted = hot.select("key", F.lit(True).alias("hot"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        marked = keyed.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"], "left")
+    return marked.where("hot is null").select("key", "fp").unionByName(_longer_keys(marked.where("hot")))
+
+
+def links(fps: DataFrame, references: int = PIVOTS, hot_size: int = HOT) -> DataFrame:
     """Links a-b between distinct fingerprints, enough of them to reach what all links reach."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pivots(references)
-        kept_keys, kept_fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def out(keys, fps):
-            a, b = _link(keys, fps, table)
+        def out(held):
+            a, b = _link(np.concatenate([k for k, _ in held]), np.concatenate([f for _, f in held]), table)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
         for batch in batches:  # sorted by key; the last key's rows wait for the next batch
-            keys = np.concatenate([kept_keys, batch.column(0).to_numpy()])
-            fps = np.concatenate([kept_fps, batch.column(1).to_numpy().view(np.uint64)])
+            keys, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            if not len(keys):
+                continue
             cut = int(np.searchsorted(keys, keys[-1]))
-            kept_keys, kept_fps = keys[cut:], fps[cut:]
             if cut:
-                yield out(keys[:cut], fps[:cut])
-        yield out(kept_keys, kept_fps)
-
-    keyed = blocking_keys(fps)
+                yield out([*kept, (keys[:cut], fps[:cut])])
+                kept = []
+            elif kept and kept[-1][0][-1] != keys[0]:
+                yield out(kept)
+                kept = []
+            kept.append((keys[cut:], fps[cut:]))
+        if kept:
+            yield out(kept)
+
+    keyed = _cut_hot(blocking_keys(fps), hot_size)
     parts = max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     return keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(step, "a long, b long")
 

@@ -44,7 +44,10 @@ def test_fingerprint(words):
     assert simhash.fingerprint(" ".join(words).encode()) == plain_fingerprint(" ".join(words))
 
 
-def test_links_reach_what_all_pairs_reach(spark):
+@pytest.mark.parametrize("hot,part,few", [(simhash.HOT, simhash.PART, 10**6), (20, 16, 10**6), (20, 16, 0)])
+def test_links_reach_what_all_pairs_reach(spark, monkeypatch, hot, part, few):
+    monkeypatch.setattr(simhash, "PART", part)
+    monkeypatch.setattr(simhash, "BROADCAST_HOT", few)
     rng = random.Random(5)
     base = [rng.getrandbits(64) for _ in range(40)] + [0, (1 << 64) - 1]
     fps = set(base)
@@ -56,9 +59,10 @@ def test_links_reach_what_all_pairs_reach(spark):
                 x ^= 1 << rng.randrange(64)
             near.append(x)
         fps.update(near)
+    fps.update(base[9] ^ (rng.getrandbits(28) << 2) for _ in range(600))  # a family under one key
     fps = sorted(fps)
     frame = spark.createDataFrame([(simhash.signed(x),) for x in fps], "fp long")
-    roots = {r["node"]: r["root"] for r in simhash.classes(simhash.links(frame)).collect()}
+    roots = {r["node"]: r["root"] for r in simhash.classes(simhash.links(frame, hot_size=hot)).collect()}
     want, got = defaultdict(set), defaultdict(set)
     for x, c in zip(fps, plain_classes(fps)):
         want[c].add(x)
@@ -66,6 +70,27 @@ def test_links_reach_what_all_pairs_reach(spark):
     assert sorted(map(sorted, want.values())) == sorted(map(sorted, got.values()))
 
 
+def test_parts_lose_no_pair(monkeypatch):
+    rng = np.random.default_rng(8)
+    fps = np.unique(rng.integers(0, 1 << 16, 3000).astype(np.uint64) * np.uint64(1 << 20))
+    want = plain_classes(fps.tolist())
+    for size in (4, 60, 10**6):
+        monkeypatch.setattr(simhash, "PART", size)
+        a, b = simhash._link(np.zeros(len(fps), np.int64), fps, simhash.pivots())
+        roots = dict(zip(a.tolist(), b.tolist()))
+        assert len({(roots.get(int(x), int(x)), c) for x, c in zip(fps, want)}) == len(set(want))
+
+
+def test_large_families_take_little_time():
+    import time
+
+    rng = np.random.default_rng(6)
+    fps = np.unique(rng.integers(0, 1 << 28, 200_000).astype(np.uint64) << np.uint64(3))
+    began = time.perf_counter()
+    simhash._link(np.zeros(len(fps), np.int64), fps, simhash.pivots())
+    assert time.perf_counter() - began < 60, "all pairs would be 2e10"
+
+
 def test_components_of_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(5000))
     rows = [(4, long, "x", 1), (2, long + " more", "x", 1), (9, None, None, None), (3, "", "x", 0), (None, "alone here now ok", "x", 1), (4, long, "x", 1), (7, " \n", "x", 2), (8, "Other words entirely in this one", "x", 1)]
