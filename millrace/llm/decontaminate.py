@@ -5,14 +5,22 @@ ASCII; all else separates. A *window* is WIDTH consecutive words of an item, or
 shorter one. A document word is hit if it lies in an occurrence of a window.
 
 Any run of WIDTH = 2 * SEED words holds a whole aligned piece of SEED words, so the automaton has
-those pieces only: its size follows the items' text and not WIDTH times it. The text is scanned
-once; each piece found is extended to the longest run that agrees with the item, and runs of WIDTH
-words or more are kept. That is exact.
+those pieces (and the short items) only: its size follows the items' text and not WIDTH times it. The text
+is scanned once. A piece found may lie at any of WIDTH - SEED + 1 places of a window; the document's
+windows around it, each looked at once, are looked up in a table of all items' windows by their 128-bit
+hash. So the work on a text grows with its words, however repetitive it or the items are.
+
+What is found is mapped back to the original text, in code points.
+
+An automaton holds AUTOMATON_BYTES of items, which bounds what is broadcast and what workers hold. A larger
+benchmark is taken in groups, one after the other: the documents' texts are written once and scanned once
+for each group, and what the groups find is joined.
 
 Defined results: a null or empty text has no words and no hit; an item without words matches
-nothing; items of equal text are all reported; repeated rows are each judged; an empty benchmark
-leaves every document clean. Other columns of either table are ignored (``scan``) or kept
-(``drop_contaminated``).
+nothing; items of equal text are all reported; an item without item_id hits but is not counted or named;
+repeated rows are each judged; texts of any length are scanned whole; what touches or overlaps is one hit;
+an empty benchmark leaves every document clean; an empty table gives no rows. Other columns of either
+table are ignored (``scan``) or kept (``drop_contaminated``).
 """
 
 from __future__ import annotations
@@ -28,82 +36,114 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_value, doc_columns, materialize, prepare
+from .common import broadcast_value, doc_columns, materialize, prepare, rows_by_key, text_hash
 
 WIDTH = 10
 #: Words of an aligned piece: every window of WIDTH words holds at least one.
 SEED = WIDTH // 2
-#: Bytes of item text in one automaton (about 40 times that in memory); more items take more passes.
+#: Bytes of item text in one automaton (about 60 times that in memory).
 AUTOMATON_BYTES = 4 << 20
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 _WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 
-SPAN = "array<struct<item_id:string,word_start:int,word_end:int,char_start:int,char_end:int>>"
+SPANS = "array<struct<item_id:string,word_start:int,word_end:int,char_start:int,char_end:int>>"
+HITS = "array<struct<word_start:int,word_end:int,char_start:int,char_end:int>>"
+_HIT = [("word_start", pa.int32()), ("word_end", pa.int32()), ("char_start", pa.int32()), ("char_end", pa.int32())]
+_SPANS_TYPE, _HITS_TYPE = pa.list_(pa.struct([("item_id", pa.string()), *_HIT])), pa.list_(pa.struct(_HIT))
 
 
 def words_of(raw: bytes | None) -> list[bytes]:
     return raw.translate(_FOLD).split() if raw else []
 
 
+def _key(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
 class Matcher:
-    """The automaton of some items and the runs it finds."""
+    """The automaton of some items, and the stretches of a text that their windows cover."""
 
     def __init__(self, items: list[tuple[str | None, bytes | None]]):
-        self.items: list[tuple[str | None, list[bytes]]] = []
-        seeds: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        self.names: list[str | None] = []
+        self.window: dict[bytes, int] = {}
+        self.holders: list[list[int]] = []  # the items that have the window of that number
+        seeds: set[bytes] = set()
+        short: dict[bytes, list[int]] = defaultdict(list)
         for item_id, raw in items:
             words = words_of(raw)
             if not words:
                 continue
-            at = len(self.items)
-            self.items.append((item_id, words))
+            at = len(self.names)
+            self.names.append(item_id)
             if len(words) < WIDTH:
-                seeds[b" ".join(words)].append((at, 0))
-            else:
-                for start in range(0, len(words) - SEED + 1, SEED):
-                    seeds[b" ".join(words[start : start + SEED])].append((at, start))
+                short[b" ".join(words)].append(at)
+                continue
+            seeds.update(b" ".join(words[k : k + SEED]) for k in range(0, len(words) - SEED + 1, SEED))
+            for k in range(len(words) - WIDTH + 1):
+                number = self.window.setdefault(_key(words[k : k + WIDTH]), len(self.holders))
+                if number == len(self.holders):
+                    self.holders.append([at])
+                elif self.holders[number][-1] != at:
+                    self.holders[number].append(at)
         self.machine = ahocorasick.Automaton()
-        for seed, places in seeds.items():
+        for seed in seeds | set(short):
+            number = -1
+            if seed in short:
+                number = len(self.holders)
+                self.holders.append(short[seed])
             key = f" {seed.decode('latin-1')} "
-            self.machine.add_word(key, (len(key), seed.count(b" ") + 1, places))
-        if seeds:
+            self.machine.add_word(key, (len(key), seed.count(b" ") + 1, number, seed in seeds))
+        if self.names:
             self.machine.make_automaton()
 
-    def runs(self, words: list[bytes]) -> list[tuple[int, int, int]]:
-        """(item, first word, word after the last) of every maximal run, in order of discovery."""
-        if not self.items or not words:
-            return []
+    def occurrences(self, words: list[bytes]) -> Iterator[tuple[int, int, int]]:
+        """(window's number, first word, word after the last), each once."""
+        if not self.names or not words:
+            return
         text = (b" " + b" ".join(words) + b" ").decode("latin-1")
-        found: list[tuple[int, int, int]] = []
-        ends: dict[tuple[int, int], int] = {}
-        spaces = None
-        for end, (size, n_seed, places) in self.machine.iter(text):
+        spaces = tried = None
+        for end, (size, n, number, piece) in self.machine.iter(text):
             if spaces is None:
                 spaces = np.flatnonzero(np.frombuffer(text.encode("latin-1"), np.uint8) == 32)
+                tried = bytearray(len(words))
             at = int(np.searchsorted(spaces, end - size + 1))
-            for item, offset in places:
-                if at < ends.get((item, at - offset), -1):
-                    continue  # within a run that is known already
-                own = self.items[item][1]
-                lo, hi, i, j = at, at + n_seed, offset, offset + n_seed
-                while lo > 0 and i > 0 and words[lo - 1] == own[i - 1]:
-                    lo, i = lo - 1, i - 1
-                while hi < len(words) and j < len(own) and words[hi] == own[j]:
-                    hi, j = hi + 1, j + 1
-                ends[item, at - offset] = hi
-                if hi - lo >= min(WIDTH, len(own)):
-                    found.append((item, lo, hi))
-        return found
-
-
-def covered(runs: list[tuple[int, int]]) -> int:
-    """Words in the union of half-open runs."""
-    total, last = 0, 0
-    for lo, hi in sorted(runs):
-        total += max(0, hi - max(lo, last))
-        last = max(last, hi)
-    return total
+            if number >= 0:
+                yield number, at, at + n
+            if piece:
+                for start in range(max(0, at - WIDTH + SEED), min(at, len(words) - WIDTH) + 1):
+                    if not tried[start]:
+                        tried[start] = 1
+                        found = self.window.get(_key(words[start : start + WIDTH]))
+                        if found is not None:
+                            yield found, start, start + WIDTH
+
+    def runs(self, words: list[bytes]) -> list[tuple[int, int, int]]:
+        """(item, first word, word after the last) of every stretch that an item's windows cover."""
+        places: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for number, lo, hi in self.occurrences(words):
+            places[number].append((lo, hi))
+        if not places:
+            return []
+        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for number, spans in places.items():
+            for item in self.holders[number]:
+                found[item] += spans
+        return sorted((lo, hi, item) for item, spans in found.items() for lo, hi in joined(spans))
+
+    def hit(self, words: list[bytes]) -> bool:
+        return next(self.occurrences(words), None) is not None
+
+
+def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Half-open spans, those that touch or overlap made one."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(spans):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], hi))
+        else:
+            out.append((lo, hi))
+    return out
 
 
 def char_spans(raw: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -112,6 +152,12 @@ def char_spans(raw: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]
     return [(spans[lo][0], spans[hi - 1][1]) for lo, hi in runs]
 
 
+def hits_of(spans: list[dict]) -> list[dict]:
+    """What spans of any items cover together."""
+    place = {s["word_start"]: s["char_start"] for s in spans} | {-s["word_end"]: s["char_end"] for s in spans}
+    return [{"word_start": lo, "word_end": hi, "char_start": place[lo], "char_end": place[-hi]} for lo, hi in joined([(s["word_start"], s["word_end"]) for s in spans])]
+
+
 _MATCHERS: dict[str, Matcher] = {}
 
 
@@ -124,62 +170,85 @@ def _matcher(handle) -> Matcher:
     return _MATCHERS[key]
 
 
-def _item_groups(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str | None, bytes | None]]]:
-    """The items in groups of about ``limit`` bytes, one at a time on the driver."""
+def _groups(benchmark: DataFrame, limit: int) -> tuple[int, Iterator]:
+    """How many groups of about ``limit`` bytes the items make, and the groups as broadcasts, one at a time."""
     own = benchmark.select(benchmark["item_id"].cast("string").alias("item_id"), benchmark["text"].cast("string").cast("binary").alias("raw"))
-    total = own.agg(F.sum(F.length("raw"))).first()[0] or 0
-    groups = max(1, -(-total // limit))
-    for g in range(groups):
-        part = own if groups == 1 else own.where(F.pmod(F.xxhash64("item_id", "raw"), F.lit(groups)) == g)
-        yield [(r[0], bytes(r[1]) if r[1] is not None else None) for r in part.collect()]
+    count = max(1, -(-(own.agg(F.sum(F.length("raw"))).first()[0] or 0) // limit))
+
+    def each():
+        for g in range(count):
+            part = own if count == 1 else own.where(F.pmod(F.xxhash64("item_id", "raw"), F.lit(count)) == g)
+            items = [(r[0], bytes(r[1]) if r[1] is not None else None) for r in part.collect()]
+            yield broadcast_value(benchmark.sparkSession, (hashlib.sha256(repr(items).encode()).hexdigest(), items))
+
+    return count, each()
+
+
+def _spans(matcher: Matcher, raw: bytes | None) -> tuple[int, list[dict]]:
+    words = words_of(raw)
+    runs = matcher.runs(words)
+    places = char_spans(raw, [r[:2] for r in runs]) if runs else []
+    return len(words), [{"item_id": matcher.names[i], "word_start": lo, "word_end": hi, "char_start": a, "char_end": b} for (lo, hi, i), (a, b) in zip(runs, places)]
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
-    """doc_id, raw, n_words and spans: each maximal run found, with its place in words and in code
-    points of the original text, ordered by place and item. One pass over the documents for every
-    ``automaton_bytes`` of item text; a normal benchmark needs one."""
-    spark = docs.sparkSession
-    state = doc_columns(docs)
-    for g, items in enumerate(_item_groups(benchmark, automaton_bytes)):
-        if g:
-            state = materialize(state, "decontaminate")
-        digest = hashlib.sha256(repr(items).encode()).hexdigest()
-        handle = broadcast_value(spark, (digest, items))
-
-        def step(batches: Iterator[pa.RecordBatch], handle=handle, first=not g) -> Iterator[pa.RecordBatch]:
+    """doc_id, text_hash, n_words, spans (what each item's windows cover) and hits (what all cover together),
+    with their places in words and in code points of the original text, in order."""
+    count, groups = _groups(benchmark, automaton_bytes)
+    own = doc_columns(docs, text_hash(docs).alias("text_hash"))
+    names = ["doc_id", "text_hash", "n_words", "spans", "hits"]
+    prepare(docs.sparkSession)
+
+    if count == 1:
+        handle = next(groups)
+
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(handle)
+            for batch in batches:
+                found = [_spans(matcher, raw) for raw in batch.column(1).to_pylist()]
+                arrays = [batch.column(0), batch.column(2), pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], _SPANS_TYPE), pa.array([hits_of(s) if s else [] for _, s in found], _HITS_TYPE)]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+        return own.mapInArrow(step, f"doc_id long, text_hash long, n_words long, spans {SPANS}, hits {HITS}")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            counts = [len(words_of(raw)) for raw in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), pa.array(np.arange(row, row + len(counts)))], names=["doc_id", "raw", "text_hash", "n_words", "row"])
+            row += len(counts)
+
+    base = materialize(own.mapInArrow(number, "doc_id long, raw binary, text_hash long, n_words long, row long"), "texts")
+    found = None
+    for handle in groups:
+
+        def step(batches: Iterator[pa.RecordBatch], handle=handle) -> Iterator[pa.RecordBatch]:
             matcher = _matcher(handle)
             for batch in batches:
-                raws = batch.column(1).to_pylist()
-                old = [None] * len(raws) if first else batch.column(3).to_pylist()
-                counts, spans = [], []
-                for raw, before in zip(raws, old):
-                    words = words_of(raw)
-                    counts.append(len(words))
-                    runs = matcher.runs(words)
-                    row = before or []
-                    if runs:
-                        places = char_spans(raw, [r[1:] for r in runs])
-                        row = row + [{"item_id": matcher.items[i][0], "word_start": lo, "word_end": hi, "char_start": a, "char_end": b} for (i, lo, hi), (a, b) in zip(runs, places)]
-                        row.sort(key=lambda s: (s["word_start"], s["word_end"], s["item_id"] or ""))
-                    spans.append(row)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(spans, _SPAN_TYPE)], names=["doc_id", "raw", "n_words", "spans"])
+                spans = [_spans(matcher, raw)[1] for raw in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _SPANS_TYPE)], names=["row", "spans"]).filter(pa.array([bool(s) for s in spans], pa.bool_()))
 
-        state = state.mapInArrow(step, f"doc_id long, raw binary, n_words long, spans {SPAN}")
-    return state
+        part = materialize(base.select("row", "raw").mapInArrow(step, f"row long, spans {SPANS}"), "spans")
+        handle.unpersist()
+        found = part if found is None else found.unionByName(part)
+    found = found.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [sorted(s or [], key=lambda x: (x["word_start"], x["word_end"], x["item_id"] or "")) for s in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(spans, _SPANS_TYPE), pa.array([hits_of(s) for s in spans], _HITS_TYPE)], names=names)
 
-_SPAN_TYPE = pa.list_(pa.struct([("item_id", pa.string()), ("word_start", pa.int32()), ("word_end", pa.int32()), ("char_start", pa.int32()), ("char_end", pa.int32())]))
+    return base.drop("raw").join(found, "row", "left").select("doc_id", "text_hash", "n_words", "spans").mapInArrow(join, f"doc_id long, text_hash long, n_words long, spans {SPANS}, hits {HITS}")
 
 
 def summarise(scanned: DataFrame) -> DataFrame:
-    """One row for each document: words, hit words, items, their digest and the verdict. The hit
-    words are the union of the runs, folded over spans that scan() has put in order."""
-    step = lambda acc, s: F.struct(
-        (acc["n"] + F.greatest(F.lit(0), s["word_end"] - F.greatest(s["word_start"], acc["last"]))).alias("n"),
-        F.greatest(acc["last"], s["word_end"]).alias("last"),
-    )
-    n_hit = F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("last")), step)["n"].cast("long")
+    """One row for each document: words, hit words, items, their digest, the verdict, and the hits' places
+    in the text as start:end, comma-joined."""
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["word_end"] - h["word_start"])
     items = F.array_sort(F.array_distinct(F.filter(F.transform("spans", lambda s: s["item_id"]), lambda i: i.isNotNull())))
+    places = F.transform("hits", lambda h: F.concat_ws(":", h["char_start"].cast("string"), h["char_end"].cast("string")))
     return scanned.select(
         "doc_id",
         "n_words",
@@ -187,24 +256,23 @@ def summarise(scanned: DataFrame) -> DataFrame:
         F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
+        F.array_join(places, ",").alias("places"),
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
     """The documents without any hit, with all their columns."""
-    spark, groups = docs.sparkSession, list(_item_groups(benchmark, AUTOMATON_BYTES))
     prepare(docs.sparkSession)
-    at = docs.columns.index("text")
-    for items in groups:  # each pass drops what its items hit
-        handle = broadcast_value(spark, (hashlib.sha256(repr(items).encode()).hexdigest(), items))
-
-        def step(batches: Iterator[pa.RecordBatch], handle=handle) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(handle)
-            for batch in batches:
-                raws = batch.column(at).cast(pa.binary()).to_pylist()
-                yield batch.filter(pa.array([not matcher.runs(words_of(raw)) for raw in raws], pa.bool_()))
-
-        docs = docs.mapInArrow(step, docs.schema)
-        if len(groups) > 1:
-            docs = materialize(docs, "decontaminate")
-    return docs
+    count, groups = _groups(benchmark, automaton_bytes)
+    if count > 1:
+        scanned = materialize(scan(docs, benchmark, automaton_bytes).select("doc_id", "text_hash", F.size("hits").alias("n")), "scanned")
+        return rows_by_key(docs, scanned.where("n > 0").select("doc_id", "text_hash").distinct(), matching=False).select("row.*")
+    handle, at = next(groups), docs.columns.index("text")
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = _matcher(handle)
+        for batch in batches:
+            raws = batch.column(at).cast(pa.binary()).to_pylist()
+            yield batch.filter(pa.array([not matcher.hit(words_of(raw)) for raw in raws], pa.bool_()))
+
+    return docs.mapInArrow(step, docs.schema)

@@ -128,9 +128,17 @@ ORACLES = {
         pos AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n),
         hit AS (SELECT p.r, p.i, p.n, x.item_id FROM pos p JOIN win x ON x.n = p.n AND x.s = array_to_string(p.w[p.i:p.i + p.n - 1], ' ')),
         hw AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM hit) GROUP BY r),
+        -- places in the text: separators and words in turn, their lengths added up
+        part AS (SELECT r, doc_id, text, regexp_extract_all(text, '[0-9A-Za-z\x{80}-\x{10FFFF}]+') AS w, string_split_regex(text, '[0-9A-Za-z\x{80}-\x{10FFFF}]+') AS sep
+                 FROM (SELECT doc_id, text, row_number() OVER () AS r FROM documents) WHERE r IN (SELECT r FROM hit)),
+        word AS (SELECT r, k, sum(gap + size) OVER (PARTITION BY r ORDER BY k) AS stop, size
+                 FROM (SELECT r, unnest(range(1, len(w) + 1)) AS k, length(unnest(w)) AS size, length(unnest(sep[1:len(w)])) AS gap FROM part)),
+        run AS (SELECT r, k, k - row_number() OVER (PARTITION BY r ORDER BY k) AS run FROM (SELECT DISTINCT r, unnest(range(i, i + n)) AS k FROM hit)),
+        place AS (SELECT r, string_agg(lo || ':' || hi, ',' ORDER BY lo) AS places
+                  FROM (SELECT r, run, min(stop - size)::BIGINT AS lo, max(stop)::BIGINT AS hi FROM run JOIN word USING (r, k) GROUP BY r, run) GROUP BY r),
         it AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS item_id FROM hit WHERE item_id IS NOT NULL) GROUP BY r)
-        SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-        FROM d LEFT JOIN hw USING (r) LEFT JOIN it USING (r)""",
+        SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(places, '') AS places
+        FROM d LEFT JOIN hw USING (r) LEFT JOIN it USING (r) LEFT JOIN place USING (r)""",
     "op5_line_frequency": r"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS text FROM documents),
         w AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),

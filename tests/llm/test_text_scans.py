@@ -76,8 +76,20 @@ def test_runs_hold_all_windows(noise, items, at, size):
     matcher = decontaminate.Matcher([(str(k), " ".join(i).encode()) for k, i in enumerate(items)])
     runs = matcher.runs([w.encode() for w in words])
     want, found = plain_hits(words, items)
-    assert decontaminate.covered([r[1:] for r in runs]) == want
-    assert {int(matcher.items[i][0]) for i, _, _ in runs} == found
+    assert sum(hi - lo for lo, hi in decontaminate.joined([r[:2] for r in runs])) == want
+    assert {int(matcher.names[i]) for _, _, i in runs} == found
+    assert matcher.hit([w.encode() for w in words]) == bool(found)
+
+
+def test_repetitive_texts_take_linear_time():
+    import time
+
+    matcher = decontaminate.Matcher([("a", b"a " * 5000), ("b", b"a b " * 3000), ("c", b"a"), ("d", b"a a a")])
+    for text in (b"a " * 100_000, b"a b " * 50_000):
+        began = time.perf_counter()
+        runs = matcher.runs(text.split())
+        assert time.perf_counter() - began < 6
+        assert decontaminate.joined([r[:2] for r in runs]) == [(0, 100_000)] and len(runs) < 110_000
 
 
 def test_decontaminate_rows(spark):
@@ -89,7 +101,9 @@ def test_decontaminate_rows(spark):
     assert (rows[7]["n_hit"], rows[7]["n_items"], rows[8]["contaminated"], rows[2]["n_words"]) == (12, 2, False, 0)
     span = scanned.where("doc_id = 7").first()["spans"][0]
     assert (span["char_start"], span["char_end"]) == (8, 8 + len(item) - 1)
+    assert rows[7]["places"] == f"8:{8 + len(item) - 1}"
     assert decontaminate.drop_contaminated(docs, bench).count() == len(ODD) + 1
+    assert decontaminate.drop_contaminated(docs, bench, automaton_bytes=20).count() == len(ODD) + 1
     many = decontaminate.summarise(decontaminate.scan(docs, bench, automaton_bytes=20))
     assert sorted(map(str, many.collect())) == sorted(map(str, rows.values() and decontaminate.summarise(scanned).collect()))
     none = decontaminate.summarise(decontaminate.scan(docs, bench.limit(0)))
