@@ -10,11 +10,13 @@ The plan depends on nothing but how many pieces there are of each length, a hist
 CAPACITY rows however many documents there are. It is made on the driver for whole groups of equal
 sequences: one record says "pieces number r to r+k of length s go to sequences b to b+k at offset
 o". A record uses up a group or a length, so their number depends on the capacity only. Each piece
-then finds its record by its number among the pieces of its length, which is counted within salted
-parts, so no length is gathered in one task.
+then finds its record by its number among the pieces of its length. The task that cuts a document counts
+its own pieces of each length, and offsets by (length, task) make that a number over all: no length, and
+no document id, is gathered in one task, and pieces move for nothing but the join with those offsets.
 
-Defined results: a null or empty text is its end id alone; repeated rows are packed each; an empty
-table gives no pieces. Other columns are ignored.
+Defined results: a null or empty text is its end id alone; repeated rows, and rows without doc_id, are packed
+each; a text of any length is cut into whole sequences and its first piece; which of two pieces of equal
+length goes first is left open; an empty table gives no pieces. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,14 +27,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import broadcast_value, doc_columns, materialize
 from .tokens import ByteTokens
 
 CAPACITY, END = 2048, 0
-#: Parts in which pieces of a length are numbered; a fixed number, so that numbers don't depend on the cluster.
-SALTS = 64
+#: Offsets that are broadcast at most (some 40 MB); more are joined by shuffling.
+BROADCAST_OFFSETS = 500_000
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -42,29 +45,34 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, tokenizer: str, with_ids: bool = False, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and, if wanted, the ids (little-endian, 32 bits)."""
+    """doc_id, piece, start, length, ids_crc32, part (the task's number), rank (the piece's, from 0, among
+    the task's pieces of its length) and, if wanted, the ids (little-endian, 32 bits)."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = ByteTokens.load(tokenizer)
+        from pyspark import TaskContext
+
+        tokens, part, seen = ByteTokens.load(tokenizer), TaskContext.get().partitionId(), [0] * (capacity + 1)
         end = END.to_bytes(4, "little")
         for batch in batches:
-            doc, number, start, length, crc, kept = [], [], [], [], [], []
+            doc, number, start, length, crc, rank, kept = [], [], [], [], [], [], []
             for doc_id, ids in zip(batch.column(0).to_pylist(), tokens.encode(batch.column(1).to_pylist())):
                 ids += end
                 view = memoryview(ids)
                 for k, (at, n) in enumerate(cut(len(ids) // 4, capacity)):
-                    part = view[4 * at : 4 * (at + n)]
+                    own = view[4 * at : 4 * (at + n)]
                     doc.append(doc_id)
                     number.append(k)
                     start.append(at)
                     length.append(n)
-                    crc.append(zlib.crc32(part))
+                    crc.append(zlib.crc32(own))
+                    rank.append(seen[n])
+                    seen[n] += 1
                     if with_ids:
-                        kept.append(bytes(part))
-            arrays = [pa.array(doc, pa.int64()), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays + [pa.array(kept, pa.binary())] * with_ids, names=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
+                        kept.append(bytes(own))
+            arrays = [pa.array(doc, pa.int64()), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array([part] * len(doc), pa.int32()), pa.array(rank, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays + [pa.array(kept, pa.binary())] * with_ids, names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"] + ["ids"] * with_ids)
 
-    return doc_columns(docs).mapInArrow(step, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return doc_columns(docs).mapInArrow(step, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long" + ", ids binary" * with_ids)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -126,25 +134,21 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return records
 
 
-def numbered(found: DataFrame) -> DataFrame:
-    """Adds ``number``, gapless from 0 among the pieces of a length. Numbers are given within SALTS
-    parts of each length; the parts' sizes, capacity times SALTS rows at most, give their offsets."""
-    from pyspark.sql import Window as W
-
-    salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    sizes = salted.groupBy("length", "salt").count()
-    before = F.sum("count").over(W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1))
-    offsets = sizes.select("length", "salt", F.coalesce(before, F.lit(0)).alias("before"))
-    order = W.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = salted.withColumn("rank", F.row_number().over(order) - 1)
-    return ranked.join(offsets, ["length", "salt"]).withColumn("number", F.col("before") + F.col("rank")).drop("salt", "rank", "before")
+def numbered(found: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Adds ``number``, gapless from 0 among the pieces of a length. ``sizes``: length, part and count."""
+    before = F.sum("count").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    offsets = sizes.select("length", "part", F.coalesce(before, F.lit(0)).alias("before"))
+    if sizes.count() <= BROADCAST_OFFSETS:
+        offsets = F.broadcast(offsets)
+    return found.join(offsets, ["length", "part"]).withColumn("number", F.col("before") + F.col("rank")).drop("part", "rank", "before")
 
 
 def pack(docs: DataFrame, tokenizer: str, with_ids: bool = False, capacity: int = CAPACITY) -> DataFrame:
     """The pieces with their sequence_id and the offset there."""
     spark: SparkSession = docs.sparkSession
     found = materialize(pieces(docs, tokenizer, with_ids, capacity), "pieces")
-    histogram = {r["length"]: r["count"] for r in found.groupBy("length").count().collect()}  # capacity rows at most
+    sizes = materialize(found.groupBy("length", "part").count(), "sizes")  # capacity rows a task at most
+    histogram = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # capacity rows at most
     records = sorted(plan(histogram, capacity))
     handle = broadcast_value(spark, np.array(records, np.int64).reshape(-1, 5))
     # a total order of (length, number), so that one search finds a piece's record
@@ -164,4 +168,4 @@ def pack(docs: DataFrame, tokenizer: str, with_ids: bool = False, capacity: int
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids + ", sequence_id long, offset long"
-    return numbered(found).select(*names, "number").mapInArrow(step, schema)
+    return numbered(found, sizes).select(*names, "number").mapInArrow(step, schema)

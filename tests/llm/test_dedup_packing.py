@@ -141,7 +141,9 @@ def test_plan_places_each_piece_once(sizes):
     assert len(bins) <= max(1.25 * -(-sum(sizes) // capacity) + 1, sum(2 * s > capacity for s in sizes) * 1.3 + 2, sum(3 * s > capacity for s in sizes))
 
 
-def test_pack_rows(spark):
+@pytest.mark.parametrize("few", [packing.BROADCAST_OFFSETS, 0])
+def test_pack_rows(spark, monkeypatch, few):
+    monkeypatch.setattr(packing, "BROADCAST_OFFSETS", few)
     rows = [(k, "word " * (k * 37 % 900) + "end", "x", 1) for k in range(200)] + [(1000, "long one " * 4000, "x", 1), (1001, None, "x", 1), (1002, "", "x", 1), (None, "no id", "x", 1), (3, "word end", "x", 1)]
     got = packing.pack(spark.createDataFrame(rows, SCHEMA), BYTE, with_ids=True).collect()
     by_sequence = defaultdict(list)
