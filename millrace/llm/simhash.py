@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns, drop_table, materialize, rows_by_key, same, text_hash
+from .common import doc_columns, drop_table, materialize, prepare, rows_by_key, same, text_hash
 
 SHINGLE, SEED, MAX_BITS, PIVOTS = 3, 42, 2, 24
 #: Bit ranges of the bands; each band's sub-bands cut the 42 or 43 other bits.
@@ -283,6 +283,7 @@ def links(fps: DataFrame, references: int = PIVOTS, hot_size: int = HOT) -> Data
         if kept:
             yield out(kept)
 
+    prepare(fps.sparkSession)
     keyed = _cut_hot(blocking_keys(fps), hot_size)
     parts = max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     return keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(step, "a long, b long")
