@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +42,10 @@ def order_rules(customers: DataFrame) -> list[Rule]:
     ]
 
 
+#: Tasks that rows without a value are dealt to where they are equal to each other.
+NULL_PARTS = 32
+
+
 def failing(df: DataFrame, rule: Rule) -> Column | None:
     """The rule as a condition on a row, or None if it takes other rows to tell."""
     c = F.col(rule.column)
@@ -59,20 +62,25 @@ def failing(df: DataFrame, rule: Rule) -> Column | None:
 
 def marked(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """The rows with a column __fail_<n> for each rule. Rules that look at a row alone cost no job of
-    their own; a unique rule is a window over its column, where nulls are equal to each other, and a
-    referential rule a join with the distinct keys."""
+    their own; a unique rule is a join with the keys that occur twice, where nulls are equal to each other but
+    dealt to NULL_PARTS tasks, and a referential rule a join with the distinct keys."""
     out = df
     for n, rule in enumerate(rules):
         own = failing(df, rule)
         if rule.kind == "unique":
-            own = F.count("*").over(W.partitionBy(rule.column)) > 1
+            column = F.col(rule.column)
+            part = F.when(column.isNull(), F.pmod(F.xxhash64(*df.columns), F.lit(NULL_PARTS)).cast("int")).otherwise(0)
+            twice = df.groupBy(column.alias("__key")).agg(F.count("*").alias("__n")).where("__n > 1")
+            parts = F.when(F.col("__key").isNull(), F.sequence(F.lit(0), F.lit(NULL_PARTS - 1))).otherwise(F.array(F.lit(0)))
+            twice = twice.select("__key", F.explode(parts).alias("__part"), F.lit(True).alias("__found"))
+            out = out.withColumn("__own_part", part).join(twice, column.eqNullSafe(F.col("__key")) & (F.col("__own_part") == F.col("__part")), "left").drop("__key", "__part", "__own_part")
+            own = F.col("__found").isNotNull()
         elif rule.kind == "referential":
             keys = rule.other.select(F.col(rule.other_column).alias("__key")).where("__key is not null").distinct().withColumn("__found", F.lit(True))
             out = out.join(keys, F.col(rule.column) == F.col("__key"), "left").drop("__key")
             own = F.col("__found").isNull()
         out = out.withColumn(f"__fail_{n}", own)
-        if rule.kind == "referential":
-            out = out.drop("__found")
+        out = out.drop("__found")
     return out
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import exact_mean, money, month_key, month_label, percent_change
+from .ranking import tile, with_ranks
 
 
 def line_total() -> Column:
@@ -93,9 +94,10 @@ def rfm(revenue: DataFrame, documented_direction: bool = False) -> DataFrame:
     reference = revenue.agg(F.max("order_date").alias("reference_date"))
     rows = revenue.groupBy("customer_id").agg(F.max("order_date").alias("last_date"), F.count_distinct("order_id").alias("frequency"), F.round(F.sum("revenue"), 2).alias("monetary"))
     rows = rows.crossJoin(F.broadcast(reference)).withColumn("recency_days", F.datediff("reference_date", "last_date"))  # one row
-    fifth = lambda *order: F.ntile(5).over(W.orderBy(*order, "customer_id"))
+    rows = with_ranks(rows, "customer_id", {"r_rank": F.col("recency_days"), "f_rank": -F.col("frequency"), "value_rank": -F.col("monetary")})
+    fifth = lambda rank: tile(F.col(rank), F.col("__rows"), 5)
     turn = (lambda c: 6 - c) if documented_direction else (lambda c: c)
-    rows = rows.withColumns({"r_score": 6 - fifth("recency_days"), "f_score": turn(fifth(F.desc("frequency"))), "m_score": turn(fifth(F.desc("monetary"))), "value_rank": F.row_number().over(W.orderBy(F.desc("monetary"), "customer_id"))})
+    rows = rows.withColumns({"r_score": 6 - fifth("r_rank"), "f_score": turn(fifth("f_rank")), "m_score": turn(fifth("value_rank"))}).drop("r_rank", "f_rank", "__rows")
     return rows.withColumns({"rfm_score": F.col("r_score") + F.col("f_score") + F.col("m_score"), "segment": segment(F.col("r_score"), F.col("f_score"), F.col("m_score"))})
 
 
@@ -121,22 +123,16 @@ def category_months(orders: DataFrame, items: DataFrame, products: DataFrame, st
 
 
 def growth_streaks(months: DataFrame, least: int = 3) -> DataFrame:
-    """Runs of consecutive months that each beat the row before them; gaps and islands."""
-    by_month = W.partitionBy("category").orderBy("month_key")
-    grown = months.withColumn("before", F.lag("revenue").over(by_month)).where("revenue > before")
-    fresh = F.when(F.col("month_key") - F.lag("month_key").over(by_month) == 1, 0).otherwise(1)
-    runs = grown.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(by_month.rowsBetween(W.unboundedPreceding, 0)))
-    point = F.struct("month_key", "revenue")
-    out = runs.groupBy("category", "run").agg(F.count("*").alias("streak_length"), F.min(point).alias("first"), F.max(point).alias("last")).where(F.col("streak_length") >= least)
-    return out.select(
-        "category",
-        month_label(F.col("first.month_key")).alias("start_month"),
-        month_label(F.col("last.month_key")).alias("end_month"),
-        "streak_length",
-        F.col("first.revenue").alias("start_revenue"),
-        F.col("last.revenue").alias("end_revenue"),
-        percent_change(F.col("last.revenue"), F.col("first.revenue")).alias("growth_pct"),
+    """Runs of consecutive months that each beat the row before them. Within a run the month's number and
+    its place among the category's growing months rise together, so their difference names the run."""
+    order = W.partitionBy("category").orderBy("month_key")
+    growing = months.select("category", "month_key", "revenue", (F.col("revenue") > F.lag("revenue").over(order)).alias("grew")).where("grew")
+    islands = growing.withColumn("island", F.col("month_key") - F.row_number().over(order))
+    ends = islands.groupBy("category", "island").agg(
+        F.count("*").alias("streak_length"), F.min("month_key").alias("start"), F.max("month_key").alias("end"), F.min_by("revenue", "month_key").alias("start_revenue"), F.max_by("revenue", "month_key").alias("end_revenue")
     )
+    growth = percent_change(F.col("end_revenue"), F.col("start_revenue")).alias("growth_pct")
+    return ends.where(F.col("streak_length") >= least).select("category", month_label(F.col("start")).alias("start_month"), month_label(F.col("end")).alias("end_month"), "streak_length", "start_revenue", "end_revenue", growth)
 
 
 def customer_summary(revenue: DataFrame, inactive_days: int = 180) -> DataFrame:

@@ -125,14 +125,15 @@ def first_versions(customers: DataFrame, used_ids: DataFrame, start: str = "1992
 def next_versions(dim: DataFrame, changes: DataFrame, as_of: str) -> DataFrame:
     """The dimension after changes (customer_id and new values): the current version is closed and
     the next begins; its key follows the greatest one, in order of customer_id."""
+    from .star import key_by_rank
+
     today = F.lit(as_of).cast("date")
-    top = dim.agg(F.coalesce(F.max("customer_sk"), F.lit(0)).alias("__top"))
+    top = dim.agg(F.coalesce(F.max("customer_sk"), F.lit(0))).first()[0]
     attributes = [c for c in ("name", "state") if c in changes.columns]
     new = changes.select("customer_id", *(F.col(c).alias(f"__{c}") for c in attributes))
     hit = dim.where("is_current").join(new, "customer_id")
-    rank = F.row_number().over(W.orderBy("customer_id"))  # over the changes, not the dimension
-    opened = hit.crossJoin(F.broadcast(top)).select(  # one row
-        (F.col("__top") + rank).alias("customer_sk"), "customer_id", *(F.coalesce(f"__{c}", c).alias(c) if c in attributes else F.col(c) for c in ("name", "state")), (F.col("version") + 1).alias("version"), F.lit(True).alias("is_current"), today.alias("valid_from"), F.lit(None).cast("date").alias("valid_to")
+    opened = key_by_rank(hit.drop("customer_sk"), "customer_id", "customer_sk", after=top).select(
+        "customer_sk", "customer_id", *(F.coalesce(f"__{c}", c).alias(c) if c in attributes else F.col(c) for c in ("name", "state")), (F.col("version") + 1).alias("version"), F.lit(True).alias("is_current"), today.alias("valid_from"), F.lit(None).cast("date").alias("valid_to")
     )
     closing = dim.join(changes.select("customer_id", F.lit(True).alias("__hit")).distinct(), "customer_id", "left")
     close = F.coalesce("__hit", F.lit(False)) & F.col("is_current")

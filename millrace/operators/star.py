@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import date_key, share, surrogate
 from .gold import line_total
+from .ranking import with_ranks
 
 
 def date_dimension(spark: SparkSession, first: str, last: str, fiscal_start: int = 4) -> DataFrame:
@@ -44,13 +44,8 @@ def key_by_position(df: DataFrame, name: str = "sk") -> DataFrame:
 
 
 def key_by_rank(df: DataFrame, natural: str, name: str = "sk", after: int = 0) -> DataFrame:
-    """Gapless numbers in the order of the natural key, found in two steps so that no task sees all
-    rows: ranges are sorted apart, and each is moved by what comes before it."""
-    dealt = df.repartitionByRange(natural).withColumn("__part", F.spark_partition_id())
-    ranked = dealt.withColumn("__rank", F.row_number().over(W.partitionBy("__part").orderBy(natural)))
-    sizes = ranked.groupBy("__part").agg(F.count("*").alias("__n"))
-    offsets = sizes.select("__part", (F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).alias("__before"))  # a row for each range
-    return ranked.join(offsets, "__part").withColumn(name, F.col("__rank") + F.col("__before") + after).drop("__part", "__rank", "__before", "__n")
+    """Gapless numbers in the order of the natural key; see operators.ranking."""
+    return with_ranks(df, natural, {name: F.col(natural)}).withColumn(name, F.col(name) + after).drop("__rows")
 
 
 def key_by_hash(df: DataFrame, natural: str, name: str = "sk", salt: str = "") -> DataFrame:
@@ -114,12 +109,24 @@ def fact_sales(base: DataFrame, dates: DataFrame, products: DataFrame, sellers:
 
 
 def join_gaps(base: DataFrame, **dims: tuple[DataFrame, str]) -> DataFrame:
-    """For each dimension the lines whose key it lacks."""
-    counts = [base.join(dim.select(key).distinct(), key, "left_anti").agg(F.lit(name).alias("dimension"), F.count("*").alias("lost_lines")) for name, (dim, key) in dims.items()]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out
+    """What each dimension costs the fact, in the order given: the lines whose key it lacks, those whose key
+    it has but in no current version (for dimensions with ``is_current``), the distinct keys among both, and
+    the lines that are left after this join and those before; the last row is the total.
+
+    One pass: each dimension is reduced to a row for each key and joined on the left."""
+    rows, left, measures = base, F.lit(True), []
+    for i, (dim, key) in enumerate(dims.values()):
+        current = F.col("is_current") if "is_current" in dim.columns else F.lit(True)
+        keys = dim.select(F.col(key).alias(f"__key{i}"), current.alias("__current")).groupBy(f"__key{i}").agg(F.max("__current").alias(f"__found{i}"))
+        rows = rows.join(keys, F.col(key) == F.col(f"__key{i}"), "left")
+        absent, stale = F.col(f"__found{i}").isNull(), F.coalesce(~F.col(f"__found{i}"), F.lit(False))
+        left = left & ~absent & ~stale
+        measures += [F.count_if(absent).alias(f"a{i}"), F.count_if(stale).alias(f"s{i}"), F.count_distinct(F.when(absent | stale, F.col(key))).alias(f"k{i}"), F.count_if(left).alias(f"l{i}")]
+    sums = rows.agg(F.count("*").alias("n"), *measures)
+    last = len(dims) - 1
+    lines = [F.struct(F.lit(name).alias("dimension"), F.col(f"a{i}").alias("absent_lines"), F.col(f"s{i}").alias("not_current_lines"), F.col(f"k{i}").alias("lost_keys"), F.col(f"l{i}").alias("lines_left"), (F.col("n") - F.col(f"l{i}")).alias("lines_dropped")) for i, name in enumerate(dims)]
+    total = F.struct(F.lit("total").alias("dimension"), F.lit(0).cast("long").alias("absent_lines"), F.lit(0).cast("long").alias("not_current_lines"), F.lit(0).cast("long").alias("lost_keys"), F.col(f"l{last}").alias("lines_left"), (F.col("n") - F.col(f"l{last}")).alias("lines_dropped"))
+    return sums.select(F.inline(F.array(*lines, total)))
 
 
 def validate_fact(fact: DataFrame, base: DataFrame) -> DataFrame:

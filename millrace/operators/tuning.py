@@ -34,6 +34,10 @@ def most_skewed_column(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out
 
 
+#: Hot keys that are broadcast at most.
+HOT_KEYS = 100_000
+
+
 def inflate_key(df: DataFrame, key: str, hot: object, times: int) -> DataFrame:
     """Every row of one key ``times`` times, by exploding a sequence; other rows, those without key
     included, stay."""
@@ -44,9 +48,14 @@ def inflate_key(df: DataFrame, key: str, hot: object, times: int) -> DataFrame:
 def salted_join_sum(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, row_id: Sequence[str], group: str, value: str, salts: int = 8) -> DataFrame:
     """Sum of ``value`` by ``group`` over an inner join whose hot keys are dealt to ``salts`` tasks.
 
-    Hot keys are those of ``hot``. The left rows of a hot key get a salt from their row id, the right
-    ones are repeated for every salt; others have salt 0."""
-    flags = hot.select(F.col(key), F.lit(True).alias("__hot")).distinct()
+    Hot keys are those of ``hot``: fewer than all keys by the factor that makes them hot. They are counted
+    and then broadcast; HOT_KEYS or more of them are no few hot keys, and adaptive execution is left to split
+    what is large. The left rows of a hot key get a salt from their row id, the right ones are repeated for
+    every salt; others have salt 0."""
+    found = [r[0] for r in hot.select(key).where(F.col(key).isNotNull()).distinct().limit(HOT_KEYS).collect()]
+    if not found or len(found) == HOT_KEYS:
+        return plain_join_sum(left, right, key, group, value)
+    flags = F.broadcast(left.sparkSession.createDataFrame([(k, True) for k in found], f"`{key}` {left.schema[key].dataType.simpleString()}, __hot boolean"))
     salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*row_id), F.lit(salts)).cast("int")).otherwise(0)
     l = left.join(flags, key, "left").withColumn("__salt", salt).drop("__hot")
     copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))

@@ -487,10 +487,18 @@ def fact_sales(spark, d):
     return named.select("order_id", "item_no", "date_key", "product_id", "seller_id", "customer_id", "price", F.col("total_amount").cast("double").alias("total_amount"), "delivery_days", "is_late")
 
 
-@query("""SELECT 'customers' AS dimension, count(*) AS lost_lines FROM lines WHERE customer_id NOT IN (SELECT customer_id FROM cust WHERE region <> 'ASIA') UNION ALL SELECT 'products', count(*) FROM lines WHERE product_id NOT IN (SELECT product_id FROM prod ) UNION ALL SELECT 'sellers', count(*) FROM lines WHERE seller_id NOT IN (SELECT seller_id FROM sell )""")
+@query("""WITH g AS (SELECT customer_id, product_id, seller_id, p.category = 'PROMO' AS np, c.region = 'ASIA' AS nc, c.region = 'EUROPE' AS sc, s.region = 'AFRICA' AS ns FROM lines JOIN prod p USING (product_id) JOIN cust c USING (customer_id) JOIN sell s USING (seller_id)),
+t AS (SELECT count(*) AS n, count(*) FILTER (NOT np) AS lp, count(*) FILTER (NOT (np OR ns)) AS ls, count(*) FILTER (NOT (np OR ns OR nc OR sc)) AS lc FROM g)
+SELECT 'products' AS dimension, (SELECT count(*) FROM g WHERE np) AS absent_lines, 0::BIGINT AS not_current_lines, (SELECT count(DISTINCT product_id) FROM g WHERE np) AS lost_keys, lp AS lines_left, n - lp AS lines_dropped FROM t
+UNION ALL SELECT 'sellers', (SELECT count(*) FROM g WHERE ns), 0, (SELECT count(DISTINCT seller_id) FROM g WHERE ns), ls, n - ls FROM t
+UNION ALL SELECT 'customers', (SELECT count(*) FROM g WHERE nc), (SELECT count(*) FROM g WHERE sc), (SELECT count(DISTINCT customer_id) FROM g WHERE nc OR sc), lc, n - lc FROM t
+UNION ALL SELECT 'total', 0, 0, 0, lc, n - lc FROM t""")
 def fact_join_gaps(spark, d):
-    r, dims, base, _ = _star(spark, d)
-    return star.join_gaps(base, customers=(r.customers.where("region <> 'ASIA'"), "customer_id"), products=(dims["products"], "product_id"), sellers=(dims["sellers"], "seller_id"))
+    """Dimensions that lack some keys, and customers some of whom have no current version."""
+    r = retail(spark, d)
+    base = star.fact_base(r.orders, _items(r))
+    customers = r.customers.where("region <> 'ASIA'").withColumn("is_current", F.col("region") != "EUROPE")
+    return star.join_gaps(base, products=(r.products.where("category <> 'PROMO'"), "product_id"), sellers=(r.sellers.where("region <> 'AFRICA'"), "seller_id"), customers=(customers.unionByName(customers.withColumn("is_current", F.lit(False))), "customer_id"))
 
 
 @query(f"SELECT 0::BIGINT AS null_keys, count(*) AS fact_rows, {euros('sum(lt)')} AS fact_revenue, count(*) AS base_rows, {euros('sum(lt)')} AS base_revenue, true AS is_valid FROM lines")
