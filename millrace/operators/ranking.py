@@ -30,12 +30,9 @@ def sample_bounds(df: DataFrame, columns: Sequence[Column], seed: Sequence[Colum
     return out
 
 
-def _below(value: Column, bounds: Sequence) -> Column:
+def below(value: Column, bounds: Sequence) -> Column:
     """How many of the bounds are less; 0 for null, which is first."""
-    distinct = sorted(set(bounds))
-    if not distinct:
-        return F.lit(0)
-    return F.coalesce(F.size(F.filter(F.array(*map(F.lit, distinct)), lambda b: b < value)), F.lit(0))
+    return F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < value)), F.lit(0)) if bounds else F.lit(0)
 
 
 def bucket(value: Column, tie: Column, bounds: Sequence, tie_bounds: Sequence) -> Column:
@@ -44,8 +41,8 @@ def bucket(value: Column, tie: Column, bounds: Sequence, tie_bounds: Sequence) -
     wide = len(set(tie_bounds)) + 2
     inner = F.lit(0)
     if common:
-        inner = F.when(value.isin(*common), 1 + _below(tie, tie_bounds)).otherwise(0)
-    return (_below(value, bounds) * wide + inner).cast("int")
+        inner = F.when(value.isin(*common), 1 + below(tie, sorted(set(tie_bounds)))).otherwise(0)
+    return (below(value, sorted(set(bounds))) * wide + inner).cast("int")
 
 
 def with_ranks(df: DataFrame, tie: str, orders: Mapping[str, Column]) -> DataFrame:

@@ -805,7 +805,7 @@ def partition_pruned(spark, d):
     """One month of a table partitioned by month and ordered by Z-order within."""
     store, r = _store(spark), retail(spark, d)
     rows = star.fact_base(r.orders, _items(r)).select("order_id", "item_no", "price", "seller_id", F.date_format("purchased_at", "yyyy-MM").alias("year_month"))
-    store.overwrite("by_month", rows.repartition("year_month"), partition_by=["year_month"])
+    store.overwrite("by_month", rows.repartitionByRange("year_month", "order_id"), partition_by=["year_month"])
     store.optimize("by_month", zorder_by=["seller_id", "price"])
     return store.read("by_month").where("year_month = '1998-03'").select("order_id", "item_no", "price")
 

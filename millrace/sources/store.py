@@ -1,7 +1,8 @@
 """Versioned Parquet tables.
 
 A table is a folder: ``data/<id>`` holds the files of one write, ``_log/<version>.json`` names the
-data folders that make up a version, its schema, layout, operation and metrics. A version is committed
+data folders and single files that make up a version, its schema, layout, operation and metrics. A merge, an
+update or a delete rewrites the files that hold rows it concerns; the new version names the others as they are. A version is committed
 by creating its log file, which fails if another writer has created it; so readers see whole versions,
 and a table may be read while it is overwritten. All file access goes through Hadoop's file system, so
 a store may lie wherever Spark can write.
@@ -14,12 +15,14 @@ import time
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.merge import Clauses, merge_rows
+from ..operators.ranking import below, sample_bounds
 
 
 class Conflict(RuntimeError):
@@ -91,16 +94,56 @@ class TableStore:
         found = self.version(name, version)
         if not found.paths:
             return self.spark.createDataFrame([], found.schema)
-        return self.spark.read.schema(found.schema).option("basePath", f"{self.root}/{name}").parquet(*[f"{self.root}/{name}/{p}" for p in found.paths]) if not found.layout.get("partitioned_by") else self._partitioned(name, found)
+        return self._open(name, found, found.paths)
 
-    def _partitioned(self, name: str, found: Version) -> DataFrame:
-        """Each data folder has its own partition folders, so each is read by itself."""
-        parts = [self.spark.read.schema(found.schema).parquet(f"{self.root}/{name}/{p}").select(*found.schema.names) for p in found.paths]
+    def _open(self, name: str, found: Version, paths: Sequence[str]) -> DataFrame:
+        """Rows of some of a version's folders and files."""
+        if not paths:
+            return self.spark.createDataFrame([], found.schema)
+        reader = lambda base: self.spark.read.schema(found.schema).option("basePath", f"{self.root}/{name}/{base}".rstrip("/"))
+        if not found.layout.get("partitioned_by"):
+            return reader("").parquet(*[f"{self.root}/{name}/{p}" for p in paths])
+        by_write: dict[str, list[str]] = {}  # each write has its own partition folders, so each is read by itself
+        for p in paths:
+            by_write.setdefault("/".join(p.split("/")[:2]), []).append(p)
+        parts = [reader(base).parquet(*[f"{self.root}/{name}/{p}" for p in own]).select(*found.schema.names) for base, own in by_write.items()]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
         return out
 
+    def _file_names(self, name: str, paths: Sequence[str]) -> list[str]:
+        """The files that folders and files stand for, below the table's folder."""
+        out = []
+        for p in paths:
+            if p.endswith(".parquet"):
+                out.append(p)
+                continue
+            todo = self._fs.listFiles(self._path(f"{self.root}/{name}/{p}"), True)
+            while todo.hasNext():
+                full = todo.next().getPath().toString()
+                if full.endswith(".parquet"):
+                    out.append(p + full.split(f"/{name}/{p}", 1)[1])
+        return out
+
+    def _touched(self, name: str, found: Version, hit: Callable[[DataFrame], DataFrame]) -> tuple[list[str], list[str]]:
+        """A version's files that hold rows which ``hit`` keeps, and its other files. Of the rows only the
+        columns that ``hit`` looks at are read; the driver gets names of files, as the log does."""
+        every = self._file_names(name, found.paths)
+        if not every:
+            return [], []
+        rows = hit(self._open(name, found, found.paths).withColumn("__file", F.col("_metadata.file_path")))
+        files = {unquote(r[0]).split(f"/{name}/data/", 1)[1] for r in rows.select("__file").distinct().collect()}
+        return [f for f in every if f.removeprefix("data/") in files], [f for f in every if f.removeprefix("data/") not in files]
+
+    def last_metrics(self, name: str, wanted: Callable[[dict], bool]) -> dict | None:
+        """The metrics of the latest version for which ``wanted`` holds; older log files aren't opened."""
+        return next((m for n in reversed(self._numbers(name)) if wanted(m := self.version(name, n).metrics)), None)
+
+    def metrics_since(self, name: str, number: int) -> list[dict]:
+        """The metrics of the versions after a number."""
+        return [self.version(name, n).metrics for n in self._numbers(name) if n > number]
+
     def history(self, name: str) -> DataFrame:
         rows = [(v.number, v.operation, json.dumps(v.metrics, sort_keys=True), v.at) for v in (self.version(name, n) for n in reversed(self._numbers(name)))]
         return self.spark.createDataFrame(rows, "version int, operation string, metrics string, at double")
@@ -161,18 +204,31 @@ class TableStore:
         path = self._write(name, own, base.layout.get("partitioned_by", ()))
         return self._commit(name, base.number, [*base.paths, path], schema, "APPEND", metrics or {}, base.layout)
 
-    def _rewrite(self, name: str, change: Callable[[DataFrame], DataFrame], operation: str, metrics: dict | None = None) -> int:
+    def _rewrite(self, name: str, hit: Callable[[DataFrame], DataFrame], change: Callable[[DataFrame], DataFrame], operation: str, metrics: dict | None = None, anyway: bool = False) -> int:
+        """Rewrites the files with rows that ``hit`` keeps; ``anyway``: there may be new rows even if none has."""
         base = self.version(name)
-        out = change(self.read(name))
+        touched, others = self._touched(name, base, hit)
+        counts = {"files_rewritten": len(touched), "files_kept": len(others)}
+        if not touched and not anyway:
+            return self._commit(name, base.number, others, base.schema, operation, {**(metrics or {}), **counts}, base.layout)
+        out = change(self._open(name, base, touched))
         path = self._write(name, out, base.layout.get("partitioned_by", ()))
-        return self._commit(name, base.number, [path], out.schema, operation, metrics or {}, base.layout)
+        return self._commit(name, base.number, [*others, path], out.schema, operation, {**(metrics or {}), **counts}, base.layout)
 
     def merge(self, name: str, source: DataFrame, on: Sequence[str], clauses: Clauses, metrics: dict | None = None) -> int:
-        """See operators.merge; a missing table is created from what would be inserted."""
+        """See operators.merge; a missing table is created from what would be inserted. A source row's match
+        lies in a rewritten file or nowhere, so only those files take part in the outer join; where matched rows
+        stay as they are, none does."""
         if not self.exists(name):
             empty = self.spark.createDataFrame([], T.StructType([f for f in source.schema if f.name not in clauses.helpers]))
             return self.overwrite(name, merge_rows(empty, source, on, clauses), operation="MERGE", metrics=metrics)
-        return self._rewrite(name, lambda old: merge_rows(old, source, on, clauses), "MERGE", metrics)
+        keys = source.select(*on).distinct()
+        if clauses.update is None and clauses.delete is None:
+            own = source.select(*on, *(c for c in source.columns if c not in on))
+            empty = self.spark.createDataFrame([], self.version(name).schema)
+            fresh = lambda _: merge_rows(empty, own.join(self.read(name).select(*on), list(on), "left_anti"), on, clauses)
+            return self._rewrite(name, lambda old: old.where(F.lit(False)), fresh, "MERGE", metrics, anyway=True)
+        return self._rewrite(name, lambda old: old.join(keys, list(on), "left_semi"), lambda old: merge_rows(old, source, on, clauses), "MERGE", metrics, anyway=True)
 
     def append_sample(self, name: str, share: float, salt: str = "") -> int:
         """Adds a share of the table's own rows to it, chosen by their hash: the same ones every time."""
@@ -180,10 +236,10 @@ class TableStore:
         return self.append(name, rows.where(F.pmod(F.xxhash64(*rows.columns, F.lit(salt)), F.lit(1_000_000)) < int(share * 1_000_000)))
 
     def update(self, name: str, set_: dict[str, Column], where: Column) -> int:
-        return self._rewrite(name, lambda old: old.withColumns({c: F.when(where, v).otherwise(F.col(c)).cast(old.schema[c].dataType) for c, v in set_.items()}), "UPDATE")
+        return self._rewrite(name, lambda old: old.where(where), lambda old: old.withColumns({c: F.when(where, v).otherwise(F.col(c)).cast(old.schema[c].dataType) for c, v in set_.items()}), "UPDATE")
 
     def delete(self, name: str, where: Column) -> int:
-        return self._rewrite(name, lambda old: old.where(~F.coalesce(where, F.lit(False))), "DELETE")
+        return self._rewrite(name, lambda old: old.where(where), lambda old: old.where(~F.coalesce(where, F.lit(False))), "DELETE")
 
     def restore(self, name: str, number: int) -> int:
         """Makes an old version the latest, as a new one."""
@@ -201,7 +257,7 @@ class TableStore:
         base = self.version(name)
         df = self.read(name)
         if zorder_by:
-            df = zordered(df, zorder_by, files)
+            df = zordered(df, zorder_by, files, base.layout.get("partitioned_by", ()))
         elif cluster_by:
             df = clustered(df, cluster_by, files)
         else:
@@ -213,14 +269,19 @@ class TableStore:
         return {"files_before": before["files"], "files_after": after["files"], "bytes_before": before["bytes"], "bytes_after": after["bytes"]}
 
     def vacuum(self, name: str, hours: float = 168.0, dry_run: bool = True) -> list[str]:
-        """Data folders that the latest version doesn't name and that are older than ``hours``;
-        deleted unless ``dry_run``. Versions that lose files go from the log as well."""
+        """Data folders that the latest version doesn't name, and files that it doesn't name of folders from
+        which it names files, if older than ``hours``; deleted unless ``dry_run``. Versions that lose files go
+        from the log as well."""
         kept = set(self.version(name).paths)
+        parts = {"/".join(p.split("/")[:2]) for p in kept if p.endswith(".parquet")}
         limit = (time.time() - hours * 3600) * 1000
-        gone = [f"data/{s.getPath().getName()}" for s in self._list(f"{self.root}/{name}/data") if f"data/{s.getPath().getName()}" not in kept and s.getModificationTime() <= limit]
+        folders = [f"data/{s.getPath().getName()}" for s in self._list(f"{self.root}/{name}/data") if s.getModificationTime() <= limit]
+        gone = [f for f in folders if f not in kept and f not in parts]
+        gone += [f for folder in folders if folder in parts for f in self._file_names(name, [folder]) if f not in kept]
         if not dry_run:
+            lost = lambda p: p in gone or "/".join(p.split("/")[:2]) in gone or any(g.startswith(f"{p}/") for g in gone)
             for number in self._numbers(name)[:-1]:
-                if set(self.version(name, number).paths) & set(gone):
+                if any(lost(p) for p in self.version(name, number).paths):
                     self._fs.delete(self._path(f"{self._log(name)}/{number:012d}.json"), False)
             for p in gone:
                 self._fs.delete(self._path(f"{self.root}/{name}/{p}"), True)
@@ -232,14 +293,14 @@ def clustered(df: DataFrame, columns: Sequence[str], files: int) -> DataFrame:
     return df.repartitionByRange(files, *columns).sortWithinPartitions(*columns)
 
 
-def zordered(df: DataFrame, columns: Sequence[str], files: int, bits: int = 8) -> DataFrame:
-    """Rows along a Z-order curve over the columns' quantiles, one bit of each in turn."""
-    shares = [i / (1 << bits) for i in range(1, 1 << bits)]
-    numbers = [F.col(c).cast("double") if isinstance(df.schema[c].dataType, T.NumericType) else F.unix_timestamp(F.col(c)).cast("double") if isinstance(df.schema[c].dataType, (T.DateType, T.TimestampType)) else F.crc32(F.col(c).cast("binary")).cast("double") for c in columns]
-    edges = df.agg(*(F.percentile_approx(n, F.array(*map(F.lit, shares)), F.lit(1000)).alias(f"q{i}") for i, n in enumerate(numbers))).first()
-    cells = [F.size(F.filter(F.array(*[F.lit(float(e)) for e in sorted(set(edges[i] or [0.0]))]), lambda e, n=n: e < n)) for i, n in enumerate(numbers)]
+def zordered(df: DataFrame, columns: Sequence[str], files: int, first: Sequence[str] = (), bits: int = 8) -> DataFrame:
+    """Rows along a Z-order curve over the columns' quantiles, one bit of each in turn; whole values count,
+    strings too. Ranges go by the columns in ``first`` (a partitioned table's) before the curve, so a
+    partition is as many tasks as its share of rows asks for, and a task writes few partitions."""
+    edges = sample_bounds(df, [F.col(c) for c in columns], df.columns, (1 << bits) - 1)
+    cells = [below(F.col(c), e) for c, e in zip(columns, edges)]
     z = F.lit(0).cast("long")
     for b in range(bits):
         for i, cell in enumerate(cells):
             z = z.bitwiseOR(F.shiftleft(F.shiftright(cell, b).bitwiseAND(F.lit(1)).cast("long"), b * len(cells) + i))
-    return df.withColumn("__z", z).repartitionByRange(files, "__z").sortWithinPartitions("__z").drop("__z")
+    return df.withColumn("__z", z).repartitionByRange(files, *first, "__z").sortWithinPartitions(*first, "__z").drop("__z")

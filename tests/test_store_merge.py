@@ -113,3 +113,54 @@ def test_scd2_repair(spark):
     moved = merge.next_versions(merge.one_current(dim), spark.createDataFrame([(1, "A")], "customer_id long, name string"), "2020-01-01")
     assert merge.version_history(moved, 1).select("version", "name", "is_current").collect()[-1] == (3, "A", True)
     assert merge.next_versions(dim, spark.createDataFrame([], "customer_id long, name string"), "2020-01-01").count() == 5
+
+
+def test_merges_rewrite_only_touched_files(spark, store):
+    base = spark.range(1000).selectExpr("id AS k", "string(id) AS v", "id AS n").repartitionByRange(10, "k")
+    store.overwrite("t", base)
+    before = set(store._file_names("t", store.version("t").paths))
+    assert len(before) == 10
+    batch = spark.createDataFrame([(k, "new", k) for k in (3, 5, 7, 2000)], SCHEMA)
+    store.merge("t", batch, ["k"], merge.upsert())
+    found = store.version("t")
+    after = set(store._file_names("t", found.paths))
+    assert len(before - after) == 1 and found.metrics["files_rewritten"] == 1 and found.metrics["files_kept"] == 9
+    want = {**{k: (str(k), k) for k in range(1000)}, **{k: ("new", k) for k in (3, 5, 7, 2000)}}
+    assert {r["k"]: (r["v"], r["n"]) for r in store.read("t").collect()} == want
+    store.merge("t", batch.withColumn("v", F.lit("never")), ["k"], merge.insert_only())
+    store.merge("t", spark.createDataFrame([(2001, "x", 1), (None, "null", 1)], SCHEMA), ["k"], merge.insert_only())
+    assert after <= set(store._file_names("t", store.version("t").paths)), "inserting rewrites no file"
+    assert store.read("t").count() == len(want) + 2
+    store.delete("t", F.col("k").between(300, 305))
+    store.update("t", {"v": F.lit("u")}, F.col("k") == 999)
+    assert store.version("t").metrics["files_rewritten"] == 1
+    assert store.read("t").count() == len(want) + 2 - 6 and store.read("t").where("v = 'u'").count() == 1
+    store.delete("t", F.col("k") == 12345)
+    assert store.version("t").metrics["files_rewritten"] == 0
+    assert store.read("t", 0).count() == 1000, "old versions stay whole"
+    rows_now = rows(store.read("t"))
+    gone = store.vacuum("t", hours=-1, dry_run=False)
+    assert gone and all(g.startswith("data/") for g in gone)
+    assert rows(store.read("t")) == rows_now and not store.vacuum("t", hours=-1)
+    with pytest.raises(KeyError):
+        store.read("t", 0)
+
+
+def test_merges_into_partitions(spark, store):
+    base = spark.range(400).selectExpr("id AS k", "concat('a b/', id % 4) AS p", "id AS n")
+    store.overwrite("t", base, partition_by=["p"])
+    store.merge("t", spark.createDataFrame([(1, "a b/1", -1), (900, "a b/9", 9)], "k long, p string, n long"), ["k"], merge.upsert())
+    found = store.version("t")
+    assert found.metrics["files_rewritten"] < found.metrics["files_kept"]
+    got = {r["k"]: (r["p"], r["n"]) for r in store.read("t").collect()}
+    assert len(got) == 401 and got[1] == ("a b/1", -1) and got[900] == ("a b/9", 9) and got[2] == ("a b/2", 2)
+    store.optimize("t", zorder_by=["n"])
+    assert store.read("t").where("p = 'a b/1'").count() == 100
+
+
+def test_zorder_goes_by_whole_strings(spark, store):
+    df = spark.range(4000).selectExpr("concat('the-same-long-beginning-', lpad(string(pmod(xxhash64(id), 4000)), 4, '0')) AS s", "pmod(xxhash64(id, 1), 4000) AS n")
+    store.overwrite("t", df)
+    store.optimize("t", target_bytes=4000, zorder_by=["s", "n"])
+    spans = store.read("t").withColumn("f", F.col("_metadata.file_path")).groupBy("f").agg(F.min("s").alias("a"), F.max("s").alias("b")).collect()
+    assert len(spans) > 8 and sum(r["a"] <= "the-same-long-beginning-1000" <= r["b"] for r in spans) < 0.6 * len(spans)
