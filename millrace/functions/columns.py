@@ -76,7 +76,8 @@ def surrogate(*natural: Column | str, salt: str = "") -> Column:
 
 
 def bucket(key: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    """A key's bucket by its text, which any engine can work out: MD5's first 32 bits, modulo; null goes with the empty text."""
+    return (F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long") % buckets).cast("int")
 
 
 def percent_change(now: Column, before: Column, places: int = 2) -> Column:

@@ -201,6 +201,37 @@ def top_orders(revenue: DataFrame, customers: DataFrame, limit: int = 10) -> Dat
     return top.join(customers.select("customer_id", "name", "state"), "customer_id").select("order_id", "customer_id", "name", "state", "order_date", F.round("revenue", 2).cast("double").alias("revenue"))
 
 
+#: The business questions: text, kind of join, and why it is the right one.
+QUESTIONS = (
+    ("How many orders have no matching customer?", "left_anti", "Only orders whose key the customers lack are wanted, and no column of theirs."),
+    ("How many sellers have never sold anything?", "left_anti", "Only sellers whose key the lines lack are wanted; repeated lines change nothing."),
+    ("Which orders are the dearest?", "inner", "An order is shown with its customer; the limit comes before the join, which so has few rows."),
+    ("How many customers order in both populations?", "left_semi", "A customer counts once however many orders match."),
+)
+
+
+def business_questions(orders: DataFrame, late_orders: DataFrame, items: DataFrame, customers: DataFrame, sellers: DataFrame, revenue: DataFrame, limit: int = 10) -> DataFrame:
+    """A row for each question: its number, text, kind of join, why, and the answer (for the dearest orders
+    how many are shown and the first one's order_id)."""
+    top = top_orders(revenue, customers, limit)
+    answers = (
+        without_match(all_orders(orders, late_orders), customers, "customer_id").agg(F.count_distinct("order_id").cast("string")),
+        without_match(sellers, items, "seller_id").agg(F.count("*").cast("string")),
+        top.agg(F.concat_ws(":", F.count("*").cast("string"), F.max_by("order_id", F.struct("revenue", -F.col("order_id"))).cast("string"))),
+        in_both(orders, late_orders, "customer_id").agg(F.count("*").cast("string")),
+    )
+    out = None
+    for n, ((text, join, why), answer) in enumerate(zip(QUESTIONS, answers), 1):
+        row = answer.toDF("answer").select(F.lit(n).alias("id"), F.lit(text).alias("question"), F.lit(join).alias("join_type"), F.lit(why).alias("justification"), "answer")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def without_revenue(revenue: DataFrame) -> DataFrame:
+    """Delivered orders that a test of the marts refuses: their revenue isn't positive."""
+    return revenue.where(F.coalesce(F.col("revenue"), F.lit(0)) <= 0)
+
+
 def in_both(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Distinct keys that both tables have."""
     return left.select(key).join(right.select(key), key, "left_semi").distinct()

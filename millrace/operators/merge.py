@@ -122,6 +122,17 @@ def first_versions(customers: DataFrame, used_ids: DataFrame, start: str = "1992
     )
 
 
+def complete_versions(dim: DataFrame, used_ids: DataFrame, start: str = "1992-01-01") -> DataFrame:
+    """The dimension with a first version for ids that orders use and it lacks; keys go on from the greatest."""
+    from .star import key_by_rank
+
+    top = dim.agg(F.coalesce(F.max("customer_sk"), F.lit(0))).first()[0]
+    missing = used_ids.where("customer_id is not null").select("customer_id").distinct().join(dim.select("customer_id"), "customer_id", "left_anti")
+    stubs = key_by_rank(missing, "customer_id", "customer_sk", after=top)
+    fill = {"name": F.lit("UNKNOWN"), "state": F.lit("UN"), "version": F.lit(1), "is_current": F.lit(True), "valid_from": F.lit(start).cast("date"), "valid_to": F.lit(None).cast("date")}
+    return dim.unionByName(stubs.withColumns(fill).select(*dim.columns))
+
+
 def next_versions(dim: DataFrame, changes: DataFrame, as_of: str) -> DataFrame:
     """The dimension after changes (customer_id and new values): the current version is closed and
     the next begins; its key follows the greatest one, in order of customer_id."""

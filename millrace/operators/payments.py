@@ -15,6 +15,13 @@ def nest(rows: DataFrame, key: str, order: str, fields: tuple[str, ...], value:
     return rows.groupBy(key).agg(F.array_sort(F.collect_list(line)).alias("lines"), F.round(F.sum(money(F.col(value))), 2).cast("double").alias("total_value"), F.count("*").alias("n_lines"))
 
 
+def write_nested(store, rows: DataFrame, nested_name: str, flat_name: str, key: str, order: str, fields: tuple[str, ...], value: str) -> dict[str, int]:
+    """Writes the nested table and the flat one made from it; returns their row counts."""
+    store.overwrite(nested_name, nest(rows, key, order, fields, value))
+    store.overwrite(flat_name, flatten(store.read(nested_name), key))
+    return {n: store.read(n).count() for n in (nested_name, flat_name)}
+
+
 def flatten(nested: DataFrame, key: str) -> DataFrame:
     """One row for each line of the array."""
     return nested.select(key, F.inline("lines"))

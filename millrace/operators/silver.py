@@ -91,6 +91,27 @@ def unknown_share(items: DataFrame, category: str = "category_en") -> DataFrame:
     return items.agg(F.count("*").alias("lines"), F.round(100 * F.avg(unknown), 2).alias("unknown_pct"))
 
 
+def top_untranslated(items: DataFrame, products: DataFrame, categories: DataFrame, limit: int = 3) -> DataFrame:
+    """The categories without a translation that most lines have. Lines are counted by product before the
+    joins, which so carry a row for each product."""
+    sold = items.groupBy("product_id").agg(F.count("*").alias("n")).join(products.select("product_id", "category"), "product_id")
+    unknown = sold.groupBy("category").agg(F.sum("n").alias("lines")).join(categories.select("category"), "category", "left_anti")
+    return unknown.orderBy(F.desc("lines"), "category").limit(limit)
+
+
+def price_gate(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines whose (order_id, item_no) has no invalid price, and the invalid lines."""
+    bad = invalid_prices(items)
+    return items.join(bad.select("order_id", "item_no").distinct(), ["order_id", "item_no"], "left_anti"), bad
+
+
+def damaged_orders(orders: DataFrame, each: int = 3) -> DataFrame:
+    """Bad rows to try the dead letters with: the first orders without their id, then without their customer."""
+    first = orders.orderBy("order_id").limit(each)
+    gone = lambda c: F.lit(None).cast(orders.schema[c].dataType)
+    return first.withColumn("order_id", gone("order_id")).unionByName(first.withColumn("customer_id", gone("customer_id")))
+
+
 def resolve(df: DataFrame, name: str, also: Sequence[str]) -> Column:
     """The column of that name or of one of the spellings it also goes by; null if there is none."""
     return next((df[c] for c in (name, *also) if c in df.columns), F.lit(None)).alias(name)

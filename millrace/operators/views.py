@@ -14,10 +14,10 @@ def masked_customers(customers: DataFrame, columns: tuple[str, ...] = ("name",))
     return customers.withColumns({c: masked(F.col(c)) for c in columns})
 
 
-def allowed_rows(fact: DataFrame, customers: DataFrame, access: DataFrame, user: str) -> DataFrame:
-    """Fact rows of customers in the states that a user may see; none without an entry. A row shows
-    once however often a state is granted."""
-    states = access.where(F.col("user_email") == user).select(F.col("allowed_state").alias("state"))
+def allowed_rows(fact: DataFrame, customers: DataFrame, access: DataFrame, user: str | None = None) -> DataFrame:
+    """Fact rows of customers in the states that a user may see, the one who asks unless named; none
+    without an entry. A row shows once however often a state is granted."""
+    states = access.where(F.col("user_email") == (F.current_user() if user is None else F.lit(user))).select(F.col("allowed_state").alias("state"))
     seen = customers.where("is_current").join(states, "state", "left_semi").select("customer_sk", "state")
     return fact.join(seen, "customer_sk")
 
@@ -28,6 +28,15 @@ def grant(store: TableStore, rows: list[tuple[str, str]], name: str = "user_stat
     store.merge(name, new, ["user_email", "allowed_state"], insert_only())
 
 
+def secure_views(fact: DataFrame, customers: DataFrame, access: DataFrame, prefix: str = "secure") -> tuple[str, str]:
+    """Creates or replaces two views of the session, customers masked and the fact filtered by who asks,
+    and returns their names."""
+    names = (f"{prefix}_customers", f"{prefix}_fact_sales")
+    masked_customers(customers).createOrReplaceTempView(names[0])
+    allowed_rows(fact, customers, access).createOrReplaceTempView(names[1])
+    return names
+
+
 class Materialized:
     """A query kept as a table of the store, brought up to date by refresh()."""
 

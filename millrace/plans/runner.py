@@ -23,8 +23,9 @@ class Params:
     simulate_failure: str = ""
 
 
-def run_task(name: str, params: Params, task: Callable[[], dict], reports: Path | None = None) -> dict:
-    """Runs a task and writes its report; a failure is reported and raised again."""
+def run_task(name: str, params: Params, task: Callable[[], dict], reports: Path | str | None = None, store: TableStore | None = None) -> dict:
+    """Runs a task and writes its report, to a folder of the driver's or, with a store, to any folder that
+    the store's file system has; a failure is reported and raised again."""
     report = {"task": name, "run_id": params.run_id, "dry_run": params.dry_run}
     try:
         if params.simulate_failure == name:
@@ -34,7 +35,10 @@ def run_task(name: str, params: Params, task: Callable[[], dict], reports: Path
         report |= {"status": "FAILED", "error": str(e)}
         raise
     finally:
-        if reports is not None:
+        if store is not None and isinstance(reports, str):
+            store.write_text(f"{reports}/{name}.json", json.dumps(report, default=str, sort_keys=True))
+        elif reports is not None:
+            reports = Path(reports)
             reports.mkdir(parents=True, exist_ok=True)
             (reports / f"{name}.json").write_text(json.dumps(report, default=str, sort_keys=True))
     return report
@@ -151,7 +155,7 @@ class Pipeline:
 
     def run(self, order: dict[str, tuple[str, ...]] = ORDER) -> list[dict]:
         """All tasks in order; the first failure stops the run."""
-        return [run_task(name, self.params, getattr(self, name), self.reports) for name in sequence(order)]
+        return [run_task(name, self.params, getattr(self, name), self.reports, self.store) for name in sequence(order)]
 
 
 def deduped(items):

@@ -5,10 +5,9 @@ from __future__ import annotations
 import csv
 import datetime as dt
 import io
-import json
 import random
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Collection, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +16,7 @@ from ..operators.merge import upsert
 from .store import TableStore
 
 LOG = "file_ingestion_log"
-LOG_SCHEMA = "file_name string, source_path string, fingerprint string, target_table string, status string, reason string, records long, columns int, run_id string, ingested_at timestamp, bytes long"
+LOG_SCHEMA = "file_name string, source_path string, fingerprint string, target_table string, status string, reason string, records long, columns int, run_id string, ingested_at timestamp, bytes long, version long"
 
 
 def fingerprint(path: str, size: int, modified: int) -> str:
@@ -38,44 +37,64 @@ def with_lineage(df: DataFrame, name: str, path: str, run_id: str, at: dt.dateti
     return df.withColumns({"_source_file_name": F.lit(name), "_source_path": F.lit(path), "_ingestion_run_id": F.lit(run_id), "_ingested_at": F.lit(at).cast("timestamp")})
 
 
-def read_csv(store: TableStore, path: str, schema: str | None = None) -> DataFrame:
-    """A CSV file with header, as strings unless a schema is given: types are a later step's business,
-    and inferring them would cost leading zeros."""
-    reader = store.spark.read.option("header", True).option("encoding", "UTF-8").option("multiLine", True).option("escape", '"')
+def read_csv(store: TableStore, path: str, schema: str | None = None, multi_line: bool = False, infer: bool = False) -> DataFrame:
+    """A CSV file with header, as strings unless a schema is given or types are to be inferred: types are a
+    later step's business, and inferring them costs a pass and leading zeros. ``multi_line``: quoted values
+    may hold line feeds; such a file can't be split and is read by one task."""
+    reader = store.spark.read.option("header", True).option("encoding", "UTF-8").option("multiLine", multi_line).option("escape", '"').option("inferSchema", infer)
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
-def ingest(store: TableStore, folder: str, manifest: dict[str, str], run_id: str | None = None, now: dt.datetime | None = None) -> list[dict]:
-    """Loads the folder's files into the manifest's tables, each content once.
+def ingest(store: TableStore, folder: str, manifest: dict[str, str], run_id: str | None = None, now: dt.datetime | None = None, multi_line: Collection[str] = ()) -> list[dict]:
+    """Loads the folder's files into the manifest's tables, each content once. ``multi_line`` names files
+    whose quoted values hold line feeds.
 
     The data's commit carries the file's fingerprint, so that a run that fails before it writes the
-    log finds the file loaded when it is repeated."""
+    log finds the file loaded when it is repeated: the commits after those that the log knows are looked at.
+    Of the log only what concerns the folder's files comes to the driver."""
     run_id, now = run_id or uuid.uuid4().hex, now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     store.ensure(LOG, LOG_SCHEMA)
-    seen = {r["fingerprint"] for r in store.read(LOG).where("status = 'INGESTED'").select("fingerprint").distinct().collect()}  # a row for each file
+    files = landing_files(store, folder)
+    seen = known_files(store, [fingerprint(path, size, modified) for _, path, size, modified in files])
+    logged = {r[0]: r[1] for r in store.read(LOG).where("status = 'INGESTED'").groupBy("target_table").agg(F.max("version")).collect()}  # a row for each table
     for target in set(manifest.values()):
         if store.exists(target):
-            seen |= {m for r in store.history(target).select("metrics").collect() if (m := json.loads(r["metrics"]).get("fingerprint"))}
+            seen |= {m["fingerprint"] for m in store.metrics_since(target, -1 if logged.get(target) is None else logged[target]) if "fingerprint" in m}
     rows, report = [], []
-    for name, path, size, modified in landing_files(store, folder):
+    for name, path, size, modified in files:
         mark, target = fingerprint(path, size, modified), manifest.get(name)
-        entry = {"file": name, "target": target, "records": 0, "columns": 0}
+        entry, version = {"file": name, "target": target, "records": 0, "columns": 0}, None
         if target is None:
             entry |= {"status": "SKIPPED", "reason": "not in manifest"}
         elif mark in seen:
             entry |= {"status": "SKIPPED", "reason": "already ingested"}
         else:
-            df = with_lineage(read_csv(store, path), name, path, run_id, now)
-            count = df.count()
-            store.append(target, df, merge_schema=True, metrics={"fingerprint": mark, "run_id": run_id})
-            entry |= {"status": "INGESTED", "reason": "", "records": count, "columns": len(df.columns)}
+            df = with_lineage(read_csv(store, path, multi_line=name in multi_line), name, path, run_id, now)
+            version = store.append(target, df, merge_schema=True, metrics={"fingerprint": mark, "run_id": run_id})
+            entry |= {"status": "INGESTED", "reason": "", "records": store.added_rows(target, version), "columns": len(df.columns)}
         report.append(entry)
-        rows.append((name, path, mark, target, entry["status"], entry["reason"], entry["records"], entry["columns"], run_id, now, size))
+        rows.append((name, path, mark, target, entry["status"], entry["reason"], entry["records"], entry["columns"], run_id, now, size, version))
     if rows:
         store.append(LOG, store.spark.createDataFrame(rows, LOG_SCHEMA))
     return report
 
 
+def known_files(store: TableStore, marks: Sequence[str]) -> set[str]:
+    """Those of the fingerprints that the log has as ingested."""
+    listing = store.spark.createDataFrame([(m,) for m in marks], "fingerprint string")
+    return {r[0] for r in store.read(LOG).where("status = 'INGESTED'").join(F.broadcast(listing), "fingerprint", "left_semi").select("fingerprint").distinct().collect()}  # a folder's files
+
+
+def ingest_probe(store: TableStore, folder: str) -> DataFrame:
+    """A row for each file of the folder: whether a run would load it."""
+    files = landing_files(store, folder)
+    rows = [(name, path, size, fingerprint(path, size, modified)) for name, path, size, modified in files]
+    listing = store.spark.createDataFrame(rows, "file_name string, source_path string, bytes long, fingerprint string")
+    store.ensure(LOG, LOG_SCHEMA)
+    done = store.read(LOG).where("status = 'INGESTED'").select("fingerprint", F.lit(True).alias("is_loaded")).distinct()
+    return listing.join(done, "fingerprint", "left").select("file_name", "source_path", "bytes", F.coalesce("is_loaded", F.lit(False)).alias("is_loaded"))
+
+
 def load_summary(store: TableStore, tables: Sequence[str]) -> DataFrame:
     """Rows and columns of each table, or NOT_LOADED."""
     rows = []
@@ -167,6 +186,6 @@ def backfill(store: TableStore, inbox: str, first: dt.date, days: int, table: st
     return out
 
 
-def export_csv(df: DataFrame, path: str) -> None:
-    """One CSV file with header, for small results."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def export_csv(df: DataFrame, path: str, single: bool = True) -> None:
+    """CSV with header: one file, for small results, unless ``single`` is off."""
+    (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).csv(path)

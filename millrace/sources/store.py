@@ -144,6 +144,17 @@ class TableStore:
         """The metrics of the versions after a number."""
         return [self.version(name, n).metrics for n in self._numbers(name) if n > number]
 
+    def added_rows(self, name: str, number: int) -> int:
+        """The rows that an append wrote, from its files' footers."""
+        found = self.version(name, number)
+        return self._open(name, found, found.paths[-1:]).count()
+
+    def write_text(self, path: str, text: str) -> None:
+        """A small file, over an older one."""
+        stream = self._fs.create(self._path(path), True)
+        stream.write(bytearray(text.encode("utf-8")))
+        stream.close()
+
     def history(self, name: str) -> DataFrame:
         rows = [(v.number, v.operation, json.dumps(v.metrics, sort_keys=True), v.at) for v in (self.version(name, n) for n in reversed(self._numbers(name)))]
         return self.spark.createDataFrame(rows, "version int, operation string, metrics string, at double")

@@ -17,19 +17,19 @@ def file_stream(spark: SparkSession, folder: str, schema: T.StructType | str, ki
 
 def run_available(stream: DataFrame, store: TableStore, table: str, checkpoint: str) -> int:
     """Appends what has arrived, in one go; returns the rows added. A batch's number is part of its
-    commit, so a batch that is repeated after a failure is not added again."""
-    added = 0
+    commit, so a batch that is repeated after a failure is not added again: only the latest commit of this
+    stream is looked at, as batches come in order."""
+    added, latest = 0, None
 
     def write(batch: DataFrame, number: int) -> None:
         nonlocal added
-        import json
-
-        if store.exists(table) and any(json.loads(r["metrics"]).get("batch") == f"{checkpoint}#{number}" for r in store.history(table).select("metrics").collect()):
-            return
-        n = batch.count()
-        if n:
-            store.append(table, batch, merge_schema=True, metrics={"batch": f"{checkpoint}#{number}"})
-            added += n
+        nonlocal latest
+        if latest is None:
+            last = store.last_metrics(table, lambda m: m.get("batch", "").rpartition("#")[0] == checkpoint)
+            latest = int(last["batch"].rpartition("#")[2]) if last else -1
+        if number > latest and not batch.isEmpty():
+            version = store.append(table, batch, merge_schema=True, metrics={"batch": f"{checkpoint}#{number}"})
+            added += store.added_rows(table, version)
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return added

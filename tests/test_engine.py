@@ -129,14 +129,16 @@ def test_ingest_twice(spark, store, tmp_path):
     (folder / "orders.CSV").write_text("order_id,zip\no1,01000\no2,\"a\nb\"\n")
     (folder / "other.csv").write_text("x\n1\n")
     (folder / "notes.txt").write_text("x")
-    first = landing.ingest(store, f"file://{folder}", {"orders.CSV": "orders"}, "r1")
+    first = landing.ingest(store, f"file://{folder}", {"orders.CSV": "orders"}, "r1", multi_line={"orders.CSV"})
     second = landing.ingest(store, f"file://{folder}", {"orders.CSV": "orders"}, "r2")
     assert [(e["status"], e["reason"]) for e in first] == [("INGESTED", ""), ("SKIPPED", "not in manifest")]
     assert landing.run_report(first, second)["idempotent"] and store.read("orders").count() == 2
     store.drop(landing.LOG)  # as if the first run had failed before its log
     assert landing.ingest(store, f"file://{folder}", {"orders.CSV": "orders"}, "r3")[0]["reason"] == "already ingested"
     (folder / "orders.CSV").write_text("order_id,zip,channel\no3,1,web\n")
+    assert {(r["file_name"], r["is_loaded"]) for r in landing.ingest_probe(store, f"file://{folder}").collect()} == {("orders.CSV", False), ("other.csv", False)}
     landing.ingest(store, f"file://{folder}", {"orders.CSV": "orders"}, "r4")
+    assert landing.ingest_probe(store, f"file://{folder}").where("is_loaded").first()["file_name"] == "orders.CSV"
     assert store.read("orders").count() == 3 and "01000" in [r["zip"] for r in store.read("orders").collect()]
     assert landing.load_summary(store, ["orders", "none"]).where("status = 'LOADED'").first()["rows"] == 3
 
