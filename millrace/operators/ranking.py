@@ -49,8 +49,8 @@ def with_ranks(df: DataFrame, tie: str, orders: Mapping[str, Column]) -> DataFra
     """Adds, for each name, the row's number from 1 in ascending order of that column (nulls first) and then
     of ``tie``, which should be unique; and ``__rows``, how many rows there are.
 
-    The rows are computed three times: for the sample, for the buckets' sizes (one pass for all orders; a few
-    thousand numbers come to the driver) and for the result."""
+    The rows are computed three times, so they should come from a table or be cheap: for the sample, for the
+    buckets' sizes (one pass for all orders; a few thousand numbers come to the driver) and for the result."""
     spark, names = df.sparkSession, list(orders)
     found = sample_bounds(df, [*orders.values(), F.col(tie)], [F.col(tie)])
     numbers = {n: bucket(orders[n], F.col(tie), found[i], found[-1]) for i, n in enumerate(names)}
