@@ -9,7 +9,9 @@ alone, so every job, and every repeated task, deals the rows alike.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -32,7 +34,20 @@ def sample_bounds(df: DataFrame, columns: Sequence[Column], seed: Sequence[Colum
 
 def below(value: Column, bounds: Sequence) -> Column:
     """How many of the bounds are less; 0 for null, which is first."""
-    return F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < value)), F.lit(0)) if bounds else F.lit(0)
+    return F.coalesce(F.size(F.filter(_array(bounds), lambda b: b < value)), F.lit(0)) if bounds else F.lit(0)
+
+
+def _array(values: Sequence) -> Column:
+    """The values as one constant: a text that is parsed when the query is planned, where each literal of its
+    own would take a call to the JVM."""
+    kinds = {type(v) for v in values}
+    if kinds == {Decimal}:
+        kind, text = f"decimal(38,{max(-v.as_tuple().exponent for v in values)})", "[" + ",".join(f"{v:f}" for v in values) + "]"
+    elif kinds in ({int}, {str}):
+        kind, text = "bigint" if kinds == {int} else "string", json.dumps(values)
+    else:
+        return F.array(*map(F.lit, values))
+    return F.from_json(F.lit(text), f"array<{kind}>")
 
 
 def bucket(value: Column, tie: Column, bounds: Sequence, tie_bounds: Sequence) -> Column:
@@ -41,7 +56,7 @@ def bucket(value: Column, tie: Column, bounds: Sequence, tie_bounds: Sequence) -
     wide = len(set(tie_bounds)) + 2
     inner = F.lit(0)
     if common:
-        inner = F.when(value.isin(*common), 1 + below(tie, sorted(set(tie_bounds)))).otherwise(0)
+        inner = F.when(F.array_contains(_array(common), value), 1 + below(tie, sorted(set(tie_bounds)))).otherwise(0)
     return (below(value, sorted(set(bounds))) * wide + inner).cast("int")
 
 
