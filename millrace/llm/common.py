@@ -156,9 +156,25 @@ def rows_by_key(docs: DataFrame, keys: DataFrame, matching: bool, hashed: Column
     return whole.join(F.broadcast(own) if few else own, same(F.col("id"), F.col("k_id")) & (F.col("hash") == F.col("k_hash")), "left_semi" if matching else "left_anti")
 
 
+_HELD: dict = {}
+
+
+def held(key: tuple, build: Callable):
+    """A worker's large table: the one asked for last is kept, and makes way for the next."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = build()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Called by steps that need a worker's memory for something else."""
+    _HELD.clear()
+
+
 def broadcast_value(spark: SparkSession, value):
     """A Python value sent once to each executor; callers state why its size is bounded."""
     return spark.sparkContext.broadcast(value)
 
 
-__all__ = ["BATCH_ROWS", "BROADCAST_KEYS", "broadcast_value", "doc_columns", "drop_table", "materialize", "prepare", "rows_by_key", "same", "settle", "shared_dir", "table", "text_hash"]
+__all__ = ["BATCH_ROWS", "BROADCAST_KEYS", "broadcast_value", "doc_columns", "drop_table", "held", "materialize", "prepare", "release", "rows_by_key", "same", "settle", "shared_dir", "table", "text_hash"]

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_value, doc_columns, materialize, prepare, rows_by_key, text_hash
+from .common import broadcast_value, doc_columns, held, materialize, prepare, rows_by_key, text_hash
 
 WIDTH = 10
 #: Words of an aligned piece: every window of WIDTH words holds at least one.
@@ -158,16 +158,10 @@ def hits_of(spans: list[dict]) -> list[dict]:
     return [{"word_start": lo, "word_end": hi, "char_start": place[lo], "char_end": place[-hi]} for lo, hi in joined([(s["word_start"], s["word_end"]) for s in spans])]
 
 
-_MATCHERS: dict[str, Matcher] = {}
-
-
 def _matcher(handle) -> Matcher:
     """One automaton lives in a Python worker at a time."""
     key, items = handle.value
-    if key not in _MATCHERS:
-        _MATCHERS.clear()
-        _MATCHERS[key] = Matcher(items)
-    return _MATCHERS[key]
+    return held(("Matcher", key), lambda: Matcher(items))
 
 
 def _groups(benchmark: DataFrame, limit: int) -> tuple[int, Iterator]:

@@ -18,11 +18,11 @@ from array import array
 import numpy as np
 from tokenizers import Tokenizer
 
+from .common import held
+
 #: Units of a table, some 200 bytes each, and the length in bytes beyond which a unit isn't kept.
 UNITS, LONGEST = 700_000, 32
 
-_LOADED: dict[tuple[str, str], "_Tokens"] = {}
-
 #: A word of plain Latin letters, which no normalisation changes but for its case, with marks behind
 #: it. Both tokenizers' patterns cut between the letters and the marks, as no apostrophe is among them.
 _ENDS = (b",", b".")
@@ -74,11 +74,8 @@ class _Tokens:
 
     @classmethod
     def load(cls, path: str):
-        """One table for a worker's whole life."""
-        key = (cls.__name__, path)
-        if key not in _LOADED:
-            _LOADED[key] = cls(path)
-        return _LOADED[key]
+        """One table for a worker's whole life, or until another large one takes its place."""
+        return held((cls.__name__, path), lambda: cls(path))
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
