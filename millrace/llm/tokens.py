@@ -49,21 +49,21 @@ class _Table(dict):
     """The ids of units; a unit asked for first is learnt. A full table learns without keeping, which costs
     less than to turn over what recurs, and begins anew once it has missed too often."""
 
-    def __init__(self, learn):
+    def __init__(self, learn, units: int = UNITS):
         super().__init__()
-        self.learn, self.missed = learn, 0
+        self.learn, self.units, self.missed = learn, units, 0
 
     def __missing__(self, unit: bytes) -> bytes:
         ids = self.learn(unit)
         if len(unit) <= LONGEST:
-            if len(self) < UNITS:
+            if len(self) < self.units:
                 self[unit] = ids
             else:
                 self.missed += 1
         return ids
 
     def renew(self) -> None:
-        if self.missed > 4 * UNITS:
+        if self.missed > 4 * self.units:
             self.clear()
             self.missed = 0
 
@@ -158,8 +158,8 @@ class ByteTokens(_Tokens):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.known = _Table(self.behind)
-        self.bare = _Table(self.learn)
+        self.known = _Table(self.behind, UNITS // 2)  # ids of 32 bits, and a pipeline's worker has more to hold
+        self.bare = _Table(self.learn, UNITS // 4)
 
     def behind(self, unit: bytes) -> bytes:
         """The ids of a unit with the blank, or the line feed that it begins with, before it."""
