@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hilbert, hmm, packing, quality, rangecoder, secrets, simhash, toolcalls, urlfilter
+from . import decontaminate, divergence, hilbert, hmm, langid, packing, partcodes, quality, rangecoder, secrets, simhash, toolcalls, urlfilter
 from .common import table
 
 
@@ -76,6 +76,18 @@ def op10_large_item_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op13_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partcodes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -89,6 +101,9 @@ QUERIES = {
         op8_secret_scan,
         op9_simhash_pivots,
         op10_large_item_matching,
+        op11_source_divergence,
+        op12_rank_order_language,
+        op13_part_codes,
     )
 }
 
@@ -159,4 +174,50 @@ ORACLES = {
               FROM d JOIN w USING (r) LEFT JOIN dup USING (r) LEFT JOIN rep USING (r) LEFT JOIN rem USING (r))
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
                NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (1000 * (n_words - n_removed) < 200 * n_words) AS kept, n_removed FROM m""",
+    "op11_source_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+        t AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{80}-\x{10FFFF}]+')) AS term FROM d),
+        k AS (SELECT lang, term, count(*) AS lc FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+        c AS (SELECT lang, source, term, count(*) AS n, any_value(lc) AS lc FROM t JOIN k USING (lang, term) GROUP BY lang, source, term),
+        l AS (SELECT lang, sum(lc) AS ln, count(*) AS v FROM k GROUP BY lang),
+        g AS (SELECT lang, source, coalesce(sum(n), 0) AS gn FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+        s AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 1))::HUGEINT // (gn + v)::HUGEINT AS p,
+                     1 + (1000000000 * (k.lc + 1))::HUGEINT // (ln + v)::HUGEINT AS q
+              FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        pair AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0)::BIGINT AS value
+                 FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN pairs ON pairs.lang = x.lang AND pairs.source = x.source AND pairs.item = y.source),
+        term AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM s WHERE n > 0 AND p > q)
+        SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item))::INT AS rank FROM pair
+        UNION ALL SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item))::INT AS rank FROM term QUALIFY rank <= 200""",
+    "op13_part_codes": r"""
+        WITH e AS (SELECT row_number() OVER () AS r, vec_id, label, [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS MATERIALIZED (SELECT r, part, v[part * (len(v) // 16) + 1:(part + 1) * (len(v) // 16)] AS w FROM e, range(16) t(part)),
+        k0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS idx, w FROM p JOIN (SELECT r, vec_id FROM e ORDER BY vec_id LIMIT 64) USING (r)),
+        a1 AS MATERIALIZED (SELECT r, p.part, p.w, arg_min(idx, (list_sum([(x[1] - x[2]) * (x[1] - x[2]) for x in list_zip(p.w, k.w)]), idx)) AS idx FROM p JOIN k0 k USING (part) GROUP BY r, p.part, p.w),
+        m1 AS (SELECT part, idx, list(m ORDER BY i) AS w FROM (SELECT part, idx, i, floor_div(sum(x)::HUGEINT, count(*)::HUGEINT) AS m FROM (SELECT part, idx, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM a1) GROUP BY ALL) GROUP BY part, idx),
+        k1 AS MATERIALIZED (SELECT part, idx, coalesce(m1.w, k0.w) AS w FROM k0 LEFT JOIN m1 USING (part, idx)),
+        a2 AS MATERIALIZED (SELECT r, p.part, p.w, arg_min(idx, (list_sum([(x[1] - x[2]) * (x[1] - x[2]) for x in list_zip(p.w, k.w)]), idx)) AS idx FROM p JOIN k1 k USING (part) GROUP BY r, p.part, p.w),
+        m2 AS (SELECT part, idx, list(m ORDER BY i) AS w FROM (SELECT part, idx, i, floor_div(sum(x)::HUGEINT, count(*)::HUGEINT) AS m FROM (SELECT part, idx, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM a2) GROUP BY ALL) GROUP BY part, idx),
+        k2 AS MATERIALIZED (SELECT part, idx, coalesce(m2.w, k1.w) AS w FROM k1 LEFT JOIN m2 USING (part, idx)),
+        a3 AS (SELECT r, part, min((list_sum([(x[1] - x[2]) * (x[1] - x[2]) for x in list_zip(p.w, k.w)]), idx)) AS best FROM p JOIN k2 k USING (part) GROUP BY r, part),
+        f AS (SELECT r, string_agg(lpad(lower(to_hex(best[2])), 2, '0'), '' ORDER BY part) AS code, sum(best[1])::BIGINT AS error FROM a3 GROUP BY r),
+        b AS (SELECT sha256(string_agg(array_to_string(w, ','), ',' ORDER BY part, idx)) AS h FROM k2)
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, h AS codebooks_sha256 FROM f JOIN e USING (r), b""".replace(
+        "floor_div(sum(x)::HUGEINT, count(*)::HUGEINT)", "(sum(x)::HUGEINT - ((sum(x)::HUGEINT % count(*)) + count(*)) % count(*)) // count(*)"
+    ),
+    "op12_rank_order_language": r"""
+        WITH tab AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) b(i)),
+        d AS (SELECT row_number() OVER () AS r, doc_id, lang, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}]+') AS w, regexp_matches(coalesce(text, ''), '\p{L}') AS letters,
+                     xor(list_reduce(list_concat([4294967295], [ord(x) for x in string_split(doc_id::VARCHAR, '')]), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 5 = 0 AS held_out FROM documents, tab),
+        words AS (SELECT r, ' ' || w || ' ' AS w, count(*) AS c FROM (SELECT r, unnest(w) AS w FROM d) GROUP BY ALL),
+        places AS (SELECT r, w, c, length(w) AS size, unnest(range(1, length(w))) AS i FROM words),
+        grams AS (SELECT r, g, sum(c)::BIGINT AS c FROM (SELECT r, substr(w, i, 1) AS g, c FROM places WHERE i > 1 UNION ALL SELECT r, substr(w, i, 2), c FROM places UNION ALL SELECT r, substr(w, i, 3), c FROM places WHERE i < size - 1) GROUP BY ALL),
+        own AS (SELECT r, g, row_number() OVER (PARTITION BY r ORDER BY c DESC, g) - 1 AS place FROM grams QUALIFY place < 300),
+        learnt AS (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY c DESC, g) - 1 AS place FROM (SELECT lang, g, sum(c) AS c FROM grams JOIN d USING (r) WHERE NOT held_out AND lang IS NOT NULL GROUP BY ALL) QUALIFY place < 300),
+        near AS (SELECT r, lang, sum(300 - abs(o.place - l.place))::BIGINT AS s FROM own o JOIN learnt l USING (g) GROUP BY ALL),
+        far AS (SELECT r, l.lang, (300 * n - coalesce(s, 0))::BIGINT AS distance, n FROM (SELECT r, count(*) AS n FROM own GROUP BY r) JOIN (SELECT r, letters FROM d) USING (r) JOIN (SELECT DISTINCT lang FROM learnt) l ON letters LEFT JOIN near USING (r, lang)),
+        best AS (SELECT r, arg_min(lang, (distance, lang)) AS lang, min(distance) AS distance, any_value(n) AS n FROM far GROUP BY r)
+        SELECT doc_id, held_out, coalesce(best.lang, 'und') AS lang_pred, coalesce(1 - distance::DOUBLE / (300 * n), 0) AS score, distance FROM d LEFT JOIN best USING (r)""",
 }
