@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import merge
-from millrace.sources.store import Conflict, TableStore
+from millrace.sources.store import Commit, Conflict, TableStore
 
 SCHEMA = "k long, v string, n long"
 
@@ -85,7 +85,7 @@ def test_two_writers_conflict(spark, store):
     base = store.version("t")
     store.append("t", spark.createDataFrame([(2, "a", 1)], SCHEMA))
     with pytest.raises(Conflict):
-        store._commit("t", base.number, base.paths, base.schema, "LATE", {}, {})
+        store.commit("t", base.number, Commit("LATE", base.schema, {}, []))
     assert store.read("t").count() == 2
 
 
@@ -118,18 +118,18 @@ def test_scd2_repair(spark):
 def test_merges_rewrite_only_touched_files(spark, store):
     base = spark.range(1000).selectExpr("id AS k", "string(id) AS v", "id AS n").repartitionByRange(10, "k")
     store.overwrite("t", base)
-    before = set(store._file_names("t", store.version("t").paths))
+    before = set(store.paths("t"))
     assert len(before) == 10
     batch = spark.createDataFrame([(k, "new", k) for k in (3, 5, 7, 2000)], SCHEMA)
     store.merge("t", batch, ["k"], merge.upsert())
     found = store.version("t")
-    after = set(store._file_names("t", found.paths))
+    after = set(store.paths("t"))
     assert len(before - after) == 1 and found.metrics["files_rewritten"] == 1 and found.metrics["files_kept"] == 9
     want = {**{k: (str(k), k) for k in range(1000)}, **{k: ("new", k) for k in (3, 5, 7, 2000)}}
     assert {r["k"]: (r["v"], r["n"]) for r in store.read("t").collect()} == want
     store.merge("t", batch.withColumn("v", F.lit("never")), ["k"], merge.insert_only())
     store.merge("t", spark.createDataFrame([(2001, "x", 1), (None, "null", 1)], SCHEMA), ["k"], merge.insert_only())
-    assert after <= set(store._file_names("t", store.version("t").paths)), "inserting rewrites no file"
+    assert after <= set(store.paths("t")), "inserting rewrites no file"
     assert store.read("t").count() == len(want) + 2
     store.delete("t", F.col("k").between(300, 305))
     store.update("t", {"v": F.lit("u")}, F.col("k") == 999)
