@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.types import fits
+
 
 def _always() -> Column:
     return F.lit(True)
@@ -53,8 +55,12 @@ def upsert_changed(columns: Sequence[str], **more) -> Clauses:
 
 def merge_rows(target: DataFrame, source: DataFrame, on: Sequence[str], clauses: Clauses) -> DataFrame:
     """The target after the merge. A source key that occurs twice is an error if a clause would use it,
-    as it would update one row twice; null keys match nothing."""
+    as it would update one row twice; null keys match nothing. So is a source column whose values the
+    target's type doesn't hold."""
     names = target.columns
+    for c in names:
+        if c in source.columns and c not in clauses.values and not fits(source.schema[c].dataType, target.schema[c].dataType):
+            raise ValueError(f"{c} is {target.schema[c].dataType.simpleString()} and doesn't hold {source.schema[c].dataType.simpleString()}")
     source = source.withColumn("__copies", F.count("*").over(W.partitionBy(*on)))
     t = target.withColumn("__t", F.lit(True)).alias("t")
     s = source.withColumn("__s", F.lit(True)).alias("s")
@@ -135,12 +141,15 @@ def complete_versions(dim: DataFrame, used_ids: DataFrame, start: str = "1992-01
 
 def next_versions(dim: DataFrame, changes: DataFrame, as_of: str) -> DataFrame:
     """The dimension after changes (customer_id and new values): the current version is closed and
-    the next begins; its key follows the greatest one, in order of customer_id."""
+    the next begins; its key follows the greatest one, in order of customer_id. A customer whose changes are
+    listed twice is an error, as which one holds isn't known."""
     from .star import key_by_rank
 
     today = F.lit(as_of).cast("date")
     top = dim.agg(F.coalesce(F.max("customer_sk"), F.lit(0))).first()[0]
     attributes = [c for c in ("name", "state") if c in changes.columns]
+    twice = F.raise_error(F.concat(F.lit("changes of customer "), F.col("customer_id").cast("string"), F.lit(" are listed twice")))
+    changes = changes.groupBy("customer_id").agg(F.count("*").alias("__n"), *(F.first(c).alias(c) for c in attributes)).where(F.when(F.col("__n") > 1, twice.cast("boolean")).otherwise(F.lit(True)))
     new = changes.select("customer_id", *(F.col(c).alias(f"__{c}") for c in attributes))
     hit = dim.where("is_current").join(new, "customer_id")
     opened = key_by_rank(hit.drop("customer_sk"), "customer_id", "customer_sk", after=top).select(

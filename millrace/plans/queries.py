@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import arrival_status, money
 from ..operators import checks, gold, merge, payments, star, tuning, views
+from ..operators.gold import line_total
 from ..operators.incremental import Load, batch_since, run_load
 from ..operators.silver import clean_places, damaged_orders, invalid_prices, price_gate, silver_items, silver_orders, split_late, top_untranslated, uniqueness, unknown_share
 from ..sources.landing import ingest, ingest_probe, load_summary
 from ..sources.retail import Retail, read_table, retail
-from ..sources.store import TableStore, clustered
+from ..sources.store import TableStore, apply_changes, clustered
 from ..streaming.files import event_windows, file_stream, run_available
 from .dashboards import DASHBOARDS, dashboard
 from .runner import deduped
@@ -369,9 +370,10 @@ def late_arrivals(spark, d):
     return split_late(silver_orders(_raw_orders(spark, d)))[1].select("order_id", "arrival_status")
 
 
-@query("SELECT c_custkey AS customer_id, upper(state[1]) || lower(state[2:]) AS city, upper(c_mktsegment) AS state FROM customer JOIN (SELECT n_nationkey AS k, CASE n_name WHEN 'SAUDI ARABIA' THEN 'Saudi arabia' ELSE n_name END AS state FROM nation) ON c_nationkey = k WHERE state NOT LIKE '% %'")
+@query("""WITH w AS (SELECT state, array_to_string([upper(x[1]) || lower(x[2:]) FOR x IN string_split(state, ' ')], ' ') AS city FROM places )
+SELECT customer_id, city, upper(segment) AS state FROM cust JOIN w USING (state)""")
 def silver_customers_clean(spark, d):
-    r = retail(spark, d).customers.where("state NOT LIKE '% %'")
+    r = retail(spark, d).customers
     messy = r.select("customer_id", F.concat(F.lit("  "), F.lower("state"), F.lit(" ")).alias("city"), F.concat(F.lower("segment"), F.lit(" ")).alias("state"))
     return clean_places(messy.unionByName(messy), "customer_id")
 
@@ -753,6 +755,87 @@ def source_freshness(spark, d):
 # ---- merges and versions
 
 
+@query("""WITH h AS (SELECT order_id, item_no, price, seller_id FROM itm ), a AS (SELECT * FROM h WHERE order_id % 10 <> 0 UNION ALL SELECT * FROM h WHERE order_id % 10 = 0),
+b AS (SELECT order_id, item_no, CASE WHEN seller_id = 1 THEN price + 1 ELSE price END AS price, seller_id FROM a WHERE seller_id <> 2)
+SELECT 'delete' AS change, count(*) AS lines, CAST(round(sum(CAST(price AS DECIMAL(18,4))), 2) AS DOUBLE) AS total FROM h WHERE order_id % 10 <> 0 AND seller_id = 2
+UNION ALL SELECT 'insert', count(*), CAST(round(sum(CAST(price AS DECIMAL(18,4))), 2) AS DOUBLE) FROM b WHERE order_id % 10 = 0
+UNION ALL SELECT 'update_after', count(*), CAST(round(sum(CAST(price AS DECIMAL(18,4))), 2) AS DOUBLE) FROM b WHERE order_id % 10 <> 0 AND seller_id = 1
+UNION ALL SELECT 'update_before', count(*), CAST(round(sum(CAST(price AS DECIMAL(18,4))), 2) AS DOUBLE) FROM h WHERE order_id % 10 <> 0 AND seller_id = 1
+UNION ALL SELECT 'applied', count(*), CAST(round(sum(CAST(price AS DECIMAL(18,4))), 2) AS DOUBLE) FROM b""")
+def table_changes(spark, d):
+    """Lines appended, updated and deleted; what changed since the first version, and that version with the changes."""
+    store, rows = _store(spark), _items(retail(spark, d)).select("order_id", "item_no", "price", "seller_id")
+    store.overwrite("lines", clustered(rows.where("order_id % 10 <> 0"), ["seller_id"], 8))
+    store.append("lines", rows.where("order_id % 10 = 0"))
+    store.update("lines", {"price": F.col("price") + 1}, F.col("seller_id") == 1)
+    store.delete("lines", F.col("seller_id") == 2)
+    feed = store.changes("lines", 0, on=["order_id", "item_no"])
+    total = lambda df, kind: df.groupBy(kind.alias("change")).agg(F.count("*").alias("lines"), F.round(F.sum(F.col("price").cast("decimal(18,4)")), 2).cast("double").alias("total"))
+    return total(feed, F.col("_change")).unionByName(total(apply_changes(store.read("lines", 0), feed), F.lit("applied")))
+
+
+_VIEW = """SELECT seller_id, count(*) AS n, sum(CAST(price AS DECIMAL(18,4)))::DOUBLE AS revenue, sum(quantity)::DOUBLE AS quantity
+FROM (SELECT seller_id, CASE WHEN seller_id % 5 = 1 THEN price + 1 ELSE price END AS price, quantity FROM itm WHERE seller_id % 5 <> 2 OR return_flag <> 'R') GROUP BY seller_id"""
+
+
+@query(_VIEW)
+def incremental_view(spark, d):
+    """Sums by seller, brought up to date after rows were added, changed and deleted."""
+    store, rows = _store(spark), _items(retail(spark, d)).select("order_id", "item_no", "price", "seller_id", "quantity", "return_flag")
+    store.overwrite("lines", clustered(rows.where("order_id % 10 <> 0"), ["seller_id"], 8))
+    view = views.Incremental(store, "by_seller", "lines", ("seller_id",), {"revenue": money(F.col("price")), "quantity": money(F.col("quantity"))})
+    view.refresh()
+    store.append("lines", rows.where("order_id % 10 = 0"))
+    view.refresh()
+    store.update("lines", {"price": F.col("price") + 1}, F.col("seller_id") % 5 == 1)
+    store.delete("lines", (F.col("seller_id") % 5 == 2) & (F.col("return_flag") == "R"))
+    view.refresh()
+    return view.read().select("seller_id", "n", F.col("revenue").cast("double").alias("revenue"), F.col("quantity").cast("double").alias("quantity"))
+
+
+@query(f"""SELECT order_id, item_no, seller_id, CAST(lt AS DOUBLE) AS total_amount FROM lines WHERE order_date BETWEEN DATE '1995-03-01' AND DATE '1995-03-31'""")
+def statistics_pruned(spark, d):
+    """A month of a table whose files are picked by the log's statistics; a read that skips no file is an error."""
+    store, r = _store(spark), retail(spark, d)
+    rows = star.fact_base(r.orders, _items(r)).select("order_id", "item_no", "seller_id", line_total().alias("total_amount"), "date_key")
+    store.overwrite("by_day", clustered(rows, ["date_key"], 16))
+    month = {"date_key": (19950301, 19950331)}
+    if store.pruning("by_day", month)["files_skipped"] < 8:
+        raise RuntimeError("the statistics skip less than half of the files")
+    return store.read("by_day", between=month).select("order_id", "item_no", "seller_id", F.col("total_amount").cast("double").alias("total_amount"))
+
+
+@query("""SELECT 'lines' AS measure, count(*)::DOUBLE AS number FROM itm UNION ALL SELECT 'rewritten at most an eighth', 1
+UNION ALL SELECT 'rewritten when run again', 0 UNION ALL SELECT 'price', CAST(round(sum(CAST(price AS DECIMAL(18,4))), 2) AS DOUBLE) FROM itm""")
+def incremental_clustering(spark, d):
+    """A clustered table with a twentieth appended: OPTIMIZE rewrites about that, and nothing when run again."""
+    store, rows = _store(spark), _items(retail(spark, d)).select("order_id", "item_no", "seller_id", "price")
+    store.overwrite("lines", clustered(rows.where("order_id % 20 <> 0"), ["order_id"], 16), layout={"clustered_by": ["order_id"]})
+    store.append("lines", rows.where("order_id % 20 = 0"))
+    first, second = (store.optimize("lines", cluster_by=["order_id"]) for _ in range(2))
+    found = store.read("lines").agg(F.count("*").cast("double").alias("lines"), F.round(F.sum(money(F.col("price"))), 2).cast("double").alias("price"))
+    few = float(8 * first["bytes_rewritten"] <= first["bytes_before"])
+    return found.select(F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), v.alias("number")) for m, v in (("lines", F.col("lines")), ("rewritten at most an eighth", F.lit(few)), ("rewritten when run again", F.lit(float(second["files_rewritten"]))), ("price", F.col("price")))])))
+
+
+@query("""WITH v AS (SELECT unnest(range(0, 8)) AS version) SELECT version::INT AS version, CASE version WHEN 0 THEN 'OVERWRITE' WHEN 6 THEN 'DELETE' WHEN 7 THEN 'RESTORE' ELSE 'APPEND' END AS operation,
+CASE WHEN version < 6 THEN (SELECT count(*) FROM ord WHERE order_id % 6 <= version) WHEN version = 6 THEN (SELECT count(*) FROM ord WHERE status <> 'P') ELSE (SELECT count(*) FROM ord ) END AS rows FROM v""")
+def log_replay(spark, d):
+    """Every version of a table by its log, replayed by Spark from a checkpoint where there is one: rows of its files."""
+    store, rows = _store(spark), retail(spark, d).orders.select("order_id", "customer_id", "status")
+    for k in range(6):
+        store.append("orders", rows.where(F.col("order_id") % 6 == k)) if k else store.overwrite("orders", rows.where("order_id % 6 = 0"))
+        if k == 3:
+            store.checkpoint("orders")
+    store.delete("orders", F.col("status") == "P")
+    store.restore("orders", 5)
+    counted = [store.replay("orders", v).agg(F.sum("rows").alias("rows")).select(F.lit(v).alias("version"), "rows") for v in range(8)]
+    out = counted[0]
+    for more in counted[1:]:
+        out = out.unionByName(more)
+    return store.history("orders").join(out, "version").select("version", "operation", "rows")
+
+
 @query("""SELECT customer_id, CASE WHEN rn BETWEEN 7 AND 12 THEN name || ' (CDC Updated)' ELSE name END AS name, state FROM (SELECT *, row_number() OVER (ORDER BY customer_id) AS rn FROM cust ) WHERE rn > 6
 UNION ALL SELECT -i, 'cdc-insert-' || i, NULL FROM range(1, 7) t(i)""")
 def merge_cdc(spark, d):

@@ -140,7 +140,7 @@ class TableStore:
         """The versions with their log files' sizes, and the checkpoints."""
         sizes, checkpoints = {}, []
         for s in self._list(self._log(name)):
-            found = re.fullmatch(r"(\d{12})\.(json|checkpoint)", s.getPath().getName())
+            found = re.match(r"(\d{12})\.(json|checkpoint)$", s.getPath().getName())
             if found and found[2] == "json":
                 sizes[int(found[1])] = s.getLen()
             elif found:
@@ -351,7 +351,7 @@ class TableStore:
                 if fitting is None:
                     raise
                 schema, layout, number = _nullable(fitting), latest.layout, latest.number
-        if (number + 1) % CHECKPOINT_EVERY == 0:
+        if number >= 0 and (number + 1) % CHECKPOINT_EVERY == 0:
             self.checkpoint(name, number + 1)
         return number + 1
 
@@ -402,10 +402,10 @@ class TableStore:
 
         return self.commit(name, base.number, Commit("APPEND", schema, base.layout, adds, metrics=metrics, rebase=rebase))
 
-    def _rewrite(self, name: str, hit: Callable[[DataFrame], DataFrame], change: Callable[[DataFrame], DataFrame], operation: str, metrics: dict | None = None, anyway: bool = False, concerns: Callable[[DataFrame], DataFrame] | None = None) -> int:
+    def _rewrite(self, name: str, hit: Callable[[DataFrame], DataFrame], change: Callable[[DataFrame], DataFrame], operation: str, metrics: dict | None = None, anyway: bool = False, concerns: Callable[[DataFrame], DataFrame] | None = None, attempts: int = ATTEMPTS) -> int:
         """Rewrites the files with rows that ``hit`` keeps; ``anyway``: there may be new rows even if none has.
         ``concerns``: rows that would have changed the outcome, had they been there; those of ``hit`` unless told."""
-        for left in reversed(range(ATTEMPTS)):
+        for left in reversed(range(attempts)):
             base = self.version(name)
             live = self.paths(name, base.number)
             touched = self._touched(name, base, hit, live)
@@ -437,7 +437,7 @@ class TableStore:
                 live.pop(line["path"], None)
         return [p for p, moved in live.items() if not moved]
 
-    def merge(self, name: str, source: DataFrame, on: Sequence[str], clauses: Clauses, metrics: dict | None = None) -> int:
+    def merge(self, name: str, source: DataFrame, on: Sequence[str], clauses: Clauses, metrics: dict | None = None, attempts: int = ATTEMPTS) -> int:
         """See operators.merge; a missing table is created from what would be inserted. A source row's match
         lies in a rewritten file or nowhere, so only those files take part in the outer join; where matched rows
         stay as they are, none does."""
@@ -450,8 +450,8 @@ class TableStore:
             own = source.select(*on, *(c for c in source.columns if c not in on))
             empty = self.spark.createDataFrame([], self.version(name).schema)
             fresh = lambda _: merge_rows(empty, own.join(self.read(name).select(*on), list(on), "left_anti"), on, clauses)
-            return self._rewrite(name, lambda old: old.where(F.lit(False)), fresh, "MERGE", metrics, anyway=True, concerns=met)
-        return self._rewrite(name, met, lambda old: merge_rows(old, source, on, clauses), "MERGE", metrics, anyway=True)
+            return self._rewrite(name, lambda old: old.where(F.lit(False)), fresh, "MERGE", metrics, anyway=True, concerns=met, attempts=attempts)
+        return self._rewrite(name, met, lambda old: merge_rows(old, source, on, clauses), "MERGE", metrics, anyway=True, attempts=attempts)
 
     def append_sample(self, name: str, share: float, salt: str = "") -> int:
         """Adds a share of the table's own rows to it, chosen by their hash: the same ones every time."""
@@ -621,15 +621,20 @@ def _may_hold(kind: T.DataType, column: str, low, high) -> Column:
 
 
 def _overlapping(files: DataFrame, column: str, kind: T.DataType) -> DataFrame:
-    """Files whose range of a column meets those of more than OVERLAPS others: the ranges that begin up to its end,
-    less those that end before it begins. The window goes over a row or two for each file of the log."""
+    """Files whose range of a column holds a point that more than OVERLAPS other ranges hold. The most crowded
+    points are beginnings of ranges: there, the ranges begun so far less those that ended before hold it.
+    The windows go over a row or two for each file of the log."""
     low, high = (_bound(F.try_element_at(F.col(c), F.lit(column)), kind) for c in ("mins", "maxs"))
-    known = files.select("*", low.alias("__low"), high.alias("__high")).where("__low IS NOT NULL AND __high IS NOT NULL")
-    line = known.select(F.col("__low").alias("at"), F.lit(1).alias("begins"), F.lit(0).alias("ends"), F.lit(None).cast("string").alias("path")).unionByName(known.select(F.col("__high").alias("at"), F.lit(0).alias("begins"), F.lit(1).alias("ends"), "path"))
-    upto = line.withColumn("begun", F.sum("begins").over(W.orderBy("at").rangeBetween(W.unboundedPreceding, 0))).where("path IS NOT NULL").select("path", "begun")
-    ended = known.select(F.col("__low").alias("at"), F.lit(0).alias("ends"), "path").unionByName(known.select(F.col("__high").alias("at"), F.lit(1).alias("ends"), F.lit(None).cast("string").alias("path")))
-    over = ended.withColumn("over", F.sum("ends").over(W.orderBy("at").rangeBetween(W.unboundedPreceding, 0)) - F.sum("ends").over(W.partitionBy("at"))).where("path IS NOT NULL").select("path", "over")
-    worn = upto.join(over, "path").where(F.col("begun") - F.col("over") - 1 > OVERLAPS).select("path")
+    known = files.select("path", low.alias("low"), high.alias("high")).where("low IS NOT NULL AND high IS NOT NULL")
+    row = lambda at, begins, ends, path: known.select(F.col(at).alias("at"), F.lit(begins).alias("begins"), F.lit(ends).alias("ends"), (F.col("path") if path else F.lit(None).cast("string")).alias("path"))
+    upto, here = W.orderBy("at").rangeBetween(W.unboundedPreceding, 0), W.partitionBy("at")
+    before = lambda c: F.sum(c).over(upto) - F.sum(c).over(here)
+    line = row("low", 1, 0, True).unionByName(row("high", 0, 1, False))
+    crowded = line.withColumn("depth", F.sum("begins").over(upto) - before("ends")).where((F.col("begins") == 1) & (F.col("depth") > OVERLAPS + 1))
+    points = crowded.select("at", F.lit(1).alias("begins"), F.lit(0).alias("ends"), F.lit(None).cast("string").alias("path"))
+    ends = points.unionByName(row("low", 0, 1, True)).unionByName(row("high", 0, 2, True))
+    seen = ends.withColumn("points", F.when(F.col("ends") == 1, -before("begins")).otherwise(F.sum("begins").over(upto))).where("path IS NOT NULL")
+    worn = seen.groupBy("path").agg(F.sum("points").alias("points")).where("points > 0")
     return files.join(worn, "path", "left_semi").select(*_FILE)
 
 
