@@ -161,6 +161,25 @@ def next_versions(dim: DataFrame, changes: DataFrame, as_of: str) -> DataFrame:
     return closed.unionByName(opened.select(*dim.columns))
 
 
+def refresh_versions(dim: DataFrame, customers: DataFrame, used_ids: DataFrame, as_of: str, start: str = "1992-01-01") -> DataFrame:
+    """A stored dimension brought up to date: customers it lacks get their first version (a stub for ids that only
+    orders have), those whose name or state differs from their current version get the next, and each
+    customer is left with one current version. All other rows, and all keys, stay as they are."""
+    from .star import key_by_rank
+
+    own = customers.select("customer_id", "name", "state")
+    known = dim.select("customer_id").distinct()
+    stubs = used_ids.where("customer_id is not null").select("customer_id").distinct().join(own.select("customer_id"), "customer_id", "left_anti")
+    rows = own.unionByName(stubs.withColumns({"name": F.lit("UNKNOWN"), "state": F.lit("UN")})).join(known, "customer_id", "left_anti")
+    top = dim.agg(F.coalesce(F.max("customer_sk"), F.lit(0))).first()[0]
+    fill = {"version": F.lit(1), "is_current": F.lit(True), "valid_from": F.lit(start).cast("date"), "valid_to": F.lit(None).cast("date")}
+    first = key_by_rank(rows, "customer_id", "customer_sk", after=top).withColumns(fill).select(*dim.columns)
+    new = own.select("customer_id", F.col("name").alias("__name"), F.col("state").alias("__state"))
+    differs = ~(F.col("name").eqNullSafe(F.col("__name")) & F.col("state").eqNullSafe(F.col("__state")))
+    changes = one_current(dim).where("is_current").join(new, "customer_id").where(differs).select("customer_id", F.col("__name").alias("name"), F.col("__state").alias("state"))
+    return next_versions(one_current(dim).unionByName(first), changes, as_of)
+
+
 def one_current(dim: DataFrame) -> DataFrame:
     """Exactly one current version for each customer: the highest. One that is raised loses its end;
     those that are lowered keep theirs."""

@@ -23,7 +23,8 @@ from ..sources.retail import Retail, read_table, retail
 from ..sources.store import TableStore, apply_changes, clustered
 from ..streaming.files import event_windows, file_stream, run_available
 from .dashboards import DASHBOARDS, dashboard
-from .runner import deduped
+from .models import Graph, retail_models
+from .runner import Params, Pipeline, deduped
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -996,6 +997,55 @@ def partition_candidates(spark, d):
     return tuning.partition_candidates(retail(spark, d).items, ("order_id", "seller_id", "return_flag"))
 
 
+@query(f"""WITH {_VERSIONS.replace("rn > 10", "customer_id % 100 <> 0").replace("rn <= 10", "customer_id % 100 = 0").replace("(SELECT count(*) FROM v1) + rn", "(SELECT count(*) FROM v1) + row_number() OVER (ORDER BY customer_id)")} SELECT customer_sk, customer_id, version, is_current FROM v""")
+def dimension_refresh(spark, d):
+    """The stored customers after three runs of the pipeline's task: the second meets customers that moved, the third nothing new."""
+    store, r = _store(spark), retail(spark, d)
+    moved = retail(spark, d)
+    moved.__dict__["customers"] = r.customers.withColumn("name", F.when(F.col("customer_id") % 100 == 0, F.concat("name", F.lit(" moved"))).otherwise(F.col("name")))
+    for source in (r, moved, moved):
+        task = Pipeline(store, source, Params(as_of="2002-01-01"))
+        task.save_dimension("customers", task.customers())
+    return store.read("gold/dim_customers").select("customer_sk", "customer_id", "version", "is_current")
+
+
+def _modelled(spark: SparkSession, d: str) -> tuple[TableStore, Graph]:
+    store, r = _store(spark), retail(spark, d)
+    store.overwrite("orders", r.orders.select("order_id", "customer_id", "status", "purchased_at"))
+    store.overwrite("items", _items(r).select("order_id", "item_no", "product_id", "seller_id", "price", "discount", "tax", "shipped_at"))
+    return store, Graph(store, retail_models())
+
+
+@query("SELECT order_id, item_no, customer_id, order_date, lt::DOUBLE AS line_total, greatest(CAST(purchased_at AS TIMESTAMP), CAST(shipped_at AS TIMESTAMP)) AS source_updated_at FROM lines")
+def model_delivered_lines(spark, d):
+    store, graph = _modelled(spark, d)
+    graph.run()
+    return graph.read("delivered_lines").select("order_id", "item_no", "customer_id", "order_date", F.col("line_total").cast("double").alias("line_total"), "source_updated_at")
+
+
+@query(f"WITH {_RFM} SELECT customer_id, last_date, frequency, CAST(monetary AS DOUBLE) AS monetary, recency_days, r_score, f_score, m_score, rfm_score, segment, value_rank, reference_date FROM x")
+def model_customer_rfm(spark, d):
+    store, graph = _modelled(spark, d)
+    graph.run()
+    return graph.read("mart_customer_rfm").select("customer_id", "last_date", "frequency", "monetary", "recency_days", "r_score", "f_score", "m_score", "rfm_score", "segment", "value_rank", "reference_date")
+
+
+@query(f"""WITH l2 AS (SELECT * FROM lines WHERE seller_id <> 1), n AS (SELECT count(*)::BIGINT AS a FROM lines ), n2 AS (SELECT count(*)::BIGINT AS b FROM l2)
+SELECT run, model, outcome, CASE model WHEN 'delivered_lines' THEN CASE WHEN run < 3 THEN a ELSE b END WHEN 'mart_daily_sales' THEN CASE WHEN run < 3 THEN (SELECT count(DISTINCT order_date) FROM lines ) ELSE (SELECT count(DISTINCT order_date) FROM l2) END
+  WHEN 'mart_customer_rfm' THEN CASE WHEN run < 3 THEN (SELECT count(DISTINCT customer_id) FROM lines ) ELSE (SELECT count(DISTINCT customer_id) FROM l2) END ELSE 1 END AS rows
+FROM n, n2, (SELECT unnest(['customer_count', 'delivered_lines', 'mart_customer_rfm', 'mart_daily_sales']) AS model), (SELECT unnest(range(1, 5))::INT AS run),
+LATERAL (SELECT CASE WHEN run = 1 OR run = 3 AND model <> 'customer_count' THEN 'built' WHEN run = 4 AND model = 'delivered_lines' THEN 'failed' WHEN run = 4 AND model <> 'customer_count' THEN 'held back' ELSE 'fresh' END AS outcome)""")
+def model_graph_runs(spark, d):
+    """Four runs: all is built; nothing changed; lines changed, and only what hangs on them runs; lines repeat, and the gate holds."""
+    store, graph = _modelled(spark, d)
+    acts = (lambda: None, lambda: None, lambda: store.delete("items", F.col("seller_id") == 1), lambda: store.append("items", store.read("items")))
+    out = []
+    for run, act in enumerate(acts, 1):
+        act()
+        out += [(run, name, outcome.partition(":")[0], graph.read(name).count()) for name, outcome in graph.run().items()]
+    return spark.createDataFrame(out, "run int, model string, outcome string, rows long")
+
+
 @query("SELECT 'orders' AS table_name, count(*) AS rows, 7 AS columns, 'LOADED' AS status FROM ord UNION ALL SELECT 'other', 0, 0, 'NOT_LOADED'")
 def landing_ingest(spark, d):
     """Orders delivered as CSV twice, loaded once, next to a file that no table is for."""

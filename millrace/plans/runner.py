@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -10,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from ..operators import checks, gold, star
-from ..operators.merge import first_versions, one_current
+from ..operators.merge import first_versions, one_current, refresh_versions, upsert_changed
 from ..operators.silver import invalid_prices, keep_first, silver_items
 from ..sources.retail import Retail
 from ..sources.store import TableStore
@@ -21,6 +22,7 @@ class Params:
     run_id: str = "manual"
     dry_run: bool = False
     simulate_failure: str = ""
+    as_of: str = ""
 
 
 def run_task(name: str, params: Params, task: Callable[[], dict], reports: Path | str | None = None, store: TableStore | None = None) -> dict:
@@ -124,23 +126,39 @@ class Pipeline:
         revenue = gold.delivered_revenue(self.orders(), self.items())
         return {"rows": self._save("gold/daily_sales", gold.daily_sales(revenue)) | self._save("gold/customer_rfm", gold.rfm(revenue)) | self._save("gold/customer_summary", gold.customer_summary(revenue))}
 
+    def customers(self):
+        """The stored versions of customers, completed, repaired and with what changed in the source; the first time, version 1 of each."""
+        used = self.orders().select("customer_id")
+        if not self.store.exists("gold/dim_customers"):
+            return one_current(first_versions(self.source.customers, used))
+        return refresh_versions(self.store.read("gold/dim_customers"), self.source.customers, used, self.params.as_of or dt.date.today().isoformat())
+
     def dims(self) -> dict:
-        orders = self.orders()
+        """The dimensions as they will be, with stubs for products and sellers that only lines have."""
+        orders, items = self.orders(), self.items()
         span = orders.agg(F.min(F.to_date("purchased_at")), F.max(F.to_date("purchased_at"))).first()
-        customers = one_current(first_versions(self.source.customers, orders.select("customer_id")))
-        return {
-            "dates": star.date_dimension(self.store.spark, str(span[0]), str(span[1])),
-            "products": star.dimension(self.source.products, "product_id", ("name", "brand", "category")),
-            "sellers": star.dimension(self.source.sellers, "seller_id", ("name", "state")),
-            "customers": customers,
-        }
+        out = {"dates": star.date_dimension(self.store.spark, str(span[0]), str(span[1])), "customers": self.customers()}
+        for name, source, key, columns in (("products", self.source.products, "product_id", ("name", "brand", "category")), ("sellers", self.source.sellers, "seller_id", ("name", "state"))):
+            own = star.dimension(source, key, columns)
+            out[name] = own.unionByName(star.orphans(items, own, key, dict.fromkeys(columns, "UNKNOWN")))
+        return out
+
+    def save_dimension(self, name: str, df) -> dict:
+        """Merges a dimension into the stored one, whose rows and versions stay: only what is new or differs is written."""
+        table = f"gold/dim_{name}"
+        if self.params.dry_run or not self.store.exists(table) or name == "dates":
+            return self._save(table, df)
+        key = f"{name.removesuffix('s')}_sk"
+        self.store.merge(table, df, [key], upsert_changed([c for c in df.columns if c != key]))
+        return {table: self.store.read(table).count()}
 
     def dimensional(self) -> dict:
-        dims, base = self.dims(), star.fact_base(self.orders(), self.items())
-        out = {}
+        """Prepares and repairs the dimensions, then builds the fact from those that are stored."""
+        dims, base, out = self.dims(), star.fact_base(self.orders(), self.items()), {}
         for name, df in dims.items():
-            out |= self._save(f"gold/dim_{name}", df)
-        fact = star.fact_sales(base, **dims)
+            out |= self.save_dimension(name, df)
+        stored = dims if self.params.dry_run else {name: self.store.read(f"gold/dim_{name}") for name in dims}
+        fact = star.fact_sales(base, **stored)
         check = star.validate_fact(fact, base).first().asDict()
         return {"rows": out | self._save("gold/fact_sales", fact), "check": check}
 

@@ -374,11 +374,14 @@ class TableStore:
             schema = self.spark.createDataFrame([], schema).schema
             self.commit(name, -1, Commit("CREATE", schema, {}, []))
 
-    def overwrite(self, name: str, df: DataFrame, partition_by: Sequence[str] = (), operation: str = "OVERWRITE", metrics: dict | None = None, layout: dict | None = None) -> int:
-        """The rows in place of all others; a layout with ``clustered_by`` says that they come in that order."""
+    def overwrite(self, name: str, df: DataFrame, partition_by: Sequence[str] = (), operation: str = "OVERWRITE", metrics: dict | None = None, layout: dict | None = None, check: Callable[[DataFrame], None] | None = None) -> int:
+        """The rows in place of all others; a layout with ``clustered_by`` says that they come in that order. ``check``
+        sees the rows once they are written; if it raises, they are not committed."""
         base = self._base(name)
         layout = {**({"partitioned_by": list(partition_by)} if partition_by else {}), **(layout or {})}
         adds = self._write(name, df, partition_by, _clustering("range", layout["clustered_by"]) if "clustered_by" in layout else None)
+        if check:
+            check(self.open_files(name, Version(-1, _nullable(df.schema), operation, {}, layout, 0.0), [a["path"] for a in adds]))
         return self.commit(name, base.number if base else -1, Commit(operation, df.schema, layout, adds, metrics=metrics, clear=True))
 
     def append(self, name: str, df: DataFrame, merge_schema: bool = False, metrics: dict | None = None) -> int:
