@@ -159,15 +159,15 @@ def apply(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
     else:
         handle = None
         each = touched.groupBy("doc_id", "text_hash").agg(F.first("removed").alias("removed"))
-        rows = kept.join(each, same(F.col("id"), F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left").select("row.*", F.col("removed").alias("__removed"))
+        rows = kept.join(each, same(F.col("id"), F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left").select("row", "removed")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = list(batch.columns[: len(names)])
+            columns = list(batch.columns if handle is not None else batch.column(0).flatten())
             if handle is not None:
                 drop = [handle.value.get(h) for h in columns[by].cast(pa.string()).to_pylist()]
             else:
-                drop = [set(keys) if keys else None for keys in batch.columns[-1].to_pylist()]
+                drop = [set(keys) if keys else None for keys in batch.column(1).to_pylist()]
             if any(drop):
                 old = columns[at].to_pylist()
                 new = [without(t, keys) if keys else t for t, keys in zip(old, drop)]

@@ -6,16 +6,22 @@ Kinds, in the order that breaks ties of place:
 * ``access``: ``AKIA`` and capitals or digits, 20 characters or more;
 * ``hex``: a run of 24 or more lower-case hexadecimal digits;
 * ``github`` and ``npm``: a prefixed token of 36 base-62 characters, the last six of which are the
-  CRC-32 of the first 30; a token whose checksum fails is not reported.
+  CRC-32 of the first 30;
+* ``card``: 13 to 19 digits, or four groups of four that blanks or hyphens part, whose last digit is the Luhn
+  checksum of the others.
+
+Of the last three kinds a candidate whose checksum fails is not reported; ``scan`` counts them.
 
 An Aho-Corasick automaton over the lower-cased bytes finds the keywords; a compiled expression is
 then tried at each hit and nowhere else. Hits are taken from the left and a hit inside the match
 before it is skipped, which gives the leftmost non-overlapping matches of a full scan, as each
 expression starts with one of its keywords. Runs of digits have no keyword: bytes are mapped to
-"digit or not" and 24 digits in a row are searched for.
+"digit or not" and 24 digits in a row are searched for; so are four decimal digits in a row, where the
+expression of cards is tried unless a digit stands before them.
 
 Defined results: a null or empty text has no spans; repeated rows are each scanned; other columns
-are ignored (``scan``) or kept (``redact``). Places are in code points, ends exclusive.
+are ignored (``scan``) or kept (``redact``). Places are in code points, ends exclusive; in bytes that aren't valid
+UTF-8 each one that doesn't continue a character counts as one, and ``redact`` leaves them as they are.
 """
 
 from __future__ import annotations
@@ -25,13 +31,14 @@ import zlib
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import doc_columns, prepare
 
-KINDS = ("assign", "access", "hex", "github", "npm")
+KINDS = ("assign", "access", "hex", "github", "npm", "card")
 BASE = 3
 MIN_VALUE, MIN_ACCESS, MIN_HEX = 6, 20, 24
 #: What redact() puts in a secret's place.
@@ -45,6 +52,8 @@ _KEYWORDS = [("password", 0), ("passwd", 0), ("secret", 0), ("token", 0), ("apik
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _HEX = bytes(104 if chr(c) in "0123456789abcdef" else 32 for c in range(256))
 _RUN = b"h" * MIN_HEX
+_CARD = re.compile(rb"(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4})(?!\d)")
+_DECIMAL = bytes(100 if chr(c) in "0123456789" else 32 for c in range(256))
 
 _MACHINE = ahocorasick.Automaton()
 for _word, _kind in _KEYWORDS:
@@ -65,13 +74,19 @@ def _valid(token: bytes) -> bool:
     return checksum62(token[:30]) == token[30:].decode("ascii")
 
 
-def find(raw: bytes | None) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of all spans of a UTF-8 text, in code points, in order."""
+def luhn(digits: bytes) -> bool:
+    """Whether every second digit from the right doubled, and all added up by their own digits, give a multiple of ten."""
+    numbers = [d - 48 for d in reversed(digits)]
+    return (sum(numbers[::2]) + sum(2 * d - 9 * (d > 4) for d in numbers[1::2])) % 10 == 0
+
+
+def find_bytes(raw: bytes | None) -> tuple[list[tuple[int, int, int]], int]:
+    """(start, kind, end) of all spans of a UTF-8 text, in bytes, in order, and how many candidates failed their checksum."""
     if not raw:
-        return []
+        return [], 0
     spans: list[tuple[int, int, int]] = []
     hits = sorted((end - size + 1, kind) for end, (size, kind) in _MACHINE.iter(raw.lower().decode("latin-1")))
-    last = [0] * len(KINDS)
+    last, refused = [0] * len(KINDS), 0
     for at, kind in hits:
         if at < last[kind]:
             continue
@@ -79,6 +94,8 @@ def find(raw: bytes | None) -> list[tuple[int, int, int]]:
             last[kind] = m.end()
             if kind == 0 and len(m[1]) >= MIN_VALUE or kind == 1 and m.end() - at >= MIN_ACCESS or kind > 1 and _valid(m[1]):
                 spans.append((at, kind, m.end()))
+            elif kind > 1:
+                refused += 1
     digits = raw.translate(_HEX)
     at = digits.find(_RUN)
     while at >= 0:
@@ -86,22 +103,53 @@ def find(raw: bytes | None) -> list[tuple[int, int, int]]:
         end = len(digits) if end < 0 else end
         spans.append((at, 2, end))
         at = digits.find(_RUN, end)
+    digits = raw.translate(_DECIMAL)
+    at = digits.find(b"dddd")
+    while at >= 0:
+        end = digits.find(b" ", at)
+        end = len(digits) if end < 0 else end
+        if m := _CARD.match(raw, at):
+            end = m.end()
+            if luhn(m[0].translate(None, b" -")):
+                spans.append((at, 5, end))
+            else:
+                refused += 1
+        at = digits.find(b"dddd", end)
     spans.sort()
-    if spans and not raw.isascii():
-        place = lambda n: len(raw[:n].decode("utf-8"))
-        spans = [(place(a), k, place(b)) for a, k, b in spans]
-    return spans
+    return spans, refused
+
+
+def _characters(raw: bytes) -> int:
+    """Code points: bytes that don't continue one."""
+    return len(raw) if raw.isascii() else int(np.count_nonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80))
+
+
+def find(raw: bytes | None) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of all spans, in code points, in order. The text is gone through once."""
+    return _in_characters(raw, find_bytes(raw)[0])
+
+
+def _in_characters(raw: bytes | None, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    if not spans or raw.isascii():
+        return spans
+    place, at, n = {}, 0, 0
+    for p in sorted({x for a, _, b in spans for x in (a, b)}):
+        n += _characters(raw[at:p])
+        place[p] = n
+        at = p
+    return [(place[a], k, place[b]) for a, k, b in spans]
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id and spans: array of (kind, start, end), ordered by start and kind."""
+    """doc_id, spans (array of kind, start, end, ordered by start and kind) and n_refused: candidates whose checksum failed."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in find(raw)] for raw in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _SPANS)], names=["doc_id", "spans"])
+            rows = [(raw, *find_bytes(raw)) for raw in batch.column(1).to_pylist()]
+            found = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in _in_characters(raw, spans)] for raw, spans, _ in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _SPANS), pa.array([n for *_, n in rows], pa.int64())], names=["doc_id", "spans", "n_refused"])
 
-    return doc_columns(docs).mapInArrow(step, "doc_id long, spans array<struct<kind:string,start:int,end:int>>")
+    return doc_columns(docs).mapInArrow(step, "doc_id long, spans array<struct<kind:string,start:int,end:int>>, n_refused long")
 
 
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -112,19 +160,21 @@ def summarise(scanned: DataFrame) -> DataFrame:
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["kind"].isin(*KINDS[:BASE]))
-    return scanned.select("doc_id", *(count(k) for k in KINDS[:BASE]), F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text("spans").alias("spans"))
+    return scanned.select("doc_id", *(count(k) for k in KINDS[:BASE]), F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text("spans").alias("spans"), "n_refused")
 
 
-def masked(text: str | None) -> str | None:
+def masked_bytes(raw: bytes) -> bytes:
     """The text with MASK in place of each stretch that some span covers."""
-    if not text or not (spans := find(text.encode("utf-8"))):
-        return text
     out, last = [], 0
-    for a, _, b in spans:
+    for a, _, b in find_bytes(raw)[0]:
         if a >= last:
-            out += [text[last:a], MASK]
+            out += [raw[last:a], MASK.encode()]
         last = max(last, b)
-    return "".join(out) + text[last:]
+    return b"".join(out) + raw[last:]
+
+
+def masked(text: str | None) -> str | None:
+    return masked_bytes(text.encode("utf-8")).decode("utf-8") if text else text
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -137,11 +187,12 @@ def redact(docs: DataFrame) -> DataFrame:
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = list(batch.columns)
-            old = columns[at].to_pylist()
-            new = [masked(t) for t in old]
-            columns[at] = pa.array(new, columns[at].type)
+            old = columns[at].cast(pa.binary()).to_pylist()
+            new = [masked_bytes(t) if t else t for t in old]
+            texts = pa.array(new, pa.binary())
+            columns[at] = pa.Array.from_buffers(pa.string(), len(texts), texts.buffers(), texts.null_count)  # as they are: bytes needn't be valid
             if size is not None:
-                columns[size] = pa.array([n if a == b else len(b) for n, a, b in zip(columns[size].to_pylist(), old, new)], columns[size].type)
+                columns[size] = pa.array([n if a == b else _characters(b) for n, a, b in zip(columns[size].to_pylist(), old, new)], columns[size].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
     return docs.mapInArrow(step, docs.schema)

@@ -104,6 +104,28 @@ def _is(value: object, kind: str) -> bool:
     return isinstance(value, _KINDS[kind])
 
 
+#: The keywords that are checked, and those that only say something.
+_CHECKED = {"type", "required", "properties", "items", "enum", "additionalProperties", "minimum", "maximum", "minLength", "maxLength"}
+_SAID = {"title", "description", "default", "examples", "$schema", "$id", "$comment"}
+
+
+def check_schema(schema: object, at: str = "$") -> None:
+    """ValueError for a schema with keywords or types that aren't implemented: passing over them would call wrong arguments right."""
+    if not isinstance(schema, dict):
+        raise ValueError(f"{at}: a schema is an object")
+    if unknown := sorted(set(schema) - _CHECKED - _SAID):
+        raise ValueError(f"{at}: {', '.join(unknown)} not implemented")
+    kinds = schema.get("type", [])
+    if unknown := sorted(set([kinds] if isinstance(kinds, str) else kinds) - set(_KINDS) - {"integer", "number"}):
+        raise ValueError(f"{at}: no type {', '.join(unknown)}")
+    if not isinstance(schema.get("additionalProperties", True), bool):
+        raise ValueError(f"{at}: additionalProperties must be true or false")
+    for k, own in schema.get("properties", {}).items():
+        check_schema(own, f"{at}.{k}")
+    if "items" in schema:
+        check_schema(schema["items"], f"{at}[]")
+
+
 def errors(value: object, schema: dict, at: str = "$") -> list[str]:
     """What is wrong with a value, as "path: rule", in order of the paths."""
     kinds = schema.get("type", [])
@@ -111,7 +133,7 @@ def errors(value: object, schema: dict, at: str = "$") -> list[str]:
     if kinds and not any(_is(value, k) for k in kinds):
         return [f"{at}: type"]
     found = []
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):  # 1 is 1.0 and isn't true
         found.append(f"{at}: enum")
     if isinstance(value, dict):
         own = schema.get("properties", {})
@@ -241,7 +263,9 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], small:
 
     calls: conv_id, turn, call_id, name, arguments (JSON), after (a call_id or an array of them). results:
     conv_id, turn, call_id, content. status: ``cycle``, else ``invalid`` (arguments), else ``open`` (no
-    result) or ``linked``."""
+    result) or ``linked``. A schema with a keyword or type that isn't implemented is refused at once."""
+    for name, schema in schemas.items():
+        check_schema(schema, name)
     many = isinstance(calls.schema["after"].dataType, T.ArrayType)
     kinds = (("conv_id", "long"), ("turn", "int"), ("call_id", "string"), ("name", "string"), ("arguments", "string"), ("after", "array<string>" if many else "string"))
     calls = materialize(calls.select(*(F.col(c).cast(t).alias(c) for c, t in kinds)), "calls")

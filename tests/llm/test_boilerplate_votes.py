@@ -79,3 +79,5 @@ def test_one_text_on_two_hosts(spark, monkeypatch):
         monkeypatch.setattr(quality, "BROADCAST_LINES", few)
         monkeypatch.setattr("millrace.llm.common.BROADCAST_KEYS", few)
         assert sorted(map(tuple, quality.apply(docs).collect())) == want
+        clashing = quality.apply(docs.selectExpr("*", "'x' AS __removed", "'y' AS removed", "'z' AS row"))
+        assert sorted(r[:3] for r in map(tuple, clashing.collect())) == want and clashing.columns[-3:] == ["__removed", "removed", "row"]

@@ -145,3 +145,27 @@ def test_quality_rows(spark):
 @pytest.mark.parametrize("line", ["a  B", " A b ", "a\tb"])
 def test_line_key(line):
     assert quality.line_key(line.encode()) == quality.line_key(b"a b")
+
+
+def test_cards_need_their_checksum():
+    valid, wrong = "4845168114407329", "9807915762804490"
+    text = f"é {valid} {wrong}, {valid[:4]} {valid[4:8]} {valid[8:12]} {valid[12:]} x{valid[:4]}-{valid[4:8]}-{valid[8:12]}-{valid[12:]} 1{valid} 12345"
+    spans, refused = secrets.find_bytes(text.encode())
+    assert [text.encode()[a:b].decode() for a, k, b in spans if k == 5] == [valid, f"{valid[:4]} {valid[4:8]} {valid[8:12]} {valid[12:]}", f"{valid[:4]}-{valid[4:8]}-{valid[8:12]}-{valid[12:]}"]
+    assert refused == 2  # the wrong one, and the one with a digit before it
+    assert secrets.masked(f"a {valid} b {wrong}") == f"a [SECRET] b {wrong}"
+    assert all(secrets.luhn(str(n).encode()) == (sum(int(d) if i % 2 == 0 else sum(map(int, str(2 * int(d)))) for i, d in enumerate(reversed(str(n)))) % 10 == 0) for n in range(5000))
+
+
+def test_places_take_linear_time_and_any_bytes(spark):
+    import time
+
+    line = "é password=abcdef1 "
+    raw = (line * 100_000).encode()
+    began = time.perf_counter()
+    spans = secrets.find(raw)
+    assert time.perf_counter() - began < 10 and len(spans) == 100_000
+    assert spans[-1] == (len(line) * 99_999 + 2, 0, len(line) * 99_999 + 18)
+    rows = spark.sql("SELECT 1L AS doc_id, cast(unhex('FFC3A92070617373776F72643D61626364656667FE') as string) AS text, 21 AS n_chars")
+    assert secrets.summarise(secrets.scan(rows)).first()["spans"] == "assign:3:19"
+    assert secrets.redact(rows).selectExpr("hex(text)", "n_chars").first() == ("FFC3A920" + b"[SECRET]".hex().upper() + "FE", 12)

@@ -100,3 +100,12 @@ def test_clashing_columns_and_plan(spark):
     assert len(got) == sum(r[2] == "user" for r in rows)
     assert sorted(r["depth"] for r in got if r["conv_id"] == 1) == [0, 0, 1, 2]
     assert toolcalls.link(asked.limit(0), said.limit(0), toolcalls.REPLY).count() == 0
+
+
+def test_schemas_that_are_not_implemented_are_refused(spark):
+    for schema in ({"const": 1}, {"type": "text"}, {"properties": {"a": {"pattern": "x"}}}, {"items": {"anyOf": []}}, {"additionalProperties": {}}, {"type": ["string", "any"]}, 7):
+        with pytest.raises(ValueError):
+            toolcalls.check_schema(schema)
+    toolcalls.check_schema({"type": ["object", "null"], "title": "x", "properties": {"a": {"items": {"type": "integer"}}}})
+    assert toolcalls.errors(True, {"enum": [1]}) == ["$: enum"] and toolcalls.errors(1.0, {"enum": [1]}) == [] and toolcalls.errors(1, {"enum": [True, "1"]}) == ["$: enum"]
+    assert toolcalls.errors({"a": [1]}, {"enum": [{"a": [1.0]}]}) == []
