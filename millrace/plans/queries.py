@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import arrival_status, money
-from ..operators import checks, gold, merge, payments, star, tuning, views
+from ..operators import checks, gold, merge, payments, sketches, star, temporal, tuning, views
 from ..operators.gold import line_total
 from ..operators.incremental import Load, batch_since, run_load
 from ..operators.silver import clean_places, damaged_orders, invalid_prices, price_gate, silver_items, silver_orders, split_late, top_untranslated, uniqueness, unknown_share
@@ -22,6 +22,7 @@ from ..sources.landing import ingest, ingest_probe, load_summary
 from ..sources.retail import Retail, read_table, retail
 from ..sources.store import TableStore, apply_changes, clustered
 from ..streaming.files import event_windows, file_stream, run_available
+from ..streaming.stateful import deduplicated, followed_by, replayed, sessions
 from .dashboards import DASHBOARDS, dashboard
 from .models import Graph, retail_models
 from .runner import Params, Pipeline, deduped
@@ -1087,6 +1088,92 @@ def stream_events(spark, d):
     return store.read("events")
 
 
+_EVENTS = "e AS (SELECT event_id, user_id, event_type, CAST(ts AS TIMESTAMP) AS ts, value FROM events)"
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
+
+
+def _late_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Two rows of nobody, long after all others."""
+    top = _events(spark, d).agg(F.max("ts").alias("ts"))
+    row = lambda k: top.select(F.lit(-k).cast("long").alias("event_id"), F.lit(None).cast("long").alias("user_id"), F.lit("none").alias("event_type"), (F.col("ts") + F.expr(f"INTERVAL {400 * k} DAYS")).alias("ts"), F.lit(0.0).alias("value"))
+    return row(1).unionByName(row(2))
+
+
+@query(f"""WITH {_EVENTS}, k AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM e),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM k)
+SELECT user_id, min(ts) AS started_at, max(ts) AS ended_at, count(*) AS events, CAST(round(sum(CAST(value AS DECIMAL(18,4))), 2) AS DOUBLE) AS total FROM n GROUP BY user_id, s""")
+def stream_sessions(spark, d):
+    """Sessions of all users as a stream of five batches, in no order."""
+    store = _store(spark)
+    found = replayed(store, _events(spark, d), lambda s: sessions(s, "12 hours", "300 days"), "sessions", 5, _late_rows(spark, d))
+    return found.where("user_id IS NOT NULL")
+
+
+@query(f"WITH {_EVENTS} SELECT event_id, user_id, ts, value FROM e")
+def stream_deduplicated(spark, d):
+    """Every event delivered twice, in different batches; each is kept once."""
+    store, events = _store(spark), _events(spark, d)
+    found = replayed(store, events.unionByName(events), lambda s: deduplicated(s, late="300 days"), "events", 4, _late_rows(spark, d))
+    return found.where("event_id >= 0").select("event_id", "user_id", "ts", "value")
+
+
+_PAIRS = f"""WITH {_EVENTS}, k AS (SELECT event_type FROM e GROUP BY event_type ORDER BY event_type LIMIT 2)
+SELECT a.user_id, a.event_id AS first_id, a.ts AS first_at, b.event_id AS then_id, b.ts AS then_at FROM e a JOIN e b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 6 HOUR
+WHERE a.event_type = (SELECT min(event_type) FROM k) AND b.event_type = (SELECT max(event_type) FROM k)"""
+
+
+def _two_types(spark: SparkSession, d: str) -> list[str]:
+    return [r[0] for r in _events(spark, d).select("event_type").distinct().orderBy("event_type").limit(2).collect()]
+
+
+@query(_PAIRS)
+def stream_joined(spark, d):
+    """Events of one type with those of another up to six hours later, both as streams."""
+    store, (one, two) = _store(spark), _two_types(spark, d)
+    make = lambda s: followed_by(s.where(F.col("event_type").isin(one, "none")), s.where(F.col("event_type").isin(two, "none")), "6 hours", "300 days")
+    return replayed(store, _events(spark, d), make, "pairs", 3, _late_rows(spark, d))
+
+
+@query(_PAIRS)
+def interval_joined(spark, d):
+    """The same pairs from the table, by key and time bucket."""
+    events, (one, two) = _events(spark, d), _two_types(spark, d)
+    left = events.where(F.col("event_type") == one).select("user_id", F.col("event_id").alias("first_id"), F.col("ts").alias("first_at"))
+    right = events.where(F.col("event_type") == two).select("user_id", F.col("event_id").alias("then_id"), F.col("ts").alias("then_at"))
+    return temporal.interval_join(left, right, "user_id", "first_at", "then_at", 0, 6 * 3600)
+
+
+@query(f"""WITH {_EVENTS}, k AS (SELECT min(event_type) AS one FROM e), r AS (SELECT user_id, ts, max(event_id) AS event_id FROM e, k WHERE event_type = one GROUP BY user_id, ts)
+SELECT l.event_id, l.user_id, l.ts, r.event_id AS latest_id, r.ts AS latest_at FROM (SELECT e.* FROM e, k WHERE event_type <> one) l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.ts""")
+def asof_joined(spark, d):
+    """Each event with its user's latest event of the first type before it."""
+    events, (one, _) = _events(spark, d), _two_types(spark, d)
+    right = events.where(F.col("event_type") == one).select("user_id", F.col("ts").alias("latest_at"), F.col("event_id").alias("latest_id"))
+    found = temporal.asof_join(events.where(F.col("event_type") != one), right, "user_id", "ts", ("latest_at", "latest_id"), "latest_at")
+    return found.select("event_id", "user_id", "ts", "latest_id", "latest_at")
+
+
+_SPANS = (("2024-01-01", "2024-01-03"), ("2024-01-05", "2024-01-20"), ("2024-01-01", "2024-12-31"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS first_day, '{b}' AS last_day, count(*) AS rows, count(DISTINCT user_id) AS users, true AS users_within, true AS median_within FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '{a}' AND DATE '{b}'" for a, b in _SPANS))
+def sketches_by_day(spark, d):
+    """Spans of days from daily sketches that the store keeps, held against the exact numbers."""
+    store, events = _store(spark), _events(spark, d)
+    store.overwrite("sketches", sketches.daily_sketches(events, "ts", "user_id", "value"))
+    parts = []
+    for a, b in _SPANS:
+        rows = events.where(F.to_date("ts").between(F.lit(a).cast("date"), F.lit(b).cast("date")))
+        exact = rows.agg(F.count("*").alias("rows"), F.count_distinct("user_id").alias("users"), F.percentile(F.col("value"), F.array(F.lit(0.46), F.lit(0.54))).alias("around"))
+        found = sketches.span(store.read("sketches"), a, b).crossJoin(exact)  # one row each
+        users = F.abs(F.col("distinct_keys") - F.col("users")) <= F.greatest(F.lit(1.0), sketches.distinct_error() * F.col("users"))
+        parts.append(found.select(F.lit(a).alias("first_day"), F.lit(b).alias("last_day"), "rows", "users", (users & (F.col("n") == F.col("rows"))).alias("users_within"), F.coalesce(F.col("q50").between(F.col("around")[0], F.col("around")[1]), F.lit(True)).alias("median_within")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS events, CAST(round(sum(CAST(value AS DECIMAL(18,4))), 2) AS DOUBLE) AS total FROM events GROUP BY ALL")
 def event_day_windows(spark, d):
     return event_windows(read_table(spark, d, "events")).select(F.to_date("window_start").alias("day"), "event_type", "events", "total")
