@@ -1,10 +1,10 @@
 """Numbers over a whole table's order, without a task that sees the whole table.
 
-Rows are dealt to buckets that follow one another in the order, and numbered within them; a bucket's size
-moves those after it. Bounds of buckets come from a sample that is the same every time: the values of the
-rows with the least hashes. A value so common that several bounds fall on it is a stretch of its own and
-cut by the tie-breaker, so no value makes a task large. Which bucket a row is in follows from its values
-alone, so every job, and every repeated task, deals the rows alike.
+Rows are dealt to ranges of the order, as many as the session has shuffle partitions, sorted there and written with their
+places; a range's size moves those after it. The tie-breaker is part of the order, so a value that many rows
+share is cut like any other. Several orders are one pass: each row is dealt once for each of them, all in one shuffle,
+and its numbers meet by the tie-breaker. What is written is dealt once, so sizes and places agree whatever is
+computed again.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ from collections.abc import Mapping, Sequence
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..sources.shared import written
 
 #: Rows of the sample, which bounds what comes to the driver, and bounds of each order.
 SAMPLE, BOUNDS = 2048, 256
@@ -50,39 +52,35 @@ def _array(values: Sequence) -> Column:
     return F.from_json(F.lit(text), f"array<{kind}>")
 
 
-def bucket(value: Column, tie: Column, bounds: Sequence, tie_bounds: Sequence) -> Column:
-    """The number of a row's bucket; buckets ascend with (value, tie), nulls first."""
-    common = sorted({b for b, after in zip(bounds, bounds[1:]) if b == after})
-    wide = len(set(tie_bounds)) + 2
-    inner = F.lit(0)
-    if common:
-        inner = F.when(F.array_contains(_array(common), value), 1 + below(tie, sorted(set(tie_bounds)))).otherwise(0)
-    return (below(value, sorted(set(bounds))) * wide + inner).cast("int")
-
-
 def with_ranks(df: DataFrame, tie: str, orders: Mapping[str, Column]) -> DataFrame:
     """Adds, for each name, the row's number from 1 in ascending order of that column (nulls first) and then
-    of ``tie``, which should be unique; and ``__rows``, how many rows there are.
-
-    The rows are computed three times, so they should come from a table or be cheap: for the sample, for the
-    buckets' sizes (one pass for all orders; a few thousand numbers come to the driver) and for the result."""
-    spark, names = df.sparkSession, list(orders)
-    found = sample_bounds(df, [*orders.values(), F.col(tie)], [F.col(tie)])
-    numbers = {n: bucket(orders[n], F.col(tie), found[i], found[-1]) for i, n in enumerate(names)}
-    each = df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), numbers[n].alias("bucket")) for n in names])).alias("x"))
-    sizes = each.groupBy("x.name", "x.bucket").agg(F.count("*").alias("n")).collect()  # BOUNDS * BOUNDS at most, mostly 2 * BOUNDS an order
-    total = sum(r["n"] for r in sizes if r["name"] == names[0])
-    out = df.withColumn("__rows", F.lit(total).cast("long"))
-    for n in names:
-        before, at = [], 0
-        for r in sorted((r for r in sizes if r["name"] == n), key=lambda r: r["bucket"]):
-            before.append((r["bucket"], at))
-            at += r["n"]
-        offsets = spark.createDataFrame(before, f"`__bucket_{n}` int, __before long")
-        own = W.partitionBy(f"__bucket_{n}").orderBy(orders[n].asc_nulls_first(), tie)
-        out = out.withColumn(f"__bucket_{n}", numbers[n]).withColumn(n, F.row_number().over(own))
-        out = out.join(F.broadcast(offsets), f"__bucket_{n}").withColumn(n, (F.col(n) + F.col("__before")).cast("long")).drop(f"__bucket_{n}", "__before")
-    return out
+    of ``tie``; and ``__rows``, how many rows there are. Several orders need a unique ``tie``, and are one pass if
+    they are whole or decimal numbers, else one after the other."""
+    names = list(orders)
+    kinds = [f.dataType for f in df.select(*(orders[n].alias(n) for n in names)).schema]
+    if len(names) > 1 and not all(isinstance(k, (T.IntegralType, T.DecimalType)) and getattr(k, "scale", 0) <= 6 for k in kinds):
+        out = df
+        for n in names:
+            out = with_ranks(out.drop("__rows"), tie, {n: orders[n]})
+        return out
+    value = lambda n: orders[n].cast("decimal(38,6)") if len(names) > 1 else orders[n]
+    each = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(tie).alias("tie"), F.explode(F.array(*[F.struct(F.lit(i).alias("o"), value(n).alias("v")) for i, n in enumerate(names)])).alias("x"))
+    each = each.select("tie", "x.o", "x.v", F.when(F.col("x.o") == 0, F.col("row")).alias("row"))
+    order = [F.col("o"), F.col("v").asc_nulls_first(), F.col("tie").asc_nulls_first()]
+    number = each.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    dealt = written(number.select("tie", "o", "row", F.shiftright("at", 33).alias("range"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("place")), "ranks")
+    sizes = dealt.groupBy("o", "range").agg(F.count("*").alias("n"), F.min("place").alias("low")).orderBy("o", "range").collect()  # a row for each range
+    before, at = [], {}
+    for r in sizes:
+        before.append((r["o"], r["range"], at.get(r["o"], 0) - r["low"] + 1))
+        at[r["o"]] = at.get(r["o"], 0) + r["n"]
+    offsets = df.sparkSession.createDataFrame(before, "o int, range long, __before long")
+    ranked = dealt.join(F.broadcast(offsets), ["o", "range"]).withColumn("rank", F.col("place") + F.col("__before"))
+    rows = F.lit(at.get(0, 0)).cast("long").alias("__rows")
+    if len(names) == 1:
+        return ranked.select("row.*", rows, F.col("rank").alias(names[0]))
+    found = ranked.groupBy("tie").agg(F.first("row", ignorenulls=True).alias("row"), *(F.max(F.when(F.col("o") == i, F.col("rank"))).alias(n) for i, n in enumerate(names)))
+    return found.select("row.*", rows, *names)
 
 
 def tile(rank: Column, rows: Column, tiles: int) -> Column:

@@ -5,8 +5,6 @@ VIEWS, which name the same columns as ``sources.retail``."""
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -19,6 +17,7 @@ from ..operators.gold import line_total
 from ..operators.incremental import Load, batch_since, run_load
 from ..operators.silver import clean_places, damaged_orders, invalid_prices, price_gate, silver_items, silver_orders, split_late, top_untranslated, uniqueness, unknown_share
 from ..sources.landing import ingest, ingest_probe, load_summary
+from ..sources.shared import shared_folder
 from ..sources.retail import Retail, read_table, retail
 from ..sources.store import TableStore, apply_changes, clustered
 from ..streaming.files import event_windows, file_stream, run_available
@@ -85,27 +84,9 @@ def _revenue(spark: SparkSession, d: str) -> DataFrame:
     return gold.delivered_revenue(r.orders, _items(r))
 
 
-def _written_revenue(spark: SparkSession, d: str) -> DataFrame:
-    """The same as a table: ranks go over their rows three times."""
-    store = _store(spark)
-    store.overwrite("revenue", _revenue(spark, d))
-    return store.read("revenue")
-
-
 def _store(spark: SparkSession) -> TableStore:
-    """A store of a query's own, in the folder that driver and executors share; only a local session
-    may go without one, and then uses a temporary folder that goes with the process."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        shared = "file://" + _scratch().name
-    return TableStore(spark, f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}")
-
-
-@functools.cache
-def _scratch() -> tempfile.TemporaryDirectory:
-    return tempfile.TemporaryDirectory(prefix="millrace-store-", ignore_cleanup_errors=True)
+    """A store of a query's own, in the folder that driver and executors share."""
+    return TableStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
 
 
 # ---- sales
@@ -196,13 +177,13 @@ x AS (SELECT *, r_score + f_score + m_score AS rfm_score, CASE WHEN r_score >= 4
 
 @query(f"WITH {_RFM} SELECT customer_id, last_date, frequency, CAST(monetary AS DOUBLE) AS monetary, recency_days, r_score, f_score, m_score, rfm_score, segment, value_rank FROM x")
 def rfm_scores(spark, d):
-    scores = gold.rfm(_written_revenue(spark, d))
+    scores = gold.rfm(_revenue(spark, d))
     return scores.select("customer_id", "last_date", "frequency", F.col("monetary").cast("double").alias("monetary"), "recency_days", "r_score", "f_score", "m_score", "rfm_score", "segment", "value_rank")
 
 
 @query(f"WITH {_RFM} SELECT segment, count(*) AS customers, {half_up('sum(monetary)', 'count(*)')} AS avg_monetary, {half_up('sum(frequency)', 'count(*)')} AS avg_frequency, {half_up('sum(recency_days)', 'count(*)')} AS avg_recency_days FROM x GROUP BY segment")
 def rfm_segments(spark, d):
-    return gold.segments(gold.rfm(_written_revenue(spark, d)))
+    return gold.segments(gold.rfm(_revenue(spark, d)))
 
 
 def _summary(days: int) -> str:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import gold, merge, ranking, star
+from millrace.sources import shared
 
 
 def plain_tile(rank, rows, tiles):
@@ -30,11 +31,17 @@ def test_ranks_are_those_of_sorting(spark, size):
     assert all(r["__rows"] == size for r in got.values()) and first(None) < first(0)
 
 
-def test_a_common_value_is_cut(spark):
+def test_a_common_value_is_cut(spark, monkeypatch):
     df = spark.range(20_000).select(F.col("id"), F.when(F.col("id") % 10 < 8, 1).otherwise(F.col("id")).alias("n"))
-    found = ranking.sample_bounds(df, [F.col("n"), F.col("id")], [F.col("id")])
-    sizes = [r["count"] for r in df.groupBy(ranking.bucket(F.col("n"), F.col("id"), *found).alias("b")).count().collect()]
-    assert max(sizes) < 1000 and sum(sizes) == 20_000
+    seen = []
+    monkeypatch.setattr(ranking, "written", lambda rows, label: seen.append(shared.written(rows, label)) or seen[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranking.with_ranks(df, "id", {"a": F.col("n"), "b": -F.col("n")})
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in seen[0].groupBy("range").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 15_000 and sum(sizes) == 40_000
 
 
 @pytest.mark.parametrize("rows", [0, 1, 4, 5, 6, 23, 25])
