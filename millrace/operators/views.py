@@ -22,9 +22,9 @@ def allowed_rows(fact: DataFrame, customers: DataFrame, access: DataFrame, user:
     return fact.join(seen, "customer_sk")
 
 
-def grant(store: TableStore, rows: list[tuple[str, str]], name: str = "user_state_access") -> None:
-    """Adds grants that are not there yet."""
-    new = store.spark.createDataFrame(rows, "user_email string, allowed_state string").distinct()
+def grant(store: TableStore, rows: DataFrame | list[tuple[str, str]], name: str = "user_state_access") -> None:
+    """Adds grants (user_email, allowed_state) that are not there yet."""
+    new = (rows if isinstance(rows, DataFrame) else store.spark.createDataFrame(rows, "user_email string, allowed_state string")).distinct()
     store.merge(name, new, ["user_email", "allowed_state"], insert_only())
 
 

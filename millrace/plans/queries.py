@@ -845,14 +845,57 @@ def merge_scd1(spark, d):
     return store.read("products")
 
 
-@query("SELECT * FROM (VALUES ('analyst', 'BRAZIL'), ('analyst', 'CHINA'), ('manager', 'FRANCE')) v(user_email, allowed_state)")
+@query("SELECT DISTINCT 'analyst' AS user_email, state AS allowed_state FROM sell WHERE region IN ('AMERICA', 'ASIA') UNION ALL SELECT DISTINCT 'manager', state FROM sell WHERE region = 'EUROPE'")
 def merge_insert_only(spark, d):
-    store = _store(spark)
-    views.grant(store, [("analyst", "BRAZIL"), ("manager", "FRANCE")])
-    views.grant(store, [("analyst", "BRAZIL"), ("analyst", "CHINA")])
+    """Who may see which states, granted by regions of the sellers, some twice."""
+    store, sellers = _store(spark), retail(spark, d).sellers
+    of = lambda user, *regions: sellers.where(F.col("region").isin(*regions)).select(F.lit(user).alias("user_email"), F.col("state").alias("allowed_state"))
+    views.grant(store, of("analyst", "AMERICA").unionByName(of("manager", "EUROPE")))
+    views.grant(store, of("analyst", "AMERICA", "ASIA"))
     return store.read("user_state_access")
 
 
+@query("""SELECT 'rows' AS measure, 2 * count(*) AS number FROM raw_itm UNION ALL SELECT 'item_no is bigint', 1 UNION ALL SELECT 'fractions refused', 1
+UNION ALL SELECT 'sum of item_no', (sum(item_no) + sum(item_no + 3000000000))::BIGINT FROM raw_itm""")
+def typed_append(spark, d):
+    """Whole numbers of 32 bits, then of 64, which widen the column; fractions are refused, as they don't fit."""
+    store, items = _store(spark), retail(spark, d).items.select("order_id", "item_no", "price")
+    store.overwrite("items", items.withColumn("item_no", F.col("item_no").cast("int")))
+    store.append("items", items.withColumn("item_no", F.col("item_no").cast("long") + 3000000000), merge_schema=True)
+    try:
+        store.append("items", items.withColumn("item_no", F.col("price") / 7), merge_schema=True)
+        refused = 0
+    except ValueError:
+        refused = 1
+    rows, wide = store.read("items"), int(store.version("items").schema["item_no"].dataType.simpleString() == "bigint")
+    number = lambda name, c: F.struct(F.lit(name).alias("measure"), c.cast("long").alias("number"))
+    return rows.agg(F.inline(F.array(number("rows", F.count("*")), number("item_no is bigint", F.lit(wide)), number("fractions refused", F.lit(refused)), number("sum of item_no", F.sum("item_no")))))
+
+
+@query("""SELECT 'rows' AS measure, count(*)::DOUBLE AS number FROM itm UNION ALL SELECT 'partitions', count(DISTINCT return_flag) FROM itm
+UNION ALL SELECT 'least price', min(price) FROM itm UNION ALL SELECT 'greatest price', max(price) FROM itm UNION ALL SELECT 'lines without price', 0""")
+def table_detail(spark, d):
+    """What the log tells of a partitioned table, none of whose files is opened for it."""
+    store, rows = _store(spark), _items(retail(spark, d)).select("order_id", "item_no", "price", "return_flag")
+    store.overwrite("lines", rows, partition_by=["return_flag"])
+    files, price = store.files("lines"), lambda c: F.try_element_at(F.col(c), F.lit("price"))
+    folder = F.count_distinct(F.regexp_extract("path", "return_flag=([^/]*)/", 1))
+    number = lambda name, c: F.struct(F.lit(name).alias("measure"), c.cast("double").alias("number"))
+    return files.agg(F.inline(F.array(number("rows", F.sum("rows")), number("partitions", folder), number("least price", F.min(price("mins").cast("double"))), number("greatest price", F.max(price("maxs").cast("double"))), number("lines without price", F.sum(price("nulls"))))))
+
+
+@query("""SELECT 'bronze' AS task, 'bronze/orders' AS table_name, count(*) AS rows FROM ord UNION ALL SELECT 'bronze', 'bronze/items', count(*) FROM raw_itm
+UNION ALL SELECT 'silver', 'silver/orders', count(*) FROM ord UNION ALL SELECT 'silver', 'silver/items', count(*) FROM itm UNION ALL SELECT 'silver', 'metadata/dead_letters', 0
+UNION ALL SELECT 'gold', 'gold/daily_sales', count(DISTINCT order_date) FROM rev UNION ALL SELECT 'gold', 'gold/customer_rfm', count(DISTINCT customer_id) FROM rev UNION ALL SELECT 'gold', 'gold/customer_summary', count(DISTINCT customer_id) FROM rev
+UNION ALL SELECT 'dimensional', 'gold/dim_customers', count(*) FROM cust UNION ALL SELECT 'dimensional', 'gold/dim_products', count(*) FROM prod UNION ALL SELECT 'dimensional', 'gold/dim_sellers', count(*) FROM sell
+UNION ALL SELECT 'dimensional', 'gold/dim_dates', date_diff('day', min(order_date), max(order_date)) + 1 FROM ord UNION ALL SELECT 'dimensional', 'gold/fact_sales', count(*) FROM lines""")
+def pipeline_tasks(spark, d):
+    """The rows that each task of a run of the retail pipeline reports for the tables it wrote."""
+    reports = Pipeline(_store(spark), retail(spark, d), Params("q", as_of="2002-01-01")).run()
+    rows = [(r["task"], name, n) for r in reports for name, n in r.get("rows", {}).items()]
+    return spark.createDataFrame(rows, "task string, table_name string, rows long")
+
+
 _VERSIONS = """v1 AS (SELECT customer_id, name, state, row_number() OVER (ORDER BY customer_id) AS rn FROM cust ),
 v AS (SELECT rn::BIGINT AS customer_sk, customer_id, name, 1 AS version, rn > 10 AS is_current, CASE WHEN rn <= 10 THEN DATE '2002-01-01' END AS valid_to FROM v1
 UNION ALL SELECT (SELECT count(*) FROM v1) + rn, customer_id, name || ' moved', 2, true, NULL FROM v1 WHERE rn <= 10)"""
