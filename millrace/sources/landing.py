@@ -33,12 +33,24 @@ def landing_files(store: TableStore, folder: str) -> list[tuple[str, str, int, i
     return sorted(found)
 
 
-def with_lineage(df: DataFrame, name: str, path: str, run_id: str, at: dt.datetime) -> DataFrame:
-    return df.withColumns({"_source_file_name": F.lit(name), "_source_path": F.lit(path), "_ingestion_run_id": F.lit(run_id), "_ingested_at": F.lit(at).cast("timestamp")})
+def with_lineage(df: DataFrame, run_id: str, at: dt.datetime) -> DataFrame:
+    """The rows of files with the file they came from, the run and its time."""
+    plus = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))  # decoding would make it a blank
+    path = F.regexp_replace(F.url_decode(plus), "^file:/+", "file:/")
+    return df.withColumns({"_source_file_name": F.regexp_extract(path, "[^/]*$", 0), "_source_path": path, "_ingestion_run_id": F.lit(run_id), "_ingested_at": F.lit(at).cast("timestamp")})
 
 
-def read_csv(store: TableStore, path: str, schema: str | None = None, multi_line: bool = False, infer: bool = False) -> DataFrame:
-    """A CSV file with header, as strings unless a schema is given or types are to be inferred: types are a
+def first_line(store: TableStore, path: str) -> str:
+    jvm = store.spark._jvm
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(store._fs.open(store._path(path)), "UTF-8"))
+    try:
+        return reader.readLine() or ""
+    finally:
+        reader.close()
+
+
+def read_csv(store: TableStore, path: str | list[str], schema: str | None = None, multi_line: bool = False, infer: bool = False) -> DataFrame:
+    """CSV files with one header, as strings unless a schema is given or types are to be inferred: types are a
     later step's business, and inferring them costs a pass and leading zeros. ``multi_line``: quoted values
     may hold line feeds; such a file can't be split and is read by one task."""
     reader = store.spark.read.option("header", True).option("encoding", "UTF-8").option("multiLine", multi_line).option("escape", '"').option("inferSchema", infer)
@@ -49,9 +61,9 @@ def ingest(store: TableStore, folder: str, manifest: dict[str, str], run_id: str
     """Loads the folder's files into the manifest's tables, each content once. ``multi_line`` names files
     whose quoted values hold line feeds.
 
-    The data's commit carries the file's fingerprint, so that a run that fails before it writes the
-    log finds the file loaded when it is repeated: the commits after those that the log knows are looked at.
-    Of the log only what concerns the folder's files comes to the driver."""
+    Files of one header are read together, and all that a table gets is one commit. It carries the files'
+    fingerprints, so that a run that fails before it writes the log finds them loaded when it is repeated: the commits
+    after those that the log knows are looked at. Of the log only what concerns the folder's files comes to the driver."""
     run_id, now = run_id or uuid.uuid4().hex, now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     store.ensure(LOG, LOG_SCHEMA)
     files = landing_files(store, folder)
@@ -59,21 +71,30 @@ def ingest(store: TableStore, folder: str, manifest: dict[str, str], run_id: str
     logged = {r[0]: r[1] for r in store.read(LOG).where("status = 'INGESTED'").groupBy("target_table").agg(F.max("version")).collect()}  # a row for each table
     for target in set(manifest.values()):
         if store.exists(target):
-            seen |= {m["fingerprint"] for m in store.metrics_since(target, -1 if logged.get(target) is None else logged[target]) if "fingerprint" in m}
+            for m in store.metrics_since(target, -1 if logged.get(target) is None else logged[target]):
+                seen |= {m["fingerprint"]} if "fingerprint" in m else set(m.get("fingerprints", ()))
+    fresh: dict[str, dict[tuple[str, bool], list[str]]] = {}
+    for name, path, size, modified in files:
+        if name in manifest and fingerprint(path, size, modified) not in seen:
+            fresh.setdefault(manifest[name], {}).setdefault((first_line(store, path), name in multi_line), []).append(path)
+    marks = {path: fingerprint(path, size, modified) for _, path, size, modified in files}
+    loaded: dict[str, tuple[int, int, int]] = {}  # of each file its records, columns and version
+    for target, groups in fresh.items():
+        parts = [(paths, with_lineage(read_csv(store, paths, multi_line=lines), run_id, now)) for (_, lines), paths in groups.items()]
+        rows = parts[0][1]
+        for _, more in parts[1:]:
+            rows = rows.unionByName(more, allowMissingColumns=True)
+        own = [p for paths, _ in parts for p in paths]
+        version = store.append(target, rows, merge_schema=True, metrics={"fingerprints": [marks[p] for p in own], "run_id": run_id})
+        counts = {r[0]: r[1] for r in store.added(target, version).groupBy("_source_path").count().collect()}  # a row for each file
+        loaded |= {p: (counts.get(p, 0), len(df.columns), version) for paths, df in parts for p in paths}
     rows, report = [], []
     for name, path, size, modified in files:
-        mark, target = fingerprint(path, size, modified), manifest.get(name)
-        entry, version = {"file": name, "target": target, "records": 0, "columns": 0}, None
-        if target is None:
-            entry |= {"status": "SKIPPED", "reason": "not in manifest"}
-        elif mark in seen:
-            entry |= {"status": "SKIPPED", "reason": "already ingested"}
-        else:
-            df = with_lineage(read_csv(store, path, multi_line=name in multi_line), name, path, run_id, now)
-            version = store.append(target, df, merge_schema=True, metrics={"fingerprint": mark, "run_id": run_id})
-            entry |= {"status": "INGESTED", "reason": "", "records": store.added_rows(target, version), "columns": len(df.columns)}
-        report.append(entry)
-        rows.append((name, path, mark, target, entry["status"], entry["reason"], entry["records"], entry["columns"], run_id, now, size, version))
+        target = manifest.get(name)
+        records, columns, version = loaded.get(path, (0, 0, None))
+        status, reason = ("INGESTED", "") if path in loaded else ("SKIPPED", "not in manifest" if target is None else "already ingested")
+        report.append({"file": name, "target": target, "records": records, "columns": columns, "status": status, "reason": reason})
+        rows.append((name, path, marks[path], target, status, reason, records, columns, run_id, now, size, version))
     if rows:
         store.append(LOG, store.spark.createDataFrame(rows, LOG_SCHEMA))
     return report

@@ -307,6 +307,10 @@ class TableStore:
         """The rows in files that a commit added, from the log."""
         return sum(a["rows"] for a in self._lines(name, number) if a["kind"] == "add")
 
+    def added(self, name: str, number: int) -> DataFrame:
+        """The rows of files that a commit added."""
+        return self.open_files(name, self.version(name, number), [a["path"] for a in self._lines(name, number) if a["kind"] == "add"])
+
     def history(self, name: str) -> DataFrame:
         """Versions, the latest first, from the log's first lines."""
         rows = self._actions(name, self._numbers(name)).where("kind = 'commit'")

@@ -143,6 +143,20 @@ def test_ingest_twice(spark, store, tmp_path):
     assert landing.load_summary(store, ["orders", "none"]).where("status = 'LOADED'").first()["rows"] == 3
 
 
+def test_a_run_is_a_commit_for_each_table(spark, store, tmp_path):
+    folder = tmp_path / "landing"
+    folder.mkdir()
+    texts = {"a one.csv": "k,v\n1,x\n2,y\n", "b+2.csv": "k,v\n3,z\n", "c.csv": "k,w\n4,q\n", "empty.csv": "k,v\n", "d.csv": "n\n7\n"}
+    for name, text in texts.items():
+        (folder / name).write_text(text)
+    manifest = {**dict.fromkeys(texts, "t"), "d.csv": "other"}
+    report = landing.ingest(store, f"file://{folder}", manifest, "r1")
+    assert {e["file"]: (e["records"], e["columns"]) for e in report} == {"a one.csv": (2, 6), "b+2.csv": (1, 6), "c.csv": (1, 6), "empty.csv": (0, 6), "d.csv": (1, 5)}
+    assert store.version("t").number == 0 and store.version("other").number == 0
+    assert sorted((r["k"], r["v"], r["w"], r["_source_file_name"]) for r in store.read("t").collect()) == [("1", "x", None, "a one.csv"), ("2", "y", None, "a one.csv"), ("3", "z", None, "b+2.csv"), ("4", None, "q", "c.csv")]
+    assert not any(e["status"] == "INGESTED" for e in landing.ingest(store, f"file://{folder}", manifest, "r2")) and store.version("t").number == 0
+
+
 def test_daily_files(spark, store, tmp_path):
     files = landing.daily_files()
     assert len(files) == 30 and files == landing.daily_files() and all(6 <= len(t.splitlines()) <= 16 for t in files.values())
