@@ -1,20 +1,21 @@
 """A hidden Markov language model: Baum-Welch over partitions, exact likelihoods by forward recursion.
 
 Tokens are the words of a text (ASCII letters lower-cased, split at ASCII white space) and one end.
-A state emits a *class*, the word's CRC-32 modulo CLASSES (the end has a class of its own), and the
-class emits the word by its training count: P(word | class) = (c + 1) / (n + v + 1) for the n tokens
-and v distinct words that training saw in the class, so one part is left for words it never saw. The
-parameters, CLASSES times STATES numbers, have a fixed size however large the vocabulary is; the
-word counts cover all training texts and stay distributed.
+A state emits a *symbol*: the end and every word with more than 1 / OWN of all training tokens, OWN at
+most by that very rule, are symbols of their own; any other word's symbol is its class, its CRC-32 modulo
+CLASSES, and the class emits the word by its training count: P(word | class) = (c + 1) / (n + v + 1) for the
+n tokens and v distinct words that training saw in the class, so one part is left for words it never saw.
+The parameters, (OWN + CLASSES) times STATES numbers at most, have a bounded size however large the
+vocabulary is; the word counts cover all training texts and stay distributed.
 
 * Counting: each task counts its words and hands out what it holds when that grows large.
 * Words with more than 1 / FREQUENT of all training tokens, FREQUENT at most by that very rule, are
   broadcast. The others are counted per text and joined by word, where no key can be hot.
-* Texts are encoded once, as 16-bit classes, to a table in the shared folder.
-* Start: the 64 largest classes' co-occurrence in windows of WINDOW tokens; states begin as the
+* Texts are encoded once, as 32-bit symbols, to a table in the shared folder.
+* Start: the 64 most frequent symbols' co-occurrence in windows of WINDOW tokens; states begin as the
   neighbourhoods of those that differ most.
 * ROUNDS of Baum-Welch: each task runs scaled forward and backward recursions over all its windows
-  and emits expected counts by class, which are summed by class and smoothed by the classes' own
+  and emits expected counts by symbol, which are summed by symbol and smoothed by the symbols' own
   distribution. Training cuts texts into windows, whose first tokens have start probabilities of
   their own; scoring does not.
 * Scoring: the scaled forward recursion over each whole text, all texts of a batch in step.
@@ -38,13 +39,12 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_value, doc_columns, materialize
 
-STATES, CLASSES, FREQUENT, WINDOW, ROUNDS = 8, 1 << 16, 1 << 19, 128, 4
-#: Weight, in tokens, of the classes' overall distribution in each state's emissions.
+STATES, CLASSES, OWN, FREQUENT, WINDOW, ROUNDS = 8, 1 << 16, 1 << 17, 1 << 19, 128, 4
+#: Weight, in tokens, of the symbols' overall distribution in each state's emissions.
 PRIOR = 2000.0
 TOP = 64
-#: The end as a token: no word holds a blank.
+#: The end as a token, symbol 0: no word holds a blank.
 END = b" "
-_END_CLASS = CLASSES - 1
 #: Distinct words that a counting task holds, windows and tokens that a scoring task works on at a time.
 HELD, LANES, TOKENS = 300_000, 4096, 1 << 21
 
@@ -53,10 +53,6 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def word_class(word: bytes) -> int:
-    return zlib.crc32(word) % _END_CLASS
-
-
 def count_words(docs: DataFrame) -> DataFrame:
     """token and c over the given texts, ends included."""
 
@@ -79,50 +75,48 @@ def count_words(docs: DataFrame) -> DataFrame:
     return doc_columns(docs).mapInArrow(step, "token binary, n long").where("n > 0").groupBy("token").agg(F.sum("n").alias("c"))
 
 
-def _class_column(token: Column) -> Column:
-    return F.when(token == F.lit(END), F.lit(_END_CLASS)).otherwise(F.crc32(token) % _END_CLASS).cast("int")
-
-
-_ENCODED = "doc_id long, held_out boolean, row long, n_tokens long, n_known long, log_count double, classes binary, rare array<struct<token:binary,n:int>>"
+_ENCODED = "doc_id long, held_out boolean, row long, n_tokens long, n_known long, log_count double, symbols binary, rare array<struct<token:binary,n:int>>"
 _RARE = pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int32())]))
 
 
 def encode(docs: DataFrame, frequent) -> DataFrame:
-    """Each text as classes; counts of its frequent words are summed up, its other words listed."""
+    """Each text as symbols; counts of its frequent words are summed up, its other words listed. ``frequent``
+    holds the frequent words, the end and those with symbols of their own first, their counts, and how many
+    have symbols of their own."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, counts = frequent.value
+        words, counts, own = frequent.value
         number = dict(zip(words, range(len(words))))
-        own = np.array([_END_CLASS if w == END else word_class(w) for w in words] + [0], np.uint16)
-        logs = np.append(np.log10(counts + 1.0), 0.0)
+        symbol = np.array([i if i < own else own + zlib.crc32(w) % CLASSES for i, w in enumerate(words)] + [0], np.uint32)
+        logs, seen = np.append(np.log10(counts + 1.0), 0.0), np.append(counts > 0, False)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            n, known, log, classes, rare = [], [], [], [], []
+            n, known, log, symbols, rare = [], [], [], [], []
             for raw in batch.column(1).to_pylist():
                 tokens = raw.lower().split() if raw else []
                 tokens.append(END)
                 ids = np.array([number.get(w, -1) for w in tokens], np.int64)
                 other = np.flatnonzero(ids < 0).tolist()
-                line = own[ids]
+                line = symbol[ids]
                 if other:
-                    line[other] = [_END_CLASS if tokens[i] == END else zlib.crc32(tokens[i]) % _END_CLASS for i in other]
+                    line[other] = [own + zlib.crc32(tokens[i]) % CLASSES for i in other]
                 n.append(len(tokens))
-                known.append(len(tokens) - len(other))
+                known.append(int(seen[ids].sum()))
                 log.append(float(logs[ids].sum()))
-                classes.append(line.astype("<u2").tobytes())
+                symbols.append(line.astype("<u4").tobytes())
                 rare.append([{"token": w, "n": k} for w, k in Counter(tokens[i] for i in other).items()])
-            arrays = [batch.column(0), batch.column(2), pa.array(np.arange(row, row + len(n))), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(log, pa.float64()), pa.array(classes, pa.binary()), pa.array(rare, _RARE)]
+            arrays = [batch.column(0), batch.column(2), pa.array(np.arange(row, row + len(n))), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(log, pa.float64()), pa.array(symbols, pa.binary()), pa.array(rare, _RARE)]
             row += len(n)
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "row", "n_tokens", "n_known", "log_count", "classes", "rare"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "row", "n_tokens", "n_known", "log_count", "symbols", "rare"])
 
     return doc_columns(docs, held_out(docs["doc_id"]).alias("held_out")).mapInArrow(step, _ENCODED)
 
 
 @dataclass
 class Model:
-    """start: first token of a text, of a later window; trans: state to state; emit: class by state."""
+    """start: first token of a text, of a later window; trans: state to state; emit: symbol by state."""
 
     start: np.ndarray
     trans: np.ndarray
@@ -130,11 +124,11 @@ class Model:
 
 
 def _gather(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[list[np.ndarray]]:
-    """Class arrays of many texts at a time."""
+    """Symbol arrays of many texts at a time."""
     held, size = [], 0
     for batch in batches:
         for raw in batch.column(0).to_pylist():
-            held.append(np.frombuffer(raw, "<u2"))
+            held.append(np.frombuffer(raw, "<u4"))
             size += len(held[-1])
             if size > tokens:
                 yield held
@@ -155,9 +149,9 @@ def _windows(lines: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return flat, starts, np.minimum(WINDOW, ends - starts), within == 0
 
 
-def co_occurrence(encoded: DataFrame, top: list[int]) -> np.ndarray:
-    """How often two of the classes in ``top`` meet in a window."""
-    place = np.full(CLASSES, -1)
+def co_occurrence(encoded: DataFrame, top: list[int], symbols: int) -> np.ndarray:
+    """How often two of the symbols in ``top`` meet in a window."""
+    place = np.full(symbols, -1)
     place[top] = np.arange(len(top))
     size = len(top)
 
@@ -171,7 +165,7 @@ def co_occurrence(encoded: DataFrame, top: list[int]) -> np.ndarray:
             total += table.T @ table
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size * size), pa.int32()), pa.array(total.ravel())], names=["pair", "n"])
 
-    pairs = encoded.where("not held_out").select("classes").mapInArrow(step, "pair int, n double").groupBy("pair").agg(F.sum("n").alias("n"))
+    pairs = encoded.where("not held_out").select("symbols").mapInArrow(step, "pair int, n double").groupBy("pair").agg(F.sum("n").alias("n"))
     out = np.zeros(size * size)
     for r in pairs.collect():  # TOP * TOP rows
         out[r["pair"]] = r["n"]
@@ -179,7 +173,7 @@ def co_occurrence(encoded: DataFrame, top: list[int]) -> np.ndarray:
 
 
 def initial(met: np.ndarray, top: list[int], overall: np.ndarray) -> Model:
-    """States as the neighbourhoods of the classes in ``top`` that differ most from one another."""
+    """States as the neighbourhoods of the symbols in ``top`` that differ most from one another."""
     rows = (met + 1e-3) / (met + 1e-3).sum(1, keepdims=True)
     shape = np.sqrt(rows)
     chosen = [0]
@@ -196,7 +190,7 @@ def initial(met: np.ndarray, top: list[int], overall: np.ndarray) -> Model:
 def expected_counts(lines: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected starts, transitions and emissions over the windows of some texts."""
     emit, trans = model.emit.astype(np.float32), model.trans.astype(np.float32)
-    starts_out, moves, out = np.zeros((2, STATES)), np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES))
+    starts_out, moves, out = np.zeros((2, STATES)), np.zeros((STATES, STATES)), np.zeros(emit.shape)
     flat, all_starts, all_lengths, all_first = _windows(lines)
     order = np.argsort(-all_lengths, kind="stable")
     for lo in range(0, len(order), LANES):
@@ -227,13 +221,14 @@ def expected_counts(lines: list[np.ndarray], model: Model) -> tuple[np.ndarray,
         starts_out += np.stack([gammas[0][first].sum(0), gammas[0][~first].sum(0)])
         x, g = np.concatenate(seen), np.concatenate(gammas)
         for k in range(STATES):
-            out[:, k] += np.bincount(x, weights=g[:, k], minlength=CLASSES)
+            out[:, k] += np.bincount(x, weights=g[:, k], minlength=len(emit))
     return starts_out, moves * model.trans, out
 
 
 def train_round(encoded: DataFrame, model: Model, overall: np.ndarray) -> Model:
-    """One Baum-Welch step over all training windows. Sums come back by class: CLASSES + STATES + 2
+    """One Baum-Welch step over all training windows. Sums come back by symbol: OWN + CLASSES + STATES + 2
     rows at most."""
+    symbols = len(overall)
     handle = broadcast_value(encoded.sparkSession, model)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,13 +242,13 @@ def train_round(encoded: DataFrame, model: Model, overall: np.ndarray) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(rows[at, k]) for k in range(STATES))], names=["at", *(f"k{k}" for k in range(STATES))])
 
     schema = "at int, " + ", ".join(f"k{k} double" for k in range(STATES))
-    sums = encoded.where("not held_out").select("classes").mapInArrow(step, schema).groupBy("at").agg(*(F.sum(f"k{k}").alias(f"k{k}") for k in range(STATES)))
-    rows = np.zeros((CLASSES + STATES + 2, STATES))
+    sums = encoded.where("not held_out").select("symbols").mapInArrow(step, schema).groupBy("at").agg(*(F.sum(f"k{k}").alias(f"k{k}") for k in range(STATES)))
+    rows = np.zeros((symbols + STATES + 2, STATES))
     for r in sums.toArrow().to_batches():
         rows[r.column(0).to_numpy()] = np.stack([r.column(k + 1).to_numpy() for k in range(STATES)], axis=1)
     handle.unpersist()
-    emit = rows[:CLASSES] + PRIOR * overall[:, None]
-    trans, start = rows[CLASSES : CLASSES + STATES] + 1, rows[CLASSES + STATES :] + 1
+    emit = rows[:symbols] + PRIOR * overall[:, None]
+    trans, start = rows[symbols : symbols + STATES] + 1, rows[symbols + STATES :] + 1
     return Model(start / start.sum(1, keepdims=True), trans / trans.sum(1, keepdims=True), emit / emit.sum(0))
 
 
@@ -279,20 +274,20 @@ def log_likelihoods(lines: list[np.ndarray], model: Model) -> np.ndarray:
     return out
 
 
-def score_classes(encoded: DataFrame, model: Model) -> DataFrame:
-    """row and log10 of the class sequence's probability, words included up to their counts."""
+def score_symbols(encoded: DataFrame, model: Model) -> DataFrame:
+    """row and log10 of the symbol sequence's probability, words included up to their counts."""
     handle = broadcast_value(encoded.sparkSession, model)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, lines, size = [], [], 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(log_likelihoods(lines, handle.value))], names=["row", "log_classes"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(log_likelihoods(lines, handle.value))], names=["row", "log_symbols"])
 
         for batch in batches:
             for row, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids.append(row)
-                lines.append(np.frombuffer(raw, "<u2"))
+                lines.append(np.frombuffer(raw, "<u4"))
                 size += len(lines[-1])
                 if size > TOKENS:
                     yield out()
@@ -300,33 +295,39 @@ def score_classes(encoded: DataFrame, model: Model) -> DataFrame:
         if ids:
             yield out()
 
-    return encoded.select("row", "classes").mapInArrow(step, "row long, log_classes double")
+    return encoded.select("row", "symbols").mapInArrow(step, "row long, log_symbols double")
 
 
-def score(docs: DataFrame, rounds: int = ROUNDS, frequent: int = FREQUENT) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
+def score(docs: DataFrame, rounds: int = ROUNDS, frequent: int = FREQUENT, own: int = OWN) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row. ``own``, no more than
+    ``frequent``, and ``frequent`` bound the words with symbols of their own and those that are broadcast."""
     spark = docs.sparkSession
     counts = materialize(count_words(docs.where(~held_out(docs["doc_id"]))), "counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    known = counts.where(F.col("c") * frequent > n).toArrow()  # at most ``frequent`` words, as their counts sum to n at most
-    words = broadcast_value(spark, (known.column(0).to_pylist(), known.column(1).to_numpy()))
-    encoded = materialize(encode(docs, words), "classes")
-
-    per_class = np.ones(CLASSES)  # one part for words that training never saw
-    seen = np.zeros(CLASSES)
-    for at, tokens, distinct in counts.groupBy(_class_column(F.col("token")).alias("at")).agg(F.sum("c"), F.count("*")).collect():  # CLASSES rows at most
-        per_class[at] += tokens + distinct
-        seen[at] = tokens
-    overall = per_class / per_class.sum()
-    top = np.argsort(-seen, kind="stable")[:TOP].tolist()
-    model = initial(co_occurrence(encoded, top), top, overall)
+    is_own = (F.col("c") > n // own) | (F.col("token") == F.lit(END))
+    known = counts.where((F.col("c") > n // frequent) | is_own).toArrow()  # ``frequent`` words and the end at most, as their counts sum to n at most
+    ranked = sorted(zip(known.column(0).to_pylist(), known.column(1).to_pylist()), key=lambda w: (w[0] != END, -w[1], w[0]))
+    if not ranked:
+        ranked = [(END, 0)]
+    words, seen = [w for w, _ in ranked], np.array([c for _, c in ranked])
+    n_own = sum(w == END or c > n // own for w, c in ranked)
+    encoded = materialize(encode(docs, broadcast_value(spark, (words, seen, n_own))), "symbols")
+
+    symbols = n_own + CLASSES
+    parts = np.ones(symbols)  # of a class: one part is left for words that training never saw
+    parts[:n_own] = seen[:n_own] + 1
+    for at, tokens, distinct in counts.where(~is_own).groupBy((F.crc32("token") % CLASSES).cast("int").alias("at")).agg(F.sum("c"), F.count("*")).collect():  # CLASSES rows at most
+        parts[n_own + at] += tokens + distinct
+    overall = parts / parts.sum()
+    top = np.argsort(-parts, kind="stable")[:TOP].tolist()
+    model = initial(co_occurrence(encoded, top, symbols), top, overall)
     for _ in range(rounds):
         model = train_round(encoded, model, overall)
-    words_too = Model(model.start, model.trans, model.emit / per_class[:, None])
+    words_too = Model(model.start, model.trans, model.emit / parts[:, None])
 
     rare = encoded.select("row", F.explode("rare").alias("w")).select("row", "w.token", "w.n").join(counts, "token", "left")
     rare = rare.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("log_rare"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known_rare"))
-    out = encoded.drop("classes", "rare").join(score_classes(encoded, words_too), "row").join(rare, "row", "left")
+    out = encoded.drop("symbols", "rare").join(score_symbols(encoded, words_too), "row").join(rare, "row", "left")
     log_count = F.col("log_count") + F.coalesce("log_rare", F.lit(0.0))
     return out.select(
         "doc_id",
@@ -335,5 +336,5 @@ def score(docs: DataFrame, rounds: int = ROUNDS, frequent: int = FREQUENT) -> Da
         (F.col("n_known") + F.coalesce("known_rare", F.lit(0))).cast("long").alias("n_known"),
         F.lit(int(n)).cast("long").alias("train_tokens"),
         (log_count - F.col("n_tokens") * float(np.log10(n + v + 1))).alias("base_score"),
-        (log_count + F.col("log_classes")).alias("score"),
+        (log_count + F.col("log_symbols")).alias("score"),
     )

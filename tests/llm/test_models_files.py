@@ -84,6 +84,34 @@ def test_model_beats_word_counts_on_held_out_texts(spark):
     assert hmm.score(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_scores_are_a_plain_forward_pass_over_words(spark, monkeypatch):
+    models, scored = [], hmm.score_symbols
+    monkeypatch.setattr(hmm, "score_symbols", lambda encoded, model: models.append(model) or scored(encoded, model))
+    monkeypatch.setattr(hmm, "CLASSES", 7)
+    rng = np.random.default_rng(5)
+    rows = [(k, " ".join(f"w{i}" for i in rng.zipf(1.4, rng.integers(1, 200)) % 60), "s", "en", 1, 1, "x") for k in range(20, 120)] + ODD
+    got = hmm.score(spark.createDataFrame(rows, SCHEMA), rounds=2, frequent=40, own=20).collect()
+    (model,) = models
+    line = lambda text: (text or "").lower().encode().split() + [b" "]
+    counts = Counter(w for r in rows if zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 7 != 2 for w in line(r[1]))
+    n = sum(counts.values())
+    own = sorted((w for w in counts if w != b" " and counts[w] > n // 20), key=lambda w: (-counts[w], w))
+    assert own and len(own) < len(counts) - 1
+    symbol = {w: i for i, w in enumerate([b" ", *own])}
+    number = lambda w: symbol.get(w, len(symbol) + zlib.crc32(w) % 7)
+    chance = lambda w: model.emit[number(w)] * (counts[w] + 1)
+    unseen = model.emit[len(symbol) :].sum(0)  # each class leaves one part to words not in training
+    assert np.allclose(sum(chance(w) for w in counts) + unseen, 1)
+    by_id = {r["doc_id"]: r["score"] for r in got}
+    for r in rows:
+        a, total = None, 0.0
+        for w in line(r[1]):
+            a = (model.start[0] if a is None else a @ model.trans) * chance(w)
+            total += math.log10(a.sum())
+            a /= a.sum()
+        assert math.isclose(by_id[r[0]], total, rel_tol=1e-9)
+
+
 IDS = st.one_of(st.integers(0, 3), st.integers(0, rangecoder.IDS - 1))
 
 
