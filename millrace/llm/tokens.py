@@ -46,19 +46,21 @@ _SMALL = bytes(c + 32 if 0x80 <= c <= 0x9E else c for c in range(256))
 
 
 class _Table(dict):
-    """The ids of units; a unit asked for first is learnt. A full table learns without keeping, which costs
-    less than to turn over what recurs, and begins anew once it has missed too often."""
+    """The ids of units; a unit asked for first is learnt. Units that end in a mark or a digit fill half of the
+    table at most: the ids of a word and its marks are quickly put together, so what is left is for words. A full
+    table learns without keeping, which costs less than to turn over what recurs, and begins anew once it has
+    missed too often."""
 
     def __init__(self, learn, units: int = UNITS):
         super().__init__()
-        self.learn, self.units, self.missed = learn, units, 0
+        self.learn, self.units, self.half, self.missed = learn, units, units // 2, 0
 
     def __missing__(self, unit: bytes) -> bytes:
         ids = self.learn(unit)
         if len(unit) <= LONGEST:
-            if len(self) < self.units:
+            if len(self) < self.half or unit[-1] >= 65 and len(self) < self.units:
                 self[unit] = ids
-            else:
+            elif unit[-1] >= 65:
                 self.missed += 1
         return ids
 
