@@ -10,7 +10,7 @@ The plan depends on nothing but how many pieces there are of each length, a hist
 CAPACITY rows however many documents there are. It is made on the driver for whole groups of equal
 sequences: one record says "pieces number r to r+k of length s go to sequences b to b+k at offset
 o". A record uses up a group or a length, so their number depends on the capacity only. Each piece
-then finds its record by its number among the pieces of its length. The task that cuts a document counts
+then meets its record in a join by its length and its number among the pieces of that length. The task that cuts a document counts
 its own pieces of each length, and offsets by (length, task) make that a number over all: no length, and
 no document id, is gathered in one task, and pieces move for nothing but the join with those offsets.
 
@@ -24,18 +24,19 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import broadcast_value, doc_columns, materialize
+from .common import doc_columns, materialize
 from .tokens import ByteTokens
 
 CAPACITY, END = 2048, 0
 #: Offsets that are broadcast at most (some 40 MB); more are joined by shuffling.
 BROADCAST_OFFSETS = 500_000
+#: Rows that Spark's Parquet reader holds at a time: those of texts and of ids are long (its default is 4096).
+READER_ROWS = 512
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -55,8 +56,8 @@ def pieces(docs: DataFrame, tokenizer: str, with_ids: bool = False, capacity: in
         end = END.to_bytes(4, "little")
         for batch in batches:
             doc, number, start, length, crc, rank, kept = [], [], [], [], [], [], []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), tokens.encode(batch.column(1).to_pylist())):
-                ids += end
+            for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = tokens.encode([raw.as_py()])[0] + end
                 view = memoryview(ids)
                 for k, (at, n) in enumerate(cut(len(ids) // 4, capacity)):
                     own = view[4 * at : 4 * (at + n)]
@@ -146,26 +147,13 @@ def numbered(found: DataFrame, sizes: DataFrame) -> DataFrame:
 def pack(docs: DataFrame, tokenizer: str, with_ids: bool = False, capacity: int = CAPACITY) -> DataFrame:
     """The pieces with their sequence_id and the offset there."""
     spark: SparkSession = docs.sparkSession
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", READER_ROWS)
     found = materialize(pieces(docs, tokenizer, with_ids, capacity), "pieces")
     sizes = materialize(found.groupBy("length", "part").count(), "sizes")  # capacity rows a task at most
     histogram = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # capacity rows at most
     records = sorted(plan(histogram, capacity))
-    handle = broadcast_value(spark, np.array(records, np.int64).reshape(-1, 5))
-    # a total order of (length, number), so that one search finds a piece's record
-    wide = 1 << 40
-
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = handle.value
-        starts = table[:, 0] * wide + table[:, 1]
-        for batch in batches:
-            length = batch.column(batch.schema.get_field_index("length")).to_numpy()
-            number = batch.column(batch.schema.get_field_index("number")).to_numpy()
-            at = np.searchsorted(starts, length * wide + number, side="right") - 1
-            own = table[at]
-            keep = [c for c in batch.schema.names if c != "number"]
-            arrays = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays(arrays + [pa.array(own[:, 3] + number - own[:, 1]), pa.array(own[:, 4])], names=keep + ["sequence_id", "offset"])
-
+    places = F.broadcast(spark.createDataFrame(records, "of long, first long, n long, sequence long, offset long"))  # bounded by the capacity
+    found = numbered(found, sizes)
+    own = (F.col("length") == F.col("of")) & (F.col("number") >= F.col("first")) & (F.col("number") < F.col("first") + F.col("n"))
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids + ", sequence_id long, offset long"
-    return numbered(found, sizes).select(*names, "number").mapInArrow(step, schema)
+    return found.join(places, own).select(*names, (F.col("sequence") + F.col("number") - F.col("first")).alias("sequence_id"), "offset")
