@@ -7,8 +7,8 @@ shorter one. A document word is hit if it lies in an occurrence of a window.
 Any run of WIDTH = 2 * SEED words holds a whole aligned piece of SEED words, so the automaton has
 those pieces (and the short items) only: its size follows the items' text and not WIDTH times it. The text
 is scanned once. A piece found may lie at any of WIDTH - SEED + 1 places of a window; the document's
-windows around it, each looked at once, are looked up in a table of all items' windows by their 128-bit
-hash. So the work on a text grows with its words, however repetitive it or the items are.
+windows around it, each looked at once, are looked up word by word in a table of all items' windows, so nothing
+rests on a hash. The work on a text grows with its words, however repetitive it or the items are.
 
 What is found is mapped back to the original text, in code points.
 
@@ -41,7 +41,7 @@ from .common import broadcast_value, doc_columns, held, materialize, prepare, ro
 WIDTH = 10
 #: Words of an aligned piece: every window of WIDTH words holds at least one.
 SEED = WIDTH // 2
-#: Bytes of item text in one automaton (about 60 times that in memory).
+#: Bytes of item text in one automaton (about 80 times that in memory).
 AUTOMATON_BYTES = 4 << 20
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -57,10 +57,6 @@ def words_of(raw: bytes | None) -> list[bytes]:
     return raw.translate(_FOLD).split() if raw else []
 
 
-def _key(words: list[bytes]) -> bytes:
-    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
-
-
 class Matcher:
     """The automaton of some items, and the stretches of a text that their windows cover."""
 
@@ -81,7 +77,7 @@ class Matcher:
                 continue
             seeds.update(b" ".join(words[k : k + SEED]) for k in range(0, len(words) - SEED + 1, SEED))
             for k in range(len(words) - WIDTH + 1):
-                number = self.window.setdefault(_key(words[k : k + WIDTH]), len(self.holders))
+                number = self.window.setdefault(b" ".join(words[k : k + WIDTH]), len(self.holders))
                 if number == len(self.holders):
                     self.holders.append([at])
                 elif self.holders[number][-1] != at:
@@ -114,7 +110,7 @@ class Matcher:
                 for start in range(max(0, at - WIDTH + SEED), min(at, len(words) - WIDTH) + 1):
                     if not tried[start]:
                         tried[start] = 1
-                        found = self.window.get(_key(words[start : start + WIDTH]))
+                        found = self.window.get(b" ".join(words[start : start + WIDTH]))
                         if found is not None:
                             yield found, start, start + WIDTH
 
