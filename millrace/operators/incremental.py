@@ -31,10 +31,12 @@ def watermark(store: TableStore, load: Load) -> object | None:
 
 
 def batch_since(source: DataFrame, time_column: str, mark: object | None, lookback_hours: float) -> DataFrame:
-    """All rows before a first load; then those later than the mark less the look-back."""
+    """All rows before a first load; then those later than the mark less the look-back. Times count in whole seconds,
+    rounded to the nearest (halves to even) as SQL casts do, and not cut off."""
     if mark is None:
         return source
-    return source.where(F.col(time_column).cast("timestamp").cast("long") > F.lit(mark).cast("timestamp").cast("long") - int(lookback_hours * 3600))
+    seconds = lambda c: F.rint(c.cast("timestamp").cast("double")).cast("long")
+    return source.where(seconds(F.col(time_column)) > seconds(F.lit(mark)) - int(lookback_hours * 3600))
 
 
 def run_load(store: TableStore, load: Load, source: DataFrame, run_id: str) -> dict:
