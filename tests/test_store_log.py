@@ -226,3 +226,15 @@ def test_files_wanted_compacts_whatever_the_size(spark, store):
     assert store.optimize("t", target_bytes=3000)["files_after"] > 1
     assert store.optimize("t", target_bytes=3000, files_wanted=1)["files_after"] == 1
     assert rows(store.read("t")) == rows(some(spark, 0, 4000))
+
+
+def test_files_are_described_without_sorting_their_rows(spark, tmp_path):
+    folder = f"file://{tmp_path}/strings"
+    some(spark, 0, 3000, files=3).write.parquet(folder)
+    there = spark.read.schema(SCHEMA).parquet(folder)
+    found = stores._described(there, list(there.schema))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" in plan and "Sort" not in plan
+    got = found.select("bytes", "rows", "c0.min", "c0.max", "c1.nulls").collect()
+    assert len(got) == 3 and sum(r["rows"] for r in got) == 3000 and all(r["bytes"] > 0 and r["nulls"] == 0 for r in got)
+    assert {int(r["min"]) for r in got} >= {0} and max(int(r["max"]) for r in got) == 2999
