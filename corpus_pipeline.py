@@ -26,7 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies (five-word shingles, similarity 0.8) one document stays: the one with
     the smallest doc_id (none comes last), of equal ids the one with the least text hash, and of rows that
-    repeat it one. Null and empty texts are one class. See ``nearcopies`` for why links aren't those of op9."""
+    repeat it one. Null and empty texts are one class. Links come from SimHash fingerprints and their pivot table, each
+    verified by the exact similarity; ``nearcopies`` says why their bits and radius aren't those of op9."""
     prepare(spark)
     return simhash.keep_one(docs, nearcopies.labels(docs))
 

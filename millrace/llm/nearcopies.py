@@ -1,11 +1,10 @@
 """Classes of near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-The corpus pipeline's near-dedup takes these classes. SimHash fingerprints and their pivot tables can't give
-them: at a similarity of 0.8 fingerprints of 64 bits differ in some 10 bits (3 to 11 were seen, and as a pair's
-bits are drawn at random 20 must be allowed to lose none in a thousand), unrelated ones in 32 with a deviation
-of 4, and their distances to any pivot by 6 or so: so no coordinate difference of 20 discards anything, and no
-band of bits blocks pairs that far apart. Pivots are used here too, but by the Jaccard distance, where a
-text's own copies are near and all others far.
+The corpus pipeline's near-dedup takes these classes. They are found by SimHash with a pivot table, as in ``simhash``,
+with parameters of their own: at a similarity of 0.8 fingerprints of 64 bits differ in some 10 bits and unrelated ones in
+32 with a deviation of 4, which is too close for pivots to tell them apart. So fingerprints have 256 bits here, those of a
+link differ in some 39, unrelated ones in 128, and RADIUS is 80; and the pivots are texts of the block, so that one is
+near its own copies and far from all others. No band of bits blocks pairs that far apart; least hashes do.
 
 Words are those of ``simhash`` (ASCII letters lower-cased, split at ASCII white space). Texts with a
 similarity of SIMILARITY or more are linked, and a class is what links reach. Texts of equal shingle
@@ -20,16 +19,20 @@ sets share a *node*, so exact copies cost nothing. Links between nodes are found
    share one are verified. Only a text of which heavy shingles are 0.8 or more may be linked without a rare
    one, and then one of the two has rare shingles of an eighth of its heavy ones at most (else the union
    is too large): such *core* texts remain.
-3. Pivots. Core texts are kept as stars, each text within 0.2 (Jaccard distance) of its star's centre. As
+3. Stars. Core texts are kept as stars, each text within 0.2 (Jaccard distance) of its star's centre. As
    |d(x, p) - d(y, p)| <= d(x, y), a text is compared only with stars whose centre is within 0.4 of it, and
    there only with texts whose distances differ by 0.2 or less. Near texts that aren't core are compared with
-   stars and make none. Texts known to be of one class aren't compared. Nothing is capped and no link is lost.
-4. Every link is verified by the exact similarity of the whole shingle sets (64-bit hashes).
+   stars and make none. Texts known to be of one class aren't compared. Nothing is capped and no link is lost here.
+4. SimHash. Whatever 2 and 3 bring together is a candidate only. Fingerprints' Hamming distances to PIVOTS texts of the block
+   are computed once; a pair is discarded if a coordinate differs by more than RADIUS, then if its fingerprints
+   do. A bit differs with probability 0.19 at most at a similarity of 0.8 (sets of four and five shingles; 0.152
+   for large ones), so a link is lost with probability 6e-7 at most, and 3e-11 for large sets.
+5. What survives is verified by the exact similarity of the whole shingle sets (64-bit hashes).
 
 Large blocks are first compared in parts of about PART texts, which joins most of a large class; then every block that
 still holds several classes is compared whole, one of more than CHUNK texts in parts of which any two meet in a task.
 The time of a task is linear in its texts unless many core texts are far from each other, which takes texts made of
-frequent lines in ever different choices. Sets of shingles are made and shuffled only for texts in such
+frequent lines in ever different choices. Sets of shingles and fingerprints are made and shuffled only for texts in such
 blocks. Nothing of this reaches the driver.
 
 Defined results: rows without a word are one class; a text of fewer than five words is one shingle;
@@ -48,16 +51,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import doc_columns, drop_table, materialize, release, rows_by_key, text_hash
-from .simhash import classes
+from .simhash import classes, majority, measured, within
 
 SHINGLE, SIMILARITY, BANDS, ROWS, SEED = 5, 0.8, 24, 5, 42
 #: Bands of the first comparison, and the texts of one part there.
 FIRST, PART = 6, 256
 #: A shingle that more texts of a block hold is no reason to compare them; texts of a part of a large block.
 HEAVY, CHUNK = 64, 8192
+#: Bits that fingerprints of linked texts differ in at most, of 64 for each of _WORD; texts of a block that serve as pivots.
+RADIUS, PIVOTS = 80, 16
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MULTIPLY = np.array([xxhash.xxh64_intdigest(f"m{i}".encode(), SEED) | 1 for i in range(BANDS * ROWS)], np.uint64)
 _BAND = np.array([xxhash.xxh64_intdigest(f"b{i}".encode(), SEED) for i in range(BANDS)], np.uint64)
+_WORD = np.array([xxhash.xxh64_intdigest(f"w{i}".encode(), SEED) for i in range(4)], np.uint64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -81,6 +87,11 @@ def shingles(raw: bytes | None) -> np.ndarray:
     return np.unique(found)
 
 
+def fingerprint(found: np.ndarray) -> np.ndarray:
+    """The set's SimHash fingerprint, 64 bits for each of _WORD; zero for the empty set."""
+    return np.array([majority(_mixed(found ^ word)) for word in _WORD], np.uint64)
+
+
 def node(found: np.ndarray) -> int:
     """One signed long for a set of shingles."""
     return xxhash.xxh64_intdigest(found.tobytes(), SEED) - (1 << 63)
@@ -142,9 +153,12 @@ def candidates(sets: list[np.ndarray], roots: np.ndarray) -> tuple[np.ndarray, n
     return np.unique(np.concatenate(pairs), axis=0), near, 8 * r[near] <= heavy[near], sizes
 
 
-def block_links(nodes: list[int], roots: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Verified links that join what similarity joins among these texts (sorted shingles), beyond their known roots."""
+def block_links(nodes: list[int], roots: list[int], sets: list[np.ndarray], fps: np.ndarray | None = None, seen: list[int] | None = None) -> list[tuple[int, int]]:
+    """Verified links that join what similarity joins among these texts (sorted shingles), beyond their known roots. ``fps``
+    has their fingerprints as rows; ``seen`` counts pairs brought together, left by the pivots, left by the fingerprints."""
     far = 1 - SIMILARITY
+    fps = np.stack([fingerprint(s) for s in sets]) if fps is None else fps
+    table = measured(fps, PIVOTS)
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -160,7 +174,7 @@ def block_links(nodes: list[int], roots: list[int], sets: list[np.ndarray]) -> l
         parent[find(roots[i])] = find(roots[j])
 
     last, own = -1, set()
-    for i, j in pairs.tolist():
+    for i, j in pairs[within(fps, table, pairs[:, 0], pairs[:, 1], RADIUS, seen)].tolist():
         if find(roots[i]) != find(roots[j]) and 5 * min(sizes[i], sizes[j]) >= 4 * max(sizes[i], sizes[j]):
             if i != last:
                 last, own = i, set(sets[i].tolist())
@@ -175,15 +189,16 @@ def block_links(nodes: list[int], roots: list[int], sets: list[np.ndarray]) -> l
         both = len(a.intersection(j))
         return 1 - both / (len(a) + len(j) - both)
 
-    def near(a: set, group: list) -> int | None:
+    def near(i: int, a: set, group: list) -> int | None:
         for centre, texts in group:
             d = distance(a, centre)
-            if d <= far + 1e-9:
-                return texts[0][1]
             if d <= 2 * far + 1e-9:
-                for _, j in texts[bisect_left(texts, (d - far - 1e-9, -1)) :]:
-                    if distance(a, sets[j].tolist()) <= far + 1e-9:
-                        return j
+                others = np.array([j for _, j in texts[bisect_left(texts, (d - far - 1e-9, -1)) :]], np.int64)
+                for at in range(0, len(others), PART):  # a centre comes first, and is mostly the one
+                    part = others[at : at + PART]
+                    for j in part[within(fps, table, np.full(len(part), i), part, RADIUS, seen)].tolist():
+                        if distance(a, sets[j].tolist()) <= far + 1e-9:
+                            return j
         return None
 
     for i, core in zip(near_texts.tolist(), is_core.tolist()):
@@ -191,7 +206,7 @@ def block_links(nodes: list[int], roots: list[int], sets: list[np.ndarray]) -> l
         for other in list(stars):
             if other not in stars or (root := find(other)) == find(roots[i]):
                 continue
-            if (j := near(a, stars[other])) is not None:
+            if (j := near(i, a, stars[other])) is not None:
                 join(i, j)
                 root = find(roots[i])
             if root != other:
@@ -208,11 +223,11 @@ def block_links(nodes: list[int], roots: list[int], sets: list[np.ndarray]) -> l
 
 
 def _linked(blocks: DataFrame) -> DataFrame:
-    """Links a-b of blocks (key, node, root, shingles), sorted by key."""
+    """Links a-b of blocks (key, node, root, shingles, fp), sorted by key."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows):
-            found = block_links([r[0] for r in rows], [r[1] for r in rows], [np.frombuffer(r[2], "<u8") for r in rows]) if len(rows) > 1 else []
+            found = block_links([r[0] for r in rows], [r[1] for r in rows], [np.frombuffer(r[2], "<u8") for r in rows], np.stack([np.frombuffer(r[3], "<u8") for r in rows])) if len(rows) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         release()
@@ -231,15 +246,16 @@ def _linked(blocks: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """node and shingles (little-endian longs) of the rows (doc_id, text_hash)."""
+    """node, shingles and fp, the fingerprint (both as little-endian longs), of the rows (doc_id, text_hash)."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(raw) for raw in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([node(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
+            raw = lambda arrays: pa.array([x.astype("<u8").tobytes() for x in arrays], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([node(s) for s in sets], pa.int64()), raw(sets), raw(map(fingerprint, sets))], names=["node", "shingles", "fp"])
 
     texts = rows_by_key(docs, rows, matching=True).select(F.col("row.text").cast("string").cast("binary").alias("raw"))
-    return texts.mapInArrow(step, "node long, shingles binary")
+    return texts.mapInArrow(step, "node long, shingles binary, fp binary")
 
 
 def labels(docs: DataFrame) -> DataFrame:
@@ -260,8 +276,8 @@ def labels(docs: DataFrame) -> DataFrame:
             own = own.withColumn("key", F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))))
         own = materialize(own.select("key", "node", "root"), "blocks")
         wanted = nodes.join(own.select("node").distinct(), "node", "left_semi").select("one.doc_id", "one.text_hash")
-        sets = materialize(_sets(docs, wanted).groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-        found = _linked(own.join(sets, "node").select("key", "node", "root", "shingles"))
+        sets = materialize(_sets(docs, wanted).groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("fp").alias("fp")), "sets")
+        found = _linked(own.join(sets, "node").select("key", "node", "root", "shingles", "fp"))
         if roots is not None:
             found = found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         roots = classes(found)

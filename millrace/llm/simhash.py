@@ -63,10 +63,10 @@ def fingerprint(raw: bytes | None) -> int:
     digest = xxhash.xxh64_intdigest
     n = len(words) - SHINGLE + 1
     hashes = np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[SHINGLE - 1 :].tolist())), np.uint64, n)
-    return _majority(hashes)
+    return majority(hashes)
 
 
-def _majority(hashes: np.ndarray) -> int:
+def majority(hashes: np.ndarray) -> int:
     """Bits set in more than half of the hashes: counted by byte, 65,535 hashes at a time."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 15):
@@ -121,6 +121,36 @@ def distance_table(fps: np.ndarray, references: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_count(fps ^ p) for p in references], axis=1).astype(np.int8) if len(fps) else np.zeros((0, len(references)), np.int8)
 
 
+def measured(fps: np.ndarray, n: int) -> np.ndarray:
+    """Hamming distances of fingerprints (rows of words) to ``n`` pivots among them: the first, then always the one farthest
+    from all pivots before it, while there are any that differ."""
+    columns, least, at = [], None, 0
+    while len(columns) < min(n, len(fps)):
+        columns.append(np.bitwise_count(fps ^ fps[at]).sum(axis=1, dtype=np.int16))
+        least = columns[-1] if least is None else np.minimum(least, columns[-1])
+        at = int(least.argmax())
+        if not least[at]:
+            break
+    return np.stack(columns, axis=1)
+
+
+def within(fps: np.ndarray, table: np.ndarray, x: np.ndarray, y: np.ndarray, bits: int, seen: list[int] | None = None) -> np.ndarray:
+    """The places of the pairs x-y whose fingerprints differ in ``bits`` or fewer: those that a coordinate of ``measured`` tells
+    apart are discarded first. ``seen`` counts pairs, those left by the pivots, and those left by the distance."""
+    at = np.arange(len(x))
+    counts = [len(at)]
+    for p in range(table.shape[1]):
+        if not len(at):
+            break
+        at = at[np.abs(table[x[at], p] - table[y[at], p]) <= bits]
+    counts.append(len(at))
+    at = at[np.bitwise_count(fps[x[at]] ^ fps[y[at]]).sum(axis=1) <= bits]
+    counts.append(len(at))
+    if seen is not None:
+        seen[:] = [a + b for a, b in zip(seen, counts)]
+    return at
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Star links that join the same nodes as the links a-b: (node, the least node it reaches)."""
     nodes, index = np.unique(np.concatenate([a, b]), return_inverse=True)

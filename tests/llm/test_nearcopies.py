@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from test_dedup_packing import SCHEMA
 
-from millrace.llm import nearcopies
+from millrace.llm import nearcopies, simhash
 
 
 def plain_set(text):
@@ -157,3 +158,26 @@ def test_pipeline_stage_keeps_one_of_near_copies(spark):
     kept = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
     assert kept == sorted(min(g) for g in groups(plain_near(texts)))
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
+
+
+def test_links_pass_fingerprints_and_pivots():
+    texts = [t for t in corpus() if t and t.strip()] + template(60, 0.5, 100, 4)
+    sets = [nearcopies.shingles(t.encode()) for t in texts]
+    fps = np.stack([nearcopies.fingerprint(s) for s in sets])
+    bits = lambda i, j: int(np.bitwise_count(fps[i] ^ fps[j]).sum())
+    alike = [(i, j) for i in range(len(sets)) for j in range(i) if 9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (len(sets[i]) + len(sets[j]))]
+    assert len(alike) > 500 and max(bits(i, j) for i, j in alike) <= nearcopies.RADIUS
+    x, y = np.triu_indices(len(sets), 1)
+    seen = [0, 0, 0]
+    found = simhash.within(fps, simhash.measured(fps, nearcopies.PIVOTS), x, y, nearcopies.RADIUS, seen)
+    assert {(a, b) for a, b in zip(x[found].tolist(), y[found].tolist())} == {(i, j) for i, j in zip(x.tolist(), y.tolist()) if bits(i, j) <= nearcopies.RADIUS}
+    assert seen[0] == len(x) > 1.5 * seen[1] and seen[1] >= seen[2] == len(found)
+
+
+def test_no_link_goes_round_the_fingerprints(monkeypatch):
+    texts = [t for t in corpus() if t and t.strip()]
+    nodes, sets, seen = list(range(len(texts))), [nearcopies.shingles(t.encode()) for t in texts], [0, 0, 0]
+    found = nearcopies.block_links(nodes, nodes, sets, None, seen)
+    assert len(found) <= seen[2] <= seen[1] <= seen[0]
+    monkeypatch.setattr(nearcopies, "RADIUS", -1)
+    assert not nearcopies.block_links(nodes, nodes, sets)
