@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 from decimal import Decimal
 
 import pytest
@@ -238,3 +239,13 @@ def test_files_are_described_without_sorting_their_rows(spark, tmp_path):
     got = found.select("bytes", "rows", "c0.min", "c0.max", "c1.nulls").collect()
     assert len(got) == 3 and sum(r["rows"] for r in got) == 3000 and all(r["bytes"] > 0 and r["nulls"] == 0 for r in got)
     assert {int(r["min"]) for r in got} >= {0} and max(int(r["max"]) for r in got) == 2999
+
+
+def test_zorder_of_a_partitioned_table_sorts_small_ranges(spark, store, monkeypatch):
+    monkeypatch.setattr(stores, "SORTED", 4000)
+    rows_in = some(spark, 0, 4000).withColumn("part", F.col("k") % 2)
+    store.overwrite("t", rows_in, partition_by=["part"])
+    size = sum(r["bytes"] for r in store.files("t").collect())
+    store.optimize("t", zorder_by=["k"])
+    tasks = {re.search("part-([0-9]+)", r["path"])[1] for r in store.files("t").collect()}
+    assert len(tasks) >= min(4, size // 8000) > 1 and rows(store.read("t").select(*rows_in.columns)) == rows(rows_in)
