@@ -127,7 +127,8 @@ def retail_models() -> list[Model]:
         Model("stg_items", "SELECT order_id, item_no, product_id, seller_id, price, CAST(price * (1 - discount) * (1 + tax) AS DECIMAL(18,4)) AS line_total, shipped_at FROM {items}"),
         Model(
             "delivered_lines",
-            """SELECT order_id, item_no, o.customer_id, o.order_date, i.product_id, i.seller_id, i.line_total, greatest(o.purchased_at, i.shipped_at) AS source_updated_at
+            # orders are hashed within a task, as sorting both sides takes longer and a task's orders are a small part of its lines
+            """SELECT /*+ SHUFFLE_HASH(o) */ order_id, item_no, o.customer_id, o.order_date, i.product_id, i.seller_id, i.line_total, greatest(o.purchased_at, i.shipped_at) AS source_updated_at
                FROM {stg_orders} o JOIN {stg_items} i USING (order_id) WHERE o.status = 'F'""",
             table=True,
             tests={**not_null("order_id", "order_date"), **unique("order_id", "item_no"), "line_total is not negative": "SELECT * FROM {this} WHERE line_total < 0"},

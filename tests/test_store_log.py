@@ -241,6 +241,34 @@ def test_files_are_described_without_sorting_their_rows(spark, tmp_path):
     assert {int(r["min"]) for r in got} >= {0} and max(int(r["max"]) for r in got) == 2999
 
 
+def test_numbers_alone_are_described_by_plain_hashing(spark, tmp_path):
+    folder = f"file://{tmp_path}/numbers"
+    spark.range(3000).selectExpr("id AS k", "IF(id % 3 = 0, NULL, id / 7) AS x", "timestamp_seconds(id) AS at", "CAST(id AS DECIMAL(18,4)) AS m").repartition(3).write.parquet(folder)
+    there = spark.read.parquet(folder)
+    found = stores._described(there, list(there.schema))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "ObjectHashAggregate" not in plan and "Sort" not in plan
+    got = found.select("bytes", "rows", "c0.min", "c2.max", F.col("c1.nulls").alias("nulls")).collect()
+    assert sum(r["rows"] for r in got) == 3000 and sum(r["nulls"] for r in got) == 1000 and all(r["bytes"] > 0 for r in got)
+    assert min(int(r["min"]) for r in got) == 0 and max(int(r["max"]) for r in got) == 2999 * 10**6
+
+
+@pytest.mark.parametrize("by", [(), ("part",)])
+def test_refused_rows_are_not_described(spark, store, monkeypatch, by):
+    seen, described = [], []
+    monkeypatch.setattr(stores, "_described", lambda *a, own=stores._described: described.append(1) or own(*a))
+
+    def refuse(found):
+        seen.append(rows(found.select(*some(spark, 0, 1).columns)))
+        raise ValueError("refused")
+
+    with pytest.raises(ValueError, match="refused"):
+        store.overwrite("t", some(spark, 0, 100).withColumn("part", F.col("k") % 2), partition_by=by, check=refuse)
+    assert seen == [rows(some(spark, 0, 100))] and not described and not store.exists("t")
+    store.overwrite("t", some(spark, 0, 0).withColumn("part", F.col("k") % 2), partition_by=by, check=lambda found: seen.append(found.count()))
+    assert seen[1] == 0 and store.read("t").count() == 0
+
+
 def test_zorder_of_a_partitioned_table_sorts_small_ranges(spark, store, monkeypatch):
     monkeypatch.setattr(stores, "SORTED", 4000)
     rows_in = some(spark, 0, 4000).withColumn("part", F.col("k") % 2)

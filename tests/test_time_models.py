@@ -128,3 +128,13 @@ def test_orders_that_pass_the_gate_are_not_sorted_again(spark, store):
     key = lambda df: sorted(map(str, df.select(*source.orders.columns).collect()))
     assert key(got) == key(want)
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_delivered_lines_hash_orders_within_tasks(spark, store):
+    from millrace.plans.models import retail_models
+
+    source = retail(spark, TINY)
+    store.overwrite("orders", source.orders)
+    store.overwrite("items", source.items)
+    plan = Graph(store, retail_models())._build(next(m for m in retail_models() if m.name == "delivered_lines"))._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
