@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import merge, views
+from millrace.plans.queries import QUERIES
 from millrace.sources import store as stores
 from millrace.sources.store import Conflict, TableStore, apply_changes, clustered
 
@@ -241,6 +242,19 @@ def test_files_are_described_without_sorting_their_rows(spark, tmp_path):
     assert {int(r["min"]) for r in got} >= {0} and max(int(r["max"]) for r in got) == 2999
 
 
+@pytest.mark.parametrize("name", ["nested_tables"])
+def test_tables_of_a_query_are_described_without_sorting(spark, name):
+    def executions():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        found = spark._jsparkSession.sharedState().statusStore().executionsList()
+        return {e.executionId(): e for e in (found.apply(i) for i in range(found.size()))}
+
+    before = executions()
+    QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    plans = [e.physicalPlanDescription() for i, e in executions().items() if i not in before]
+    assert any("ObjectHashAggregate" in p and "file_path" in p for p in plans) and not any("SortAggregate" in p for p in plans)
+
+
 def test_numbers_alone_are_described_by_plain_hashing(spark, tmp_path):
     folder = f"file://{tmp_path}/numbers"
     spark.range(3000).selectExpr("id AS k", "IF(id % 3 = 0, NULL, id / 7) AS x", "timestamp_seconds(id) AS at", "CAST(id AS DECIMAL(18,4)) AS m").repartition(3).write.parquet(folder)
