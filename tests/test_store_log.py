@@ -242,7 +242,7 @@ def test_files_are_described_without_sorting_their_rows(spark, tmp_path):
     assert {int(r["min"]) for r in got} >= {0} and max(int(r["max"]) for r in got) == 2999
 
 
-@pytest.mark.parametrize("name", ["nested_tables"])
+@pytest.mark.parametrize("name", ["nested_tables", "table_detail"])
 def test_tables_of_a_query_are_described_without_sorting(spark, name):
     def executions():
         spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
